@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, parts, slices, whole_groups
-from .rolling import Hashes, Parsing, byte_values, lone_windows, mix, phrase_ends, word_values
+from .common import bytes_of, durable, parts, slices, whole_groups
+from .rolling import Hashes, Parsing, byte_values, classes_within, mix, phrase_ends, word_values
 
 _ANCHORS = "k long, c long, rid long, ord long, low int"
 _BANDED = "h1 long, h2 long, rid long, ord long, top int, near int, far int, around binary"
@@ -39,30 +39,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _lone_keys(hashes: Hashes, starts: np.ndarray, p: Parsing) -> tuple[np.ndarray, np.ndarray]:
-    return _signed(hashes.of(starts, starts + p.window, 11)), _signed(hashes.of(starts, starts + p.window, 12))
+def _keys(hashes: Hashes, ends: np.ndarray, low: np.ndarray, high: np.ndarray, p: Parsing) -> tuple[np.ndarray, np.ndarray]:
+    """Key of what all windows of a phrase end hold, and of all that they hold together."""
+    k = _signed(hashes.of(ends - p.grain, ends + p.window - p.reach, 1))
+    return k, _signed(mix(hashes.of(low, high + p.window, 2) + (ends - low).astype(np.uint64)))
 
 
 def _anchors(p: Parsing, words: bool):
+    """A row for each phrase end; of ends with equal keys in one document only for the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, "text")):
             values, docs = _symbols(batch, words)
             hashes = Hashes(values)
             ends, doc, low, high = phrase_ends(hashes, docs, p)
-            k = _signed(hashes.of(ends - p.grain, ends + p.window - p.reach, 1))
-            c = _signed(mix(hashes.of(low, high + p.window, 2) + (ends - low).astype(np.uint64)))
-            starts, lone = lone_windows(docs, low, high, p)
-            k2, c2 = _lone_keys(hashes, starts, p)
-            if len(starts):
-                order = np.lexsort((starts, c2, k2, lone))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (np.diff(lone[order]) != 0) | (np.diff(k2[order]) != 0) | (np.diff(c2[order]) != 0)
-                keep = order[fresh]
-                starts, lone, k2, c2 = starts[keep], lone[keep], k2[keep], c2[keep]
-            at = np.concatenate((doc, lone))
-            first = np.concatenate((low - docs[doc], -1 - (starts - docs[lone]))).astype(np.int32)
-            rid, order_by = (batch.column(x).to_numpy()[at] for x in ("rid", "ord"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate((k, k2)), np.concatenate((c, c2)), rid, order_by, first)], ["k", "c", "rid", "ord", "low"])
+            k, c = _keys(hashes, ends, low, high, p)
+            _, one = classes_within(doc, k, c)
+            rid, order_by = (batch.column(x).to_numpy()[doc[one]] for x in ("rid", "ord"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[one], c[one], rid, order_by, (low - docs[doc])[one].astype(np.int32))], ["k", "c", "rid", "ord", "low"])
 
     return run
 
@@ -155,20 +149,19 @@ def marks(docs: DataFrame, p: Parsing, words: bool, earlier: bool) -> DataFrame:
 
     docs: rid long (row id), ord long (the order in which a document is earlier), text string without nulls.
     """
-    n = parts(docs)
     anchors = docs.mapInArrow(_anchors(p, words), _ANCHORS)
     shared = anchors.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     # k ^ 0 hides the join's partitioning: what follows is combined before it is shuffled, and a hot key may be split
-    near = anchors.join(shared, "k", "left_semi").select(F.expr("k ^ 0").alias("k"), "c", "rid", "ord", "low")
-    classes = near.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid", "low")).alias("rep"))
-    many = classes.where("rep.low >= 0").groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1").select("k", F.lit(True).alias("many"))
+    near = durable(anchors.join(shared, "k", "left_semi")).select(F.expr("k ^ 0").alias("k"), "c", "rid", "ord", "low")
+    classes = durable(near.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid", "low")).alias("rep"))).withColumn("k", F.expr("k ^ 0"))
+    many = classes.groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1").select("k", F.lit(True).alias("many"))
     ranked = classes.join(many, "k", "left").select(F.col("k").alias("ck"), F.col("c").alias("cc"), "n", "rep", F.coalesce("many", F.lit(False)).alias("many")).where("n > 1 or many")
     full = F.col("ord") > F.col("rep.ord") if earlier else F.col("n") > 1
     first = F.col("ord") == F.col("rep.ord") if earlier else (F.col("rid") == F.col("rep.rid")) & (F.col("low") == F.col("rep.low"))
-    marked = near.join(ranked, (F.col("k") == F.col("ck")) & (F.col("c") == F.col("cc"))).select("rid", "low", full.alias("full"), (first & F.col("many") & (F.col("low") >= 0)).alias("ship")).where("full or ship")
-    lists = marked.groupBy("rid").agg(F.collect_list(F.when(F.col("full"), F.col("low"))).alias("full"), F.collect_list(F.when(F.col("ship"), F.col("low"))).alias("ship"))
+    marked = near.join(ranked, (F.col("k") == F.col("ck")) & (F.col("c") == F.col("cc"))).select("rid", "low", full.alias("full"), (first & F.col("many")).alias("ship")).where("full or ship")
+    lists = durable(marked.groupBy("rid").agg(F.collect_list(F.when(F.col("full"), F.col("low"))).alias("full"), F.collect_list(F.when(F.col("ship"), F.col("low"))).alias("ship")))
     banded = docs.join(lists.where(F.size("ship") > 0).select("rid", "ship"), "rid").select("rid", "ord", "text", "ship").mapInArrow(_banded(p, words), _BANDED)
-    met = banded.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_matched(p, words, earlier), "rid long, start int")
+    met = banded.repartition(parts(docs), "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_matched(p, words, earlier), "rid long, start int")
     starts = met.groupBy("rid").agg(F.collect_list("start").alias("starts"))
     return lists.select("rid", "full").join(starts, "rid", "full_outer")
 
@@ -180,33 +173,33 @@ def covered(p: Parsing, words: bool, earlier: bool, emit):
         for batch in (s for b in batches for s in slices(b, "text")):
             values, docs = _symbols(batch, words)
             hashes = Hashes(values)
-            _, _, low, high = phrase_ends(hashes, docs, p)
+            ends, doc, low, high = phrase_ends(hashes, docs, p)
             n = len(values)
             window = np.zeros(n + p.window + 1, np.int32)
 
-            def listed(name: str, batch: pa.RecordBatch = batch) -> tuple[np.ndarray, np.ndarray]:
+            def listed(name: str, batch: pa.RecordBatch = batch, docs: np.ndarray = docs) -> np.ndarray:
                 lists = batch.column(name)
-                sizes = np.diff(lists.offsets.to_numpy())
-                return np.repeat(np.arange(batch.num_rows), sizes), lists.flatten().to_numpy()
-
-            at, mark = listed("full")
-            own = np.isin(low, docs[at[mark >= 0]] + mark[mark >= 0])
-            np.add.at(window, low[own], 1)
-            np.add.at(window, high[own] + 1, -1)
-            starts, lone = lone_windows(docs, low, high, p)
-            if len(starts):
-                k, c = _lone_keys(hashes, starts, p)
-                same = _ranks(lone, np.unique(k, return_inverse=True)[1], np.unique(c, return_inverse=True)[1])
-                hit = np.zeros(same.max() + 1, bool)
-                hit[same[np.isin(starts, docs[at[mark < 0]] - 1 - mark[mark < 0])]] = True
+                return np.repeat(docs[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
+
+            if len(ends):
+                same, _ = classes_within(doc, *_keys(hashes, ends, low, high, p))
+                count = np.bincount(same)
+                gone = np.zeros(len(count), bool)
+                gone[same[np.isin(low, listed("full"))]] = True
                 if not earlier:
-                    hit |= np.bincount(same) > 1
-                again = starts[hit[same]]
-                np.add.at(window, again, 1)
-                np.add.at(window, again + 1, -1)
-            at, mark = listed("starts")
-            np.add.at(window, docs[at] + mark, 1)
-            np.add.at(window, docs[at] + mark + 1, -1)
+                    gone |= count > 1
+                own = gone[same]
+                np.add.at(window, low[own], 1)
+                np.add.at(window, high[own] + 1, -1)
+                # what holds for the first end of a class in a document holds for its others
+                found = listed("starts")
+                at = np.searchsorted(low, found, side="right") - 1
+                ahead = found - low[at]
+                alone = count[same[at]] == 1
+                spots = [found[alone]] + [low[same == s] + a for s, a in zip(same[at[~alone]], ahead[~alone], strict=True) if not gone[s]]
+                spots = np.concatenate(spots)
+                np.add.at(window, spots, 1)
+                np.add.at(window, spots + 1, -1)
             starting = (np.cumsum(window)[:n] > 0).astype(np.int32)
             cover = np.zeros(n + p.window + 1, np.int32)
             cover[:n] += starting

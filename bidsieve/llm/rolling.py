@@ -69,15 +69,15 @@ def word_values(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @dataclass(frozen=True)
 class Parsing:
-    """How sequences are cut into phrases and which windows count.
+    """How sequences are cut into phrases and which windows a phrase end owns.
 
-    A phrase ends where the hash of the last `grain` symbols hits a trigger, about once in `density` places.
-    A window of `window` symbols belongs to the first phrase end that lies `grain` to `reach` symbols behind its start.
+    A phrase ends at a trigger: a place where the hash of the last `grain` symbols is the smallest of all places between
+    `grain` and `reach` behind the start of some window of `window` symbols (the first of equals). That place owns the
+    window. Equal windows thus have their phrase end at the same distance, and no phrase is longer than `reach`.
     """
 
     window: int
     grain: int
-    density: int
     reach: int
     band: int
 
@@ -87,32 +87,35 @@ class Parsing:
 
 
 def phrase_ends(hashes: Hashes, docs: np.ndarray, p: Parsing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase ends that own a window: position, owning document, first and last start of their windows."""
+    """Phrase ends in rising order: position, document, first and last start of the windows that each owns."""
     n = int(docs[-1])
-    if n < p.grain:
-        return (np.zeros(0, np.int64),) * 4
-    ends = np.arange(p.grain, n + 1)
-    ends = ends[hashes.of(ends - p.grain, ends, 3) % np.uint64(p.density) == 0]
-    doc = np.searchsorted(docs, ends - 1, side="right") - 1
-    inside = ends - p.grain >= docs[doc]
-    ends, doc = ends[inside], doc[inside]
-    before = np.full(len(ends), -1)
-    before[1:] = np.where(doc[1:] == doc[:-1], ends[:-1], -1)
-    low = np.maximum(np.maximum(docs[doc], before - p.grain + 1), ends - p.reach)
-    high = np.minimum(ends - p.grain, docs[doc + 1] - p.window)
-    own = low <= high
-    return ends[own], doc[own], low[own], high[own]
-
-
-def lone_windows(docs: np.ndarray, low: np.ndarray, high: np.ndarray, p: Parsing) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that no phrase end owns (long phrases), and their documents."""
-    n = int(docs[-1])
-    whole = np.zeros(n + 1, np.int32)
     lengths = np.diff(docs)
-    fits = lengths >= p.window
-    np.add.at(whole, docs[:-1][fits], 1)
-    np.add.at(whole, docs[1:][fits] - p.window + 1, -1)
-    np.add.at(whole, low, -1)
-    np.add.at(whole, high + 1, 1)
-    starts = np.flatnonzero(np.cumsum(whole)[:n] > 0)
-    return starts, np.searchsorted(docs, starts, side="right") - 1
+    none = (np.zeros(0, np.int64),) * 4
+    if n < p.window or lengths.max() < p.window:
+        return none
+    ends = np.arange(p.grain, n + 1)
+    best = (hashes.of(ends - p.grain, ends, 3) >> np.uint64(32) << np.uint64(32)) | ends.astype(np.uint64)
+    span, have = p.reach - p.grain + 1, 1
+    while have < span:  # minimum over `have` places, doubled
+        step = min(have, span - have)
+        best = np.minimum(best[:-step], best[step:])
+        have += step
+    owner = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the window that starts at the index
+    starts = np.arange(n - p.window + 1)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[: len(starts)]
+    valid = starts + p.window <= docs[doc + 1]
+    starts, doc = starts[valid], doc[valid]
+    owner = owner[starts]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
+    last = np.concatenate((first[1:], [len(owner)])) - 1
+    return owner[first], doc[first], starts[first], starts[last]
+
+
+def classes_within(docs_of: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each phrase end among those of its document with the same keys, and the first end of each class."""
+    order = np.lexsort((np.arange(len(k)), c, k, docs_of))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(docs_of[order]) != 0) | (k[order][1:] != k[order][:-1]) | (c[order][1:] != c[order][:-1])
+    same = np.zeros(len(order), np.int64)
+    same[order] = np.cumsum(fresh) - 1
+    return same, order[fresh]

@@ -25,7 +25,7 @@ from .rolling import Parsing, word_spans
 
 def parsing(window: int) -> Parsing:
     grain = min(2, max(1, window // 4))
-    return Parsing(window=window, grain=grain, density=max(2, min(10, window // 5)), reach=max(grain, window * 4 // 5), band=max(2, min(5, window // 5)))
+    return Parsing(window=window, grain=grain, reach=max(grain, window * 4 // 5), band=max(2, min(6, window // 5)))
 
 
 def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:

@@ -1,10 +1,10 @@
 """Suffix-array dedup by prefix-free parsing.
 
-Rolling-hash triggers over 16 bytes cut every text into phrases of about 64 bytes. The dictionary side (suffixes of the
+Rolling-hash triggers over 16 bytes cut every text into phrases of about 170 bytes and 350 at most. The dictionary side (suffixes of the
 phrase before a trigger) and the parse side (what follows the trigger) are ranked in suffix order, class by class, and
 combined: two suffixes of the corpus share `window` bytes exactly when both ranks are equal (`repeats`). That gives the
 neighbours with a common prefix of `window` bytes in corpus order without ever holding the corpus, or its suffix array, in
-one place. Windows inside a phrase of more than `reach` bytes have no trigger and are compared by a 128-bit hash.
+one place.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ _RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long
 
 def parsing(window: int) -> Parsing:
     grain = min(16, max(1, window // 8))
-    return Parsing(window=window, grain=grain, density=max(2, min(64, window // 6)), reach=max(grain, window * 4 // 5), band=max(2, min(40, window // 10)))
+    return Parsing(window=window, grain=grain, reach=max(grain, window * 7 // 8), band=max(2, min(40, window // 10)))
 
 
 def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
