@@ -8,11 +8,12 @@ that splits words ends there too, so whole texts are first cut at these places w
 
 from __future__ import annotations
 
-import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from .common import slices, text_of
 #: The published word pattern of byte-level BPE, a fixed value.
 _WORDS = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_LIMIT = 400_000
+_BEFORE_WHITE = re.compile(r"\s |^ ")
+#: Pieces that a worker keeps.
+_LIMIT = 800_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -36,88 +39,63 @@ def byte_characters() -> dict[str, int]:
 
 
 class Bpe:
-    """Encoder and decoder of one byte-level vocabulary file."""
+    """Encoder and decoder of one byte-level vocabulary file. The library's merge loop sees one fragment at a time."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_characters()
+        self.characters = {b: c for c, b in back.items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
-        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: bytes(back[c] for c in t) for t, i in vocab.items() if t not in added} | {i: t.encode() for t, i in added.items()}
-        self.single = [vocab[c] for c, _ in sorted(back.items(), key=lambda x: x[1])]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.inside = np.zeros((256, 256), bool)
-        for t in vocab:
-            for a, b in zip(t, t[1:], strict=False):
-                if t not in added:
-                    self.inside[back[a], back[b]] = True
-        self.added = added
-        self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-        visible = [b for b in range(256) if not chr(b).isspace() or b >= 128]
-        self.cuts_before_space = not self.inside[visible, 32].any()
-        self.known: dict[str, bytes] = {}
-        self.fragments: dict[bytes, list[int]] = {}
-
-    def merged(self, fragment: bytes) -> list[int]:
-        """Ids of one fragment: always the merge of the lowest rank first, the leftmost among equals."""
-        ids = [self.single[b] for b in fragment]
-        merges = self.merges
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best = min(((r[0], i, r[1]) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := merges.get(p))), default=None)
-                if best is None:
-                    break
-                ids[best[1] : best[1] + 2] = [best[2]]
-            return ids
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        live: list[int | None] = list(ids)
-        heap = [(r[0], i, p, r[1]) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := merges.get(p))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair, new = heapq.heappop(heap)
-            j = after[i]
-            if j >= len(live) or (live[i], live[j]) != pair:
-                continue
-            live[i], live[j] = new, None
-            after[i] = after[j]
-            if after[j] < len(live):
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(live) and (r := merges.get((live[a], live[b]))):
-                    heapq.heappush(heap, (r[0], a, (live[a], live[b]), r[1]))
-        return [x for x in live if x is not None]
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        plain = [t for t in vocab if t not in self.added]
+        self.tokens = {vocab[t]: bytes(back[c] for c in t) for t in plain} | {i: t.encode() for t, i in self.added.items()}
+        self.inside = {t[i : i + 2] for t in plain for i in range(len(t) - 1)}  # byte pairs inside some token, as shown
+        self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        # certain unless some token holds a space behind a character other than white space
+        self.cuts_before_space = not any(re.search(r"\S ", self.tokens[vocab[t]].decode("utf-8", "ignore")) for t in plain)
+        self.merge = Tokenizer.from_file(path).model.tokenize
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one word of the pattern, cut at the byte pairs that no token holds."""
-        found = self.fragments.get(word)
-        if found is None:
-            raw = np.frombuffer(word, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]
-            found = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.merged(word[a:b])]
-            if len(self.fragments) >= _LIMIT:
-                self.fragments.clear()
-            if len(word) < 64:
-                self.fragments[word] = found
-        return found
-
-    def piece(self, piece: str) -> bytes:
+        shown = word.decode("latin-1").translate(self.characters)
+        inside = self.inside
+        cuts = [0, *[i for i in range(1, len(shown)) if shown[i - 1 : i + 1] not in inside], len(shown)]
+        return [t.id for a, b in zip(cuts, cuts[1:], strict=False) for t in self.merge(shown[a:b])]
+
+    def piece(self, piece: str, known: dict[str, bytes], key: str) -> bytes:
+        """Ids of a piece that no merge leaves, kept under `key` if it is short."""
         ids = np.array([i for w in _WORDS.findall(piece) for i in self.word(w.encode())], np.int32).tobytes()
-        if len(self.known) >= _LIMIT:
-            self.known.clear()
-        if len(piece) < 64:
-            self.known[piece] = ids
+        if len(key) < 40:
+            if len(known) >= _LIMIT:
+                for old in list(islice(known, _LIMIT // 2)):
+                    del known[old]
+            known[key] = ids
         return ids
 
+    def stretch(self, text: str) -> list[bytes]:
+        """Ids of a text without added tokens, a piece for each certain cut before a space."""
+        if not self.cuts_before_space:
+            return [self.piece(text, {}, text)]
+        if _BEFORE_WHITE.search(text):  # a space behind white space belongs to it
+            return [self.piece(x, self.first, x) if (ids := self.first.get(x)) is None else ids for x in _BEFORE_SPACE.split(text)]
+        head, *rest = text.split(" ")
+        known = self.spaced
+        get, piece = known.get, self.piece
+        return [self.first.get(head) or piece(head, self.first, head), *[get(x) or piece(" " + x, known, x) for x in rest]]
+
     def encode(self, text: str) -> np.ndarray:
-        out = []
+        out: list[bytes] = []
         for i, stretch in enumerate(self.specials.split(text) if self.specials else [text]):
             if i % 2:
                 out.append(np.int32(self.added[stretch]).tobytes())
             elif stretch:
-                known, piece = self.known.get, self.piece
-                out += [known(x) or piece(x) for x in (_BEFORE_SPACE.split(stretch) if self.cuts_before_space else [stretch])]
+                out += self.stretch(stretch)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
