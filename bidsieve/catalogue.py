@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = ("scalars", "listing", "lookups", "duplicates", "retrieval", "scoring", "people", "aggregates", "upkeep", "web", "streams")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"bidsieve.queries.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
