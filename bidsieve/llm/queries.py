@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from . import bpe, embedding_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(url_filter.captures_of(pages), url_filter.entries_of(pages))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -57,8 +62,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_sharding, op8_simhash, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_sharding, op8_simhash, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Hashes, tokenizers and fitted models have no SQL form; the tests hold those operators against brute force."""
+    return {"op3_url_filter": url_filter.SQL}

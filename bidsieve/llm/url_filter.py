@@ -9,11 +9,9 @@ a month, and Spark may split what is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
-
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -78,11 +76,6 @@ def entries_of(pages: DataFrame) -> DataFrame:
     return chosen.select("key", F.explode(dated).alias("e")).select("key", "e.*")
 
 
-def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages")
-    return judge(captures_of(pages), entries_of(pages))
-
-
 SQL = r"""
 WITH pages_ AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919993) % 31536000) AS fetched_at,
@@ -92,20 +85,20 @@ WITH pages_ AS (
 ), keys AS (
   SELECT DISTINCT key FROM (
     SELECT host AS key FROM pages_ WHERE host <> ''
-    UNION ALL SELECT CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(list_slice(string_split(host, '.'), 2, 99), '.') ELSE host END FROM pages_ WHERE host <> ''
+    UNION ALL SELECT CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(list_slice(string_split(host, '.'), 2, 99), '.') ELSE host END FROM pages_ WHERE host <> ''
     UNION ALL SELECT host || '/' || regexp_extract(path, '^/([^/]+)', 1) FROM pages_ WHERE host <> '' AND regexp_extract(path, '^/([^/]+)', 1) <> '')
 ), hashed AS (
   SELECT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS a, ('0x' || substr(md5(key), 7, 6))::BIGINT AS b, ('0x' || substr(md5(key), 13, 6))::BIGINT AS c,
          ('0x' || substr(md5(key), 19, 6))::BIGINT AS d, ('0x' || substr(md5(key), 25, 6))::BIGINT AS e FROM keys
 ), entries AS (
-  SELECT key, TRUE AS listed, TIMESTAMP '2024-01-01' + to_seconds(b % 10368000) AS at FROM hashed WHERE a % 3 = 0
+  SELECT key, TRUE AS listed, TIMESTAMP '2024-01-01' + to_seconds(b % 10368000) AS told FROM hashed WHERE a % 3 = 0
   UNION ALL SELECT key, e % 4 = 0, TIMESTAMP '2024-01-01' + to_seconds(120 * 86400 + c % 10368000) FROM hashed WHERE a % 3 = 0
   UNION ALL SELECT key, e % 2 = 0, TIMESTAMP '2024-01-01' + to_seconds(240 * 86400 + d % 10368000) FROM hashed WHERE a % 3 = 0
-), once AS (SELECT key, at, bool_or(listed) AS listed FROM entries GROUP BY key, at
+), once AS (SELECT key, told, bool_or(listed) AS listed FROM entries GROUP BY key, told
 ), turns AS (
-  SELECT * FROM (SELECT *, lag(listed) OVER (PARTITION BY key ORDER BY at) AS was FROM once) WHERE listed <> coalesce(was, FALSE)
+  SELECT * FROM (SELECT *, lag(listed) OVER (PARTITION BY key ORDER BY told) AS was FROM once) WHERE listed <> coalesce(was, FALSE)
 ), held AS (
-  SELECT key, at AS valid_from, valid_to FROM (SELECT *, lead(at) OVER (PARTITION BY key ORDER BY at) AS valid_to FROM turns) WHERE listed
+  SELECT key, told AS valid_from, valid_to FROM (SELECT *, lead(told) OVER (PARTITION BY key ORDER BY told) AS valid_to FROM turns) WHERE listed
 ), met AS (
   SELECT p.page_id, h.key, h.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY length(h.key) DESC, h.key, h.valid_from) AS r
   FROM pages_ p JOIN held h ON p.fetched_at >= h.valid_from AND (h.valid_to IS NULL OR p.fetched_at < h.valid_to)
