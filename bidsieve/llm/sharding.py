@@ -46,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: str = "shard-1") -> DataFrame
     sizes = slim.groupBy("stratum").agg(F.count("*").alias("of"))
     #: a range of the hash, with as many as the source's size asks for
     unit = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
-    ranged = slim.join(sizes, "stratum").withColumn("spot", F.least(F.floor(unit * F.ceil(F.col("of") / _RANGE)), F.ceil(F.col("of") / _RANGE) - 1).cast("long"))
+    # concat_ws hides the join's partitioning, so that a hot source is dealt anew by its ranges
+    ranged = slim.join(sizes, "stratum").withColumn("stratum", F.concat_ws("", "stratum")).withColumn("spot", F.least(F.floor(unit * F.ceil(F.col("of") / _RANGE)), F.ceil(F.col("of") / _RANGE) - 1).cast("long"))
     counts = ranged.groupBy("stratum", "spot").agg(F.count("*").alias("n"))
     ties = [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = _numbered(ranged, ["stratum"], counts, "spot", ties, "rank").drop("spot")
