@@ -97,7 +97,13 @@ def tokens(text: Column) -> Column:
 def char_grams(text: Column, n: int = 4) -> Column:
     """Runs of n characters of the folded text with _ for spaces; a shorter text whole; none for an empty one."""
     compact = F.replace(fold(text), F.lit(" "), F.lit("_"))
-    return F.when(compact == "", F.array().cast("array<string>")).when(F.length(compact) < n, F.array(compact)).otherwise(F.transform(F.sequence(F.lit(1), F.length(compact) - (n - 1)), lambda i: F.substring(compact, i, F.lit(n))))
+
+    def of(chars: Column) -> Column:
+        whole = F.when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(chars) < n, whole).otherwise(F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), "")))
+
+    # an array of one element binds the characters, which are then made once and not for every run
+    return F.transform(F.array(F.filter(F.split(compact, ""), lambda c: c != "")), of)[0]
 
 
 def words(text: Column) -> Column:

@@ -74,9 +74,9 @@ def near_dup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CASCADE} SELECT coalesce(a, b) AS canonical_id, count(*) AS hits, max(TIMESTAMP '2024-01-01' + to_days(row_id::INT % 365)) AS last_seen, (SELECT string_agg(source, ',' ORDER BY d, r) FROM (
-  SELECT source, min((row_id % 365)) AS d, arg_min(row_id, (row_id % 365, row_id)) AS r FROM v w WHERE coalesce(w.a, w.b) = coalesce(v.a, v.b) GROUP BY source)) AS sources
-FROM v WHERE coalesce(a, b) IS NOT NULL GROUP BY coalesce(v.a, v.b)""")
+WITH {CASCADE}, w AS (SELECT coalesce(a, b) AS c, row_id, source, row_id % 365 AS d FROM v WHERE coalesce(a, b) IS NOT NULL),
+f AS (SELECT c, source, min(d) AS d, arg_min(row_id, (d, row_id)) AS r FROM w GROUP BY 1, 2), o AS (SELECT c, string_agg(source, ',' ORDER BY d, r) AS sources FROM f GROUP BY 1)
+SELECT c AS canonical_id, count(*) AS hits, max(TIMESTAMP '2024-01-01' + to_days(d::INT)) AS last_seen, any_value(sources) AS sources FROM w JOIN o USING (c) GROUP BY 1""")
 def duplicate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashed(spark, sf_dir).withColumnRenamed("doc_id", "row_id").withColumn("seen", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(row_id % 365 as int))"))
     verdicts = D.cascade(rows.where("row_id % 2 = 1"), rows.where("row_id % 2 = 0"), [("raw_hash", "raw_sha256"), ("text_hash", "text_sha256")])

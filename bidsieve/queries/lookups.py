@@ -15,10 +15,11 @@ from .scalars import CANONICAL, fold_sql
 
 
 @query(f"""
-WITH c AS (SELECT page_id, {CANONICAL} AS u FROM pages), s AS (SELECT u, min(page_id) AS canonical_id FROM c WHERE page_id % 2 = 0 GROUP BY u)
+WITH c AS (SELECT page_id, regexp_replace({CANONICAL}, '/[0-9]+.*$', '') AS u FROM pages), s AS (SELECT u, min(page_id) AS canonical_id FROM c WHERE page_id % 2 = 0 GROUP BY u)
 SELECT page_id, canonical_id FROM c JOIN s USING (u) WHERE page_id % 2 = 1""")
 def match_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("u"))
+    # the tables' URLs are all different: without the page number some meet
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(U.canonical(F.col("url")), r"/[0-9]+.*$", "").alias("u"))
     return J.match_by_keys(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), ["u"], "page_id", "page_id").select("page_id", "canonical_id")
 
 
@@ -123,11 +124,11 @@ def profile_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.cached_profiles(sources, cached, "doc_id").select("doc_id", "hit")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer UNION ALL SELECT -c_custkey, 'NEW', NULL::DOUBLE FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 100")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer UNION ALL SELECT -c_custkey, 'NEW', NULL::DOUBLE FROM customer WHERE c_custkey % 3 = 0 AND c_custkey > 0 AND c_custkey < 100")
 def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     changed = stored.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
-    return J.upsert(stored, changed.unionByName(changed.where("c_custkey < 100").withColumn("c_custkey", -F.col("c_custkey"))), "c_custkey")
+    return J.upsert(stored, changed.unionByName(changed.where("c_custkey > 0 and c_custkey < 100").withColumn("c_custkey", -F.col("c_custkey"))), "c_custkey")
 
 
 @query("""
