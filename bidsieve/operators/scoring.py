@@ -18,7 +18,7 @@ def days_until(deadline: str, now: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def text_blob(*columns: str, full_text: str | None = None) -> Column:

@@ -51,10 +51,10 @@ def score_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", S.keyword_score(F.col("blob"), KEYWORDS, ["Apache"]).alias("s")).select("doc_id", F.round("s.value", 6).alias("value"), "s.veto")
 
 
-@query(f"WITH {NOTICES} SELECT notice_id, round({BUDGET}, 6) AS value FROM notices")
+@query(f"WITH {NOTICES} SELECT notice_id, round({BUDGET}, 11) AS value FROM notices")
 def score_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notices(spark, sf_dir)
-    return rows.select("notice_id", F.round(S.CRITERIA["budget"](rows, S.Profile(), now()), 6).alias("value"))
+    return rows.select("notice_id", F.round(S.CRITERIA["budget"](rows, S.Profile(), now()), 11).alias("value"))
 
 
 @query(f"WITH {NOTICES} SELECT notice_id, {LOCATION} AS value FROM notices")
@@ -91,9 +91,9 @@ def score_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("notice_id", S.CRITERIA["procurement_type"](rows, S.Profile(), now()).alias("value"))
 
 
-@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, round(score, 4) AS score FROM scored")
+@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, score FROM scored")
 def combine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("notice_id", F.round("score", 4).alias("score"))
+    return scored(spark, sf_dir).select("notice_id", F.col("score"))
 
 
 @query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, CASE WHEN notice_id % 17 = 0 THEN 'out_of_scope' ELSE band END AS band FROM scored")
@@ -126,34 +126,34 @@ def criterion_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {NOTICES}, {SCORED}, h AS (SELECT notice_id, '2026.3' AS version, round(score, 4) AS score, 1 AS run FROM scored UNION ALL SELECT notice_id, '2026.4', round(v_deadline, 4), 2 FROM scored WHERE notice_id % 2 = 0)
+WITH {NOTICES}, {SCORED}, h AS (SELECT notice_id, '2026.3' AS version, score, 1 AS run FROM scored UNION ALL SELECT notice_id, '2026.4', round(v_deadline, 6), 2 FROM scored WHERE notice_id % 2 = 0)
 SELECT notice_id, arg_max(version, run) AS version, arg_max(score, run) AS score, count(*) AS runs FROM h GROUP BY 1""")
 def score_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scoring runs in one history; the newest is current."""
     second = S.Profile(version="2026.4", weights={"deadline_proximity": 1.0})
     runs = scored(spark, sf_dir).withColumn("run", F.lit(1)).unionByName(scored(spark, sf_dir, second).where("notice_id % 2 = 0").withColumn("run", F.lit(2)))
     current = F.max_by(F.struct("profile_version", "score"), "run").alias("c")
-    return runs.groupBy("notice_id").agg(current, F.count("*").alias("runs")).select("notice_id", F.col("c.profile_version").alias("version"), F.round("c.score", 4).alias("score"), "runs")
+    return runs.groupBy("notice_id").agg(current, F.count("*").alias("runs")).select("notice_id", F.col("c.profile_version").alias("version"), F.col("c.score").alias("score"), "runs")
 
 
-@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, round(v_deadline, 4) AS score FROM scored WHERE band = 'relevant' ORDER BY publication DESC, notice_id DESC LIMIT 200")
+@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, round(v_deadline, 6) AS score FROM scored WHERE band = 'relevant' ORDER BY publication DESC, notice_id DESC LIMIT 200")
 def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest notices of a band, scored again by changed weights."""
     newest = scored(spark, sf_dir).where("band = 'relevant'").orderBy(F.desc("publication"), F.desc("notice_id")).limit(200)
     again = S.score_notices(newest.drop("score", "band", "breakdown", "profile_version"), S.Profile(weights={"deadline_proximity": 2.0}), now())
-    return again.select("notice_id", F.round("score", 4).alias("score"))
+    return again.select("notice_id", F.col("score"))
 
 
-@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, round(score, 4) AS score FROM scored WHERE score >= 0.2 AND notice_id % 3 <> 0 AND zone <> 'AFRICA' ORDER BY scored.score DESC NULLS LAST, notice_id LIMIT 300")
+@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, score FROM scored WHERE score >= 0.2 AND notice_id % 3 <> 0 AND zone <> 'AFRICA' ORDER BY scored.score DESC NULLS LAST, notice_id LIMIT 300")
 def enrichment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices worth fetching in full: scored, not enriched yet, from a source with details; best first."""
     rows = scored(spark, sf_dir).withColumn("enriched", F.col("notice_id") % 3 == 0).withColumn("details", F.col("zone") != "AFRICA")
     chosen = rows.where((F.col("score") >= 0.2) & ~F.col("enriched") & F.col("notice_id").isNotNull() & F.col("details"))
-    return chosen.orderBy(F.desc_nulls_last("score"), "notice_id").limit(300).select("notice_id", F.round("score", 4).alias("score"))
+    return chosen.orderBy(F.desc_nulls_last("score"), "notice_id").limit(300).select("notice_id", F.col("score"))
 
 
-@query(f"WITH {NOTICES} SELECT notice_id, round((({DEADLINE}) * 0.22::DOUBLE + least(1.0, length(title) / 40.0::DOUBLE) * 0.5::DOUBLE) / (0.22::DOUBLE + 0.5::DOUBLE), 4) AS score FROM notices")
+@query(f"WITH {NOTICES} SELECT notice_id, round((({DEADLINE}) * 0.22::DOUBLE + least(1.0, length(title) / 40.0::DOUBLE) * 0.5::DOUBLE) / (0.22::DOUBLE + 0.5::DOUBLE), 6) AS score FROM notices")
 def register_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A criterion of one's own joins by name; weights of unknown names are skipped."""
     S.criterion("title_length")(lambda rows, profile, clock: F.least(F.lit(1.0), F.length("title") / F.lit(40.0)))
-    return scored(spark, sf_dir, S.Profile(weights={"deadline_proximity": 0.22, "title_length": 0.5, "no_such_criterion": 3.0})).select("notice_id", F.round("score", 4).alias("score"))
+    return scored(spark, sf_dir, S.Profile(weights={"deadline_proximity": 0.22, "title_length": 0.5, "no_such_criterion": 3.0})).select("notice_id", F.col("score"))
