@@ -9,20 +9,24 @@ a monotone queue, so the work is linear in the number of cuts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import parts, slices, text_of
 
 _PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
-_LIMIT = 400_000
+_LIMIT = 700_000
 
 
 class Words:
@@ -34,20 +38,40 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.characters = {b: c for c, b in byte_characters().items()}
+        #: lower-case letters of Latin-1 alone: one word of the pattern, left as it is by the normaliser
+        self.one_word = re.compile("[a-zß-öø-ÿ]+").fullmatch
         self.stops = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if t.removesuffix("</w>").strip(".!?") == "" and t.removesuffix("</w>")), np.int32)
 
+    def learn(self, fresh: list[str]) -> None:
+        """Ids of stretches not met before. ASCII letters are lowered by the vocabulary anyway, and a run of marks behind a
+        letter or digit is a word of its own, so only the plain stems go to the library."""
+        known, parts = self.known, []
+        for x in fresh:
+            low = x.lower() if x.isascii() else x
+            stem = low.rstrip(".,;:!?")
+            parts.append((x, stem, low[len(stem) :]) if stem and len(stem) < len(low) and stem[-1].isalnum() else (x, low, ""))
+        asked = list({p for _, stem, tail in parts for p in (stem, tail) if p not in known})
+        one, merge, shown = self.one_word, self.tokenizer.model.tokenize, self.characters
+        for x in [x for x in asked if one(x)]:
+            known[x] = array("i", [t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(shown))]).tobytes()
+        asked = [x for x in asked if x not in known]
+        for i in range(0, len(asked), 10_000):
+            some = asked[i : i + 10_000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[x] = array("i", e.ids).tobytes()
+        for x, stem, tail in parts:
+            known[x] = known[stem] + known[tail]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
+        distinct = set().union(*cut)
         known = self.known
-        fresh = list({x for words in cut for x in words if x not in known})
-        if len(known) + len(fresh) > _LIMIT:
-            known.clear()
+        if len(known) > _LIMIT:  # the newer half stays
+            for old in list(islice(known, _LIMIT // 2)):
+                del known[old]
             known[""] = b""
-            fresh = list({x for words in cut for x in words} - {""})
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, np.int32).tobytes()
+        self.learn([x for x in distinct if x not in known])
         return [np.frombuffer(b"".join([known[x] for x in words]), np.int32) for words in cut]
 
 
@@ -82,17 +106,19 @@ def best_cuts(at: list[int], penalty: list[int], limit: int) -> list[int]:
 
 def candidates(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, sentence: int, hard: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
     """Places to cut and their penalties: 0 and the ends of documents, sentence ends, and steps of `stretch` in long gaps."""
-    after = np.flatnonzero(np.isin(ids, stops)) + 1
-    at = np.unique(np.concatenate(([0], ends, after)))
-    gap = np.diff(at)
-    wide = np.flatnonzero(gap > stretch)
-    between = [np.arange(at[i] + stretch, at[i + 1], stretch) for i in wide]
-    full = np.unique(np.concatenate([at, *between]))
-    penalty = np.full(len(full), hard)
-    penalty[np.isin(full, after)] = sentence
-    penalty[np.isin(full, ends)] = 0
-    penalty[0] = 0
-    return full, penalty
+    kind = np.zeros(len(ids) + 1, np.int8)
+    stop = np.zeros(max(int(ids.max(initial=0)), int(stops.max(initial=0))) + 1, bool)
+    stop[stops] = True
+    kind[1:][stop[ids]] = 1
+    kind[0] = 2
+    kind[ends] = 2
+    at = np.flatnonzero(kind)
+    wide = np.flatnonzero(np.diff(at) > stretch)
+    if len(wide):
+        between = np.concatenate([np.arange(at[i] + stretch, at[i + 1], stretch) for i in wide])
+        kind[between] = 3
+        at = np.flatnonzero(kind)
+    return at, np.array([0, sentence, 0, hard])[kind[at]]
 
 
 def _packed(path: str, limit: int, end_id: int, sentence: int, hard: int, block: int):
