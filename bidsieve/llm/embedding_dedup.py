@@ -46,12 +46,31 @@ def _listed(pivots: np.ndarray, nearest: int):
             found = np.sort(order, axis=1).astype(np.int64)
             signature = [r.tobytes() for r in found.astype(np.int32)]
             blob = [r.tobytes() for r in x]
-            for i, j in combinations(range(nearest), 2) if nearest > 1 else [(0, 0)]:
+            # where all pivots are near, all vectors meet in the list of the first two
+            for i, j in combinations(range(nearest), 2) if nearest < count else [(0, min(1, nearest - 1))]:
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i] * count + found[:, j]), batch.column("rep"), batch.column("n"), pa.array(signature, pa.binary()), pa.array(blob, pa.binary())], ["pair", "rep", "n", "pivots", "vector"])
 
     return run
 
 
+def _counted(p: np.ndarray, q: np.ndarray, count: int) -> np.ndarray:
+    """The list that counts each pair: of its two smallest shared pivots (of the only one, where there is one)."""
+    shared = np.sort(np.where((p[:, :, None] == q[:, None, :]).any(2), p, count), axis=1)
+    return shared[:, 0] * count + shared[:, min(1, shared.shape[1] - 1)]
+
+
+def _here(s: np.ndarray, left: np.ndarray, right: np.ndarray, count: int, pair: int) -> np.ndarray:
+    """Which pairs this list counts; where vectors are many and pivot sets few, found once for each pair of sets."""
+    if len(left) > 65536:
+        sets, of = np.unique(s, axis=0, return_inverse=True)
+        of, u = of.ravel(), len(sets)
+        if u * u < len(left):
+            a, b = (x.ravel() for x in np.indices((u, u)))
+            known = np.concatenate([_counted(sets[a[i : i + 65536]], sets[b[i : i + 65536]], count) == pair for i in range(0, u * u, 65536)])
+            return known[of[left] * u + of[right]]
+    return np.concatenate([_counted(s[left[i : i + 65536]], s[right[i : i + 65536]], count) == pair for i in range(0, len(left), 65536)] or [np.zeros(0, bool)])
+
+
 def _verified(count: int, nearest: int, least: float, kind: type):
     nearest = min(nearest, count)
 
@@ -69,17 +88,12 @@ def _verified(count: int, nearest: int, least: float, kind: type):
                 for i in range(0, len(v), 512):
                     a, b = np.nonzero(v[i : i + 512] @ v.T >= least)
                     ahead = a + i < b
-                    left.append(a[ahead] + i)
-                    right.append(b[ahead])
+                    left.append((a[ahead] + i).astype(np.int32))
+                    right.append(b[ahead].astype(np.int32))
                 left, right = np.concatenate(left), np.concatenate(right)
                 ok = (mine[left] != mine[right]) | (b1[start] == b2[start])
                 left, right = left[ok], right[ok]
-                good = []
-                for i in range(0, len(left), 65536):
-                    p, q = s[left[i : i + 65536]], s[right[i : i + 65536]]
-                    shared = np.sort(np.where((p[:, :, None] == q[:, None, :]).any(2), p, count), axis=1)
-                    good.append(shared[:, 0] * count + shared[:, min(1, nearest - 1)] == pair[start])
-                good = np.concatenate(good) if good else np.zeros(0, bool)
+                good = _here(s, left, right, count, pair[start])
                 left, right = left[good], right[good]
                 if not len(left):
                     continue
@@ -98,6 +112,35 @@ def pivot_count(vectors: int, pivots: int = 128, per: int = 65_536) -> int:
     return pivots * max(1, math.ceil(math.sqrt(vectors / per)))
 
 
+def apart(x: np.ndarray, count: int, least: float) -> np.ndarray:
+    """The first `count` unit vectors that lie more than twice the angle of a link from each other.
+
+    Vectors around a common centre, each within a link of it, thus give one pivot, whatever their share of the rows.
+    """
+    most = 2 * least * least - 1 if least > 0 else -1.0
+    kept = np.empty((min(count, len(x)), x.shape[1]))
+    n = 0
+    for v in x:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ v).max() < most:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
+def _pivots(reps: DataFrame, count: int, least: float, draws: int = 32) -> np.ndarray:
+    """Up to `count` pivots from the first vectors in the order of their id's hash; more are drawn while too few lie apart."""
+    draw = 2 * count
+    while True:
+        drawn = reps.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(draw).toArrow()
+        column = drawn.column("vector").combine_chunks()
+        points = apart(_unit(_matrix(column, len(column.flatten()) // len(column))), count, least)
+        if len(points) == count or len(column) < draw or draw >= draws * count:
+            return points
+        draw *= 4
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128, nearest: int = 6, block: int = 2048) -> DataFrame:
     """Links between vectors of cosine `least` and above, and the components that they form.
 
@@ -108,7 +151,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128,
     often as they occur, rows of one vec_id included. An empty table gives an empty result.
 
     The index is fitted on `pivots` vectors (more beyond 65,536 different vectors, with the root of their number), chosen by
-    the hash of their id, and holds all vectors. Lists over `block` vectors are cut into blocks that meet pairwise, so no
+    the hash of their id among those that lie apart (`apart`), and holds all vectors. Where fewer lie apart there are fewer
+    pivots and longer lists, up to all pairs of the table, but no fewer links. Lists over `block` vectors are cut into blocks that meet pairwise, so no
     task holds more than two blocks. Retrieval is approximate: links whose vectors share fewer than two of `nearest` pivots
     are missed; the tests hold recall to 0.9 at least, and measured values are in the README.
     """
@@ -122,8 +166,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128,
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     keyed = marked.select("vec_id", F.when(F.size("vector") == common.dim, F.col("vector")).alias("vector")).select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector")).alias("h2"))
     reps = durable(keyed.where("vector is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector")))
-    chosen = reps.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(pivot_count(reps.count(), pivots)).collect()
-    points = _unit(np.array([r.vector for r in chosen]))
+    points = _pivots(reps, pivot_count(reps.count(), pivots), least)
     lists = reps.select("rep", "n", "vector").mapInArrow(_listed(points, nearest), _KEYED)
     long_lists = lists.groupBy("pair").count().select("pair", F.ceil(F.col("count") / block).cast("int").alias("blocks")).where("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1))

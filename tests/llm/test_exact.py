@@ -157,3 +157,26 @@ def test_blocks_of_a_long_list_meet(spark):
     got = embedding_dedup.near_duplicates(table, block=7).collect()
     assert all(r.n_links == 59 and r.component_id == 0 for r in got)
 
+
+
+@pytest.mark.parametrize(("pivots", "noise"), [(128, 0.2), (128, 0.25), (640, 0.2)])  # 640: what 1.6 million vectors get
+def test_a_large_group_of_near_copies_keeps_its_links(spark, pivots, noise):
+    random = np.random.default_rng(1)
+    centre = random.normal(size=64)
+    group = centre / np.linalg.norm(centre) + random.normal(size=(1000, 64)) * noise / 8
+    x = random.permutation(np.concatenate((random.normal(size=(2000, 64)), group)))
+    given = list(enumerate(x.tolist()))
+    table = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, pivots=pivots, block=300).collect()}
+    want = embedding_dedup.brute_force(given)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(r[1] for r in want) > 0
+    assert all(got[v].n_links <= n and (got[v].component_id == c or noise > 0.2) for v, n, c, _ in want)
+
+
+def test_pivots_of_a_near_copy_group_are_one():
+    random = np.random.default_rng(2)
+    x = np.concatenate((np.ones((1, 64)) + random.normal(size=(500, 64)) * 0.2, random.normal(size=(200, 64))))
+    x = random.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    points = embedding_dedup.apart(x, 700, 0.95)
+    assert 100 < len(points) < 700 and (points @ np.ones(64) / 8 > 0.9).sum() == 1
+    assert np.triu(points @ points.T, 1).max() < 2 * 0.95**2 - 1
