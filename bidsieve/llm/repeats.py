@@ -9,6 +9,9 @@ Shared by the suffix-array and the substring operators. Every window of fixed le
 3. *Rank* - the classes' windows are compared in bands whose common core is the shuffle key, so that only windows that
    agree in all but a few symbols meet. Inside, the stretch before the end (dictionary suffix) and the stretch behind it
    (parse suffix) get lexicographic ranks, refined symbol by symbol; a window is the pair of both ranks.
+4. *Crowds* - a passage that many documents share between different surroundings gives each of them a class of its own at
+   the passage's edges. Such ends are not ranked: their windows are counted one by one by 128 bits of hash, which is
+   combined before the shuffle, so that no task holds a crowd. Equal windows have equal surroundings, hence one path.
 
 Rows of 40 bytes per phrase, never whole texts or pairs, are shuffled; keys are spread by content, so no group of copies,
 source or passage lands in one task. Equality is by 128 bits of hash for the core and exact for the rest.
@@ -27,6 +30,7 @@ from .common import bytes_of, durable, parts, slices, whole_groups
 from .rolling import Hashes, Parsing, byte_values, classes_within, mix, phrase_ends, word_values
 
 _ANCHORS = "k long, c long, rid long, ord long, low int"
+_WINDOWS = "w1 long, w2 long, rid long, ord long, start int"
 _BANDED = "h1 long, h2 long, rid long, ord long, top int, near int, far int, around binary"
 
 
@@ -61,6 +65,34 @@ def _anchors(p: Parsing, words: bool):
     return run
 
 
+def _listed_ends(batch: pa.RecordBatch, name: str, docs: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The phrase ends whose first windows a list column names."""
+    lists = batch.column(name)
+    wanted = docs[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))] + lists.flatten().to_numpy()
+    mine = np.isin(found[2], wanted)
+    return tuple(x[mine] for x in found)
+
+
+def _windows(p: Parsing, words: bool):
+    """A row for each window of the phrase ends in crowds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, "text")):
+            values, docs = _symbols(batch, words)
+            hashes, others = Hashes(values), Hashes(mix(values + np.uint64(0x9E3779B97F4A7C15)))
+            _, doc, low, high = _listed_ends(batch, "crowded", docs, phrase_ends(hashes, docs, p))
+            each = high - low + 1
+            for i in range(0, len(low), 8192):
+                n = each[i : i + 8192]
+                start = np.repeat(low[i : i + 8192] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                of = np.repeat(doc[i : i + 8192], n)
+                rid, order_by = (batch.column(x).to_numpy()[of] for x in ("rid", "ord"))
+                columns = [*(_signed(h.of(start, start + p.window, 3000)) for h in (hashes, others)), rid, order_by, (start - docs[of]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "rid", "ord", "start"])
+
+    return run
+
+
 def _banded(p: Parsing, words: bool):
     """The marked phrase ends of each document, once for each band that has windows."""
 
@@ -70,11 +102,7 @@ def _banded(p: Parsing, words: bool):
             values, docs = _symbols(batch, words)
             content = values if words else bytes_of(batch.column("text"))[0]
             hashes = Hashes(values)
-            ends, doc, low, high = phrase_ends(hashes, docs, p)
-            lists = batch.column("ship")
-            wanted = docs[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))] + lists.flatten().to_numpy()
-            mine = np.isin(low, wanted)
-            ends, doc, low, high = ends[mine], doc[mine], low[mine], high[mine]
+            ends, doc, low, high = _listed_ends(batch, "ship", docs, phrase_ends(hashes, docs, p))
             padded = np.concatenate((np.zeros(p.reach, content.dtype), content, np.zeros(p.window, content.dtype)))
             rid, order_by = batch.column("rid").to_numpy(), batch.column("ord").to_numpy()
             for least in p.bands:
@@ -85,6 +113,7 @@ def _banded(p: Parsing, words: bool):
                     continue
                 e, inner = ends[use], p.window - least - width
                 h1, h2 = (_signed(hashes.of(e - least, e + inner, salt + least)) for salt in (1000, 2000))
+                h1 = h1 ^ _keys(hashes, e, low[use], high[use], p)[0]  # the last core does not hold all of the surroundings
                 before = padded[(e - least - width + p.reach)[:, None] + np.arange(width)]
                 behind = padded[(e + inner + p.reach)[:, None] + np.arange(width)]
                 around = np.ascontiguousarray(np.concatenate((before, behind), axis=1))
@@ -144,24 +173,37 @@ def _matched(p: Parsing, words: bool, earlier: bool):
     return run
 
 
-def marks(docs: DataFrame, p: Parsing, words: bool, earlier: bool) -> DataFrame:
+def _met_in_crowds(docs: DataFrame, lists: DataFrame, p: Parsing, words: bool, earlier: bool) -> DataFrame:
+    """Windows of phrase ends in crowds that start elsewhere too (in an earlier document): rid, start."""
+    windows = durable(docs.join(lists.where(F.size("crowded") > 0).select("rid", "crowded"), "rid").select("rid", "ord", "text", "crowded").mapInArrow(_windows(p, words), _WINDOWS))
+    told = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.max("ord").alias("most"))
+    # v1 ^ 0 hides the partitioning here too, so that a window with many rows may be split
+    told = told.where("least < most" if earlier else "n > 1").select(F.expr("w1 ^ 0").alias("v1"), F.col("w2").alias("v2"), "least")
+    met = windows.join(told, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")))
+    return (met.where("ord > least") if earlier else met).select("rid", "start")
+
+
+def marks(docs: DataFrame, p: Parsing, words: bool, earlier: bool, crowd: int = 16_384) -> DataFrame:
     """Per `rid`: `full` (phrase ends, by their first window, or lone windows as -1 - start) and `starts` (single windows).
 
     docs: rid long (row id), ord long (the order in which a document is earlier), text string without nulls.
+    No task ranks more than `crowd` phrase ends of one core; larger crowds are counted window by window.
     """
     anchors = docs.mapInArrow(_anchors(p, words), _ANCHORS)
     shared = anchors.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     # k ^ 0 hides the join's partitioning: what follows is combined before it is shuffled, and a hot key may be split
     near = durable(anchors.join(shared, "k", "left_semi")).select(F.expr("k ^ 0").alias("k"), "c", "rid", "ord", "low")
     classes = durable(near.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid", "low")).alias("rep"))).withColumn("k", F.expr("k ^ 0"))
-    many = classes.groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1").select("k", F.lit(True).alias("many"))
-    ranked = classes.join(many, "k", "left").select(F.col("k").alias("ck"), F.col("c").alias("cc"), "n", "rep", F.coalesce("many", F.lit(False)).alias("many")).where("n > 1 or many")
+    many = classes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).where("classes > 1").select("k", F.lit(True).alias("many"), (F.col("rows") > crowd).alias("crowded"))
+    ranked = classes.join(many, "k", "left").select(F.col("k").alias("ck"), F.col("c").alias("cc"), "n", "rep", F.coalesce("many", F.lit(False)).alias("many"), F.coalesce("crowded", F.lit(False)).alias("crowded")).where("n > 1 or many")
     full = F.col("ord") > F.col("rep.ord") if earlier else F.col("n") > 1
     first = F.col("ord") == F.col("rep.ord") if earlier else (F.col("rid") == F.col("rep.rid")) & (F.col("low") == F.col("rep.low"))
-    marked = near.join(ranked, (F.col("k") == F.col("ck")) & (F.col("c") == F.col("cc"))).select("rid", "low", full.alias("full"), (first & F.col("many")).alias("ship")).where("full or ship")
-    lists = durable(marked.groupBy("rid").agg(F.collect_list(F.when(F.col("full"), F.col("low"))).alias("full"), F.collect_list(F.when(F.col("ship"), F.col("low"))).alias("ship")))
+    marked = near.join(ranked, (F.col("k") == F.col("ck")) & (F.col("c") == F.col("cc"))).select("rid", "low", full.alias("full"), (first & F.col("many")).alias("ship"), "crowded").where("full or ship")
+    lists = durable(marked.groupBy("rid").agg(F.collect_list(F.when(F.col("full"), F.col("low"))).alias("full"), F.collect_list(F.when(F.col("ship") & ~F.col("crowded"), F.col("low"))).alias("ship"), F.collect_list(F.when(F.col("ship") & F.col("crowded"), F.col("low"))).alias("crowded")))
     banded = docs.join(lists.where(F.size("ship") > 0).select("rid", "ship"), "rid").select("rid", "ord", "text", "ship").mapInArrow(_banded(p, words), _BANDED)
     met = banded.repartition(parts(docs), "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_matched(p, words, earlier), "rid long, start int")
+    if not lists.where(F.size("crowded") > 0).isEmpty():
+        met = met.unionByName(_met_in_crowds(docs, lists, p, words, earlier))
     starts = met.groupBy("rid").agg(F.collect_list("start").alias("starts"))
     return lists.select("rid", "full").join(starts, "rid", "full_outer")
 

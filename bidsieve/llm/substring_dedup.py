@@ -46,7 +46,7 @@ def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(docs)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kind), batch.column("carried")], ["doc_id", "n_words", "text", "spans", "carried"])
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (), crowd: int = 16_384) -> DataFrame:
     """Remove every word inside a window of `window` words that also starts in a document with a smaller doc_id.
 
     docs: doc_id long, text string; other columns are ignored, whatever their names, but for those in `carry`, which come
@@ -58,7 +58,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, carry: tuple[str, .
     p = parsing(window)
     text, doc_id = text_of(docs), docs["doc_id"].cast("long")
     base = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("rid"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("ord"), F.struct(*(docs[c] for c in carry)).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"))
-    found = marks(base, p, words=True, earlier=True)
+    found = marks(base, p, words=True, earlier=True, crowd=crowd)
     result = f"doc_id long, n_words long, text string, spans array<struct<start:long,end:long>>, carried {base.schema['carried'].dataType.simpleString()}"
     return with_marks(base, found).select("doc_id", "text", "carried", "full", "starts").mapInArrow(covered(p, True, True, _emit), result)
 

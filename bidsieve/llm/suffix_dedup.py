@@ -40,7 +40,7 @@ def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(docs)), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"])
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, crowd: int = 16_384) -> DataFrame:
     """Remove every byte that a `window`-byte string covers which also starts anywhere else in the corpus.
 
     docs: doc_id long, text string; other columns are ignored, whatever their names. Returns one row per input row:
@@ -52,7 +52,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400) -> DataFrame:
     p = parsing(window)
     text = text_of(docs)
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("rid"), F.lit(0).cast("long").alias("ord"))
-    found = marks(base, p, words=False, earlier=False)
+    found = marks(base, p, words=False, earlier=False, crowd=crowd)
     return with_marks(base, found).select("doc_id", "text", "full", "starts").mapInArrow(covered(p, False, False, _emit), _RESULT)
 
 

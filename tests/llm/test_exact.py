@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidsieve.llm import bpe, embedding_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup
+from bidsieve.llm import bpe, embedding_dedup, packing, repeats, sharding, simhash, substring_dedup, suffix_dedup
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -180,3 +180,37 @@ def test_pivots_of_a_near_copy_group_are_one():
     points = embedding_dedup.apart(x, 700, 0.95)
     assert 100 < len(points) < 700 and (points @ np.ones(64) / 8 > 0.9).sum() == 1
     assert np.triu(points @ points.T, 1).max() < 2 * 0.95**2 - 1
+
+
+@pytest.mark.parametrize("crowd", [0, 5, 16_384])
+def test_crowds_are_counted_window_by_window(spark, docs, odd, crowd):
+    random.seed(3)
+    passage = " ".join(f"p{random.randrange(10**6)}" for _ in range(90))
+    made = [(10**6 + i, " ".join([*(f"w{random.randrange(10**6)}" for _ in range(60)), passage, *(f"w{random.randrange(10**6)}" for _ in range(60))])) for i in range(40)]
+    made += [(None, made[0][1]), (None, made[1][1] + " end"), made[2]]
+    table = spark.createDataFrame(made, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).unionByName(docs.select("doc_id", "text").limit(100))
+    given = texts(table)
+    for window in (400, 40):
+        assert rows(suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(table, window, crowd=crowd))) == sorted(suffix_dedup.brute_force(given, window), key=repr)
+    for window in (50, 10):
+        assert rows(substring_dedup.digest(substring_dedup.remove_repeated_words(table, window, crowd=crowd))) == sorted(substring_dedup.brute_force(given, window), key=repr)
+
+
+def test_no_task_ranks_a_crowd(spark, monkeypatch):
+    random.seed(4)
+    passage = " ".join(f"p{random.randrange(10**6)}" for _ in range(120))
+    made = [(i, " ".join([*(f"w{random.randrange(10**6)}" for _ in range(70)), passage, *(f"w{random.randrange(10**6)}" for _ in range(70))])) for i in range(300)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    held = spark.sparkContext.accumulator(0)
+
+    def most(batches):
+        for table in repeats.whole_groups(batches, ["h1", "h2"]):
+            held.add(int(sum(n - 50 for n in table.group_by(["h1", "h2"]).aggregate([([], "count_all")]).column("count_all").to_pylist() if n > 50)))
+        yield from ()
+
+    monkeypatch.setattr(repeats, "_matched", lambda p, words, earlier: most)
+    suffix_dedup.remove_repeated_bytes(table, crowd=50).collect()
+    substring_dedup.remove_repeated_words(table, crowd=50).collect()
+    assert held.value == 0
+    suffix_dedup.remove_repeated_bytes(table).collect()  # under the bound it is ranked
+    assert held.value > 0
