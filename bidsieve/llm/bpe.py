@@ -85,7 +85,7 @@ class Bpe:
         _shed(known)
         for x in set(found).difference(known):
             known[x] = array("i", [t.id for t in merge(x)]).tobytes()
-        ends = np.searchsorted(bounds, offsets[np.cumsum([len(ws) for ws in words])]).tolist()
+        ends = np.searchsorted(bounds, offsets[np.cumsum([len(ws) for ws in words], dtype=np.int64)]).tolist()
         return [known[found[a]] if b - a == 1 else b"".join([known[x] for x in found[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def pieces(self, text: str) -> tuple[list[str], list[str]]:
