@@ -8,8 +8,10 @@ a monotone queue, so the work is linear in the number of cuts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import deque
@@ -27,15 +29,28 @@ from .common import parts, slices, text_of
 
 _PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 _LIMIT = 700_000
+#: Fixed values of the published word-end vocabulary, on which the cuts of `Words` rest.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and digits that normalisation leaves one letter or digit, so that a mark behind them is a word of its own.
+_ENDS_A_WORD = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and c.lower().isalnum())
 
 
 class Words:
-    """Ids of texts by a word-end vocabulary that drops white space, each different stretch between spaces encoded once."""
+    """Ids of texts by a word-end vocabulary that drops white space, each different stretch between spaces encoded once.
+
+    Texts of a vocabulary with another normaliser or word pattern go whole to the library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        norm, pre = (spec.get(x) or {} for x in ("normalizer", "pre_tokenizer"))
+        split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), {})
+        self.cuts = [x["type"] for x in norm.get("normalizers", [])] == _NORMALIZERS and split.get("pattern") == {"Regex": _WORDS} and spec["model"].get("end_of_word_suffix") == "</w>"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.characters = {b: c for c, b in byte_characters().items()}
@@ -50,7 +65,7 @@ class Words:
         for x in fresh:
             low = x.lower() if x.isascii() else x
             stem = low.rstrip(".,;:!?")
-            parts.append((x, stem, low[len(stem) :]) if stem and len(stem) < len(low) and stem[-1].isalnum() else (x, low, ""))
+            parts.append((x, stem, low[len(stem) :]) if stem and len(stem) < len(low) and stem[-1] in _ENDS_A_WORD else (x, low, ""))
         asked = list({p for _, stem, tail in parts for p in (stem, tail) if p not in known})
         one, merge, shown = self.one_word, self.tokenizer.model.tokenize, self.characters
         for x in [x for x in asked if one(x)]:
@@ -64,6 +79,8 @@ class Words:
             known[x] = known[stem] + known[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         distinct = set().union(*cut)
         known = self.known

@@ -80,6 +80,20 @@ def test_bpe_texts(text):
     assert packing.load(WORD).encode([text])[0].tolist() == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
 
 
+#: What normalisers and word patterns treat in their own ways: letters that fold to two, marks that join, digits, apostrophes, blanks of all kinds.
+PARTS = ["a", "B", "ß", "É", "e\u0301", "\u0301", "İ", "i\u0307", "ǆ", "ŉ", "\u0958", "\ufb01", "ς", "日", "١", "²", "½", "🎉", "'s", "'T", "'re", "'", ".", ",", "!?", "...", ";", "-", "_", "$", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "<|endoftext|>", "<|startoftext|>", "the", "ing", "7", "42"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_tokenizers_on_random_texts(path):
+    chance = random.Random(11)
+    given = ["".join(chance.choice(PARTS) for _ in range(chance.randint(0, 12))) for _ in range(20_000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(given, add_special_tokens=False)]
+    if path == BYTE:
+        assert [np.frombuffer(x, np.int32).tolist() for x in bpe.load(path).encode_all(given)] == want
+    assert [x.tolist() for x in packing.load(path).encode(given)] == want
+
+
 def test_packing(docs, odd, nothing):
     library = Tokenizer.from_file(WORD)
     for df, limit in ((docs, 2048), (odd, 64)):
