@@ -20,8 +20,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """entries: key string, listed boolean, at timestamp. Returns key, valid_from, valid_to (null: still in force).
 
     Of several entries of a key at one time the listing wins; entries that change nothing are merged; null parts are ignored.
+    The host of a key has no case; its path has, as in URLs.
     """
-    known = entries.where("key is not null and listed is not null and at is not null").groupBy(F.lower("key").alias("key"), "at").agg(F.max("listed").alias("listed"))
+    host = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))
+    known = entries.where("key is not null and listed is not null and at is not null").groupBy(key.alias("key"), "at").agg(F.max("listed").alias("listed"))
     by_key = Window.partitionBy("key").orderBy("at")
     turns = known.withColumn("was", F.lag("listed").over(by_key)).where("listed <> coalesce(was, false)")
     return turns.withColumn("valid_to", F.lead("at").over(by_key)).where("listed").select("key", F.col("at").alias("valid_from"), "valid_to")

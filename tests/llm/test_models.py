@@ -84,6 +84,9 @@ def test_url_filter_cases(spark):
     captures = spark.createDataFrame([(1, "http://www.A.org/p", "2024-01-09"), (1, "http://www.A.org/p", "2024-01-10"), (2, "https://b.org/x/y", "2024-02-02"), (2, "https://b.org/x/y", "2024-02-02"), (3, "https://b.org/xy", "2024-02-02"), (4, None, "2024-02-02"), (5, "http://a.org", None), (6, "", "2024-02-02"), (7, "http://b.org/x", "2024-02-03")], "page_id long, url string, key string").withColumn("fetched_at", F.col("key").cast("timestamp"))
     got = sorted((r.page_id, r.blocked, r.listed_key) for r in url_filter.judge(captures, entries).collect())
     assert got == [(1, False, None), (1, True, "a.org"), (2, True, "b.org/x"), (2, True, "b.org/x"), (3, False, None), (4, False, None), (5, False, None), (6, False, None), (7, False, None)]
+    cased = spark.createDataFrame([("D.org/Path", True, "2024-01-01")], "key string, listed boolean, at string").withColumn("at", F.col("at").cast("timestamp"))
+    asked = spark.createDataFrame([(1, "https://d.ORG/Path/y"), (2, "https://d.org/path/y")], "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    assert sorted((r.page_id, r.blocked) for r in url_filter.judge(asked, cased).collect()) == [(1, True), (2, False)]
     assert url_filter.judge(captures.limit(0), entries).count() == 0
     assert url_filter.judge(captures, entries.limit(0)).where("blocked").count() == 0
 
