@@ -28,8 +28,8 @@ from .common import bytes_of, slices, text_of
 _WORDS = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _WHITE_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
-#: Pieces that a worker keeps.
-_LIMIT = 800_000
+#: Pieces and fragments, each, that a worker keeps.
+_LIMIT = 250_000
 
 
 def byte_characters() -> dict[str, int]:
