@@ -29,7 +29,7 @@ _WORDS = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Sp
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _WHITE_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 #: Pieces and fragments, each, that a worker keeps.
-_LIMIT = 250_000
+_LIMIT = 450_000
 
 
 def byte_characters() -> dict[str, int]:
