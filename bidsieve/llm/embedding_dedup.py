@@ -1,8 +1,10 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Each vector is described by its nearest reference points (pivots), nearest first. The inverted lists are kept per pair of
-pivots, so vectors meet where they share two pivots at least; a pair is counted in the list of its two smallest shared
-pivots only. Inside a list candidates are verified by cosine in double precision.
+Each vector is described by its nearest reference points (pivots), nearest first, and stands in the inverted list of each of
+them. A list is kept in shards, one for each further pivot of its vectors, so that a shard holds only vectors that share two
+pivots; a vector of `nearest` pivots is thus shipped once for each pair of them and a shard stays short however many vectors
+there are. Inside a shard the shared pivots of each candidate pair are counted; pairs with `shared` of them at least that
+also have the cosine (in double precision) are links. The shard of a pair's two smallest shared pivots counts it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from .simhash import local_roots
 
 _KEYED = "pair long, rep long, n long, pivots binary, vector binary"
 _JOINED = "a long, b long, links long"
+#: Pivots of one length of vector: their first number among all pivots, and their unit vectors.
+Points = dict[int, tuple[int, np.ndarray]]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -34,56 +39,66 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(pivots: np.ndarray, nearest: int):
-    """A row for each pair of a vector's nearest pivots."""
-    dim, count = pivots.shape[1], len(pivots)
-    nearest = min(nearest, count)
+def _listed(points: Broadcast, nearest: int):
+    """A row for each pair of a vector's nearest pivots: its place in a shard of an inverted list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(len(x) for _, x in points.value.values())
         for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
-            x = _matrix(batch.column("vector"), dim)
-            order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest]
-            found = np.sort(order, axis=1).astype(np.int64)
-            signature = [r.tobytes() for r in found.astype(np.int32)]
-            blob = [r.tobytes() for r in x]
-            # where all pivots are near, all vectors meet in the list of the first two
-            for i, j in combinations(range(nearest), 2) if nearest < count else [(0, min(1, nearest - 1))]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i] * count + found[:, j]), batch.column("rep"), batch.column("n"), pa.array(signature, pa.binary()), pa.array(blob, pa.binary())], ["pair", "rep", "n", "pivots", "vector"])
+            dims = batch.column("vector").value_lengths().to_numpy()
+            for dim in np.unique(dims).tolist():
+                base, pivots = points.value[dim]
+                near = min(nearest, len(pivots))
+                some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                x = _matrix(some.column("vector"), dim)
+                order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :near] + base
+                found = np.sort(order, axis=1).astype(np.int64)
+                signature = [r.tobytes() for r in found.astype(np.int32)]
+                blob = [r.tobytes() for r in x]
+                # where all pivots are near, all vectors meet in one shard
+                for i, j in combinations(range(near), 2) if near < len(pivots) else [(0, min(1, near - 1))]:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, i] * total + found[:, j]), some.column("rep"), some.column("n"), pa.array(signature, pa.binary()), pa.array(blob, pa.binary())], ["pair", "rep", "n", "pivots", "vector"])
 
     return run
 
 
-def _counted(p: np.ndarray, q: np.ndarray, count: int) -> np.ndarray:
-    """The list that counts each pair: of its two smallest shared pivots (of the only one, where there is one)."""
-    shared = np.sort(np.where((p[:, :, None] == q[:, None, :]).any(2), p, count), axis=1)
-    return shared[:, 0] * count + shared[:, min(1, shared.shape[1] - 1)]
+def _counted(p: np.ndarray, q: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair the number of shared pivots, and the shard that counts it: of the two smallest (of the only one, where there is one)."""
+    both = (p[:, :, None] == q[:, None, :]).any(2)
+    least = np.sort(np.where(both, p, total), axis=1)
+    return both.sum(axis=1), least[:, 0] * total + least[:, min(1, least.shape[1] - 1)]
 
 
-def _here(s: np.ndarray, left: np.ndarray, right: np.ndarray, count: int, pair: int) -> np.ndarray:
-    """Which pairs this list counts; where vectors are many and pivot sets few, found once for each pair of sets."""
+def _here(s: np.ndarray, left: np.ndarray, right: np.ndarray, total: int, pair: int, shared: int) -> np.ndarray:
+    """Which pairs share pivots enough and are counted in this shard; where vectors are many and pivot sets few, found once for each pair of sets."""
+    enough = min(shared, s.shape[1])
+
+    def good(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        n, at = _counted(p, q, total)
+        return (n >= enough) & (at == pair)
+
     if len(left) > 65536:
         sets, of = np.unique(s, axis=0, return_inverse=True)
         of, u = of.ravel(), len(sets)
         if u * u < len(left):
             a, b = (x.ravel() for x in np.indices((u, u)))
-            known = np.concatenate([_counted(sets[a[i : i + 65536]], sets[b[i : i + 65536]], count) == pair for i in range(0, u * u, 65536)])
+            known = np.concatenate([good(sets[a[i : i + 65536]], sets[b[i : i + 65536]]) for i in range(0, u * u, 65536)])
             return known[of[left] * u + of[right]]
-    return np.concatenate([_counted(s[left[i : i + 65536]], s[right[i : i + 65536]], count) == pair for i in range(0, len(left), 65536)] or [np.zeros(0, bool)])
-
+    return np.concatenate([good(s[left[i : i + 65536]], s[right[i : i + 65536]]) for i in range(0, len(left), 65536)] or [np.zeros(0, bool)])
 
-def _verified(count: int, nearest: int, least: float, kind: type):
-    nearest = min(nearest, count)
 
+def _verified(total: int, least: float, kind: type, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["pair", "b1", "b2"], 4096):
             pair, b1, b2, block, rep, n = (table.column(x).to_numpy() for x in ("pair", "b1", "b2", "block", "rep", "n"))
-            x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(len(pair), -1))
-            sets = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.int32).reshape(len(pair), nearest).astype(np.int64)
+            vectors, pivots = table.column("vector").to_pylist(), table.column("pivots").to_pylist()
             edge = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(b1) != 0) | (np.diff(b2) != 0), [True])))
             for start, end in zip(edge[:-1], edge[1:], strict=True):
                 if end - start < 2:
                     continue
-                v, s, mine = x[start:end], sets[start:end], block[start:end]
+                v = _unit(np.frombuffer(b"".join(vectors[start:end]), kind).reshape(end - start, -1))
+                s = np.frombuffer(b"".join(pivots[start:end]), np.int32).reshape(end - start, -1).astype(np.int64)
+                mine = block[start:end]
                 left, right = [], []
                 for i in range(0, len(v), 512):
                     a, b = np.nonzero(v[i : i + 512] @ v.T >= least)
@@ -93,7 +108,7 @@ def _verified(count: int, nearest: int, least: float, kind: type):
                 left, right = np.concatenate(left), np.concatenate(right)
                 ok = (mine[left] != mine[right]) | (b1[start] == b2[start])
                 left, right = left[ok], right[ok]
-                good = _here(s, left, right, count, pair[start])
+                good = _here(s, left, right, total, pair[start], shared)
                 left, right = left[good], right[good]
                 if not len(left):
                     continue
@@ -107,9 +122,9 @@ def _verified(count: int, nearest: int, least: float, kind: type):
     return run
 
 
-def pivot_count(vectors: int, pivots: int = 128, per: int = 65_536) -> int:
-    """Pivots grow with the root of the number of vectors, which keeps the lists of pivot pairs at a constant length."""
-    return pivots * max(1, math.ceil(math.sqrt(vectors / per)))
+def pivot_count(vectors: int, pivots: int = 128, per: int = 65_536, most: int = 16_384) -> int:
+    """Pivots grow with the root of the number of vectors, which keeps the shards at a constant length, up to `most`, which bounds what is broadcast."""
+    return min(pivots * max(1, math.ceil(math.sqrt(vectors / per))), max(pivots, most))
 
 
 def apart(x: np.ndarray, count: int, least: float) -> np.ndarray:
@@ -141,38 +156,42 @@ def _pivots(reps: DataFrame, count: int, least: float, draws: int = 32) -> np.nd
         draw *= 4
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128, nearest: int = 6, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128, nearest: int = 6, shared: int = 2, block: int = 2048) -> DataFrame:
     """Links between vectors of cosine `least` and above, and the components that they form.
 
     vectors: vec_id long, embedding array<float or double>; other columns are ignored, whatever their names. Returns one
     row per input row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept.
-    Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, link with
-    nothing; so does a row with a null vec_id (component and kept null). Equal vectors are compared once and counted as
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so does a row with a null
+    vec_id (component and kept null). Vectors of different lengths have no cosine; those of each length are compared with
+    each other (the driver fits pivots for one length after the other). Equal vectors are compared once and counted as
     often as they occur, rows of one vec_id included. An empty table gives an empty result.
 
-    The index is fitted on `pivots` vectors (more beyond 65,536 different vectors, with the root of their number), chosen by
-    the hash of their id among those that lie apart (`apart`), and holds all vectors. Where fewer lie apart there are fewer
-    pivots and longer lists, up to all pairs of the table, but no fewer links. Lists over `block` vectors are cut into blocks that meet pairwise, so no
-    task holds more than two blocks. Retrieval is approximate: links whose vectors share fewer than two of `nearest` pivots
-    are missed; the tests hold recall to 0.9 at least, and measured values are in the README.
+    The index is fitted on `pivots` vectors (more beyond 65,536 different vectors, with the root of their number, 16,384 at
+    most), chosen by the hash of their id among those that lie apart (`apart`), and holds all vectors. Where fewer lie apart
+    there are fewer pivots and longer shards, up to all pairs of the table, but no fewer links. Shards over `block` vectors
+    are cut into blocks that meet pairwise, so no task holds more than two blocks. Retrieval is approximate: links whose
+    vectors share fewer than `shared` (2 at least) of `nearest` pivots are missed; the tests hold recall to 0.9 at least, and
+    measured values are in the README.
     """
     kind = np.float32 if "float" in vectors.schema["embedding"].dataType.simpleString() else np.float64
     e = F.col("embedding")
     base = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"))
     sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     marked = base.select("vec_id", F.when(sound, e).alias("vector"))
-    common = marked.where("vector is not null").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    keyed = marked.select("vec_id", F.when(F.size("vector") == common.dim, F.col("vector")).alias("vector")).select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector")).alias("h2"))
+    keyed = marked.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector")).alias("h2"))
     reps = durable(keyed.where("vector is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector")))
-    points = _pivots(reps, pivot_count(reps.count(), pivots), least)
-    lists = reps.select("rep", "n", "vector").mapInArrow(_listed(points, nearest), _KEYED)
+    points: Points = {}
+    total = 0
+    for r in reps.groupBy(F.size("vector").alias("dim")).count().orderBy("dim").collect():
+        found = _pivots(reps.where(F.size("vector") == r.dim), pivot_count(r["count"], pivots), least)
+        points[r.dim] = total, found
+        total += len(found)
+    lists = reps.select("rep", "n", "vector").mapInArrow(_listed(vectors.sparkSession.sparkContext.broadcast(points), nearest), _KEYED)
     long_lists = lists.groupBy("pair").count().select("pair", F.ceil(F.col("count") / block).cast("int").alias("blocks")).where("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1))
     spread = lists.join(long_lists, "pair", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("pair", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "n", "pivots", "vector")
-    joined = durable(tasks.repartition(parts(vectors), "pair", "b1", "b2").sortWithinPartitions("pair", "b1", "b2").mapInArrow(_verified(len(points), nearest, least, kind), _JOINED))
+    joined = durable(tasks.repartition(parts(vectors), "pair", "b1", "b2").sortWithinPartitions("pair", "b1", "b2").mapInArrow(_verified(total, least, kind, shared), _JOINED))
     links = joined.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     found = components(joined.select("a", "b")).select(F.col("node").alias("rep"), "component")
     named = reps.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(found, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
@@ -183,13 +202,15 @@ def brute_force(rows: list[tuple[int, list[float] | None]], least: float = 0.95)
     """The definition, for tests."""
     n = len(rows)
     good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    x = _unit(np.array([rows[i][1] for i in good], float)) if good else np.zeros((0, 1))
-    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
-    links = np.zeros(n, int)
-    at = np.array(good, int)
-    np.add.at(links, at[a], 1)
-    np.add.at(links, at[b], 1)
-    root = local_roots(n, at[a], at[b])
+    links, ends = np.zeros(n, int), [np.zeros((2, 0), int)]
+    for dim in {len(rows[i][1]) for i in good}:
+        at = np.array([i for i in good if len(rows[i][1]) == dim])
+        x = _unit(np.array([rows[i][1] for i in at], float))
+        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+        np.add.at(links, at[a], 1)
+        np.add.at(links, at[b], 1)
+        ends.append(np.array([at[a], at[b]]))
+    root = local_roots(n, *np.concatenate(ends, axis=1))
     ids = np.array([r[0] for r in rows])
     smallest = {r: min(ids[root == r]) for r in set(root.tolist())}
     return [(int(ids[i]), int(links[i]), int(smallest[root[i]]), bool(ids[i] == smallest[root[i]])) for i in range(n)]

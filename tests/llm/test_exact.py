@@ -187,6 +187,25 @@ def test_a_large_group_of_near_copies_keeps_its_links(spark, pivots, noise):
     assert all(got[v].n_links <= n and (got[v].component_id == c or noise > 0.2) for v, n, c, _ in want)
 
 
+@pytest.mark.parametrize("size", [60, 900, 2700])
+def test_tight_groups_keep_their_links(spark, size):
+    random = np.random.default_rng(7)
+    x = random.normal(size=(3000, 64))
+    x[:size] = random.normal(size=64) + random.normal(size=(size, 64)) * 0.1
+    given = list(enumerate(random.permutation(x).tolist()))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()}
+    want = embedding_dedup.brute_force(given)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(r[1] for r in want) > 0
+    assert all(got[v].n_links <= n and got[v].component_id == c for v, n, c, _ in want)
+
+
+def test_vectors_of_all_lengths_and_odd_rows(spark):
+    given = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.1]), (5, [1.0, 2.0, 0.0]), (5, [1.0, 2.0, 0.0]), (6, [1.0]), (7, [3.0]), (8, [-3.0]), (9, None), (10, []), (11, [0.0, 0.0])]
+    frame = spark.createDataFrame([(v, e, v, "x") for v, e in given] + [(None, [1.0, 2.0], 0, "y")], "vec_id long, embedding array<double>, rep long, pair string")
+    got = rows(embedding_dedup.near_duplicates(frame))
+    assert got == sorted([*embedding_dedup.brute_force(given), (None, 0, None, None)], key=repr)
+
+
 def test_pivots_of_a_near_copy_group_are_one():
     random = np.random.default_rng(2)
     x = np.concatenate((np.ones((1, 64)) + random.normal(size=(500, 64)) * 0.2, random.normal(size=(200, 64))))
