@@ -3,9 +3,12 @@
 Each text becomes a vector of transformed statistics. Per language and source a minimum-covariance-determinant estimate
 is made from the most central share of the rows, and a row whose Mahalanobis distance to it is too large is rejected.
 
-The estimate starts from medians and median deviations and is refined by concentration steps: distances, a cut at the
-share's quantile, mean and covariance of the rows inside. Statistics are fixed-point integers, so sums are exact whatever
-the order of tasks. A step moves one row per group and bin of the distance: a hot source is combined before the shuffle.
+The search has three starts: medians with median deviations, mean and covariance of all rows, and medians with the
+covariance of directions from them. Each is refined by concentration steps (distances, a cut at the share's quantile, mean
+and covariance of the rows inside); the one whose covariance has the smallest determinant is the group's estimate.
+Statistics are fixed-point integers, so sums are exact whatever the order of tasks. A step moves one row per group, start
+and bin of the distance, combined before the shuffle, and estimates go to the rows, not rows to the estimates, so a hot
+source is no larger task than any other.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ _SYMBOLS = "#*$%&|<>"
 #: Fixed point: statistics are kept as thousandths.
 _UNIT = 1000
 #: Smallest standard deviation per dimension, in units; most texts have no symbols or repeats at all.
-_FLOOR = (0.15, 0.3, 0.1, 0.15, 0.2)
+_FLOOR = (0.15, 0.3, 0.1, 0.12, 0.2)
 _DIM = len(_FLOOR)
 _BINS = 4096
+#: Groups whose parameters (about 250 bytes each) are broadcast; more are joined in salted parts.
+_BROADCAST = 200_000
+_SALTS = 64
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -103,75 +109,121 @@ def chi_square(p: float, degrees: int) -> float:
 
 
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
+_X = [f"x{i}" for i in range(_DIM)]
+_M = [f"m{i}" for i in range(_DIM)]
+_S = [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _beside(rows: DataFrame, facts: DataFrame, key: str = "g") -> DataFrame:
+    """Rows with the facts of their group: broadcast where these are few enough, else both in salted parts."""
+    if facts.count() <= _BROADCAST:
+        return rows.join(F.broadcast(facts), key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)))
+    return salted.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))), [key, "_salt"]).drop("_salt")
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """From m0.. and s00.. (covariance) to m0.. and the Cholesky factor l00.., column by column."""
+    """From means m0.. and covariance s00.. to m0.., the Cholesky factor l00.., column by column, and the log determinant."""
     for j in range(_DIM):
         for i in range(j, _DIM):
             rest = F.col(f"s{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit((_FLOOR[i] * _UNIT / 10) ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return params.select("g", *(f"m{i}" for i in range(_DIM)), *(f"l{i}{j}" for i, j in _PAIRS))
+    spread = sum((F.log(F.col(f"l{i}{i}")) for i in range(_DIM)), F.lit(0.0)) * 2
+    return params.select("g", "start", *_M, *(f"l{i}{j}" for i, j in _PAIRS), spread.alias("spread"))
 
 
 def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance d2 of each row to its group's estimate."""
-    rows = rows.join(params, "g")
+    """Squared Mahalanobis distance d2 of each row to each of its group's estimates."""
+    rows = _beside(rows, params)
     for i in range(_DIM):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{j}") * F.col(f"y{j}") for j in range(i)), F.lit(0.0))
         rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(_DIM)), F.lit(0.0)))
 
 
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"t{i}") for i, x in enumerate(_X)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
+
+
+def _estimate(total: DataFrame, grow: float) -> DataFrame:
+    """Means and floored covariances (times `grow`) from counts n, sums t0.. and sums of products q00.. ."""
+    total = total.withColumn("n", F.col("n").cast("double")).withColumns({f"m{i}": F.col(f"t{i}") / F.col("n") for i in range(_DIM)})
+    spread = lambda i, j: (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * grow + F.lit((_FLOOR[i] * _UNIT) ** 2 if i == j else 0.0)
+    return total.select("g", "start", *_M, *(spread(i, j).alias(f"s{i}{j}") for i, j in _PAIRS))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates per group to start from."""
+    # percentile() combines counts of values, which are fixed-point, before the shuffle
+    middle = durable(rows.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(_X))))
+    away = _beside(rows, middle)
+    length = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"m{i}"), 2) for i in range(_DIM)), F.lit(0.0)))
+    away = away.withColumn("length", length).withColumns({f"u{i}": F.when(F.col("length") > 0, F.round((F.col(f"x{i}") - F.col(f"m{i}")) / F.col("length") * _UNIT)).otherwise(0).cast("long") for i in range(_DIM)})
+    off = away.groupBy("g").agg(
+        *(F.first(m).alias(m) for m in _M),
+        *(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, x in enumerate(_X)),
+        *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"v{i}{j}") for i, j in _PAIRS),
+        *_sums(),
+    )
+    off = durable(off)
+    floor = lambda i, j: F.lit((_FLOOR[i] * _UNIT) ** 2 if i == j else 0.0)
+    var = lambda i: F.pow(F.col(f"a{i}") * 1.4826, 2)
+    size = sum((var(i) for i in range(_DIM)), F.lit(0.0)) / (_UNIT * _UNIT)
+    medians = off.select("g", F.lit(0).alias("start"), *_M, *(((var(i) if i == j else F.lit(0.0)) + floor(i, j)).alias(f"s{i}{j}") for i, j in _PAIRS))
+    classic = _estimate(off.drop(*_M).withColumn("start", F.lit(1)), 1.0)
+    signs = off.select("g", F.lit(2).alias("start"), *_M, *((F.col(f"v{i}{j}") / F.col("n") * size + floor(i, j)).alias(f"s{i}{j}") for i, j in _PAIRS))
+    return durable(_factor(medians.unionByName(classic).unionByName(signs)))
+
+
 def _concentrated(rows: DataFrame, params: DataFrame, share: float, grow: float) -> DataFrame:
-    """One concentration step: estimate from the rows up to the bin of the distance that holds the share's quantile."""
+    """One concentration step: estimates from the rows up to the bin of the distance that holds the share's quantile."""
     bin_of = F.least(F.floor(F.sqrt("d2") * 64), F.lit(_BINS)).cast("int")
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"t{i}") for i in range(_DIM)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
-    bins = _distance(rows, params).withColumn("bin", bin_of).groupBy("g", "bin").agg(*sums)
-    below = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    inside = bins.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("of", F.sum("n").over(Window.partitionBy("g"))).where(F.col("before") < F.ceil(F.col("of") * share))
-    total = inside.groupBy("g").agg(F.sum("n").cast("double").alias("n"), *(F.sum(c).cast("double").alias(c) for c in (*(f"t{i}" for i in range(_DIM)), *(f"q{i}{j}" for i, j in _PAIRS))))
-    mean = total.select("g", "n", *(f"q{i}{j}" for i, j in _PAIRS), *((F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(_DIM)))
-    spread = lambda i, j: (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * grow + F.lit((_FLOOR[i] * _UNIT) ** 2 if i == j else 0.0)
-    return durable(_factor(mean.select("g", *(f"m{i}" for i in range(_DIM)), *(spread(i, j).alias(f"s{i}{j}") for i, j in _PAIRS))))
+    bins = _distance(rows, params).withColumn("bin", bin_of).groupBy("g", "start", "bin").agg(*_sums())
+    key = Window.partitionBy("g", "start")
+    below = key.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = bins.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("of", F.sum("n").over(key)).where(F.col("before") < F.ceil(F.col("of") * share))
+    total = inside.groupBy("g", "start").agg(*(F.sum(c).cast("double").alias(c) for c in ("n", *(f"t{i}" for i in range(_DIM)), *(f"q{i}{j}" for i, j in _PAIRS))))
+    return durable(_factor(_estimate(total, grow)))
+
+
+def estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group g over x0.. : of all starts the one of least determinant (the first of equals)."""
+    cut = chi_square(share, _DIM)
+    grow = share / gamma_share((_DIM + 2) / 2, cut / 2)
+    params = _starts(rows)
+    for _ in range(steps):
+        params = _concentrated(rows, params, share, grow)
+    best = params.groupBy("g").agg(F.min(F.struct(F.round("spread", 9).alias("spread"), "start", *_M, *(f"l{i}{j}" for i, j in _PAIRS))).alias("best"))
+    return durable(best.select("g", "best.*"))
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 100, quantile: float = 1 - 1e-9) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 * _DIM, quantile: float = 1 - 1e-9) -> DataFrame:
     """Statistics of every row and whether it is kept.
 
     docs: doc_id long, text, lang and source string; other columns are ignored, whatever their names. Returns one row per
     input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. Others are kept if their squared
     distance is at most the chi-square `quantile`; they alone shape the estimates. A language and source with fewer than
-    `least` of them is judged with its whole language, and a language with fewer with all. Windows are equal by a 64-bit
-    hash within one text. A null text is empty and fails; null languages or sources are groups of their own; repeated rows
-    count each; ties in distance fall together; an empty table gives an empty result.
+    `least` of them, too few for a covariance of five statistics, is judged with its whole language, and a language with
+    fewer with all. Windows are equal by a 64-bit hash within one text. A null text is empty and fails; null languages or
+    sources are groups of their own; repeated rows count each; ties in distance fall together; an empty table gives an empty
+    result.
     """
     counts = statistics(docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    facts = durable(counts.withColumn("base_failed", failed).select("*", *_vector()))
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    names = [F.concat(tag("lang"), F.lit("\x1f"), tag("source")), F.concat(tag("lang"), F.lit("\x1f")), F.lit("")]
-    sizes = facts.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("own"))
-    sizes = sizes.withColumn("of_lang", F.sum("own").over(Window.partitionBy("lang"))).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.when(F.col("own") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2).alias("level"))
-    placed = facts.where(~F.col("base_failed")).join(sizes, facts["lang"].eqNullSafe(sizes["gl"]) & facts["source"].eqNullSafe(sizes["gs"])).drop("gl", "gs")
-    #: every row shapes the estimate of each level that some group needs; it is judged by its own
-    own = F.element_at(F.array(*names), F.col("level") + 1)
-    xs = [f"x{i}" for i in range(_DIM)]
-    judged = durable(placed.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "level", own.alias("g"), F.array(*names).alias("names"), *xs))
-    used = judged.select("g").where("level > 0").distinct()
-    pooled = judged.select(F.explode(F.slice("names", 2, 2)).alias("g"), *xs).join(used, "g", "left_semi")
-    rows = judged.where("level = 0").select("g", *xs).unionByName(pooled)
-    middle = rows.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(xs)))
-    off = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)), *(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, x in enumerate(xs)))
-    start = off.select("g", *(f"m{i}" for i in range(_DIM)), *((F.pow(F.col(f"a{i}") * 1.4826, 2) + (_FLOOR[i] * _UNIT) ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _PAIRS))
-    params = durable(_factor(start))
-    cut = chi_square(share, _DIM)
-    grow = share / gamma_share((_DIM + 2) / 2, cut / 2)
-    for _ in range(steps):
-        params = _concentrated(rows, params, share, grow)
+    names = F.array(F.concat(tag("lang"), F.lit("\x1f"), tag("source")), F.concat(tag("lang"), F.lit("\x1f")), F.lit(""))
     columns = ["doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    passed = _distance(judged, params).select(*columns, F.lit(False).alias("base_failed"), F.sqrt("d2").alias("distance"), (F.col("d2") <= chi_square(quantile, _DIM)).alias("kept"))
+    facts = durable(counts.withColumn("base_failed", failed).select(*columns, "base_failed", names.alias("names"), *_vector()))
+    sound = facts.where(~F.col("base_failed")).withColumn("own", F.col("names")[0])
+    sizes = sound.groupBy("own", F.col("names")[1].alias("lang")).agg(F.count("*").alias("n"))
+    sizes = durable(sizes.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))).select("own", F.when(F.col("n") >= least, 1).when(F.col("of_lang") >= least, 2).otherwise(3).alias("level")))
+    #: every row shapes the estimate of each level that some group needs; it is judged by its own
+    judged = durable(_beside(sound, sizes, "own").select(*columns, "level", F.element_at("names", F.col("level")).alias("g"), "names", *_X))
+    used = judged.select("g").where("level > 1").distinct()
+    pooled = judged.select(F.explode(F.slice("names", 2, 2)).alias("g"), *_X)
+    rows = judged.where("level = 1").select("g", *_X).unionByName(_beside(pooled, durable(used)))
+    passed = _distance(judged, estimates(rows, share, steps)).select(*columns, F.lit(False).alias("base_failed"), F.sqrt("d2").alias("distance"), (F.col("d2") <= chi_square(quantile, _DIM)).alias("kept"))
     return passed.unionByName(facts.where("base_failed").select(*columns, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 from compare import database, difference
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_the_estimate_is_the_determinant_of_the_central_rows(spark):
     rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "g string, " + ", ".join(f"x{i} long" for i in range(5)))
     m, s = np.median(x, axis=0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0)) ** 2 + (np.array(quality_rules._FLOOR) * 1000) ** 2)
     names = [f"m{i}" for i in range(5)] + [f"s{i}{j}" for i, j in quality_rules._PAIRS]
-    params = quality_rules._factor(spark.createDataFrame([("g", *map(float, m), *(float(s[i, j]) for i, j in quality_rules._PAIRS))], "g string, " + ", ".join(f"{n} double" for n in names)))
+    params = quality_rules._factor(spark.createDataFrame([("g", 0, *map(float, m), *(float(s[i, j]) for i, j in quality_rules._PAIRS))], "g string, start int, " + ", ".join(f"{n} double" for n in names)))
     got = quality_rules._concentrated(rows, params, 0.75, 1.2).first().asDict()
     d = np.sqrt(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m))
     bins = np.minimum(np.floor(d * 64), 4096)
@@ -58,6 +59,50 @@ def test_the_estimate_is_the_determinant_of_the_central_rows(spark):
     assert np.allclose([got[f"l{i}{j}"] for i, j in quality_rules._PAIRS], [want[i, j] for i, j in quality_rules._PAIRS], rtol=1e-6)
 
 
+def robust(x, share=0.75, steps=3):
+    """Minimum covariance determinant of the rows x, by numpy: mean and covariance of the best of three starts."""
+    floor = np.diag((np.array(quality_rules._FLOOR) * 1000) ** 2)
+    grow = share / quality_rules.gamma_share(3.5, quality_rules.chi_square(share, 5) / 2)
+    m = np.median(x, axis=0)
+    a = 1.4826 * np.median(np.abs(x - m), axis=0)
+    length = np.linalg.norm(x - m, axis=1, keepdims=True)
+    u = np.round(np.divide(x - m, length, out=np.zeros(x.shape), where=length > 0) * 1000)
+    found = []
+    for centre, spread in ((m, np.diag(a**2) + floor), (x.mean(axis=0), np.cov(x.T, bias=True) + floor), (m, u.T @ u / len(x) * (a**2).sum() / 1e6 + floor)):
+        for _ in range(steps):
+            d = np.sqrt(np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(spread), x - centre))
+            bins = np.minimum(np.floor(d * 64), 4096)
+            inside = x[bins <= np.sort(bins)[int(np.ceil(share * len(x))) - 1]]
+            centre, spread = inside.mean(axis=0), np.cov(inside.T, bias=True) * grow + floor
+        found.append((round(float(np.linalg.slogdet(spread)[1]), 6), centre, spread))
+    return min(found, key=lambda f: f[0])[1:]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_the_verdict_equals_numpy(spark, small, monkeypatch):
+    """Base rules, groups, the least determinant of three starts and the cut of the distance, over whole tables."""
+    if not small:  # groups too many to broadcast are joined in salted parts
+        monkeypatch.setattr(quality_rules, "_BROADCAST", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet" if small else f"{SMALL}/documents.parquet")
+    facts = quality_rules.statistics(docs).select("doc_id", "lang", "source", "n_words", "n_repeat_words", *quality_rules._vector()).collect()
+    groups: dict[tuple, list] = {}
+    for r in facts:
+        if r.n_words >= 20 and 100 * r.n_repeat_words <= 30 * r.n_words:
+            groups.setdefault((r.lang, r.source), []).append(r)
+    size = lambda lang: sum(len(rs) for (x, _), rs in groups.items() if x == lang)
+    want, cut = {}, quality_rules.chi_square(1 - 1e-9, 5)
+    for (lang, _), rs in groups.items():
+        used = rs if len(rs) >= 10 else [r for (x, _), some in groups.items() if x == lang for r in some] if size(lang) >= 10 else [r for some in groups.values() for r in some]
+        centre, spread = robust(np.array([r[5:] for r in used], float))
+        for r in rs:
+            d = np.array(r[5:]) - centre
+            want[r.doc_id] = float(np.sqrt(d @ np.linalg.inv(spread) @ d))
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert {d for d, r in got.items() if not r.base_failed} == set(want)
+    assert all(abs(got[d].distance - x) < 1e-6 * max(1, x) and got[d].kept == (x * x <= cut) for d, x in want.items())
+    assert not any(r.kept for r in got.values() if r.base_failed)
+
+
 def test_classifier(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
