@@ -139,10 +139,9 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters: float) -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs, with all their columns, that the classifier predicts to be good."""
-    facts = durable(with_features(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")))
-    model = fit(facts, labels)
-    # the struct keeps names in docs from clashing with those of the statistics
-    held = docs.select(F.struct(*docs.columns).alias("row"), *features(text_of(docs)))
+    # the struct keeps names in docs from clashing with those of the statistics, which are made once
+    held = durable(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *features(text_of(docs))))
+    model = fit(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), *FEATURES), labels)
     return held.where(model.score() >= 0.5).select("row.*")
 
 

@@ -48,7 +48,8 @@ def _fingerprints(shingle: int, seed: int):
             for i, n in enumerate(sizes):
                 if n:
                     out[i] = _BITS[bits[starts[i] : starts[i + 1]].sum(axis=0, dtype=np.int64) * 2 > n].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            others = [x for x in batch.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), pa.array(out.view(np.int64))], [*others, "fp"])
 
     return run
 
@@ -128,6 +129,15 @@ def _compared(most: int):
     return run
 
 
+def _rooted(prints: DataFrame, most: int, tasks: int) -> DataFrame:
+    """fp and root (one fingerprint of the class) of each different fingerprint."""
+    classes = prints.select("fp").distinct()
+    spread = classes.repartition(tasks, "fp").mapInArrow(_spread(1 + (most + 1) // 2), "anchor long, fp long")
+    edges = spread.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_compared(most), "a long, b long")
+    found = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return classes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
     """Classes of documents whose fingerprints are chained by links of at most `most` (1 or 2) differing bits.
 
@@ -138,16 +148,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, seed: int
     table gives an empty result.
     """
     prints = durable(fingerprints(docs, shingle, seed))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    spread = classes.select("fp").mapInArrow(_spread(1 + (most + 1) // 2), "anchor long, fp long")
-    edges = spread.repartition(parts(docs), "anchor").sortWithinPartitions("anchor").mapInArrow(_compared(most), "a long, b long")
-    found = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = _rooted(prints, most, parts(docs))
+    known = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
+    """One row of docs, with all its columns, of each class of near duplicates.
+
+    It is the one with the smallest doc_id; null ids come last, and of rows that share an id the one whose text has the
+    smallest hash (128 bits) stays, of rows that share both the one that is smallest in all columns.
+    """
+    text, doc_id = text_of(docs), docs["doc_id"].cast("long")
+    key = {"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in key.items()))
+    names = [f"{n} {'boolean' if n == '_none' else 'long'}" for n in key]
+    prints = durable(docs.select(*(c.alias(n) for n, c in key.items()), text.alias("text")).mapInArrow(_fingerprints(shingle, seed), ", ".join([*names, "fp long"])))
+    counted = prints.groupBy(*key, "fp").agg(F.count("*").alias("n")).join(_rooted(prints, most, parts(docs)), "fp")
+    heads = durable(counted.groupBy("root").agg(F.min(F.struct(*key, "n")).alias("head")).select("head.*"))
+    kept = keyed.join(heads, [*key])
+    # few texts are shuffled here: of rows that share id and text
+    again = kept.where("n > 1").groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
+    return kept.where("n = 1").select("row.*").unionByName(again)
+
+
 def brute_force(rows: list[tuple[int, str | None]], shingle: int = 3, most: int = 2, seed: int = 42) -> list[tuple[int, str, int]]:
     """The definition, for tests."""
     prints = []

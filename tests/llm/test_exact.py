@@ -47,6 +47,16 @@ def test_simhash(docs, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_simhash_keeps_one_of_each_class(spark, docs, odd):
+    table = spark.createDataFrame([(5, "one text here", "b"), (5, "quite another text", "a"), (5, "one text here", "a"), (None, "One text here", "c"), (None, "a text without id", "d"), (None, "a text without id", "e"), (2, None, None), (3, " ", None)], "doc_id long, text string, fp string")
+    got = rows(simhash.one_of_each(table))
+    assert got == sorted([(5, "one text here", "a"), (5, "quite another text", "a"), (None, "a text without id", "d"), (2, None, None)], key=repr)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in simhash.brute_force(texts(docs))}
+    assert simhash.one_of_each(odd.limit(0)).count() == 0
+
+
 def test_every_near_pair_shares_an_anchor():
     random.seed(5)
     for _ in range(3000):
