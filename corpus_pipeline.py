@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidsieve.llm import packing, quality_classifier, quality_rules, simhash, substring_dedup
-from bidsieve.llm.common import read, shared_folder
+from bidsieve.llm.common import forget, read, shared_folder
 from bidsieve.llm.queries import tokenizer
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,11 +25,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id; documents without an id all stay."""
-    classes = simhash.near_duplicates(docs)
-    heads = classes.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.select(*DOCUMENTS).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*DOCUMENTS).unionByName(docs.select(*DOCUMENTS).where("doc_id is null"))
+    """One document of each class of near duplicates: the one with the smallest id; ids that are null come last."""
+    return simhash.one_of_each(docs.select(*DOCUMENTS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet in the shared folder, read again by the next and then removed."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            forget(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
