@@ -21,13 +21,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
 from .common import parts, slices, text_of
 
-_PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LIMIT = 700_000
 #: Fixed values of the published word-end vocabulary, on which the cuts of `Words` rest.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -61,22 +61,20 @@ class Words:
     def learn(self, fresh: list[str]) -> None:
         """Ids of stretches not met before. ASCII letters are lowered by the vocabulary anyway, and a run of marks behind a
         letter or digit is a word of its own, so only the plain stems go to the library."""
-        known, parts = self.known, []
-        for x in fresh:
-            low = x.lower() if x.isascii() else x
-            stem = low.rstrip(".,;:!?")
-            parts.append((x, stem, low[len(stem) :]) if stem and len(stem) < len(low) and stem[-1] in _ENDS_A_WORD else (x, low, ""))
-        asked = list({p for _, stem, tail in parts for p in (stem, tail) if p not in known})
+        known = self.known
+        low = [x.lower() if x.isascii() else x for x in fresh]
+        stems = [s if s[-1:] in _ENDS_A_WORD else x for x, s in zip(low, [x.rstrip(".,;:!?") for x in low], strict=True)]
+        tails = [x[len(s) :] for x, s in zip(low, stems, strict=True)]
+        asked = set(stems).union(tails).difference(known)
         one, merge, shown = self.one_word, self.tokenizer.model.tokenize, self.characters
         for x in [x for x in asked if one(x)]:
             known[x] = array("i", [t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(shown))]).tobytes()
-        asked = [x for x in asked if x not in known]
+        asked = list(asked.difference(known))
         for i in range(0, len(asked), 10_000):
             some = asked[i : i + 10_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[x] = array("i", e.ids).tobytes()
-        for x, stem, tail in parts:
-            known[x] = known[stem] + known[tail]
+        known.update(zip(fresh, [known[s] + known[t] for s, t in zip(stems, tails, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
@@ -88,8 +86,9 @@ class Words:
             for old in list(islice(known, _LIMIT // 2)):
                 del known[old]
             known[""] = b""
-        self.learn([x for x in distinct if x not in known])
-        return [np.frombuffer(b"".join([known[x] for x in words]), np.int32) for words in cut]
+        self.learn(list(distinct.difference(known)))
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
 
 
 @cache
@@ -153,14 +152,16 @@ def _packed(path: str, limit: int, end_id: int, sentence: int, hard: int, block:
         begin = ends - np.array([len(d[1]) for d in docs])
         window = np.searchsorted(chosen, starts, side="right") - 1
         first = np.array([d[2] for d in docs])[doc] + starts - begin[doc]
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids[: bounds[-1]].astype(np.int32)))
-        columns = [pa.array([docs[i][0] for i in doc], pa.int64()), pa.array(first.astype(np.int64)), pa.array(stop - starts), lists, pa.array(np.array([d[3] for d in docs], np.int64)[doc]), pa.array(next_id[0] + window), pa.array(starts - chosen[window])]
+        flat = ids[: bounds[-1]].astype("<i4")
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), stop.tolist(), strict=True)]
+        columns = [pa.array([docs[i][0] for i in doc], pa.int64()), pa.array(first.astype(np.int64)), pa.array(stop - starts), lists, pa.array(crc, pa.int64()), pa.array(np.array([d[3] for d in docs], np.int64)[doc]), pa.array(next_id[0] + window), pa.array(starts - chosen[window])]
         next_id[0] += len(chosen) - 1
         rest = []
         for i in range(int(np.searchsorted(ends, chosen[-1], side="right")), len(docs)):
             skip = max(0, int(chosen[-1] - begin[i]))
             rest.append((docs[i][0], docs[i][1][skip:], docs[i][2] + skip, docs[i][3]))
-        return (pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]) if len(starts) else None), rest
+        return (pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]) if len(starts) else None), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -192,26 +193,16 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, sentenc
 
     docs: doc_id long, text string; other columns are ignored, whatever their names. A document is the ids of its text by the
     vocabulary file at `path` and then `end_id`. Returns per piece doc_id, start (ids of the document before it), length,
-    ids, doc_tokens, sequence_id (unique, with gaps) and offset in the sequence. Each id lies in exactly one piece.
+    ids, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id (unique, with gaps) and offset in the sequence. Each id lies in exactly one piece.
     A null or empty text is the end id alone; repeated rows are packed each; null doc_ids come first; an empty table gives an
-    empty result. The table is dealt by ranges of doc_id; a task holds the tokens of about `block` at once (and one document).
+    empty result. The table is dealt by ranges of doc_id (and the hash of the text, where ids are the same); a task holds the tokens of about `block` at once (and one document).
     `sentence` and `hard` are the padding tokens that a cut after a sentence, or anywhere else in a document, may save at least.
     """
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return base.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id").mapInArrow(_packed(path, limit, end_id, sentence, hard, block), _PIECES)
-
-
-def ids_crc32(ids: Column) -> Column:
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-
-    @F.arrow_udf("long")
-    def crc(lists: pa.Array) -> pa.Array:
-        values, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.int64())
-
-    return crc(ids)
+    # rows that share an id, or have none, are many ranges too
+    return base.repartitionByRange(parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(_packed(path, limit, end_id, sentence, hard, block), _PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return pieces.select("doc_id", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
