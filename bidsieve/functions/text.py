@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -25,6 +26,11 @@ def _latin() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: an array of one element binds it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -89,21 +95,21 @@ def clean_document(text: Column, limit: int = 200_000) -> Column:
     return F.struct(F.coalesce(cut, F.lit("")).alias("text"), F.coalesce(F.length(value) > limit, F.lit(False)).alias("truncated"))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, folded: bool = False) -> Column:
     """Folded words of three letters and more that aren't stop words."""
-    return F.filter(F.split(fold(text), " "), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
+    return F.filter(F.split(text if folded else fold(text), " "), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
 
 
-def char_grams(text: Column, n: int = 4) -> Column:
+def char_grams(text: Column, n: int = 4, folded: bool = False) -> Column:
     """Runs of n characters of the folded text with _ for spaces; a shorter text whole; none for an empty one."""
-    compact = F.replace(fold(text), F.lit(" "), F.lit("_"))
+    compact = F.replace(text if folded else fold(text), F.lit(" "), F.lit("_"))
 
     def of(chars: Column) -> Column:
         whole = F.when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.size(chars) < n, whole).otherwise(F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), "")))
+        joined = lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))
+        return F.when(F.size(chars) < n, whole).otherwise(F.transform(F.sequence(F.lit(0), F.size(chars) - n), joined))
 
-    # an array of one element binds the characters, which are then made once and not for every run
-    return F.transform(F.array(F.filter(F.split(compact, ""), lambda c: c != "")), of)[0]
+    return let(F.filter(F.split(compact, ""), lambda c: c != ""), of)
 
 
 def words(text: Column) -> Column:
@@ -118,7 +124,7 @@ def chunks_overlapping(text: Column, size: int = 150, overlap: int = 30) -> Colu
         last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
 
-    return F.transform(F.array(words(text)), of)[0]
+    return let(words(text), of)
 
 
 def chunks_fixed(text: Column, size: int = 70) -> Column:
@@ -126,7 +132,7 @@ def chunks_fixed(text: Column, size: int = 70) -> Column:
     def of(w: Column) -> Column:
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), ((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, size), " ")))
 
-    return F.transform(F.array(words(text)), of)[0]
+    return let(words(text), of)
 
 
 def plain_fold(text: str) -> str:

@@ -33,7 +33,7 @@ def candidate_window(incoming: DataFrame, stored: DataFrame, days: int = 120, sl
     none), with a deadline within `slack` days (or none on a side); the `most` newest per incoming row.
 
     A range join on days: both sides meet in buckets of `days`, an incoming row looks into its own bucket and the one before.
-    Rows without a country are few and looked up by date alone.
+    Where one side has no country, that test falls away and the date alone decides.
     """
     bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
     left = incoming.select(F.col("notice_id").alias("incoming_id"), F.col("country").alias("ic"), F.col("publication").alias("ip"), F.col("deadline").alias("idl")).withColumn("b", F.explode(F.array(bucket(F.col("ip")), bucket(F.col("ip")) - 1)))
@@ -45,8 +45,9 @@ def candidate_window(incoming: DataFrame, stored: DataFrame, days: int = 120, sl
     close = F.col("idl").isNull() | F.col("sdl").isNull() | (gap <= slack * day)
     same = left.join(right.where("sc is not null"), (F.col("b") == F.col("sb")) & (F.col("ic") == F.col("sc")))
     any_country = left.join(right.where("sc is null"), F.col("b") == F.col("sb"))
+    no_country = left.where("ic is null").join(right.where("sc is not null"), F.col("b") == F.col("sb"))
     newest = Window.partitionBy("incoming_id").orderBy(F.desc("sp"), "stored_id")
-    return same.unionByName(any_country).where(near & close).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most).select("incoming_id", "stored_id", "position")
+    return same.unionByName(any_country).unionByName(no_country).where(near & close).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most).select("incoming_id", "stored_id", "position")
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -124,3 +125,18 @@ def cached_profiles(sources: DataFrame, profiles: DataFrame, key: str) -> DataFr
     table = profiles.select(F.col(key).alias("_key"), F.col("source_hash").alias("_hash"), "status")
     hit = (F.col("status") == "ok") & (F.col("_hash") == F.col("source_hash"))
     return sources.join(table, F.col(key) == F.col("_key"), "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_key", "_hash", "status")
+
+
+def blocked_pairs(rows: DataFrame, others: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """Every row beside every other, for a stated set of others (queries, users), which is counted.
+
+    Up to `most` of them are broadcast. More are cut into blocks of about as many, and the rows, dealt over `salts`, meet each
+    block; no task holds more than a block.
+    """
+    n = others.count()
+    if n <= most:
+        return rows.join(F.broadcast(others))
+    blocks = -(-n // most)
+    dealt = others.withColumn("_block", F.pmod(F.xxhash64(*others.columns), F.lit(blocks))).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return spread.join(dealt, ["_block", "_salt"]).drop("_block", "_salt")

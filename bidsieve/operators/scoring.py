@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, plain_fold, whole_word
+from ..functions.text import fold, let, plain_fold, whole_word
+from .similarity import cosines_to
 
 
 def days_until(deadline: str, now: Column) -> Column:
@@ -18,7 +19,7 @@ def days_until(deadline: str, now: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return let(x, lambda v: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))))
 
 
 def text_blob(*columns: str, full_text: str | None = None) -> Column:
@@ -28,7 +29,7 @@ def text_blob(*columns: str, full_text: str | None = None) -> Column:
 
 
 def deadline_score(days: Column, viable: float = 5, ideal_min: float = 12, ideal_max: float = 45, horizon: float = 180, expired: float = 0.0, unknown: float = 0.35) -> Column:
-    """Rises from nothing over a tight stretch to 1, stays, and falls for what is far off."""
+    """Rises from nothing over a tight stretch to 1, stays, and falls for what is far off. The defaults are fixed values."""
     return clamp(
         F.when(days.isNull(), unknown)
         .when(days < 0, expired)
@@ -41,6 +42,7 @@ def deadline_score(days: Column, viable: float = 5, ideal_min: float = 12, ideal
 
 
 def budget_score(amount: Column, small: float = 50_000, ideal_min: float = 250_000, ideal_max: float = 5_000_000, large: float = 25_000_000, unknown: float = 0.5) -> Column:
+    """Preference over amounts in the profile's currency. The defaults are fixed values."""
     return clamp(
         F.when(amount.isNull(), unknown)
         .when(amount < small, 0.1 * amount / small)
@@ -53,9 +55,9 @@ def budget_score(amount: Column, small: float = 50_000, ideal_min: float = 250_0
 
 def lookup_score(value: Column, preferred: dict[str, float], default: float, unknown: float) -> Column:
     """Highest preference whose folded name is part of the folded value, or holds it."""
-    folded = fold(value)
-    best = F.greatest(F.lit(None).cast("double"), F.lit(None).cast("double"), *(F.when(F.contains(folded, F.lit(n)) | F.contains(F.lit(n), folded), F.lit(float(w))) for k, w in preferred.items() if (n := plain_fold(k))))
-    return F.when(F.coalesce(value, F.lit("")) == "", unknown).otherwise(clamp(F.coalesce(best, F.lit(default))))
+    names = [(n, float(w)) for k, w in preferred.items() if (n := plain_fold(k))]
+    best = lambda folded: F.greatest(F.lit(None).cast("double"), F.lit(None).cast("double"), *(F.when(F.contains(folded, F.lit(n)) | F.contains(F.lit(n), folded), F.lit(w)) for n, w in names))
+    return F.when(F.coalesce(value, F.lit("")) == "", unknown).otherwise(clamp(F.coalesce(let(fold(value), best), F.lit(default))))
 
 
 def keyword_hits(blob: Column, include: dict[str, float]) -> Column:
@@ -70,7 +72,9 @@ def keyword_score(blob: Column, include: dict[str, float], exclude: list[str] =
     veto = F.lit(False)
     for term in exclude:
         veto = veto | whole_word(blob, term)
-    return F.struct(F.when(blob == "", None).when(veto, 0.0).otherwise(clamp(total / saturation)).alias("value"), (veto & (blob != "")).alias("veto"))
+    value = clamp(total / saturation) if include else F.lit(None).cast("double")
+    # bound, so that the search is made once for both fields
+    return let(veto & (blob != ""), lambda v: F.struct(F.when(blob == "", None).when(v, 0.0).otherwise(value).alias("value"), v.alias("veto")))
 
 
 def top_keywords(hits: Column, most: int = 5) -> Column:
@@ -80,11 +84,30 @@ def top_keywords(hits: Column, most: int = 5) -> Column:
 
 
 def field_score(blob: Column, profiles: list[tuple[str, float, list[str]]], floor: float = 0.15) -> Column:
-    """Best field of work among those with a term in the text: struct of value, profile and up to five hits; 0 below the floor."""
-    found = F.array_compact(F.array(*(F.when(F.size(h := F.array_compact(F.array(*(F.when(whole_word(blob, t), F.lit(t)) for t in terms)))) > 0, F.struct((-F.lit(float(weight))).alias("w"), F.lit(i).alias("i"), F.lit(name).alias("profile"), F.slice(h, 1, 5).alias("hits"))) for i, (name, weight, terms) in enumerate(profiles))))
-    best = F.get(F.array_sort(found), F.lit(0))
-    value = F.coalesce(-best["w"], F.lit(0.0))
-    return F.when(blob != "", F.struct(F.when(value < floor, 0.0).otherwise(clamp(value)).alias("value"), best["profile"].alias("profile"), best["hits"].alias("hits")))
+    """Best field of work: struct of value, profile and up to five hits; value 0 below the floor; null for an empty text.
+
+    A field whose terms occur counts in full, another by the largest lexical cosine of a term, each times its weight; of
+    equal ones the first wins. The floor's default is a fixed value.
+    """
+    profiles = [p for p in profiles if p[2]]
+    terms = [t for _, _, some in profiles for t in some]
+    first = [sum(len(p[2]) for p in profiles[:i]) for i in range(len(profiles))]
+
+    def entry(i: int, near: Column) -> Column:
+        name, weight, some = profiles[i]
+        hits = F.array_compact(F.array(*(F.when(whole_word(blob, t), F.lit(t)) for t in some)))
+        part = lambda h: F.struct((-F.lit(float(weight)) * F.when(F.size(h) > 0, 1.0).otherwise(F.array_max(F.slice(near, first[i] + 1, len(some))))).alias("w"), F.lit(i).alias("i"), F.lit(name).alias("profile"), F.slice(h, 1, 5).alias("hits"))
+        return let(hits, part)
+
+    def best(ranked: Column) -> Column:
+        top = F.get(ranked, F.lit(0))
+        value = -top["w"]
+        found = value > 0
+        return F.struct(F.when(value < floor, 0.0).otherwise(clamp(value)).alias("value"), F.when(found, top["profile"]).alias("profile"), F.when(found, top["hits"]).alias("hits"))
+
+    if not profiles:
+        return F.lit(None).cast("struct<value:double,profile:string,hits:array<string>>")
+    return F.when(blob != "", let(cosines_to(blob, terms), lambda near: let(F.array_sort(F.array(*(entry(i, near) for i in range(len(profiles))))), best)))
 
 
 def cpv_score(codes: Column, preferred: list[str], unknown: float = 0.4) -> Column:
@@ -151,19 +174,29 @@ class Profile:
     procedures: dict[str, float] = field(default_factory=lambda: {"open": 1.0, "restricted": 0.8, "negotiated": 0.6, "framework_agreement": 0.9, "prior_information_notice": 0.5, "expression_of_interest": 0.7, "direct_award": 0.2})
     cpv: tuple[str, ...] = ("72000000", "72200000", "72300000", "72500000", "72600000", "48000000", "79400000")
     #: preferences over the general tables, whose values are none of the reference market's
+    fields: tuple[tuple[str, float, tuple[str, ...]], ...] = (("construction", 1.0, ("building", "construction works")), ("equipment", 0.9, ("machinery", "machine parts")), ("mobility", 0.8, ("automobile repair",)))
+    keywords: dict[str, float] = field(default_factory=lambda: {"building": 3.0, "machinery": 2.0, "urgent": 2.0, "high": 1.0, "automobile": 1.5})
+    excluded: tuple[str, ...] = ("not specified",)
     locations: dict[str, float] = field(default_factory=lambda: {"France": 0.75, "Morocco": 0.8, "Algeria": 0.75, "Egypt": 0.6})
     organizations: dict[str, float] = field(default_factory=lambda: {"Customer#000000001": 1.0, "Customer#000000002": 0.95})
 
 
 Criterion = Callable[[DataFrame, Profile, Column], Column]
 CRITERIA: dict[str, Criterion] = {}
+_VETOING: set[str] = set()
 
 
-def criterion(name: str) -> Callable[[Criterion], Criterion]:
-    """Register a criterion: a column from the notices, the profile and the clock."""
+def criterion(name: str, veto: bool = False) -> Callable[[Criterion], Criterion]:
+    """Register a criterion: a column from the notices, the profile and the clock; null where it does not apply.
+
+    Beside the columns of the notices there is `_blob`, their folded text. With `veto` the column is a struct of value and veto.
+    """
 
     def register(f: Criterion) -> Criterion:
         CRITERIA[name] = f
+        _VETOING.discard(name)
+        if veto:
+            _VETOING.add(name)
         return f
 
     return register
@@ -171,7 +204,17 @@ def criterion(name: str) -> Callable[[Criterion], Criterion]:
 
 def isolated(value: Column) -> Column:
     """A criterion's value, or null where it isn't a number between 0 and 1 (a failing criterion must not stop the rest)."""
-    return F.when(~F.isnan(value) & value.between(0.0, 1.0), value)
+    return let(value, lambda v: F.when(~F.isnan(v) & v.between(0.0, 1.0), v))
+
+
+def _given(notices: DataFrame, name: str, kind: str) -> Column:
+    """A column that notices may have, joined from elsewhere."""
+    return F.col(name) if name in notices.columns else F.lit(None).cast(kind)
+
+
+@criterion("field_of_work")
+def _field_of_work(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    return let(field_score(F.col("_blob"), [(n, w, list(t)) for n, w, t in profile.fields]), lambda x: x["value"])
 
 
 @criterion("deadline_proximity")
@@ -179,20 +222,37 @@ def _deadline(notices: DataFrame, profile: Profile, now: Column) -> Column:
     return deadline_score(days_until("deadline", now))
 
 
+@criterion("keywords", veto=True)
+def _keywords(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    if not profile.keywords and not profile.excluded:
+        return F.lit(None).cast("struct<value:double,veto:boolean>")
+    return keyword_score(F.col("_blob"), profile.keywords, list(profile.excluded))
+
+
 @criterion("budget")
 def _budget(notices: DataFrame, profile: Profile, now: Column) -> Column:
     rates = F.create_map(*(x for k, v in profile.currency_rates.items() for x in (F.lit(k), F.lit(v))))
-    return budget_score(F.col("budget") * F.coalesce(F.try_element_at(rates, F.upper("currency")), F.lit(1.0)))
+    return let(F.col("budget") * F.coalesce(F.try_element_at(rates, F.upper("currency")), F.lit(1.0)), lambda amount: budget_score(amount))
 
 
 @criterion("location")
 def _location(notices: DataFrame, profile: Profile, now: Column) -> Column:
-    return lookup_score(F.col("country"), profile.locations, 0.3, 0.4)
+    return lookup_score(F.concat_ws(" ", "country", _given(notices, "location", "string")), profile.locations, 0.3, 0.4)
 
 
 @criterion("organization")
 def _organization(notices: DataFrame, profile: Profile, now: Column) -> Column:
-    return lookup_score(F.col("buyer"), profile.organizations, 0.4, 0.4)
+    return lookup_score(F.concat_ws(" ", "buyer", _given(notices, "funder", "string")), profile.organizations, 0.4, 0.4)
+
+
+@criterion("cpv_similarity")
+def _cpv(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    return cpv_score(_given(notices, "cpv_codes", "array<string>"), list(profile.cpv)) if profile.cpv else F.lit(None).cast("double")
+
+
+@criterion("historical_success")
+def _history(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    return history_score(_given(notices, "wins", "double"), _given(notices, "decided", "double"))
 
 
 @criterion("procurement_type")
@@ -201,9 +261,20 @@ def _procedure(notices: DataFrame, profile: Profile, now: Column) -> Column:
 
 
 def score_notices(notices: DataFrame, profile: Profile, now: Column) -> DataFrame:
-    """Notices with their score, band and breakdown; weights of unregistered criteria are skipped."""
-    values = {k: CRITERIA[k](notices, profile, now) for k, w in profile.weights.items() if w > 0 and k in CRITERIA}
-    named = notices.withColumns({f"_{k}": isolated(v) for k, v in values.items()})
-    held = {k: F.col(f"_{k}") for k in values}
-    scored = named.withColumns({"score": F.round(combined(held, profile.weights), 6), "breakdown": breakdown(held, profile.weights), "profile_version": F.lit(profile.version)})
-    return scored.withColumn("band", band(F.col("score"))).drop(*(f"_{k}" for k in values))
+    """Notices with their score, band and breakdown; weights of unregistered criteria are skipped.
+
+    Text is folded once and each criterion computed once: their columns are used more than once above, so the optimizer
+    keeps them apart.
+    """
+    texts = [c for c in ("title", "description", "sector", "category", "buyer") if c in notices.columns]
+    rows = notices.withColumn("_blob", text_blob(*texts, full_text="full_text" if "full_text" in notices.columns else None))
+    live = [k for k, w in profile.weights.items() if w > 0 and k in CRITERIA]
+    named = rows.withColumns({f"_{k}": CRITERIA[k](rows, profile, now) if k in _VETOING else isolated(CRITERIA[k](rows, profile, now)) for k in live})
+    held = {k: F.col(f"_{k}")["value"] if k in _VETOING else F.col(f"_{k}") for k in live}
+    veto = F.lit(False)
+    for k in live:
+        if k in _VETOING:
+            veto = veto | F.coalesce(F.col(f"_{k}")["veto"], F.lit(False))
+    scored = named.withColumns({"_veto": veto, "breakdown": breakdown(held, profile.weights), "profile_version": F.lit(profile.version)})
+    scored = scored.withColumn("score", let(combined(held, profile.weights, F.col("_veto")), lambda v: F.round(v, 6)))
+    return scored.withColumn("band", band(F.col("score"), veto=F.col("_veto"))).drop("_blob", "_veto", *(f"_{k}" for k in live))

@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams, fold, tokens
+from ..functions.text import STOP_WORDS, char_grams, fold, let, plain_fold, tokens
+from .joins import blocked_pairs
 
 # Weight of an occurrence of a word and of a character run.
 TOKEN_WEIGHT, GRAM_WEIGHT = 0.65, 0.35
 
 
+def terms_of(folded: Column) -> Column:
+    """Words and 4-character runs of a folded text, each marked by its kind."""
+    return F.concat(F.transform(tokens(folded, True), lambda t: F.concat(F.lit("w:"), t)), F.transform(char_grams(folded, folded=True), lambda g: F.concat(F.lit("g:"), g)))
+
+
+def _weight(term: Column) -> Column:
+    return F.when(F.startswith(term, F.lit("w:")), TOKEN_WEIGHT).otherwise(GRAM_WEIGHT)
+
+
+def literal_vector(text: str) -> dict[str, float]:
+    """The unit vector of a text of the configuration, on the driver."""
+    folded = plain_fold(text)
+    compact = folded.replace(" ", "_")
+    runs = [compact[i : i + 4] for i in range(len(compact) - 3)] or [compact] * bool(compact)
+    counts = Counter([f"w:{t}" for t in folded.split() if len(t) > 2 and t not in STOP_WORDS] + [f"g:{g}" for g in runs])
+    raw = {t: 1 + math.log(n * (TOKEN_WEIGHT if t.startswith("w:") else GRAM_WEIGHT)) for t, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+    return {t: x / norm for t, x in raw.items()}
+
+
+def cosines_to(folded: Column, texts: list[str]) -> Column:
+    """Lexical cosines in [0, 1] of a folded text to some texts of the configuration, as an array: no join, nothing shuffled."""
+    vectors = [literal_vector(t) for t in texts]
+    known = sorted({t for v in vectors for t in v})
+    tables = [F.create_map(*(F.lit(x) for item in v.items() for x in item)) if v else None for v in vectors]
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda b: F.transform(b, lambda x, j: F.struct(F.get(s, x).alias("term"), (1 + F.log((F.coalesce(F.get(b, j + 1), F.size(s)) - x) * _weight(F.get(s, x)))).alias("raw"))))
+
+    def cosines(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["raw"] * x["raw"]))
+        hits = F.filter(c, lambda x: x["term"].isin(*known))
+        dot = lambda h, table: F.lit(0.0) if table is None else F.aggregate(h, F.lit(0.0), lambda a, x: a + x["raw"] * F.coalesce(F.try_element_at(table, x["term"]), F.lit(0.0)))
+        return let(F.struct(hits.alias("h"), F.when(norm > 0, norm).otherwise(1.0).alias("norm")), lambda b: F.array(*(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(b["h"], t) / b["norm"])) for t in tables)))
+
+    none = F.array(*(F.lit(0.0) for _ in texts))
+    return let(F.sort_array(terms_of(folded)), lambda s: F.when(F.size(s) == 0, none).otherwise(let(counted(s), cosines)))
+
+
 def lexical_vectors(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     """Unit vectors as rows of id, term, weight: words and 4-character runs at 1 + ln(count x weight), negative ones included."""
     folded = rows.select(F.col(row_id).alias("id"), fold(F.col(text)).alias("f"))
-    both = F.concat(F.transform(tokens(F.col("f")), lambda t: F.concat(F.lit("w:"), t)), F.transform(char_grams(F.col("f")), lambda g: F.concat(F.lit("g:"), g)))
-    counts = folded.select("id", F.explode(both).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    raw = counts.withColumn("raw", 1 + F.log(F.col("n") * F.when(F.startswith("term", F.lit("w:")), TOKEN_WEIGHT).otherwise(GRAM_WEIGHT)))
+    counts = folded.select("id", F.explode(terms_of(F.col("f"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    raw = counts.withColumn("raw", 1 + F.log(F.col("n") * _weight(F.col("term"))))
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("weight"))
 
@@ -38,10 +80,11 @@ def dense_cosine(a: Column, b: Column) -> Column:
 
 
 def scored_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every chunk's cosine to every query. queries: query_id, query_vector - a handful of postings, checked to be at most 1000."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("search takes at most 1000 queries at a time")
-    return chunks.join(F.broadcast(queries)).withColumn("score", dense_cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector")
+    """Every chunk's cosine to every query, whose number is counted: up to 1000 are broadcast, more meet the chunks in blocks.
+
+    queries: query_id, query_vector.
+    """
+    return blocked_pairs(chunks, queries, 1000).withColumn("score", dense_cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector")
 
 
 def search(queries: DataFrame, chunks: DataFrame, limit: int = 10, category: Column | None = None) -> DataFrame:
@@ -81,4 +124,4 @@ def backend(name: str) -> Backend:
 
 
 register_backend("lexical", lambda a, b: lexical_cosine(lexical_vectors(a, "id", "text"), lexical_vectors(b, "id", "text")))
-register_backend("dense", lambda a, b: a.select(F.col("id").alias("left_id"), F.col("vector").alias("va")).join(F.broadcast(b.select(F.col("id").alias("right_id"), F.col("vector").alias("vb")).limit(1000))).select("left_id", "right_id", dense_cosine(F.col("va"), F.col("vb")).alias("similarity")))
+register_backend("dense", lambda a, b: blocked_pairs(a.select(F.col("id").alias("left_id"), F.col("vector").alias("va")), b.select(F.col("id").alias("right_id"), F.col("vector").alias("vb")), 1000).select("left_id", "right_id", dense_cosine(F.col("va"), F.col("vb")).alias("similarity")))

@@ -113,10 +113,10 @@ def preferences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, N.PREFERENCES)
 
 
-PREFS = """r AS (SELECT *, CASE band WHEN 'highly_relevant' THEN 3 WHEN 'relevant' THEN 2 ELSE 1 END AS b, lower(title) AS t FROM scored),
-m AS (SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u1' AS user_id, NULL AS rejected_by FROM r
-  UNION ALL SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u2', CASE WHEN b < 2 THEN 'below_relevance_floor' WHEN score < 0.55 THEN 'below_score_floor' WHEN budget < 1000 THEN 'below_budget_floor' WHEN contains(t, 'low') THEN 'excluded_keyword' WHEN country <> 'CHINA' THEN 'country_mismatch' END FROM r
-  UNION ALL SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u3', CASE WHEN sector <> 'BUILDING' THEN 'sector_mismatch' WHEN NOT (contains(t, 'urgent') OR contains(t, 'high')) THEN 'keyword_mismatch' END FROM r
+PREFS = """r AS (SELECT *, CASE band WHEN 'highly_relevant' THEN 3 WHEN 'relevant' THEN 2 WHEN 'out_of_scope' THEN -1 ELSE 1 END AS b, lower(title) AS t FROM scored),
+m AS (SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u1' AS user_id, CASE WHEN b < 0 THEN 'out_of_scope' END AS rejected_by FROM r
+  UNION ALL SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u2', CASE WHEN b < 0 THEN 'out_of_scope' WHEN b < 2 THEN 'below_relevance_floor' WHEN score < 0.55 THEN 'below_score_floor' WHEN budget < 1000 THEN 'below_budget_floor' WHEN contains(t, 'low') THEN 'excluded_keyword' WHEN country <> 'CHINA' THEN 'country_mismatch' END FROM r
+  UNION ALL SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u3', CASE WHEN b < 0 THEN 'out_of_scope' WHEN sector <> 'BUILDING' THEN 'sector_mismatch' WHEN NOT (contains(t, 'urgent') OR contains(t, 'high')) THEN 'keyword_mismatch' END FROM r
   UNION ALL SELECT notice_id, title, buyer, country, zone, deadline, score, band, b, 'u4', 'inactive_user' FROM r)"""
 
 
@@ -140,7 +140,7 @@ def notify_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {NOTICES}, {SCORED}, {PREFS} SELECT notice_id, '[' || CASE band WHEN 'relevant' THEN 'Relevant' WHEN 'highly_relevant' THEN 'Highly Relevant' ELSE 'Low Relevance' END || '] ' || title AS subject,
+WITH {NOTICES}, {SCORED}, {PREFS} SELECT notice_id, '[' || CASE band WHEN 'relevant' THEN 'Relevant' WHEN 'highly_relevant' THEN 'Highly Relevant' WHEN 'out_of_scope' THEN 'Out Of Scope' ELSE 'Low Relevance' END || '] ' || title AS subject,
   CASE WHEN notice_id % 5 = 0 THEN '' ELSE title || chr(10) || chr(10) || 'Buyer: ' || buyer || chr(10) || 'Country: ' || country || chr(10) || 'Deadline: ' || coalesce(strftime(deadline, '%d/%m/%Y'), 'unpublished') || chr(10) END || 'Source: ' || zone AS body FROM m WHERE user_id = 'u1'""")
 def notify_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matched(spark, sf_dir).where("user_id = 'u1'").withColumn("score", F.when(F.col("notice_id") % 5 != 0, F.col("score")))

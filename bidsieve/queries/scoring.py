@@ -12,9 +12,10 @@ from ..operators import scoring as S
 from ..registry import query
 from ..sources.tables import read
 from .listing import KEYWORDS
+from .duplicates import VECTOR
 from .lookups import HISTORY
 from .scalars import fold_sql
-from .sqltext import BUDGET, DEADLINE, LOCATION, ORGANIZATION, PROCEDURE, SCORED
+from .sqltext import BUDGET, DEADLINE, LOCATION, ORGANIZATION, PROCEDURE, SCORED, VALUES
 
 
 def scored(spark: SparkSession, sf_dir: str, profile: S.Profile | None = None) -> DataFrame:
@@ -27,15 +28,19 @@ def score_text_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fields of work over the documents' languages.
-FIELDS = [("english", 1.0, ["the", "with"]), ("german", 0.95, ["der", "und die"]), ("french", 0.9, ["les", "que"])]
+FIELDS = [("english", 1.0, ["the", "with"]), ("german", 0.95, ["der", "und die"]), ("french", 0.9, ["les", "que"]), ("licence", 0.8, ["published under creative commons licence"])]
 
 
 @query(rf"""
-WITH f AS (SELECT doc_id, ' ' || {fold_sql('text')} || ' ' AS f FROM documents), h AS (SELECT doc_id, f, contains(f, ' the ') AS a, contains(f, ' with ') AS b, contains(f, ' der ') AS c, contains(f, ' und die ') AS d, contains(f, ' les ') AS e, contains(f, ' que ') AS g FROM f)
-SELECT doc_id, CASE WHEN trim(f) = '' THEN NULL WHEN a OR b THEN 1.0 WHEN c OR d THEN 0.95 WHEN e OR g THEN 0.9 ELSE 0.0 END::DOUBLE AS value, CASE WHEN a OR b THEN 'english' WHEN c OR d THEN 'german' WHEN e OR g THEN 'french' END AS profile FROM h""")
+WITH d AS (SELECT doc_id, {fold_sql('text')} AS f FROM documents), t(tid, profile, rank, weight, tf) AS (VALUES {', '.join(f"('t{i}', '{n}', {r}, {w}::DOUBLE, '{t}')" for i, (n, r, w, t) in enumerate((n, r, w, t) for r, (n, w, some) in enumerate(FIELDS) for t in some))}),
+folded AS (SELECT 'd' || doc_id AS id, f FROM d UNION ALL SELECT tid, tf FROM t), {VECTOR},
+s AS (SELECT a.id, b.id AS tid, greatest(0, least(1, sum(a.weight * b.weight))) AS near FROM vectors a JOIN vectors b ON a.term = b.term AND a.id[1] = 'd' AND b.id[1] = 't' GROUP BY 1, 2),
+p AS (SELECT doc_id, f, profile, rank, weight * CASE WHEN bool_or(contains(' ' || f || ' ', ' ' || tf || ' ')) THEN 1 ELSE max(coalesce(near, 0)) END AS v FROM d CROSS JOIN t LEFT JOIN s ON s.id = 'd' || doc_id AND s.tid = t.tid GROUP BY doc_id, f, profile, rank, weight),
+b AS (SELECT doc_id, f, max(v) AS v, arg_max(profile, (v, -rank)) AS profile FROM p GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN f = '' THEN NULL WHEN v < 0.15 THEN 0 ELSE round(v, 6) END::DOUBLE AS value, CASE WHEN f <> '' AND v > 0 THEN profile END AS profile FROM b""")
 def score_field_of_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("blob"))
-    return rows.select("doc_id", S.field_score(F.col("blob"), FIELDS).alias("s")).select("doc_id", "s.value", "s.profile")
+    return rows.select("doc_id", S.field_score(F.col("blob"), FIELDS).alias("s")).select("doc_id", F.round("s.value", 6).alias("value"), "s.profile")
 
 
 @query(f"WITH {NOTICES} SELECT notice_id, round({DEADLINE}, 6) AS value FROM notices")
@@ -96,12 +101,12 @@ def combine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("notice_id", F.col("score"))
 
 
-@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, CASE WHEN notice_id % 17 = 0 THEN 'out_of_scope' ELSE band END AS band FROM scored")
+@query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, CASE WHEN notice_id % 17 = 0 THEN 'out_of_scope' WHEN band = 'out_of_scope' THEN 'low_relevance' ELSE band END AS band FROM scored")
 def score_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("notice_id", S.band(F.col("score"), veto=F.col("notice_id") % 17 == 0).alias("band"))
 
 
-ENTRIES = f"""{NOTICES}, {SCORED}, e AS (SELECT notice_id, unnest([{{'criterion': 'deadline_proximity', 'value': v_deadline, 'weight': 0.22::DOUBLE}}, {{'criterion': 'budget', 'value': v_budget, 'weight': 0.09::DOUBLE}}, {{'criterion': 'location', 'value': v_location, 'weight': 0.13::DOUBLE}}, {{'criterion': 'organization', 'value': v_organization, 'weight': 0.05::DOUBLE}}], recursive := true) FROM scored)"""
+ENTRIES = f"""{NOTICES}, {SCORED}, e AS (SELECT notice_id, unnest([{', '.join(f"{{'criterion': '{k}', 'value': {v}, 'weight': {w}::DOUBLE}}" for k, v, w in VALUES)}], recursive := true) FROM scored)"""
 
 
 @query(f"WITH {ENTRIES} SELECT notice_id, criterion, round_even(value, 4) AS value, weight, TRUE AS applicable FROM e")
