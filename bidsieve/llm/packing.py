@@ -28,7 +28,7 @@ from .bpe import byte_characters
 from .common import parts, slices, text_of
 
 _PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_LIMIT = 700_000
+_LIMIT = 350_000
 #: Fixed values of the published word-end vocabulary, on which the cuts of `Words` rest.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import durable, text_of, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -35,11 +35,6 @@ _BROADCAST = 200_000
 _SALTS = 64
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Equal for rows that get the same verdict."""
-    return F.xxhash64(docs["doc_id"].cast("long"), text_of(docs), docs["lang"].cast("string"), docs["source"].cast("string"))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -64,9 +59,9 @@ def _repeated_words(words: Column, window: int) -> Column:
 
 
 def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
-    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines, n_upper."""
+    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, and the row itself."""
     text = text_of(docs)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text.alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text.alias("text"))
     trimmed = F.btrim("text", F.lit(_BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
@@ -74,11 +69,11 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     length = lambda c: F.length(c).cast("long")
     return base.select(
-        "doc_id", "row_key", "lang", "source", counted.alias("w"), by_line.alias("l"),
+        "doc_id", "row", "lang", "source", counted.alias("w"), by_line.alias("l"),
         length(F.translate("text", _BLANKS, "")).alias("word_chars"),
         (length(F.col("text")) - length(F.translate("text", _SYMBOLS, ""))).alias("n_symbols"),
         (length(F.col("text")) - length(F.regexp_replace("text", r"\p{Lu}+", ""))).alias("n_upper"),
-    ).select("doc_id", "row_key", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper")
+    ).select("doc_id", "row", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper")
 
 
 def _vector() -> list[Column]:
@@ -197,6 +192,31 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame
     return durable(best.select("g", "best.*"))
 
 
+COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _facts(docs: DataFrame, *more: str) -> DataFrame:
+    """Counts of every row, base_failed, the names of its groups from small to large, and its vector."""
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    names = F.array(F.concat(tag("lang"), F.lit("\x1f"), tag("source")), F.concat(tag("lang"), F.lit("\x1f")), F.lit(""))
+    return statistics(docs).withColumn("base_failed", failed).select(*COUNTS, *more, "base_failed", names.alias("names"), *_vector())
+
+
+def _judged(facts: DataFrame, share: float, steps: int, least: int) -> DataFrame:
+    """Rows of facts that the base rules let pass, with their distance d2 to their group's estimate."""
+    sound = facts.where(~F.col("base_failed")).withColumn("own", F.col("names")[0])
+    sizes = sound.groupBy("own", F.col("names")[1].alias("lang")).agg(F.count("*").alias("n"))
+    sizes = durable(sizes.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))).select("own", F.when(F.col("n") >= least, 1).when(F.col("of_lang") >= least, 2).otherwise(3).alias("level")))
+    #: every row shapes the estimate of each level that some group needs; it is judged by its own
+    placed = _beside(sound, sizes, "own").withColumn("g", F.element_at("names", F.col("level"))).drop("own")
+    slim = durable(placed.select("level", "g", "names", *_X))
+    used = slim.select("g").where("level > 1").distinct()
+    pooled = slim.select(F.explode(F.slice("names", 2, 2)).alias("g"), *_X)
+    rows = slim.where("level = 1").select("g", *_X).unionByName(_beside(pooled, durable(used)))
+    return _distance(placed, estimates(rows, share, steps))
+
+
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 * _DIM, quantile: float = 1 - 1e-9) -> DataFrame:
     """Statistics of every row and whether it is kept.
 
@@ -209,28 +229,15 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 *
     sources are groups of their own; repeated rows count each; ties in distance fall together; an empty table gives an empty
     result.
     """
-    counts = statistics(docs)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    names = F.array(F.concat(tag("lang"), F.lit("\x1f"), tag("source")), F.concat(tag("lang"), F.lit("\x1f")), F.lit(""))
-    columns = ["doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    facts = durable(counts.withColumn("base_failed", failed).select(*columns, "base_failed", names.alias("names"), *_vector()))
-    sound = facts.where(~F.col("base_failed")).withColumn("own", F.col("names")[0])
-    sizes = sound.groupBy("own", F.col("names")[1].alias("lang")).agg(F.count("*").alias("n"))
-    sizes = durable(sizes.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))).select("own", F.when(F.col("n") >= least, 1).when(F.col("of_lang") >= least, 2).otherwise(3).alias("level")))
-    #: every row shapes the estimate of each level that some group needs; it is judged by its own
-    judged = durable(_beside(sound, sizes, "own").select(*columns, "level", F.element_at("names", F.col("level")).alias("g"), "names", *_X))
-    used = judged.select("g").where("level > 1").distinct()
-    pooled = judged.select(F.explode(F.slice("names", 2, 2)).alias("g"), *_X)
-    rows = judged.where("level = 1").select("g", *_X).unionByName(_beside(pooled, durable(used)))
-    passed = _distance(judged, estimates(rows, share, steps)).select(*columns, F.lit(False).alias("base_failed"), F.sqrt("d2").alias("distance"), (F.col("d2") <= chi_square(quantile, _DIM)).alias("kept"))
-    return passed.unionByName(facts.where("base_failed").select(*columns, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
-
-
-def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of docs, with all their columns, that the rules keep."""
-    kept = judge(docs).where("kept").select(F.col("row_key").alias("_kept")).distinct()
-    return docs.join(kept, row_key(docs) == kept["_kept"], "left_semi")
+    facts = durable(_facts(docs))
+    passed = _judged(facts, share, steps, least).select(*COUNTS, F.lit(False).alias("base_failed"), F.sqrt("d2").alias("distance"), (F.col("d2") <= chi_square(quantile, _DIM)).alias("kept"))
+    return passed.unionByName(facts.where("base_failed").select(*COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
+
+
+def keep_good(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 * _DIM, quantile: float = 1 - 1e-9) -> DataFrame:
+    """Rows of docs, with all their columns, that `judge` keeps. The rows lie beside their facts, so none is shuffled."""
+    facts = written(_facts(docs, "row"))
+    return _judged(facts, share, steps, least).where(F.col("d2") <= chi_square(quantile, _DIM)).select("row.*")
 
 
 def digest(result: DataFrame) -> DataFrame:
