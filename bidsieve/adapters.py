@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.tables import read
+from .sources.tables import read, spread
 
 #: The clock: every operator takes it as a literal.
 NOW = "1998-06-01 00:00:00"
@@ -20,8 +20,10 @@ def events_now() -> F.Column:
     return F.lit(EVENTS_NOW).cast("timestamp_ntz")
 
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def notices(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """Orders as notices; dealt out to all cores where what follows is costly."""
     orders, customer, nation, region = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    orders = spread(orders) if costly else orders
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words without weight in comparisons (French, English, procurement boilerplate).
@@ -31,6 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bound(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with costly columns computed once: generated rows of one struct, into which the optimizer inlines nothing from above."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

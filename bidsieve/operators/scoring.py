@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, let, plain_fold, whole_word
+from ..functions.text import bound, fold, let, plain_fold, whole_word
 from .similarity import cosines_to
 
 
@@ -263,13 +263,12 @@ def _procedure(notices: DataFrame, profile: Profile, now: Column) -> Column:
 def score_notices(notices: DataFrame, profile: Profile, now: Column) -> DataFrame:
     """Notices with their score, band and breakdown; weights of unregistered criteria are skipped.
 
-    Text is folded once and each criterion computed once: their columns are used more than once above, so the optimizer
-    keeps them apart.
+    Text is folded once and each criterion computed once, whatever filters and sorts by the score come after (`bound`).
     """
     texts = [c for c in ("title", "description", "sector", "category", "buyer") if c in notices.columns]
-    rows = notices.withColumn("_blob", text_blob(*texts, full_text="full_text" if "full_text" in notices.columns else None))
+    rows = bound(notices, {"_blob": text_blob(*texts, full_text="full_text" if "full_text" in notices.columns else None)})
     live = [k for k, w in profile.weights.items() if w > 0 and k in CRITERIA]
-    named = rows.withColumns({f"_{k}": CRITERIA[k](rows, profile, now) if k in _VETOING else isolated(CRITERIA[k](rows, profile, now)) for k in live})
+    named = bound(rows, {f"_{k}": CRITERIA[k](rows, profile, now) if k in _VETOING else isolated(CRITERIA[k](rows, profile, now)) for k in live}) if live else rows
     held = {k: F.col(f"_{k}")["value"] if k in _VETOING else F.col(f"_{k}") for k in live}
     veto = F.lit(False)
     for k in live:

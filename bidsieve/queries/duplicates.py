@@ -11,6 +11,7 @@ from ..functions import url as U
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import similarity as V
+from ..operators.blocking import near_duplicates
 from ..registry import query
 from ..sources.tables import read
 from .lookups import HASHED, hashed
@@ -68,9 +69,7 @@ def dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_dup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The semantic stage at scale: 4-gram MinHash bands find candidates, the lexical cosine verifies them."""
-    from ..operators.blocking import near_duplicates
-
-    return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", least=0.92)
+    return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", least=0.92).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""

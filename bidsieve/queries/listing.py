@@ -20,7 +20,7 @@ NOW = "TIMESTAMP '1998-06-01'"
 
 @query(f"WITH {NOTICES}, {SCORED} SELECT notice_id, buyer, country, status, deadline, score, band FROM scored WHERE country IN ('FRANCE', 'GERMANY', 'CHINA', 'NATION_1', 'NATION_2') OR score >= 0.6 ORDER BY score DESC, notice_id LIMIT 200")
 def list_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = S.score_notices(notices(spark, sf_dir), S.Profile(), now())
+    scored = S.score_notices(notices(spark, sf_dir, costly=True), S.Profile(), now())
     chosen = scored.where(F.col("country").isin("FRANCE", "GERMANY", "CHINA", "NATION_1", "NATION_2") | (F.col("score") >= 0.6))
     return L.page(L.sorted_by(chosen, "-score", ["notice_id"]), 1, 200).select("notice_id", "buyer", "country", "status", "deadline", "score", "band")
 

@@ -19,7 +19,7 @@ from .sqltext import BUDGET, DEADLINE, LOCATION, ORGANIZATION, PROCEDURE, SCORED
 
 
 def scored(spark: SparkSession, sf_dir: str, profile: S.Profile | None = None) -> DataFrame:
-    return S.score_notices(notices(spark, sf_dir), profile or S.Profile(), now())
+    return S.score_notices(notices(spark, sf_dir, costly=True), profile or S.Profile(), now())
 
 
 @query(f"WITH {NOTICES} SELECT notice_id, {fold_sql('title')} || ' ' || {fold_sql('sector')} || ' ' || {fold_sql('buyer')} AS blob FROM notices")

@@ -29,7 +29,18 @@ def schema(name: str) -> T.StructType:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder. The file's own schema is used, so that timestamps keep their kind."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+#: Tables of long texts, whose every operation is costly.
+TEXTS = ("documents", "pages")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores where its files have too few row groups for that, as small tables do."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
