@@ -19,9 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, local_roots
 from .common import durable, parts, whole_groups
-from .components import components
-from .simhash import local_roots
 
 _KEYED = "pair long, rep long, n long, pivots binary, vector binary"
 _JOINED = "a long, b long, links long"

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, local_roots
 from .common import WORD, bytes_of, durable, parts, slices, text_of, whole_groups
-from .components import components
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: Parity masks of the Hamming code: bit i (0 to 62) has the number i + 1, bit 63 is free.
@@ -94,20 +94,6 @@ def _spread(reach: int):
     return run
 
 
-def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n points reaches through the given links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compared(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["anchor"]):
