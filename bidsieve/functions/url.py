@@ -10,7 +10,7 @@ TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 #: Parameters whose values are secret.
 SECRET = ["token", "access_token", "api_key", "apikey", "key", "password", "secret", "signature", "auth"]
 
-_PARTS = r"^\s*(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_PARTS = r"^\s*(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::(\d+))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def _part(url: Column, i: int) -> Column:
@@ -47,8 +47,9 @@ def identity(url: Column) -> Column:
 
 def guarded(url: Column) -> Column:
     """Why a URL must not be fetched: another scheme, no host, or a private host; null if it may."""
-    private = r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|0\.0\.0\.0|.*\.local|.*\.internal)$"
-    return F.when(~F.lower(_part(url, 1)).isin("http", "https"), "scheme").when(host(url) == "", "host").when(host(url).rlike(private), "private")
+    private = r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|0\..*|.*\.local|.*\.internal)$"
+    inside = r"^\[(::1?|fe80:.*|f[cd][0-9a-f]{2}:.*|::ffff:.*)\]$"
+    return F.when(~F.lower(_part(url, 1)).isin("http", "https"), "scheme").when(host(url) == "", "host").when(host(url).rlike(private) | host(url).rlike(inside), "private")
 
 
 def redacted(url: Column, secret: list[str] = SECRET) -> Column:

@@ -17,19 +17,19 @@ TODAY = "2026-01-01"
 
 
 def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CV per document: experience, languages and certifications that follow from the id, then the text's first line."""
+    """A CV per document: experience, languages and certifications that follow from the id, then the whole text as its summary."""
     line = lambda when, text: F.expr(f"case when {when} then {text} end")
     parts = [
         F.lit("Work experience"), line("doc_id % 3 = 0", "concat('Over ', doc_id % 20, ' years of experience')"), line("doc_id % 3 = 1", "concat('01/', 2000 + doc_id % 10, ' - 01/', 2003 + doc_id % 10)"),
         line("doc_id % 3 = 1", "concat('06/', 2001 + doc_id % 10, ' - 01/', 2008 + doc_id % 10)"), line("doc_id % 7 = 0", "concat('Age: ', 20 + doc_id % 40)"), F.lit("Languages"), line("doc_id % 2 = 0", "'English'"), line("doc_id % 5 = 0", "'French (in progress)'"),
-        F.lit("Certifications"), line("doc_id % 4 = 0", "'PMP'"), F.lit("Education"), line("doc_id % 6 < 3", "'Master'"), F.lit("Summary"), F.substring_index("text", "\n", 1),
+        F.lit("Certifications"), line("doc_id % 4 = 0", "'PMP'"), F.lit("Education"), line("doc_id % 6 < 3", "'Master'"), F.lit("Summary"), F.col("text"),
     ]
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cv_id"), F.concat_ws("\n", *parts).alias("text"))
 
 
 @query("""
 WITH l AS (SELECT doc_id AS cv_id, [6 + CASE WHEN doc_id % 3 = 1 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + (doc_id % 7 = 0)::INT + (doc_id % 2 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 4 = 0)::INT + (doc_id % 6 < 3)::INT - 1][1] AS fixed FROM documents)
-SELECT cv_id, fixed + (trim(split_part(text, chr(10), 1)) <> '')::INT AS lines, 5 AS sections FROM l JOIN documents ON doc_id = cv_id""")
+SELECT cv_id, fixed + coalesce(len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']), 0) AS lines, 5 AS sections FROM l JOIN documents ON doc_id = cv_id""")
 def cv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(cvs(spark, sf_dir)).groupBy("cv_id").agg(F.count("*").alias("lines"), F.count_distinct("section").alias("sections"))
 
