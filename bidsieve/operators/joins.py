@@ -32,22 +32,30 @@ def candidate_window(incoming: DataFrame, stored: DataFrame, days: int = 120, sl
     """Stored notices that may be the same as an incoming one: published within `days` before it, of its country (or of
     none), with a deadline within `slack` days (or none on a side); the `most` newest per incoming row.
 
-    A range join on days: both sides meet in buckets of `days`, an incoming row looks into its own bucket and the one before.
+    A range join: both sides meet in buckets of `days` of publication and in buckets of deadlines; an incoming row looks into
+    its own bucket of publication and the one before, and into its own of deadlines and those beside it.
     Where one side has no country, that test falls away and the date alone decides.
     """
+    day, none = 86_400_000_000, F.lit("-")
     bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    due = lambda c: F.floor(F.unix_date(F.to_date(c)) / (slack + 1))
     left = incoming.select(F.col("notice_id").alias("incoming_id"), F.col("country").alias("ic"), F.col("publication").alias("ip"), F.col("deadline").alias("idl")).withColumn("b", F.explode(F.array(bucket(F.col("ip")), bucket(F.col("ip")) - 1)))
-    right = stored.select(F.col("notice_id").alias("stored_id"), F.col("country").alias("sc"), F.col("publication").alias("sp"), F.col("deadline").alias("sdl")).withColumn("sb", bucket(F.col("sp")))
+    right = stored.select(F.col("notice_id").alias("stored_id"), F.col("country").alias("sc"), F.col("publication").alias("sp"), F.col("deadline").alias("sdl"))
+    right = right.withColumns({"sb": bucket(F.col("sp")), "place": F.coalesce(F.concat(F.lit("="), "sc"), none), "term": F.coalesce(due(F.col("sdl")).cast("string"), none)})
     age = F.unix_micros(F.col("ip").cast("timestamp")) - F.unix_micros(F.col("sp").cast("timestamp"))
-    day = 86_400_000_000
     near = (age >= 0) & (age <= days * day) & (F.col("stored_id") != F.col("incoming_id"))
     gap = F.abs(F.unix_micros(F.col("idl").cast("timestamp")) - F.unix_micros(F.col("sdl").cast("timestamp")))
     close = F.col("idl").isNull() | F.col("sdl").isNull() | (gap <= slack * day)
-    same = left.join(right.where("sc is not null"), (F.col("b") == F.col("sb")) & (F.col("ic") == F.col("sc")))
-    any_country = left.join(right.where("sc is null"), F.col("b") == F.col("sb"))
-    no_country = left.where("ic is null").join(right.where("sc is not null"), F.col("b") == F.col("sb"))
+    # an incoming row asks for each place and each span of deadlines that may fit it, so that only likely pairs meet
+    placed = left.where("ic is not null").withColumn("place", F.explode(F.array(F.concat(F.lit("="), "ic"), none)))
+    dated = placed.where("idl is not null").withColumn("term", F.explode(F.array(*((due(F.col("idl")) + i).cast("string") for i in (-1, 0, 1)), none)))
+    met = dated.join(right.withColumnRenamed("sb", "b"), ["b", "place", "term"])
+    undated = placed.where("idl is null").join(right.withColumnRenamed("sb", "b").drop("term"), ["b", "place"])
+    anywhere = left.where("ic is null").join(right.withColumnRenamed("sb", "b").drop("term", "place"), "b")
+    columns = ["incoming_id", "stored_id", "ip", "sp", "idl", "sdl"]
     newest = Window.partitionBy("incoming_id").orderBy(F.desc("sp"), "stored_id")
-    return same.unionByName(any_country).unionByName(no_country).where(near & close).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most).select("incoming_id", "stored_id", "position")
+    pairs = met.select(*columns).unionByName(undated.select(*columns)).unionByName(anywhere.select(*columns)).where(near & close)
+    return pairs.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most).select("incoming_id", "stored_id", "position")
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,8 +78,7 @@ def located(rows: DataFrame, row_id: str, text: str, phrase: str, pages: int = 3
 
 
 @F.arrow_udf(T.DoubleType())
-def pair_logit(query: pa.Array, resume: pa.Array) -> pa.Array:
-    """Stand-in for a pair model: any vectorised scorer with this shape may take its place."""
-    q, r = query.to_numpy(zero_copy_only=False).astype(np.float64), resume.to_numpy(zero_copy_only=False).astype(np.float64)
-    return pa.array(np.cos(q * 0.37 + r * 0.11))
-
+def pair_logit(asked: pa.Array, offered: pa.Array) -> pa.Array:
+    """Share of a folded text's words that another holds, as a logit; any scorer of pairs with this shape may take its place."""
+    words = [(set(a.split()), set(b.split())) for a, b in zip(asked.to_pylist(), offered.to_pylist(), strict=True)]
+    return pa.array([6 * len(a & b) / max(1, len(a)) - 2 for a, b in words], pa.float64())

@@ -39,23 +39,23 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {HASHED}, r AS (SELECT raw_sha256, min(doc_id) AS canonical_id FROM h WHERE doc_id % 2 = 0 GROUP BY 1), t AS (SELECT text_sha256, min(doc_id) AS canonical_id FROM h WHERE doc_id % 2 = 0 GROUP BY 1)
+WITH {HASHED}, r AS (SELECT raw_sha256, min(doc_id) AS canonical_id FROM h GROUP BY 1), t AS (SELECT text_sha256, min(doc_id) AS canonical_id FROM h GROUP BY 1)
 SELECT h.doc_id, coalesce(r.canonical_id, t.canonical_id) AS canonical_id, CASE WHEN r.canonical_id IS NOT NULL THEN 'raw_sha256' ELSE 'text_sha256' END AS matched_on
-FROM h LEFT JOIN r USING (raw_sha256) LEFT JOIN t USING (text_sha256) WHERE doc_id % 2 = 1 AND coalesce(r.canonical_id, t.canonical_id) IS NOT NULL""")
+FROM h LEFT JOIN r USING (raw_sha256) LEFT JOIN t USING (text_sha256) WHERE coalesce(r.canonical_id, t.canonical_id) IS NOT NULL""")
 def match_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashed(spark, sf_dir)
-    return J.match_by_hash(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), "doc_id", "doc_id")
+    return J.match_by_hash(rows, rows, "doc_id", "doc_id")
 
 
 @query(f"""
-WITH {NOTICES}, i AS (SELECT * FROM notices WHERE notice_id % 10 = 0), s AS (SELECT notice_id, CASE WHEN notice_id % 97 = 0 THEN NULL ELSE country END AS country, publication, deadline FROM notices),
+WITH {NOTICES}, i AS (SELECT notice_id, CASE WHEN notice_id % 89 = 0 THEN NULL ELSE country END AS country, publication, deadline FROM notices), s AS (SELECT notice_id, CASE WHEN notice_id % 97 = 0 THEN NULL ELSE country END AS country, publication, deadline FROM notices),
 p AS (SELECT i.notice_id AS incoming_id, s.notice_id AS stored_id, row_number() OVER (PARTITION BY i.notice_id ORDER BY s.publication DESC, s.notice_id) AS position
-  FROM i JOIN s ON (s.country = i.country OR s.country IS NULL) AND s.publication BETWEEN i.publication - INTERVAL 120 DAY AND i.publication AND s.notice_id <> i.notice_id
+  FROM i JOIN s ON (s.country = i.country OR s.country IS NULL OR i.country IS NULL) AND s.publication BETWEEN i.publication - INTERVAL 120 DAY AND i.publication AND s.notice_id <> i.notice_id
    AND (i.deadline IS NULL OR s.deadline IS NULL OR abs(epoch(i.deadline - s.deadline)) <= 3 * 86400))
 SELECT * FROM p WHERE position <= 200""")
 def candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notices(spark, sf_dir)
-    return J.candidate_window(rows.where("notice_id % 10 = 0"), rows.withColumn("country", F.expr("case when notice_id % 97 = 0 then null else country end"))).withColumn("position", F.col("position").cast("long"))
+    return J.candidate_window(rows.withColumn("country", F.expr("case when notice_id % 89 = 0 then null else country end")), rows.withColumn("country", F.expr("case when notice_id % 97 = 0 then null else country end"))).withColumn("position", F.col("position").cast("long"))
 
 
 @query("""

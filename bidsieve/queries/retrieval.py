@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import CHUNKS, NOTICES, chunks
+from ..adapters import CHUNKS, chunks
 from ..functions import text as X
 from ..operators import similarity as V
 from ..operators import staffing as T
@@ -33,19 +33,18 @@ def lexical_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOT = "greatest(0, least(1, list_dot_product(({0})::DOUBLE[], ({1})::DOUBLE[])))"
 
 
-@query(f"SELECT e.vec_id, round({DOT.format('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q")
+@query(f"SELECT query_id, e.vec_id, round({DOT.format('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q")
 def dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings")
-    one = rows.where("vec_id = 7").select(F.col("embedding").alias("q")).limit(1)
-    return rows.join(F.broadcast(one)).select("vec_id", F.round(V.dense_cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return V.scored_chunks(postings(spark, sf_dir), rows).select("query_id", "vec_id", F.round("score", 6).alias("similarity"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three vectors as roles to staff."""
-    return read(spark, sf_dir, "embeddings").where("vec_id in (3, 50, 111)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """Every fiftieth vector as a role to staff: the stated set of queries, against all vectors."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-QUERIED = f"""{CHUNKS}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (3, 50, 111)),
+QUERIED = f"""{CHUNKS}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, chunk_id, resume_id, category, {DOT.format('qv', 'vector')} AS score FROM chunks, q)"""
 
 
@@ -66,22 +65,41 @@ def rerank_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rerank(shortlist, logit, 10).withColumn("position", F.col("position").cast("long"))
 
 
-@query()
+ITEMS = f"""folded AS (SELECT doc_id AS id, {fold_sql('text')} AS f FROM documents UNION ALL SELECT -1 - item_id, {fold_sql('text')} FROM benchmark), {VECTOR},
+near AS (SELECT -1 - a.id AS query_id, b.id AS resume_id, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS score FROM vectors a JOIN vectors b ON a.term = b.term AND a.id < 0 AND b.id >= 0 GROUP BY 1, 2)"""
+
+
+def item_pairs(spark: SparkSession, sf_dir: str, name: str = "lexical") -> DataFrame:
+    """Benchmark items as postings against all documents: query_id, resume_id, score."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return V.backend(name)(items, docs).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("resume_id"), F.round("similarity", 4).alias("score"))
+
+
+@query(f"""
+WITH {ITEMS}, l AS (SELECT query_id, resume_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resume_id) AS position FROM near) WHERE position <= 30),
+w AS (SELECT id, list_distinct([x FOR x IN string_split(f, ' ') IF x <> '']) AS w FROM folded),
+r AS (SELECT query_id, resume_id, score AS retrieval_score, round(1 / (1 + exp(2 - 6 * len(list_intersect(a.w, b.w)) / greatest(1, len(a.w))::DOUBLE)), 6) AS score FROM l JOIN w a ON a.id = -1 - query_id JOIN w b ON b.id = resume_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resume_id) AS position FROM r) WHERE position <= 10""")
 def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a second scorer over texts' overlap in place of a model: an Arrow function per pair."""
-    shortlist = V.search(postings(spark, sf_dir), chunks(spark, sf_dir), 30).drop("position", "chunk_id")
-    return V.rerank(shortlist, T.pair_logit(F.col("query_id"), F.col("resume_id")), 10)
+    """A second scorer reads both texts of each shortlisted pair: an Arrow function, in the place of a pair model."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "resume_id")
+    shortlist = item_pairs(spark, sf_dir).withColumn("position", F.row_number().over(best)).where("position <= 30").drop("position")
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("resume_id"), F.col("text").alias("offered"))
+    pairs = shortlist.join(items, "query_id").join(docs, "resume_id")
+    ranked = V.rerank(pairs, T.pair_logit(X.fold(F.col("asked")), X.fold(F.col("offered"))), 10)
+    return ranked.select("query_id", "resume_id", "retrieval_score", "score", F.col("position").cast("long").alias("position"))
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id % 50 = 0), p AS (SELECT doc_id * 1000 + i AS pid, doc_id, i AS n, array_to_string(w[i * 70 + 1 : i * 70 + 70], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 69) // 70)) AS i FROM w)),
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), p AS (SELECT doc_id * 1000 + i AS pid, doc_id, i AS n, array_to_string(w[i * 70 + 1 : i * 70 + 70], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 69) // 70)) AS i FROM w)),
 folded AS (SELECT pid AS id, {fold_sql('passage')} AS f FROM p UNION ALL SELECT -1 - item_id, {fold_sql('text')} FROM benchmark WHERE item_id = 0), {VECTOR},
 c AS (SELECT b.id AS pid, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS score FROM vectors a JOIN vectors b ON a.term = b.term AND a.id = -1 AND b.id >= 0 GROUP BY 1)
 SELECT doc_id, n AS passage, score FROM (SELECT doc_id, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS r FROM c JOIN p USING (pid)) WHERE r <= 3""")
 def evidence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked CVs are a shortlist (every fiftieth document); their three passages nearest to the posting."""
-    ranked = read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    return T.evidence(ranked, "doc_id", "text", read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("id"), "text")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score")
+    """The three passages of every document nearest to a posting."""
+    return T.evidence(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("id"), "text")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score")
 
 
 WANTED = ["the", "und", "que", "Apache"]
@@ -141,10 +159,7 @@ def project_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bottleneck(T.graded(V.search_metrics(postings(spark, sf_dir), chunks(spark, sf_dir)), floor=0.0))
 
 
-@query(f"""
-WITH {NOTICES}, folded AS (SELECT n_nationkey AS id, {fold_sql('n_name')} AS f FROM nation), {VECTOR}
-SELECT a.id AS left_id, b.id AS right_id, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS similarity FROM vectors a JOIN vectors b ON a.term = b.term GROUP BY 1, 2""")
+@query(f"WITH {ITEMS} SELECT * FROM near")
 def similarity_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An unknown backend falls back to the lexical one."""
-    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"))
-    return V.backend("no-such-model")(rows, rows).withColumn("similarity", F.round("similarity", 4))
+    """Benchmark items against documents by name of a backend; an unknown one falls back to the lexical one."""
+    return item_pairs(spark, sf_dir, "no-such-model")
