@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.shared import durable, forget, parts, shared_folder, whole_groups, written
 from ..sources.tables import spread
 
-__all__ = ["WORD", "Mapper", "bytes_of", "durable", "forget", "offsets_of", "parts", "read", "runs_of", "shared_folder", "slices", "text_of", "whole_groups", "written"]
+__all__ = ["WORD", "Mapper", "bytes_of", "durable", "forget", "kept_rows", "offsets_of", "parts", "read", "row_key", "runs_of", "shared_folder", "slices", "text_of", "whole_groups", "written"]
 
 #: Word pattern of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,19 @@ def text_of(df: DataFrame) -> F.Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def row_key(df: DataFrame, *more: str) -> F.Column:
+    """Two hashes (128 bits) of id, text and further columns: equal for rows that get the same verdict."""
+    parts_of = [df["doc_id"].cast("long"), text_of(df), *(df[c].cast("string") for c in more)]
+    return F.struct(F.xxhash64(*parts_of).alias("h1"), F.xxhash64(F.lit(1), *parts_of).alias("h2"))
+
+
+def kept_rows(df: DataFrame, kept: DataFrame, *more: str) -> DataFrame:
+    """Rows of df, with all their columns, whose row_key over the same columns is among those kept."""
+    keys = kept.select(F.col("row_key.h1").alias("_h1"), F.col("row_key.h2").alias("_h2")).distinct()
+    mine = row_key(df, *more)
+    return df.join(keys, (mine["h1"] == keys["_h1"]) & (mine["h2"] == keys["_h2"]), "left_semi")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the strings of a column take about `limit` bytes in each piece."""
     if not batch.num_rows:

@@ -21,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +29,12 @@ from .bpe import byte_characters
 from .common import parts, slices, text_of
 
 _PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_LIMIT = 350_000
+_LIMIT = 600_000
 #: Fixed values of the published word-end vocabulary, on which the cuts of `Words` rest.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters and digits that normalisation leaves one letter or digit, so that a mark behind them is a word of its own.
-_ENDS_A_WORD = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and c.lower().isalnum())
+_ENDS_A_WORD = pa.array([c for c in map(chr, range(0x250)) if c.isalnum() and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and c.lower().isalnum()])
 
 
 class Words:
@@ -62,9 +63,11 @@ class Words:
         """Ids of stretches not met before. ASCII letters are lowered by the vocabulary anyway, and a run of marks behind a
         letter or digit is a word of its own, so only the plain stems go to the library."""
         known = self.known
-        low = [x.lower() if x.isascii() else x for x in fresh]
-        stems = [s if s[-1:] in _ENDS_A_WORD else x for x, s in zip(low, [x.rstrip(".,;:!?") for x in low], strict=True)]
-        tails = [x[len(s) :] for x, s in zip(low, stems, strict=True)]
+        given = pc.ascii_lower(pa.array(fresh, pa.string()))
+        stem = pc.ascii_rtrim(given, characters=".,;:!?")
+        stem = pc.if_else(pc.is_in(pc.utf8_slice_codeunits(stem, -1), _ENDS_A_WORD), stem, given)
+        stems, sizes = stem.to_pylist(), pc.utf8_length(stem).to_pylist()
+        tails = [x[n:] for x, n in zip(fresh, sizes, strict=True)]
         asked = set(stems).union(tails).difference(known)
         one, merge, shown = self.one_word, self.tokenizer.model.tokenize, self.characters
         for x in [x for x in asked if one(x)]:
@@ -79,16 +82,19 @@ class Words:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*cut)
         known = self.known
         if len(known) > _LIMIT:  # the newer half stays
             for old in list(islice(known, _LIMIT // 2)):
                 del known[old]
             known[""] = b""
-        self.learn(list(distinct.difference(known)))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        ids = [list(map(known.get, words)) for words in cut]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in ids]
+        self.learn(list({words[i] for words, some in zip(cut, gaps, strict=True) for i in some}))
+        for words, found, some in zip(cut, ids, gaps, strict=True):
+            for i in some:
+                found[i] = known[words[i]]
+        return [np.frombuffer(b"".join(found), np.int32) for found in ids]
 
 
 @cache

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_of, written
+from .common import durable, kept_rows, row_key, text_of
 from .quality_rules import _BLANKS, _SPACE, let
 
 #: Statistics of a text, in the order of the model's features. Labels, language, source and id are none of them.
@@ -138,11 +138,9 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters: float) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs, with all their columns, that the classifier predicts to be good."""
-    # the struct keeps names in docs from clashing with those of the statistics, which are made once
-    held = written(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *features(text_of(docs))))
-    model = fit(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), *FEATURES), labels)
-    return held.where(model.score() >= 0.5).select("row.*")
+    """Rows of docs, with all their columns, that the classifier predicts to be good. The statistics are made once."""
+    facts = durable(docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), *features(text_of(docs))))
+    return kept_rows(docs, facts.where(fit(facts, labels).score() >= 0.5))
 
 
 def digest(result: DataFrame) -> DataFrame:

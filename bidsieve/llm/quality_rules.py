@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_of, written
+from .common import durable, kept_rows, row_key, text_of
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -59,9 +59,9 @@ def _repeated_words(words: Column, window: int) -> Column:
 
 
 def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
-    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, and the row itself."""
+    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, and row_key."""
     text = text_of(docs)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text.alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs, "lang", "source").alias("row_key"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), text.alias("text"))
     trimmed = F.btrim("text", F.lit(_BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
@@ -69,11 +69,11 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     length = lambda c: F.length(c).cast("long")
     return base.select(
-        "doc_id", "row", "lang", "source", counted.alias("w"), by_line.alias("l"),
+        "doc_id", "row_key", "lang", "source", counted.alias("w"), by_line.alias("l"),
         length(F.translate("text", _BLANKS, "")).alias("word_chars"),
         (length(F.col("text")) - length(F.translate("text", _SYMBOLS, ""))).alias("n_symbols"),
         (length(F.col("text")) - length(F.regexp_replace("text", r"\p{Lu}+", ""))).alias("n_upper"),
-    ).select("doc_id", "row", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper")
+    ).select("doc_id", "row_key", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper")
 
 
 def _vector() -> list[Column]:
@@ -235,9 +235,9 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 *
 
 
 def keep_good(docs: DataFrame, share: float = 0.75, steps: int = 3, least: int = 2 * _DIM, quantile: float = 1 - 1e-9) -> DataFrame:
-    """Rows of docs, with all their columns, that `judge` keeps. The rows lie beside their facts, so none is shuffled."""
-    facts = written(_facts(docs, "row"))
-    return _judged(facts, share, steps, least).where(F.col("d2") <= chi_square(quantile, _DIM)).select("row.*")
+    """Rows of docs, with all their columns, that `judge` keeps."""
+    judged = _judged(durable(_facts(docs, "row_key")), share, steps, least)
+    return kept_rows(docs, judged.where(F.col("d2") <= chi_square(quantile, _DIM)), "lang", "source")
 
 
 def digest(result: DataFrame) -> DataFrame:
