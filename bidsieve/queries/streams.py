@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..adapters import EVENTS_NOW, events_now
 from ..functions import text as X
 from ..functions import url as U
 from ..functions.nested import idempotency_key
@@ -14,19 +15,11 @@ from .aggregates import STREAKS
 from .scalars import CANONICAL, fold_sql
 
 
-@query(f"SELECT min(doc_id) AS doc_id, sha256({fold_sql('text')}) AS text_sha256 FROM documents GROUP BY 2")
+@query(f"SELECT doc_id, text_sha256, nullif(first, doc_id) AS canonical_id FROM (SELECT doc_id, text_sha256, min(doc_id) OVER (PARTITION BY text_sha256) AS first FROM (SELECT doc_id, sha256({fold_sql('text')}) AS text_sha256 FROM documents))")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each batch admits what no earlier batch and no earlier row has, by content hash; a batch that is tried again replaces itself."""
-
-    def step(batch: DataFrame, number: int, path: str) -> None:
-        hashed = batch.select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("text_sha256"))
-        fresh = hashed.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
-        if number:
-            before = spark.read.schema("text_sha256 string, doc_id long").parquet(*(f"{path}/batch={i}" for i in range(number)))
-            fresh = fresh.join(before.select("text_sha256"), "text_sha256", "left_anti")
-        fresh.select("text_sha256", "doc_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return S.drained_batches(spark, S.source(spark, sf_dir, "documents"), step, "text_sha256 string, doc_id long").select("doc_id", "text_sha256")
+    """The first document of each content is admitted, later ones are kept as its duplicates, whatever batch they come in."""
+    rows = S.source(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.sha2(X.fold(F.col("text")), 256).alias("content"))
+    return S.drained(spark, S.admitted(rows)).select(F.col("row_id").alias("doc_id"), F.col("content").alias("text_sha256"), "canonical_id")
 
 
 @query(f"SELECT DISTINCT regexp_replace({CANONICAL}, '/[0-9]+.*$', '') AS k FROM pages")
@@ -37,32 +30,21 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, date_trunc('day', ts::TIMESTAMP) AS day, count(*) FILTER (event_type <> 'error') AS successes, sum(CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE floor(value) END)::BIGINT AS items, count(*) FILTER (event_type <> 'error') > 0 AND sum(CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE floor(value) END) = 0 AS empty FROM events GROUP BY 1, 2")
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _complete(spark, S.tumbling_counts(S.source(spark, sf_dir, "events")), "user_id long, day timestamp_ntz, successes long, items long, empty boolean")
+    return S.told(spark, S.tumbling_counts(S.source(spark, sf_dir, "events")), ["user_id", "day"])
 
 
 @query("""
 WITH w AS (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) - INTERVAL 25 MINUTE, time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP), INTERVAL 5 MINUTE)) AS start FROM events)
 SELECT start, count(*) FILTER (event_type = 'error') AS failures, count(*) AS runs, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE > 0.5 AS alert FROM w GROUP BY 1""")
 def sliding_failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _complete(spark, S.sliding_failures(S.source(spark, sf_dir, "events")), "start timestamp_ntz, failures long, runs long, alert boolean")
-
+    return S.told(spark, S.sliding_failures(S.source(spark, sf_dir, "events")), ["start"])
 
-def _complete(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
-    """All windows, those still open included: each batch replaces the table of results."""
-    return S.drained_batches(spark, stream, lambda df, n, path: df.write.mode("overwrite").parquet(path), schema, "complete")
 
-
-@query(f"WITH {STREAKS} SELECT source_key, failures, successes, empties, state FROM health")
+@query(f"WITH {STREAKS} SELECT h.source_key, failures, successes, empties, state, epoch_ms(l.last) + 72 * 3600000 <= epoch_ms(m.newest) - 3600000 AS silent FROM health h JOIN (SELECT user_id AS source_key, max(ts)::TIMESTAMP AS last FROM events GROUP BY 1) l USING (source_key), (SELECT max(ts)::TIMESTAMP AS newest FROM events) m")
 def stateful_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state per source that the stream has told."""
+    """The last state per source that the stream has told, and whether it has been silent since."""
     runs = S.source(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("source_key"), "at", (F.col("event_type") == "error").alias("failed"), F.when(F.col("event_type").isin("view", "error"), F.lit(0)).otherwise(F.floor("value")).cast("long").alias("items"))
-
-    def step(batch: DataFrame, number: int, path: str) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/n={number}")
-
-    told = S.drained_batches(spark, S.stateful_health(runs), step, "source_key long, failures long, successes long, empties long, state string, batch int", "update")
-    last = told.groupBy("source_key").agg(F.max_by(F.struct("failures", "successes", "empties", "state"), "batch").alias("s"))
-    return last.select("source_key", "s.*")
+    return S.told(spark, S.stateful_health(runs), ["source_key"])
 
 
 @query("""
@@ -72,26 +54,13 @@ def stream_rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(spark, S.rolling_cap(S.source(spark, sf_dir, "events")))
 
 
-@query("SELECT event_id, ts::TIMESTAMP < (SELECT max(ts)::TIMESTAMP - INTERVAL 10 DAY FROM events) AS stale FROM events")
+@query(f"SELECT event_id, ts::TIMESTAMP < TIMESTAMP '{EVENTS_NOW}' - INTERVAL 10 DAY AS stale FROM events")
 def stale_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work past its expiry goes to a side output: here a flag against the newest time of the batch."""
-
-    def step(batch: DataFrame, number: int, path: str) -> None:
-        newest = batch.agg(F.max("at").alias("newest"))
-        batch.join(F.broadcast(newest)).select("event_id", (F.col("at") < F.col("newest") - F.expr("interval 10 days")).alias("stale")).write.mode("overwrite").parquet(f"{path}/n={number}")
-
-    return S.drained_batches(spark, S.source(spark, sf_dir, "events"), step, "event_id long, stale boolean")
+    return S.drained(spark, S.stale(S.source(spark, sf_dir, "events"), events_now()))
 
 
 @query("SELECT substr(sha256(event_id || chr(31) || event_type), 1, 32) AS key FROM events")
 def replay_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is delivered twice; the sink takes each key once."""
-    once = S.source(spark, sf_dir, "events").select(idempotency_key("event_id", "event_type").alias("key"))
-
-    def step(batch: DataFrame, number: int, path: str) -> None:
-        keys = batch.unionByName(batch).distinct()
-        if number:
-            keys = keys.join(spark.read.schema("key string").parquet(*(f"{path}/n={i}" for i in range(number))), "key", "left_anti")
-        keys.write.mode("overwrite").parquet(f"{path}/n={number}")
-
-    return S.drained_batches(spark, once, step, "key string")
+    """Every row is delivered twice; each key is taken once."""
+    deliveries = S.source(spark, sf_dir, "events").select("at", F.explode(F.array_repeat(idempotency_key("event_id", "event_type"), 2)).alias("key"))
+    return S.drained(spark, S.once(deliveries, "key"))

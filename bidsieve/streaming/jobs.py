@@ -3,26 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one where none is set, as in tests."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+from ..operators.shared import shared_folder
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table as a stream of its Parquet files, an event time column `at` for events."""
     path = f"{sf_dir}/{table}.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")  # the pattern takes a single file as well as a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[t]")  # a pattern that takes just this name, be it a file or a folder
     return stream.withColumn("at", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
@@ -33,15 +28,25 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drained_batches(spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame, int, str], None], schema: str, mode: str = "append") -> DataFrame:
-    """The same with foreachBatch; step(batch, number, path) writes, replacing what an earlier try of the batch wrote."""
+def told(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode and return the last row that it told of each key.
+
+    Each batch writes what changed in it, replacing what an earlier try of the batch wrote; nothing written is read again
+    before the end, and state ends with the watermark.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: step(df, n, f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out").select(*T.StructType.fromDDL(schema).names)
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    names = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{folder}/out/n=*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "_batch").alias("_s")).select(*keys, *(F.col(f"_s.{c}").alias(c) for c in names)).select(*stream.columns)
 
 
 def tumbling_counts(events: DataFrame) -> DataFrame:
-    """Successes and items per user and day; days that succeed with nothing are flagged."""
+    """Successes and items per user and day; days that succeed with nothing are flagged. Days more than two behind the newest event are closed."""
     return events.withWatermark("at", "2 days").groupBy("user_id", F.window("at", "24 hours")).agg(F.count_if(F.col("event_type") != "error").alias("successes"), F.sum(F.when(F.col("event_type").isin("view", "error"), 0).otherwise(F.floor("value"))).alias("items")).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "successes", "items", ((F.col("successes") > 0) & (F.col("items") == 0)).alias("empty"))
 
 
@@ -55,22 +60,65 @@ def dedup(pages: DataFrame, key: str) -> DataFrame:
     return pages.withWatermark("at", "7 days").dropDuplicatesWithinWatermark([key])
 
 
-def _health(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    failures, successes, empties, last = state.get if state.exists else (0, 0, 0, 0)
-    rows = pd.concat(list(frames)).sort_values(["micros", "run_id"])
-    for failed, items, micros in zip(rows["failed"], rows["items"], rows["micros"], strict=True):
-        failures, successes = (failures + 1, 0) if failed else (0, successes + 1)
-        empties = empties + 1 if not failed and items == 0 else 0
-        last = max(last, int(micros))
-    state.update((failures, successes, empties, last))
-    name = "failing" if failures >= 3 else "degraded" if failures >= 1 or empties >= 3 else "healthy"
-    yield pd.DataFrame({"source_key": [key[0]], "failures": [failures], "successes": [successes], "empties": [empties], "state": [name]})
+def _admitted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    first = state.get[0] if state.exists else None
+    for frame in frames:
+        ids = sorted(frame["row_id"])
+        if not ids:
+            continue
+        if first is None:
+            first = int(ids[0])
+            state.update((first,))
+            yield pd.DataFrame({"row_id": ids[:1], "content": key[0], "canonical_id": pd.array([None], dtype="Int64")})
+            ids = ids[1:]
+        if ids:
+            yield pd.DataFrame({"row_id": ids, "content": key[0], "canonical_id": pd.array([first] * len(ids), dtype="Int64")})
+
+
+def admitted(rows: DataFrame) -> DataFrame:
+    """Each row of row_id, content (a hash) once: canonical_id is null for the first of its content, else that first one's id.
+
+    The first row of a content is its state, eight bytes a hash, kept for good, as the table that they enter is. Rows that come
+    in one batch are taken by id.
+    """
+    return rows.select("row_id", "content").groupBy("content").applyInPandasWithState(_admitted, "row_id long, content string, canonical_id long", "first long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _health(silence: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, successes, empties, last = state.get if state.exists else (0, 0, 0, 0)
+        quiet = state.hasTimedOut
+        rows = [] if quiet else [f for f in frames if len(f)]
+        for failed, items, micros in ((x for x in pd.concat(rows).sort_values(["micros", "run_id"])[["failed", "items", "micros"]].itertuples(index=False)) if rows else ()):
+            failures, successes = (failures + 1, 0) if failed else (0, successes + 1)
+            empties = empties + 1 if not failed and items == 0 else 0
+            last = max(last, int(micros))
+        state.update((failures, successes, empties, last))
+        if not quiet:  # times out once the watermark passes the last run by the silence
+            state.setTimeoutTimestamp(max(last // 1000 + silence, state.getCurrentWatermarkMs() + 1))
+        name = "failing" if failures >= 3 else "degraded" if failures >= 1 or empties >= 3 else "healthy"
+        yield pd.DataFrame({"source_key": [key[0]], "failures": [failures], "successes": [successes], "empties": [empties], "state": [name], "silent": [bool(quiet)]})
+
+    return run
+
+
+def stateful_health(runs: DataFrame, silence_hours: int = 72) -> DataFrame:
+    """State of a source after each batch of its runs; a batch is put in order, later batches are taken as later.
+
+    A source that has been silent for `silence_hours` when the watermark (an hour behind the newest run) gets there is told of as silent.
+    """
+    slim = runs.withWatermark("at", "1 hour").select("source_key", "run_id", "failed", "items", "at", F.unix_micros("at").alias("micros"))
+    return slim.groupBy("source_key").applyInPandasWithState(_health(silence_hours * 3_600_000), "source_key long, failures long, successes long, empties long, state string, silent boolean", "failures long, successes long, empties long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stale(events: DataFrame, now: Column, days: int = 10) -> DataFrame:
+    """Work past its expiry is flagged for a side output, against a given clock."""
+    return events.select("event_id", (F.col("at") < now.cast("timestamp") - F.expr(f"interval {days} days")).alias("stale"))
 
 
-def stateful_health(runs: DataFrame) -> DataFrame:
-    """State of a source after each batch of its runs; a batch is put in order, later batches are taken as later."""
-    slim = runs.select("source_key", "run_id", "failed", "items", F.unix_micros("at").alias("micros"))
-    return slim.groupBy("source_key").applyInPandasWithState(_health, "source_key long, failures long, successes long, empties long, state string", "failures long, successes long, empties long, last long", "update", GroupStateTimeout.NoTimeout)
+def once(deliveries: DataFrame, key: str) -> DataFrame:
+    """Deliveries whose key has not been seen within the watermark's span."""
+    return deliveries.withWatermark("at", "7 days").dropDuplicatesWithinWatermark([key]).select(key)
 
 
 def _cap(cap: int, span: int):
