@@ -59,8 +59,8 @@ class Words:
         self.one_word = re.compile("[a-zß-öø-ÿ]+").fullmatch
         self.stops = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if t.removesuffix("</w>").strip(".!?") == "" and t.removesuffix("</w>")), np.int32)
 
-    def learn(self, fresh: list[str]) -> None:
-        """Ids of stretches not met before. ASCII letters are lowered by the vocabulary anyway, and a run of marks behind a
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of stretches that are not kept; their stems, which are far fewer, are kept from now on. ASCII letters are lowered by the vocabulary anyway, and a run of marks behind a
         letter or digit is a word of its own, so only the plain stems go to the library."""
         known = self.known
         given = pc.ascii_lower(pa.array(fresh, pa.string()))
@@ -77,7 +77,7 @@ class Words:
             some = asked[i : i + 10_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[x] = array("i", e.ids).tobytes()
-        known.update(zip(fresh, [known[s] + known[t] for s, t in zip(stems, tails, strict=True)], strict=True))
+        return dict(zip(fresh, [known[s] + known[t] for s, t in zip(stems, tails, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
@@ -90,10 +90,10 @@ class Words:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         ids = [list(map(known.get, words)) for words in cut]
         gaps = [[i for i, x in enumerate(found) if x is None] for found in ids]
-        self.learn(list({words[i] for words, some in zip(cut, gaps, strict=True) for i in some}))
+        learned = self.learn(list({words[i] for words, some in zip(cut, gaps, strict=True) for i in some}))
         for words, found, some in zip(cut, ids, gaps, strict=True):
             for i in some:
-                found[i] = known[words[i]]
+                found[i] = learned[words[i]]
         return [np.frombuffer(b"".join(found), np.int32) for found in ids]
 
 
@@ -176,7 +176,7 @@ def _packed(path: str, limit: int, end_id: int, sentence: int, hard: int, block:
         next_id = [TaskContext.get().partitionId() << 40]
         held: list[tuple] = []
         size = 0
-        for batch in (s for b in batches for s in slices(b, "text", 1 << 20)):
+        for batch in (s for b in batches for s in slices(b, "text", 4 << 20)):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.int32(end_id))
                 held.append((doc_id, ids, 0, len(ids)))
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, sentenc
     vocabulary file at `path` and then `end_id`. Returns per piece doc_id, start (ids of the document before it), length,
     ids, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id (unique, with gaps) and offset in the sequence. Each id lies in exactly one piece.
     A null or empty text is the end id alone; repeated rows are packed each; null doc_ids come first; an empty table gives an
-    empty result. The table is dealt by ranges of doc_id (and the hash of the text, where ids are the same); a task holds the tokens of about `block` at once (and one document).
+    empty result. The table is dealt by ranges of doc_id (and the hash of the text, where ids are the same); a task holds the tokens of about `block` and 4 MB of text at once (and one document).
     `sentence` and `hard` are the padding tokens that a cut after a sentence, or anywhere else in a document, may save at least.
     """
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
