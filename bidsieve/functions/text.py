@@ -20,12 +20,20 @@ STOP_WORDS = (
 
 
 @cache
-def _latin() -> tuple[str, str]:
-    """Accented letters with a one-letter base, and their bases, by decomposition."""
-    pairs = [(chr(c), b) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(b := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and b != chr(c)]
+def _bases() -> tuple[str, str]:
+    """Characters of all scripts whose compatibility decomposition is one character and marks, and that character: accented
+    letters, full-width forms, letters of circles. Surrogates, private and Hangul ranges have none."""
+    ranges = [*range(0x80, 0xAC00), *range(0xF900, 0xFFFE)]
+    pairs = [(chr(c), b) for c in ranges if len(b := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and b != chr(c)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@cache
+def _ligatures() -> list[tuple[str, str]]:
+    """Latin ligatures and digraphs and their letters."""
+    return [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in [*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07)]]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once: an array of one element binds it."""
     return F.transform(F.array(value), body)[0]
@@ -42,7 +50,12 @@ def collapse(text: Column) -> Column:
 
 def fold(text: Column, punctuation: bool = True, digits: bool = False) -> Column:
     """Comparable form: accents off, lower case, punctuation (and digits) to spaces, spaces collapsed; empty for null."""
-    value = F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), *_latin()), r"\p{M}", ""))
+    given = F.coalesce(text, F.lit(""))
+    spelled = given
+    for joined, letters in _ligatures():
+        spelled = F.replace(spelled, F.lit(joined), F.lit(letters))
+    given = F.when(given.rlike("[" + "".join(x for x, _ in _ligatures()) + "]"), spelled).otherwise(given)
+    value = F.lower(F.regexp_replace(F.translate(given, *_bases()), r"\p{M}", ""))
     if punctuation:
         value = F.regexp_replace(value, r"(?U)[^\p{L}\p{N}_\s]", " ")
     if digits:

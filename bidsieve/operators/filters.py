@@ -13,7 +13,7 @@ from ..functions.text import code_matches, fold, plain_fold
 
 @dataclass(frozen=True)
 class Filters:
-    """What a listing may ask for. Unknown codes, dates, budgets and languages pass; an unknown country doesn't."""
+    """What a listing may ask for. Unknown codes, dates, budgets, currencies and languages pass; an unknown country, place or funder doesn't."""
 
     all_of: list[str] = field(default_factory=list)
     any_of: list[str] = field(default_factory=list)
@@ -24,6 +24,12 @@ class Filters:
     sectors: list[str] = field(default_factory=list)
     statuses: list[str] = field(default_factory=list)
     procedures: list[str] = field(default_factory=list)
+    locations: list[str] = field(default_factory=list)
+    funders: list[str] = field(default_factory=list)
+    categories: list[str] = field(default_factory=list)
+    languages: list[str] = field(default_factory=list)
+    sources: list[str] = field(default_factory=list)
+    currency: str | None = None
     cpv: list[str] = field(default_factory=list)
     published_from: str | None = None
     published_before: str | None = None
@@ -60,8 +66,10 @@ def matches(wanted: Filters, text: str = "title") -> Column:
     rules += [_holds(text, [t]) for t in wanted.all_of]
     rules += [_holds(text, wanted.any_of)] if wanted.any_of else []
     rules += [~_holds(text, wanted.none_of)] if wanted.none_of else []
-    rules += [_holds(c, terms) for c, terms in (("country", wanted.countries), ("buyer", wanted.buyers), ("sector", wanted.sectors)) if terms]
-    rules += [F.col(c).isin(*members) for c, members in (("zone", wanted.zones), ("status", wanted.statuses), ("procedure", wanted.procedures)) if members]
+    rules += [_holds(c, terms) for c, terms in (("country", wanted.countries), ("buyer", wanted.buyers), ("sector", wanted.sectors), ("location", wanted.locations), ("funder", wanted.funders), ("category", wanted.categories)) if terms]
+    rules += [F.col(c).isin(*members) for c, members in (("zone", wanted.zones), ("status", wanted.statuses), ("procedure", wanted.procedures), ("source", wanted.sources)) if members]
+    rules += [F.col("language").isNull() | F.lower("language").isin(*(x.lower() for x in wanted.languages))] if wanted.languages else []
+    rules += [F.col("currency").isNull() | (F.upper("currency") == wanted.currency.upper())] if wanted.currency else []
     if wanted.cpv:
         known = F.lit(False)
         for prefix in wanted.cpv:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import parts
+
 
 def document_rank(name: str) -> Column:
     """0 if the name carries a dossier marker, else 1."""
@@ -49,45 +54,67 @@ def rolling_cap(rows: DataFrame, key: str, counted: Column, cap: int, hours: int
     return rows.withColumn("recent", F.sum(F.when(counted, 1).otherwise(0)).over(span)).withColumn("suppressed", F.col("recent") > cap)
 
 
-def circuit_states(runs: pd.DataFrame, failures: int, wait: float, probes: int, successes: int, reset: float) -> list[str]:
-    """State before each run of one source, in order. The half-open state admits `probes` runs but needs `successes` to close;
-    a success gives no probe back, so with probes < successes only `reset` seconds after opening bring it back to closed."""
-    state, failed, won, used, opened, out = "closed", 0, 0, 0, 0.0, []
-    for at, bad in zip(runs["seconds"], runs["failed"], strict=True):
-        if state != "closed" and at - opened >= reset:
-            state, failed = "closed", 0
-        if state == "open" and at - opened >= wait:
-            state, won, used = "half_open", 0, 0
-        if state == "open" or (state == "half_open" and used >= probes):
-            out.append(state if state == "open" else "half_open_refused")
-            continue
-        out.append(state)
-        if state == "half_open":
-            used += 1
+@dataclass
+class Breaker:
+    """Circuit breaker of one source. The half-open state admits `probes` runs but needs `successes` to close; a success
+    gives no probe back, so with probes < successes only `reset` seconds after opening bring it back to closed."""
+
+    failures: int
+    wait: float
+    probes: int
+    successes: int
+    reset: float
+    state: str = "closed"
+    failed: int = 0
+    won: int = 0
+    used: int = 0
+    opened: float = 0.0
+
+    def before(self, at: float, bad: bool) -> str:
+        """State that a run at a time meets; the run's result then moves the breaker."""
+        if self.state != "closed" and at - self.opened >= self.reset:
+            self.state, self.failed = "closed", 0
+        if self.state == "open" and at - self.opened >= self.wait:
+            self.state, self.won, self.used = "half_open", 0, 0
+        met = self.state
+        if met == "half_open" and self.used >= self.probes:
+            return "half_open_refused"
+        if met == "half_open":
+            self.used += 1
+            self.won += not bad
             if bad:
-                state, opened = "open", at
-            else:
-                won += 1
-                if won >= successes:
-                    state, failed = "closed", 0
-        elif bad:
-            failed += 1
-            if failed >= failures:
-                state, opened = "open", at
-        else:
-            failed = 0
-    return out
+                self.state, self.opened = "open", at
+            elif self.won >= self.successes:
+                self.state, self.failed = "closed", 0
+        elif met == "closed":
+            self.failed = self.failed + 1 if bad else 0
+            if self.failed >= self.failures:
+                self.state, self.opened = "open", at
+        return met
+
+
+def circuit_states(runs: pd.DataFrame, failures: int, wait: float, probes: int, successes: int, reset: float) -> list[str]:
+    """State before each run of one source, in order."""
+    breaker = Breaker(failures, wait, probes, successes, reset)
+    return [breaker.before(at, bad) for at, bad in zip(runs["seconds"], runs["failed"], strict=True)]
 
 
 def circuit_timeline(runs: DataFrame, failures: int = 5, wait: float = 600, probes: int = 1, successes: int = 2, reset: float = 6000) -> DataFrame:
-    """Circuit breaker state before each run: an ordered fold per source, where runs of a source come sorted and in batches."""
+    """Circuit breaker state before each run: an ordered fold. Runs come sorted by source and time, batch by batch, and the
+    breaker of the source at hand is all that is kept, however many runs it has."""
 
-    def fold_source(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seconds", "run_id"])
-        return pdf.assign(circuit=circuit_states(pdf, failures, wait, probes, successes, reset))[["run_id", "source_key", "circuit"]]
+    def folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, breaker = None, None
+        for frame in frames:
+            states = []
+            for key, at, bad in zip(frame["source_key"], frame["seconds"], frame["failed"], strict=True):
+                if breaker is None or key != source:
+                    source, breaker = key, Breaker(failures, wait, probes, successes, reset)
+                states.append(breaker.before(at, bad))
+            yield pd.DataFrame({"run_id": frame["run_id"], "source_key": frame["source_key"], "circuit": states})
 
-    slim = runs.select("run_id", "source_key", "failed", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
-    return slim.groupBy("source_key").applyInPandas(fold_source, "run_id long, source_key long, circuit string")
+    slim = runs.select("source_key", "run_id", "failed", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return slim.repartition(parts(runs), "source_key").sortWithinPartitions("source_key", "seconds", "run_id").mapInPandas(folded, "run_id long, source_key long, circuit string")
 
 
 def top_documents(attachments: DataFrame, most: int = 40) -> DataFrame:
@@ -97,9 +124,15 @@ def top_documents(attachments: DataFrame, most: int = 40) -> DataFrame:
 
 
 def merged_text(rows: DataFrame, key: str, order: list[str], limit: int = 500_000) -> DataFrame:
-    """Texts of a key in order with a marker line each, cut at `limit`; and digital, ocr, mixed or none as method."""
-    item = F.struct(*order, "name", "text", "method")
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, item))).alias("items"), F.count_distinct(F.when(F.length("text") > 0, F.col("method"))).alias("methods"), F.max(F.when(F.length("text") > 0, F.col("method"))).alias("one"))
-    text = F.array_join(F.transform("items", lambda x: F.concat(F.lit("=== "), x["name"], F.lit(" ===\n"), x["text"])), "\n\n")
-    method = F.when(F.col("methods") == 0, "none").when(F.col("methods") > 1, "mixed").otherwise(F.col("one"))
-    return lists.select(key, F.substring(text, 1, limit).alias("text"), F.size("items").cast("long").alias("documents"), method.alias("method"))
+    """Texts of a key in order with a marker line each, cut at `limit`; and digital, ocr, mixed or none as method.
+
+    Only texts that start before the limit are gathered; the rest are counted.
+    """
+    full = rows.where(F.length("text") > 0).withColumn("_piece", F.concat(F.lit("=== "), "name", F.lit(" ===\n"), "text"))
+    before = F.sum(F.length("_piece") + 2).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    item = F.when(F.col("_before") < limit, F.struct(*order, F.substring("_piece", 1, limit).alias("piece")))
+    lists = full.withColumn("_before", F.coalesce(before, F.lit(0))).groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count("*").alias("documents"), F.count_distinct("method").alias("methods"), F.max("method").alias("one"))
+    text = F.substring(F.array_join(F.transform("items", lambda x: x["piece"]), "\n\n"), 1, limit)
+    method = F.when(F.col("methods") > 1, "mixed").otherwise(F.col("one"))
+    named = lists.select(key, text.alias("text"), "documents", method.alias("method"))
+    return rows.select(key).distinct().join(named, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("documents", F.lit(0).cast("long")).alias("documents"), F.when(F.col("documents").isNull(), "none").otherwise(F.col("method")).alias("method"))

@@ -45,7 +45,14 @@ def json_items_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.json_items(grouped, "body", "results", {"k": "k"}).select("user_id", "k", "rejected")
 
 
-@query()
+_HINTS = ", ".join(f"('{f}', '{h}', {r})" for f, hs in E.HINTS.items() for r, h in enumerate(hs))
+
+
+@query(rf"""
+WITH k AS (SELECT path, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY 1), h(field, hint, rank) AS (VALUES {_HINTS}),
+s AS (SELECT field, path, n, CASE WHEN lower(path) = hint THEN 1.0 WHEN list_contains(regexp_split_to_array(lower(path), '[_-]'), hint) THEN 0.9 WHEN starts_with(lower(path), hint) OR ends_with(lower(path), hint) THEN 0.7 WHEN contains(lower(path), hint) THEN 0.55 END - 0.02 * rank AS score FROM k, h),
+b AS (SELECT field, max(score) AS score, arg_max(path, (score, n, path)) AS path FROM s WHERE score IS NOT NULL GROUP BY 1)
+SELECT path, arg_max(field, (score, field)) AS field, max(score)::DOUBLE AS score FROM b GROUP BY 1""")
 def infer_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.field_mapping(read(spark, sf_dir, "events"), "props")
 
@@ -88,16 +95,55 @@ def explode_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.lateralJoin(E.Profiles(F.col("body").outer())).groupBy("user_id", "title", "needed").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/zip' ELSE 'text/plain' END AS kind FROM pages")
+@query("""
+WITH b AS (SELECT user_id, list({'id': event_id, 't': event_type} ORDER BY event_id) AS l FROM events GROUP BY 1)
+SELECT user_id, i AS position, l[i + 1].t AS title, CASE WHEN l[i + 1].t = 'error' THEN 3 ELSE 1 END AS needed FROM (SELECT user_id, l, unnest(range(len(l))) AS i FROM b)""")
+def profiles_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-generating function by itself: a row per profile of each body, in order."""
+    item = F.expr("concat('{\"role\": \"', event_type, '\"', case when event_type = 'error' then ', \"count\": 3' else '' end, '}')")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))), lambda x: x["item"])
+    bodies = read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit('{"project": "p", "profiles": ['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
+    return bodies.lateralJoin(E.Profiles(F.col("body").outer())).select("user_id", F.col("position").cast("long").alias("position"), "title", "needed")
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, i AS line_no, sha256(trim(l[i + 1], ' ')) AS line FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM l) WHERE trim(l[i + 1], ' ') <> ''""")
+def lines_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.lateralJoin(E.Lines(F.col("text").outer())).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.sha2("line", 256).alias("line"))
+
+
+#: Pages as files of nine kinds: name and content.
+NAMES = ["a.pdf", "a.pdf", "a.pdf", "a.pdf", "a.exe", "a.PDF", "a.pdf", "a.html", "a.htm"]
+_KINDS = ["''", "'%PDF-1.4 ' || url || ' %%EOF'", "'%PDF-1.4 ' || html", "'%PDF-1.4 ' || url || ' /OpenAction %%EOF'", "url", "'MZ' || html", "html", "html", "regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ''{g}), ' on[a-z]+=', ' '{g})"]
+
+
+def _content(flags: str = "") -> str:
+    return "CASE page_id % 9 " + " ".join(f"WHEN {i} THEN {k.replace('{g}', flags)}" for i, k in enumerate(_KINDS)) + " END"
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("page_id") % 9 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").where("html is not null and url is not null").select("page_id", name.alias("name"), F.expr(_content()).cast("binary").alias("content"))
+
+
+FILES = f"f AS (SELECT page_id, page_id % 9 AS k, {_content(", 'g'")} AS c FROM pages WHERE html IS NOT NULL AND url IS NOT NULL)"
+
+
+@query(f"WITH {FILES} SELECT page_id, CASE WHEN starts_with(c, '%PDF-') THEN 'application/pdf' WHEN starts_with(c, 'MZ') THEN 'application/x-msdownload' WHEN regexp_matches(lower(c[1:200]), '^\\s*<(!doctype html|html|head|body|\\?xml)') THEN 'text/html' ELSE 'text/plain' END AS kind FROM f")
 def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.expr("case page_id % 4 when 0 then concat(cast('%PDF-1.4 ' as binary), cast(html as binary)) when 1 then cast(html as binary) when 2 then concat(unhex('504B0304'), cast(html as binary)) else cast(url as binary) end")
-    return read(spark, sf_dir, "pages").select("page_id", E.media_type(content).alias("kind"))
+    return files(spark, sf_dir).select("page_id", E.media_type(F.col("content")).alias("kind"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty' WHEN page_id % 5 = 1 OR regexp_matches(html, '(?i)<(object|embed|applet|iframe)\\b|\\son\\w+\\s*=|javascript:') THEN 'active_content' END AS reason, CASE WHEN page_id % 5 <> 0 AND regexp_matches(html, '(?i)<script\\b') THEN 1 ELSE 0 END AS scripts FROM pages")
+@query(rf"""
+WITH {FILES} SELECT page_id, CASE k WHEN 0 THEN 'empty' WHEN 2 THEN 'truncated' WHEN 3 THEN 'active_content' WHEN 4 THEN 'extension' WHEN 5 THEN 'executable' WHEN 6 THEN 'type'
+  WHEN 1 THEN CASE WHEN regexp_matches(c, '/(JavaScript|JS|OpenAction|AA|Launch|EmbeddedFile|RichMedia|XFA)') THEN 'active_content' END
+  ELSE CASE WHEN regexp_matches(c, '(?i)<\s*(script|iframe|object|embed)|javascript\s*:|\son\w+\s*=|<\s*meta[^>]+http-equiv\s*=\s*["'']?refresh') THEN 'active_content' END END AS reason,
+  k IN (1, 2, 3) AS as_declared FROM f""")
 def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.when(F.col("page_id") % 5 == 0, " ").when(F.col("page_id") % 5 == 1, F.concat(F.lit('<p onclick="x()">'), F.col("html"))).otherwise(F.col("html"))
-    return read(spark, sf_dir, "pages").select("page_id", E.invalid_html(html).alias("reason"), F.array_contains(E.warnings_of(html), "script").cast("int").alias("scripts"))
+    told = ~F.array_contains(E.warnings_of(F.col("content"), F.lit("application/pdf; charset=x")), "declared_type")
+    return files(spark, sf_dir).select("page_id", E.file_problem(F.col("content"), F.col("name")).alias("reason"), told.alias("as_declared"))
 
 
 @query(f"WITH {NOTICES} SELECT strftime(publication, '%Y/%m/%d') || '/' || notice_id AS key, notice_id FROM notices")

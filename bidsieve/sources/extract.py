@@ -136,13 +136,27 @@ def json_items(rows: DataFrame, body: str, items: str, fields: dict[str, str]) -
 HINTS = {"title": ["title", "titre", "name", "objet"], "amount": ["amount", "k", "value", "montant"], "published": ["date_publication", "published", "ts", "date"], "buyer": ["buyer", "organization", "acheteur"]}
 
 
+def json_paths(rows: DataFrame, body: str, depth: int = 6) -> DataFrame:
+    """Every key path of a JSON column, a row for each time it occurs: dots between levels, items of lists without a number."""
+    unwrapped = lambda c: F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    level = rows.select(F.lit("").alias("prefix"), F.explode(unwrapped(F.col(body))).alias("value"))
+    found = None
+    for _ in range(depth):
+        entries = level.where("ltrim(value) like '{%'").select("prefix", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+        named = entries.select(F.concat("prefix", "key").alias("path"), "value")
+        paths = named.select("path")
+        found = paths if found is None else found.unionByName(paths)
+        level = named.where("ltrim(value) like '{%' or ltrim(value) like '[%'").select(F.concat("path", F.lit(".")).alias("prefix"), F.explode(unwrapped(F.col("value"))).alias("value"))
+    return found
+
+
 def field_mapping(rows: DataFrame, body: str, hints: dict[str, list[str]] = HINTS) -> DataFrame:
     """JSON key paths profiled over all rows and mapped to canonical fields by their best hint, each path and field once.
 
     Scores: 1 for an equal leaf, 0.9 for a segment of it, 0.7 for its start or end, 0.55 for a part, 0.4 for a part of the path;
     0.05 less for each level and 0.02 for each rank of the hint. The table of paths is as small as the schema.
     """
-    keys = rows.select(F.explode(F.json_object_keys(body)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    keys = json_paths(rows, body).groupBy("path").agg(F.count("*").alias("n"))
     table = [(f, h, r) for f, hs in hints.items() for r, h in enumerate(hs)]
     known = rows.sparkSession.createDataFrame(table, "field string, hint string, rank int")
     leaf = F.lower(F.element_at(F.split("path", r"\."), -1))
@@ -197,13 +211,28 @@ class Profiles:
             yield i, title, count, json.dumps(p)
 
 
+@udtf(returnType="line_no int, line string")
+class Lines:
+    """Non-blank lines of a text with their numbers, blanks around them off."""
+
+    def eval(self, text: str):
+        for i, line in enumerate((text or "").split("\n")):
+            if line.strip(" "):
+                yield i, line.strip(" ")
+
+
 def media_type(content: Column) -> Column:
     """Media type by the first bytes; ZIP containers are told apart by `zip_kind`."""
     head = F.hex(F.substring(content, 1, 8))
-    return (
-        F.when(F.startswith(head, F.lit("25504446")), "application/pdf").when(F.startswith(head, F.lit("504B0304")), "application/zip").when(F.startswith(head, F.lit("D0CF11E0")), "application/msword").when(F.startswith(head, F.lit("377ABCAF")), "application/x-7z-compressed")
-        .when(F.startswith(head, F.lit("4D5A")) | F.startswith(head, F.lit("7F454C46")), "application/x-executable").when(F.lower(F.substring(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), 1, 200)).rlike(r"^\s*<(!doctype html|html)"), "text/html").otherwise("text/plain")
-    )
+    # First bytes, in hexadecimal, and the media types that they tell.
+    signatures = {
+        "255044462D": "application/pdf", "504B0304": "application/zip", "504B0506": "application/zip", "504B0708": "application/zip", "D0CF11E0A1B11AE1": "application/x-ole-storage", "7B5C727466": "application/rtf",
+        "1F8B": "application/gzip", "526172211A07": "application/x-rar-compressed", "377ABCAF": "application/x-7z-compressed", "7F454C46": "application/x-executable", "4D5A": "application/x-msdownload", "2321": "text/x-script",
+    }
+    kind = F.when(F.lower(F.decode(F.substring(content, 1, 200), "ISO-8859-1")).rlike(r"^\s*<(!doctype html|html|head|body|\?xml)"), "text/html").otherwise("text/plain")
+    for start, name in signatures.items():
+        kind = F.when(F.startswith(head, F.lit(start)), name).otherwise(kind)
+    return kind
 
 
 @F.pandas_udf(T.StringType())
@@ -219,20 +248,73 @@ def zip_kind(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-def invalid_html(html: Column, limit: int = 5_000_000) -> Column:
-    """First failing check of a page: empty, size, active content; null if it passes."""
-    return F.when(F.coalesce(F.length(F.trim(html)), F.lit(0)) == 0, "empty").when(F.octet_length(html) > limit, "size").when(html.rlike(r"(?i)<(object|embed|applet|iframe)\b|\son\w+\s*=|javascript:"), "active_content")
+@F.pandas_udf(T.StringType())
+def docx_problem(content: pd.Series) -> pd.Series:
+    """First failing check of a DOCX: corrupted, incomplete, macros, bomb; null if it passes, or where there is no content."""
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                sizes = {m.filename: m.file_size for m in archive.infolist()}
+                if sum(sizes.values()) > 40 * 25_000_000:  # Fixed value: forty times the size limit
+                    return "bomb"
+                if archive.testzip() is not None:
+                    return "corrupted"
+        except zipfile.BadZipFile:
+            return "corrupted"
+        if "word/document.xml" not in sizes:
+            return "incomplete"
+        return "macros" if any(n.lower().endswith("vbaproject.bin") or "/vbaData" in n for n in sizes) else None
+
+    return content.map(one)
+
+
+# Accepted extensions with their media types, executables, and what makes a file act instead of show.
+ACCEPTED = {"pdf": ["application/pdf"], "docx": ["application/zip"], "html": ["text/html", "text/plain"], "htm": ["text/html", "text/plain"]}
+EXECUTABLE = ["application/x-executable", "application/x-msdownload", "text/x-script"]
+ACTIVE_PDF = r"/(JavaScript|JS|OpenAction|AA|Launch|EmbeddedFile|RichMedia|XFA)\b"
+ACTIVE_HTML = r"(?i)<\s*(script|iframe|object|embed)|javascript\s*:|\son\w+\s*=|<\s*meta[^>]+http-equiv\s*=\s*[\"']?refresh"
+
+
+def invalid_html(html: Column, limit: int = 25_000_000) -> Column:
+    """First failing check of a page: empty, size, active content, no text; null if it passes."""
+    return F.when(F.coalesce(F.octet_length(html), F.lit(0)) == 0, "empty").when(F.octet_length(html) > limit, "size").when(html.rlike(ACTIVE_HTML), "active_content").when(html_text(html) == "", "no_text")
+
+
+def file_problem(content: Column, name: Column, limit: int = 25_000_000) -> Column:
+    """First failing check of a file, in this order: empty, size, extension, executable, type (the content is another than the
+    name says), then by type truncated, active_content, corrupted, incomplete, macros, bomb or no_text; null if it passes."""
+    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    kind, plain = media_type(content), F.decode(content, "ISO-8859-1")
+    expected = F.lit(False)
+    for ext, kinds in ACCEPTED.items():
+        expected = expected | ((extension == ext) & kind.isin(*kinds))
+    tail = F.decode(F.when(F.octet_length(content) > 4096, F.substring(content, -4096, 4096)).otherwise(content), "ISO-8859-1")
+    of_pdf = F.when(~F.contains(tail, F.lit("%%EOF")), "truncated").when(plain.rlike(ACTIVE_PDF), "active_content")
+    of_html = F.when(plain.rlike(ACTIVE_HTML), "active_content").when(html_text(F.decode(content, "UTF-8")) == "", "no_text")
+    by_kind = F.when(extension == "pdf", of_pdf).when(extension == "docx", docx_problem(F.when((extension == "docx") & (kind == "application/zip"), content))).otherwise(of_html)
+    return (
+        F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty").when(F.octet_length(content) > limit, "size").when(~extension.isin(*ACCEPTED), "extension")
+        .when(kind.isin(*EXECUTABLE), "executable").when(~expected, "type").otherwise(by_kind)
+    )
 
 
-def warnings_of(html: Column) -> Column:
-    return F.array_compact(F.array(F.when(html.rlike(r"(?i)<script\b"), F.lit("script")), F.when(~html.rlike(r"(?i)</html>\s*$"), F.lit("unclosed"))))
+def warnings_of(content: Column, declared: Column) -> Column:
+    """What is told of a file that passes: a declared type that is another, encryption."""
+    kind = media_type(content)
+    other = F.substring_index(declared, ";", 1) != kind
+    return F.array_compact(F.array(F.when(other, F.lit("declared_type")), F.when((kind == "application/pdf") & F.contains(F.decode(content, "ISO-8859-1"), F.lit("/Encrypt")), F.lit("encrypted"))))
 
 
 def posting(html: Column) -> Column:
-    """Struct of title and description of a JSON-LD job posting, or of the page's headline and text; 50,000 characters at most."""
-    body = F.regexp_extract(html, r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)
-    is_job = F.get_json_object(body, "$['@type']") == "JobPosting"
-    title = F.coalesce(F.when(is_job, F.get_json_object(body, "$.title")), F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " ")), F.lit("")))
+    """Struct of title and description of the first JSON-LD job posting (alone, in a list or in a graph), or of the page's headline and text; 50,000 characters at most."""
+    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
+    listed = lambda b: F.coalesce(F.from_json(F.coalesce(F.get_json_object(b, "$['@graph']"), b), "array<string>"), F.array(b))
+    jobs = F.filter(F.flatten(F.transform(blocks, listed)), lambda b: F.get_json_object(b, "$['@type']") == "JobPosting")
+    body = F.get(jobs, F.lit(0))
+    is_job = body.isNotNull()
+    title = F.coalesce(F.when(is_job, F.get_json_object(body, "$.title")), F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"(<[^>]*>|\s)+", " ")), F.lit("")))
     return F.struct(title.alias("title"), F.substring(F.coalesce(F.when(is_job, html_text(F.get_json_object(body, "$.description"))), html_text(html)), 1, 50_000).alias("description"))
 
 

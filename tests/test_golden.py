@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
+import zipfile
 
 import pandas as pd
 import pytest
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from bidsieve.functions import text as X
 from bidsieve.functions import url as U
 from bidsieve.operators import cv as C
+from bidsieve.operators import joins as J
 from bidsieve.operators import scoring as S
 from bidsieve.operators import similarity as V
 from bidsieve.operators import staffing as T
 from bidsieve.operators import windows as W
+from bidsieve.sources import extract as E
 from bidsieve.sources import tables
 
 
@@ -86,13 +90,17 @@ def test_cv_evidence(spark):
         ("bare", "Experience\n2020 - 2024 Engineer"),
         ("named", "Experience\nJanvier 2020 - December 2024"),
         ("none", None),
+        ("sans", "10 ans d'experience sans interruption\nCertifications\nAucun PMP\nPMI-ACP\nAZ-900\nFormation\nBac+5\nBTS"),
+        ("seeks", "Recherche: 4 years of experience required"),
+        ("lower", "More than 6,5 years of professional experience"),
     ], "cv_id string, text string")
     lined = C.sections(cvs)
     status = {(r.cv_id, r.label): r.status for r in C.facts(lined).collect()}
     assert status["full", "PMP"] == status["full", "Anglais"] == status["full", "Master"] == status["half", "PMP"] == "pass"
     assert status["half", "Anglais"] == status["doubt", "PMP"] == "unknown"
     stated = {r.cv_id: r.stated for r in C.stated_experience(lined).collect()}
-    assert stated["full"] == 7 and stated["clash"] is None
+    assert stated["full"] == 7 and stated["clash"] is None and stated["sans"] == 10 and stated["lower"] == 6.5 and "seeks" not in stated
+    assert status["sans", "PMP"] == "unknown" and status["sans", "PMI-ACP"] == status["sans", "Azure Fundamentals"] == status["sans", "Bac+5"] == status["sans", "BTS"] == "pass"
     dated = {r.cv_id: round(r.dated, 2) for r in C.dated_experience(lined, "2026-01-01").collect()}
     assert dated == {"dated": 4.0, "bare": 3.08, "named": 4.92}
 
@@ -121,3 +129,68 @@ def test_fold_everything_agrees(spark, small):
 def test_fold_is_idempotent(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.fold(F.col("t")).alias("f"))
     assert df.where(F.col("f") != X.fold(F.col("f"))).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [("Ｆｕｌｌ－ｗｉｄｔｈ", "full width"), ("ﬁn ﬂux Ǆ", "fin flux dz"), ("Άλφα", "αλφα"), ("ؤمن", "ومن"), ("x²", "x2")])
+def test_fold_beyond_latin(spark, text, want):
+    assert one(spark, X.fold, text) == want == one(spark, X.fold_everything, text)
+
+
+@pytest.mark.parametrize("url, want", [("http://[::1]/x", "private"), ("http://[fe80::1]/", "private"), ("http://[fc00::2]:80/", "private"), ("http://0.1.2.3/", "private"), ("http://[2001:db8::1]/x", None), ("http://a.org/0.1", None), ("ftp://a.org", "scheme"), ("http:///x", "host")])
+def test_url_guard(spark, url, want):
+    assert one(spark, U.guarded, url) == want
+
+
+def test_nested_paths_are_mapped(spark):
+    body = '{"data": {"notice": {"titre": "x", "lots": [{"montant": 1}, {"montant": 2}]}}, "buyer_name": "y"}'
+    rows = spark.createDataFrame([(body,), (body,), (None,), ("[1, 2]",)], "body string")
+    counts = {r.path: r["count"] for r in E.json_paths(rows, "body").groupBy("path").count().collect()}
+    assert counts == {"data": 2, "data.notice": 2, "data.notice.titre": 2, "data.notice.lots": 2, "data.notice.lots.montant": 4, "buyer_name": 2}
+    found = {r.field: (r.path, round(r.score, 2)) for r in E.field_mapping(rows, "body").collect()}
+    assert found == {"title": ("data.notice.titre", 0.88), "amount": ("data.notice.lots.montant", 0.79), "buyer": ("buyer_name", 0.9), "published": ("data.notice.lots", 0.56)}  # lots ends in ts
+
+
+def test_files(spark):
+    def docx(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/").replace("_", "."), text)
+        return out.getvalue()
+
+    good = docx(word__document_xml="x")
+    cases = [
+        (b"", "a.pdf", "empty"), (b"%PDF-1.7 text %%EOF", "a.pdf", None), (b"%PDF-1.7 text", "a.pdf", "truncated"), (b"%PDF-1.7 /JS 1 %%EOF", "a.pdf", "active_content"), (b"MZ..", "a.pdf", "executable"), (b"#!/bin/sh", "a.html", "executable"),
+        (b"<html>x</html>", "a.pdf", "type"), (b"<html>x</html>", "a.htm", None), (b"<html><p> </p></html>", "a.htm", "no_text"), (b"<html><iframe></html>", "a.html", "active_content"), (b"x", "a.sh", "extension"), (b"x", "a", "extension"), (None, "a.pdf", "empty"),
+        (good, "a.docx", None), (docx(x="x"), "a.docx", "incomplete"), (docx(word__document_xml="x", word__vbaProject_bin="x"), "a.docx", "macros"), (good[:-30], "a.docx", "corrupted"), (b"%PDF-1.7 %%EOF", "a.docx", "type"),
+    ]
+    frame = spark.createDataFrame([(i, c, n) for i, (c, n, _) in enumerate(cases)], "i int, content binary, name string")
+    got = {r.i: r.p for r in frame.select("i", E.file_problem(F.col("content"), F.col("name")).alias("p")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
+    told = frame.where("name = 'a.htm'").select(E.warnings_of(F.col("content"), F.lit("text/plain; charset=utf-8")).alias("w")).first().w
+    assert told == ["declared_type"]
+
+
+def test_posting_in_a_graph(spark):
+    page = '<script type="application/ld+json">{"@type": "Organization"}</script><h1>Other</h1><script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": "JobPosting", "title": "Engineer", "description": "<p>Build</p>"}]}</script>'
+    got = spark.createDataFrame([(page,), ("<h1>Plain <b>page</b></h1><p>text</p>",)], "html string").select(E.posting(F.col("html")).alias("p")).select("p.*").collect()
+    assert [(r.title, r.description) for r in got] == [("Engineer", "Build"), ("Plain page", "Plain page\ntext")]
+
+
+def test_candidates_without_a_country(spark):
+    day = dt.datetime(2024, 5, 1)
+    frame = spark.createDataFrame([(1, "FR", day, None), (2, None, day, day), (3, "DE", day - dt.timedelta(days=100), day + dt.timedelta(days=3)), (4, "DE", day - dt.timedelta(days=200), None)], "notice_id long, country string, publication timestamp_ntz, deadline timestamp_ntz")
+    got = {(r.incoming_id, r.stored_id) for r in J.candidate_window(frame, frame).collect()}
+    assert got == {(1, 2), (2, 1), (2, 3), (3, 4)}
+
+
+def test_blocks_give_every_pair(spark):
+    left, right = spark.range(50).withColumnRenamed("id", "a"), spark.range(23).withColumnRenamed("id", "b")
+    for most in (100, 4):
+        assert J.blocked_pairs(left, right, most, salts=3).distinct().count() == J.blocked_pairs(left, right, most, salts=3).count() == 50 * 23
+
+
+def test_a_whole_pool_is_ranked(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("cv_id"), F.element_at(F.array(*map(F.lit, ["pass", "unknown", "fail"])), (F.col("id") % 3 + 1).cast("int")).alias("status"), (F.col("id") % 7 / 7).alias("confirmed_ratio"), (F.col("id") % 5).alias("score"))
+    whole = [(r.cv_id, r.position) for r in C.rank(rows).orderBy("position").collect()]
+    assert [p for _, p in whole] == list(range(1, 501)) and whole[:40] == [(r.cv_id, r.position) for r in C.rank(rows, 40).orderBy("position").collect()]
