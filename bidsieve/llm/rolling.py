@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _random = np.random.default_rng(20260101)
 _TABLE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -31,11 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hash of any stretch of a sequence in constant time."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, base: int = 0) -> None:
         n = len(values)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _power(_BASE, n), dtype=np.uint64, out=self.prefix[1:])
-        self.back = _power(_INVERSE, n + 1)
+        np.cumsum(values * _power(_BASES[base], n), dtype=np.uint64, out=self.prefix[1:])
+        self.back = _power(_INVERSES[base], n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))

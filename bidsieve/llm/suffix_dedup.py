@@ -2,22 +2,22 @@
 
 Rolling-hash triggers over 16 bytes cut every text into phrases of about 170 bytes and 350 at most. The dictionary side (suffixes of the
 phrase before a trigger) and the parse side (what follows the trigger) are ranked in suffix order, class by class, and
-combined: two suffixes of the corpus share `window` bytes exactly when both ranks are equal (`repeats`). That gives the
-neighbours with a common prefix of `window` bytes in corpus order without ever holding the corpus, or its suffix array, in
-one place.
+combined: two suffixes of the corpus share `window` bytes exactly when both ranks are equal. That gives the neighbours with a
+common prefix of `window` bytes in corpus order without ever holding the corpus, or its suffix array, in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, runs_of, text_of
-from .repeats import covered, marks, with_marks
+from .common import bytes_of, runs_of, text_of, whole_groups
+from .repeats import covered, crowds_of, marks, windows_of, with_marks
 from .rolling import Parsing
 
 _RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
@@ -28,7 +28,23 @@ def parsing(window: int) -> Parsing:
     return Parsing(window=window, grain=grain, reach=max(grain, window * 7 // 8), band=max(2, min(40, window // 10)))
 
 
-def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+def neighbours(p: Parsing):
+    """Suffixes of a band in order: those whose neighbour, before or behind, has their first `window` bytes too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h1", "h2"]):
+            found = crowds_of(table, p, words=False)
+            if found is None:
+                continue
+            columns, group, around = found
+            for ahead, use, rank in windows_of(columns, group, around, p):
+                hit = use[np.bincount(rank)[rank] > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(columns["rid"][hit]), pa.array(columns["ord"][hit]), pa.array((columns["top"][hit] - ahead).astype(np.int32)), pa.array(np.zeros(len(hit), np.int64))], ["rid", "ord", "start", "source"])
+
+    return run
+
+
+def _emit(batch: pa.RecordBatch, docs: np.ndarray, flags: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
     raw, _ = bytes_of(batch.column("text"))
     kept, spans = [], []
     for i in range(batch.num_rows):
@@ -51,8 +67,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, crowd: int = 16_38
     """
     p = parsing(window)
     text = text_of(docs)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("rid"), F.lit(0).cast("long").alias("ord"))
-    found = marks(base, p, words=False, earlier=False, crowd=crowd)
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("rid"), F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("ord"))
+    found = marks(base, p, words=False, earlier=False, matched=neighbours(p), crowd=crowd)
     return with_marks(base, found).select("doc_id", "text", "full", "starts").mapInArrow(covered(p, False, False, _emit), _RESULT)
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidsieve.llm import bpe, embedding_dedup, packing, repeats, sharding, simhash, substring_dedup, suffix_dedup
+from bidsieve.llm import bpe, embedding_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -247,13 +247,31 @@ def test_no_task_ranks_a_crowd(spark, monkeypatch):
     held = spark.sparkContext.accumulator(0)
 
     def most(batches):
-        for table in repeats.whole_groups(batches, ["h1", "h2"]):
+        for table in suffix_dedup.whole_groups(batches, ["h1", "h2"]):
             held.add(int(sum(n - 50 for n in table.group_by(["h1", "h2"]).aggregate([([], "count_all")]).column("count_all").to_pylist() if n > 50)))
         yield from ()
 
-    monkeypatch.setattr(repeats, "_matched", lambda p, words, earlier: most)
+    monkeypatch.setattr(suffix_dedup, "neighbours", lambda p: most)
+    monkeypatch.setattr(substring_dedup, "factored", lambda p: most)
     suffix_dedup.remove_repeated_bytes(table, crowd=50).collect()
     substring_dedup.remove_repeated_words(table, crowd=50).collect()
     assert held.value == 0
     suffix_dedup.remove_repeated_bytes(table).collect()  # under the bound it is ranked
     assert held.value > 0
+
+
+def test_factors_hold_what_their_sources_have(spark, docs):
+    """Every factor's first words stand in its source, which is earlier; together the factors are the removed spans."""
+    words = {r.doc_id: substring_dedup.re.findall(substring_dedup.WORD, r.text or "") for r in docs.select("doc_id", "text").collect()}
+    seen = 0
+    for r in substring_dedup.remove_repeated_words(docs, 10).collect():
+        covered = set()
+        for f in r.factors:
+            assert f.source < r.doc_id and f.end - f.start >= 10
+            for i in range(f.start, f.end - 9):
+                part = words[r.doc_id][i : i + 10]
+                assert any(words[f.source][j : j + 10] == part for j in range(len(words[f.source]) - 9))
+            covered |= set(range(f.start, f.end))
+            seen += 1
+        assert covered == {i for s in r.spans for i in range(s.start, s.end)}
+    assert seen > 20
