@@ -34,13 +34,13 @@ def shard(docs: DataFrame, shards: int = 40, seed: str = "shard-1") -> DataFrame
     docs: doc_id long, text string, source string; other columns are ignored, whatever their names. Returns one row per
     input row: doc_id, source, size (UTF-8 bytes of the text and 16; a null text has none), text_crc32 (0 for a null text,
     as for an empty one), law ("rows"), shard, slot (gapless from 0 in the shard), grown_shard (null: this law has none).
-    A null source is a source of its own; null doc_ids are hashed as an empty id; repeated rows are dealt each, ties of the
-    hash broken by doc_id and text; an empty table gives an empty result.
+    A null source is a source of its own; the order hashes id and text, so rows without an id, or of one id, spread like
+    others; repeated rows are dealt each, ties of the hash broken by doc_id and text; an empty table gives an empty result.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     doc_id = docs["doc_id"].cast("long")
     # without Python or the text: what follows moves rows of about 60 bytes
-    slim = durable(docs.select(doc_id.alias("doc_id"), F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("")).alias("stratum"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), doc_id).alias("h")))
+    slim = durable(docs.select(doc_id.alias("doc_id"), F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("")).alias("stratum"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), doc_id, text).alias("h")))
     total = slim.count()
     fine = max(1, -(-total // _RANGE))
     sizes = slim.groupBy("stratum").agg(F.count("*").alias("of"))

@@ -147,7 +147,7 @@ def test_sharding(docs, odd, nothing):
     for df in (docs, odd):
         got = sharding.shard(df).collect()
         given = [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
-        hashes = [r.h for r in df.select(F.xxhash64(F.lit("shard-1"), F.col("doc_id")).alias("h")).collect()]
+        hashes = [r.h for r in df.select(F.xxhash64(F.lit("shard-1"), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("h")).collect()]
         if all(d is not None for d, _, _ in given):
             assert sorted((tuple(r)[:1] + tuple(r)[2:] for r in got), key=repr) == sorted(sharding.brute_force(given, hashes), key=repr)
         counts = np.bincount([r.shard for r in got], minlength=40)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
+import regex
 from compare import database, difference
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from bidsieve.llm import quality_classifier, quality_rules, queries, simhash, substring_dedup, url_filter
@@ -114,6 +118,38 @@ def test_classifier(spark, odd, nothing):
     assert {r.score for r in quality_classifier.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def counted(text):
+    """The statistics of a text, plainly."""
+    text = text or ""
+    words, lines = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)]
+    chars = sum(map(len, words))
+    of = lambda a, b: a / b if b else 0.0
+    count = lambda pattern: len(regex.findall(pattern, text))
+    return [
+        math.log1p(len(words)), of(chars, len(words)), of(count(r"[#*$%&|<>]"), chars), of(count(r"\p{Lu}"), chars), of(count(r"\p{N}"), chars), of(count(r"\p{P}"), chars), of(count("!"), chars), of(count(r"\|"), chars),
+        of(len(set(words)), len(words)), 1 - of(len(set(lines)), len(lines)), of(len(words), len(lines)),
+    ]
+
+
+def test_scores_are_the_weighted_rules(spark, docs, odd):
+    """Statistics, rules and logistic sum of every row against plain Python, with the model that the same labels give."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality_classifier.fit(quality_classifier.with_features(docs, "doc_id"), labels)
+    assert 0 < len(model.rules) < 200
+    for df, got in ((docs, quality_classifier.classify(docs, labels)), (odd, quality_classifier.with_features(odd, "doc_id").withColumn("score", model.score()))):
+        want = {}
+        for r in df.select("doc_id", "text").collect():
+            x = counted(r.text)
+            total = model.intercept + sum(w for rule, w in model.rules if all(above < x[i] <= up_to for i, above, up_to in rule))
+            want.setdefault(r.doc_id, []).append((round(1 / (1 + math.exp(-total)), 9), *(round(v, 9) for v in x)))
+        have = {}
+        for r in got.collect():
+            have.setdefault(r.doc_id, []).append((round(r.score, 9), *(round(r[f], 9) for f in quality_classifier.FEATURES)))
+        assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    held = {r.doc_id: r.held_out for r in quality_classifier.classify(docs, labels).select("doc_id", "held_out").collect()}
+    assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in held.items())
+
+
 def test_tree_rules():
     shown = "DecisionTree\n  If (feature 0 <= 1.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
     inf = float("inf")
@@ -144,6 +180,8 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == list(corpus_pipeline.DOCUMENTS)
     good = corpus_pipeline.classifier(spark, kept, sf)
     rows = [(r.doc_id, r.text) for r in good.collect()]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert {d for d, _ in rows} == {r.doc_id for r in quality_classifier.classify(kept, labels).where("predicted = 1").collect()} and len(rows) > 300
     heads = {c for _, _, c in simhash.brute_force(rows)}
     one = corpus_pipeline.near_duplicates(spark, good, sf)
     left = sorted((r.doc_id, r.text) for r in one.collect())
@@ -152,6 +190,13 @@ def test_pipeline_stages(spark):
     lengths = {d: n - gone for d, n, gone, _ in substring_dedup.brute_force(left)}
     assert {r.doc_id: len(WORDS.findall(r.text)) for r in cut.collect()} == lengths
     assert all(len(r.text) == r.n_chars for r in cut.collect())
+    library = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    ids = {r.doc_id: library.encode(r.text, add_special_tokens=False).ids + [1] for r in cut.collect()}
+    told: dict[int, int] = {}
+    for r in corpus_pipeline.sequences(spark, cut, sf).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        told[r.doc_id] = told.get(r.doc_id, 0) + r.length
+    assert told == {d: len(x) for d, x in ids.items()}
 
 
 def test_pipeline_runs(spark, odd):
