@@ -57,7 +57,15 @@ def infer_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.field_mapping(read(spark, sf_dir, "events"), "props")
 
 
-@query()
+_VISIBLE = "html"
+for _tag in ("script", "style", "nav", "footer", "header", "noscript"):
+    _VISIBLE = rf"regexp_replace({_VISIBLE}, '(?is)<{_tag}\b.*?</{_tag}\s*>', ' ', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_VISIBLE}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/h\d|/li|/tr|/title)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _name, _mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_mark}')"
+
+
+@query(rf"SELECT page_id, array_to_string([x FOR x IN [trim(regexp_replace(l, '\s+', ' ', 'g')) FOR l IN string_split({_PLAIN}, chr(10))] IF x <> ''], chr(10)) AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", E.html_text(F.col("html")).alias("text"))
 

@@ -7,9 +7,11 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,12 +80,17 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|noscript)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
 
 
+@F.arrow_udf(T.StringType())
+def unescaped(text: pa.Array) -> pa.Array:
+    """Named and numbered character references as characters, no-break spaces as spaces."""
+    return pa.array([None if x is None else unescape(x).replace("\xa0", " ") for x in text.to_pylist()], pa.string())
+
+
 def html_text(html: Column) -> Column:
     """Visible text, a line per block."""
     value = F.regexp_replace(without_scripts(html), r"(?i)<(br|/p|/div|/h\d|/li|/tr|/title)\b[^>]*>", "\n")
     value = F.regexp_replace(value, r"<[^>]*>", " ")
-    for name, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(name), F.lit(plain))
+    value = F.coalesce(unescaped(F.when(F.contains(value, F.lit("&")), value)), value)
     lines = F.transform(F.split(value, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
