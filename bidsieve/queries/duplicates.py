@@ -27,10 +27,11 @@ def dedup_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTOR = f"""toks AS (SELECT id, 'w:' || t AS term FROM (SELECT id, unnest([x FOR x IN string_split(f, ' ') IF length(x) > 2 AND x NOT IN ({STOPS})]) AS t FROM folded)),
-grams AS (SELECT id, 'g:' || g AS term FROM (SELECT id, unnest(CASE WHEN f = '' THEN [] WHEN length(f) < 4 THEN [replace(f, ' ', '_')] ELSE [replace(f, ' ', '_')[i:i+3] FOR i IN range(1, length(f) - 2)] END) AS g FROM folded)),
+chars AS MATERIALIZED (SELECT id, CASE WHEN f = '' THEN [] ELSE string_split(replace(f, ' ', '_'), '') END AS c FROM folded),
+grams AS (SELECT id, 'g:' || g AS term FROM (SELECT id, unnest(CASE WHEN len(c) = 0 THEN [] WHEN len(c) < 4 THEN [array_to_string(c, '')] ELSE [c[i] || c[i + 1] || c[i + 2] || c[i + 3] FOR i IN range(1, len(c) - 2)] END) AS g FROM chars)),
 counts AS (SELECT id, term, count(*) AS n FROM (SELECT * FROM toks UNION ALL SELECT * FROM grams) GROUP BY 1, 2),
-raw AS (SELECT id, term, 1 + ln(n * CASE WHEN starts_with(term, 'w:') THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END) AS w FROM counts),
-vectors AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
+raw AS MATERIALIZED (SELECT id, term, 1 + ln(n * CASE WHEN starts_with(term, 'w:') THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END) AS w FROM counts),
+vectors AS MATERIALIZED (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
 
 
 HASHES = f"""{HASHED}, r AS (SELECT raw_sha256, min(doc_id) AS a FROM h GROUP BY 1), t AS (SELECT text_sha256, min(doc_id) AS b FROM h GROUP BY 1),
