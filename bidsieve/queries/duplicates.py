@@ -97,7 +97,12 @@ def dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.groupBy(F.col("left_id").alias("incoming_id")).agg(F.max_by("right_id", F.struct("similarity", "publication", -F.col("right_id"))).alias("canonical_id"), F.max("similarity").alias("similarity"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE folded AS (SELECT doc_id AS id, {fold_sql('text')} AS f FROM documents), {VECTOR},
+links AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS similarity FROM vectors a JOIN vectors b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2) WHERE similarity >= 0.92),
+walk AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON w.b = l.a),
+classes AS (SELECT a, min(b) AS least FROM walk GROUP BY 1), best AS (SELECT a, max(similarity) AS similarity FROM links GROUP BY 1)
+SELECT doc_id, coalesce(least(c.least, doc_id), doc_id) AS component_id, similarity FROM documents LEFT JOIN classes c ON c.a = doc_id LEFT JOIN best b ON b.a = doc_id""")
 def near_dup_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The semantic stage at scale: 4-gram MinHash bands find candidates, the lexical cosine verifies them."""
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", least=0.92).withColumnRenamed("id", "doc_id")
