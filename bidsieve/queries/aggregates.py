@@ -137,7 +137,20 @@ def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.rolling_cap(rows, "user_id", F.col("event_type").isin("view", "click"), 2).select("event_id", "recent", "suppressed")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {RUNS}, r AS MATERIALIZED (SELECT source_key, run_id, event_type IN ('error', 'view', 'click') AS bad, epoch_us(ts) / 1e6 AS moment, row_number() OVER (PARTITION BY source_key ORDER BY ts, run_id) AS n FROM runs),
+s AS (
+  SELECT source_key, 0::BIGINT AS n, NULL::BIGINT AS run_id, NULL::VARCHAR AS met, 'closed' AS state, 0 AS failed, 0 AS won, 0 AS used, 0::DOUBLE AS opened FROM r WHERE n = 1
+  UNION ALL SELECT source_key, n, run_id, met,
+    CASE WHEN met = 'half_open' AND bad OR met = 'closed' AND bad AND failed + 1 >= 5 THEN 'open' WHEN met = 'half_open' AND won + 1 >= 2 THEN 'closed' WHEN met = 'half_open_refused' THEN 'half_open' ELSE met END,
+    CASE WHEN met = 'closed' THEN CASE WHEN bad THEN failed + 1 ELSE 0 END WHEN met = 'half_open' AND NOT bad AND won + 1 >= 2 THEN 0 ELSE failed END,
+    CASE WHEN met = 'half_open' AND NOT bad THEN won + 1 ELSE won END, CASE WHEN met = 'half_open' THEN used + 1 ELSE used END,
+    CASE WHEN met = 'half_open' AND bad OR met = 'closed' AND bad AND failed + 1 >= 5 THEN moment ELSE opened END
+  FROM (SELECT *, CASE WHEN turned = 'half_open' AND used >= 1 THEN 'half_open_refused' ELSE turned END AS met FROM (
+    SELECT source_key, n, run_id, bad, moment, opened, failed, CASE WHEN fresh THEN 'half_open' ELSE was END AS turned, CASE WHEN fresh THEN 0 ELSE won END AS won, CASE WHEN fresh THEN 0 ELSE used END AS used FROM (
+      SELECT r.*, s.opened, s.won, s.used, CASE WHEN s.state <> 'closed' AND r.moment - s.opened >= 6000 THEN 'closed' ELSE s.state END AS was, CASE WHEN s.state <> 'closed' AND r.moment - s.opened >= 6000 THEN 0 ELSE s.failed END AS failed,
+        s.state = 'open' AND r.moment - s.opened >= 600 AND r.moment - s.opened < 6000 AS fresh FROM s JOIN r ON r.source_key = s.source_key AND r.n = s.n + 1))))
+SELECT run_id, source_key, met AS circuit FROM s WHERE n > 0""")
 def circuit_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.circuit_timeline(runs(spark, sf_dir).withColumn("failed", F.col("event_type").isin("error", "view", "click")))
 
