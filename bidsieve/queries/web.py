@@ -65,7 +65,10 @@ for _name, _mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '
     _PLAIN = f"replace({_PLAIN}, '{_name}', '{_mark}')"
 
 
-@query(rf"SELECT page_id, array_to_string([x FOR x IN [trim(regexp_replace(l, '\s+', ' ', 'g')) FOR l IN string_split({_PLAIN}, chr(10))] IF x <> ''], chr(10)) AS text FROM pages")
+_TEXT = rf"array_to_string([x FOR x IN [trim(regexp_replace(l, '\s+', ' ', 'g')) FOR l IN string_split({_PLAIN}, chr(10))] IF x <> ''], chr(10))"
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", E.html_text(F.col("html")).alias("text"))
 
@@ -84,7 +87,9 @@ def labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in E.labelled(text, ["Source", "Lang", "Ref"]).items()))
 
 
-@query()
+@query(rf"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Role ' || page_id ELSE nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(<[^>]*>|\s)+', ' ', 'g')), '') END AS title,
+  CASE WHEN page_id % 2 = 0 THEN 'Do it' ELSE substr({_TEXT}, 1, 50000) END AS description FROM pages""")
 def jsonld_posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "JobPosting", "title": "Role '), F.col("page_id").cast("string"), F.lit('", "description": "<p>Do it</p>"}</script>'), F.col("html"))).otherwise(F.col("html"))
     return read(spark, sf_dir, "pages").select("page_id", E.posting(added).alias("p")).select("page_id", "p.title", "p.description")
