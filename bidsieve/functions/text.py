@@ -203,6 +203,7 @@ def money(text: Column, decimal: str = ",", thousands: str = " ") -> Column:
     """Amount of a money text as decimal(18,2), multipliers applied; null if there is none or it is negative."""
     value = tidy(text)
     low = F.lower(value)
+    # Words that multiply an amount.
     factor = F.when(low.rlike(r"\bmillions?\b|\bmd\b"), 1_000_000).when(low.rlike(r"\bmilliers?\b|\bk\b(?!\w)"), 1_000).otherwise(1)
     number = F.regexp_replace(F.regexp_replace(value, r"[^\d.,\s' -]", ""), r"['\s]", "")
     if thousands:
@@ -226,13 +227,16 @@ def timestamp(text: Column, formats: list[str] | None = None, zone: str | None =
     iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), value.try_cast("timestamp"))
     shifted = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"), value.try_cast("timestamp"))
     plain = F.translate(F.lower(value), "éèûî", "eeui")
-    pattern = r"(\d{1,2})\s*(?:er)?\s+([a-z]+)\.?\s+(\d{4})(?:\D+(\d{1,2})[:h](\d{2}))?"
+    # Fixed value: the accepted form, a day, a month's name and a year, then perhaps a time such as 14h30.
+    day, month_name, year, clock = r"(\d{1,2})\s*(?:er)?", r"([a-z]+)\.?", r"(\d{4})", r"(\d{1,2})[:h](\d{2})"
+    pattern = rf"{day}\s+{month_name}\s+{year}(?:\D+{clock})?"
     part = lambda i: F.regexp_extract(plain, pattern, i)
     month = F.lit(None).cast("int")
     for number, names in MONTHS.items():
         month = F.when(part(2).isin(*names.split()), number).otherwise(month)
     number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
     textual = F.when(month.isNotNull(), F.try_make_timestamp(number(3), month, number(1), number(4), number(5), F.lit(0)))
+    # Fixed value: the accepted form, day first.
     figures = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:\D+(\d{1,2}):(\d{2}))?"
     figure = lambda i: F.coalesce(F.regexp_extract(value, figures, i).try_cast("int"), F.lit(0))
     loose = F.when(value.rlike(figures), F.try_make_timestamp(figure(3), figure(2), figure(1), figure(4), figure(5), F.lit(0)))
