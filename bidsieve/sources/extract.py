@@ -299,7 +299,8 @@ def file_problem(content: Column, name: Column, limit: int = 25_000_000) -> Colu
         expected = expected | ((extension == ext) & kind.isin(*kinds))
     tail = F.decode(F.when(F.octet_length(content) > 4096, F.substring(content, -4096, 4096)).otherwise(content), "ISO-8859-1")
     of_pdf = F.when(~F.contains(tail, F.lit("%%EOF")), "truncated").when(plain.rlike(ACTIVE_PDF), "active_content")
-    of_html = F.when(plain.rlike(ACTIVE_HTML), "active_content").when(html_text(F.decode(content, "UTF-8")) == "", "no_text")
+    readable = F.make_valid_utf8(F.when(extension.isin("html", "htm"), content).cast("string"))
+    of_html = F.when(plain.rlike(ACTIVE_HTML), "active_content").when(html_text(readable) == "", "no_text")
     by_kind = F.when(extension == "pdf", of_pdf).when(extension == "docx", docx_problem(F.when((extension == "docx") & (kind == "application/zip"), content))).otherwise(of_html)
     return (
         F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty").when(F.octet_length(content) > limit, "size").when(~extension.isin(*ACCEPTED), "extension")
