@@ -33,7 +33,7 @@ WHERE contains({fold_sql('title')}, 'notice') AND (contains({fold_sql('title')},
   AND publication >= TIMESTAMP '1996-01-01' AND publication < TIMESTAMP '1999-01-01' AND (deadline IS NULL OR deadline >= TIMESTAMP '1996-06-01') AND (budget IS NULL OR budget BETWEEN 1000 AND 300000)
   AND right(buyer, 1) IN ('1', '2', '3', '4', '5', '6') AND coalesce(funder, '') <> '' AND funder <> 'Fund 0' AND (language IS NULL OR language <> 'ar')""")
 def filter_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notices(spark, sf_dir).join(codes(spark, sf_dir), "notice_id", "left")
+    rows = notices(spark, sf_dir, costly=True).join(codes(spark, sf_dir), "notice_id", "left")
     rows = rows.withColumns({"location": F.concat(F.lit("Région "), F.right("buyer", F.lit(1))), "funder": F.expr("case when notice_id % 5 > 0 then concat('Fund ', notice_id % 4) end"), "language": F.expr("case when notice_id % 6 > 0 then element_at(array('FR', 'en', 'ar'), cast(notice_id % 3 + 1 as int)) end")})
     wanted = L.Filters(locations=[f"region {i}" for i in range(1, 7)], funders=["fund 1", "FUND 2", "fund 3"], languages=["fr", "EN"], all_of=["Notice"], any_of=["Building", "machinery"], none_of=["LOW"], zones=["EUROPE", "ASIA"], statuses=["open", "closed"], cpv=["72000000", "48000000"], published_from="1996-01-01", published_before="1999-01-01", deadline_from="1996-06-01", budget_min=1000, budget_max=300000)
     return rows.where(L.matches(wanted)).select("notice_id")

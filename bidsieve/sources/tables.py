@@ -38,9 +38,10 @@ TEXTS = ("documents", "pages")
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A scan dealt out to all cores where its files have too few row groups for that, as small tables do."""
+    """A scan dealt out to all cores where its files are too small for that. Splits without a row group of their own are empty,
+    so as many splits as cores are not enough either."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
