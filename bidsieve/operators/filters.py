@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_matches, fold, plain_fold
+from ..functions.text import code_matches, fold, let, plain_fold
 
 
 @dataclass(frozen=True)
@@ -52,21 +52,32 @@ def resolved(wanted: Filters, today: str) -> Filters:
     return replace(wanted, **changes)
 
 
-def _holds(column: str, terms: list[str]) -> Column:
-    value = fold(F.col(column))
+def _holds(value: Column, terms: list[str]) -> Column:
+    """Whether a folded value holds any of some terms."""
     found = F.lit(False)
     for term in terms:
         found = found | F.contains(value, F.lit(plain_fold(term)))
     return found
 
 
+def _text_rule(column: str, wanted: list[list[str]], unwanted: list[str]) -> Column:
+    """All rules on a text column, which is folded once: a term of each list of `wanted`, none of `unwanted`."""
+
+    def rule(value: Column) -> Column:
+        whole = F.lit(True)
+        for terms in wanted:
+            whole = whole & _holds(value, terms)
+        return whole & ~_holds(value, unwanted) if unwanted else whole
+
+    return let(fold(F.col(column)), rule)
+
+
 def matches(wanted: Filters, text: str = "title") -> Column:
     """One predicate for all criteria asked for; plain comparisons reach the scan."""
     rules: list[Column] = []
-    rules += [_holds(text, [t]) for t in wanted.all_of]
-    rules += [_holds(text, wanted.any_of)] if wanted.any_of else []
-    rules += [~_holds(text, wanted.none_of)] if wanted.none_of else []
-    rules += [_holds(c, terms) for c, terms in (("country", wanted.countries), ("buyer", wanted.buyers), ("sector", wanted.sectors), ("location", wanted.locations), ("funder", wanted.funders), ("category", wanted.categories)) if terms]
+    if wanted.all_of or wanted.any_of or wanted.none_of:
+        rules.append(_text_rule(text, [*([t] for t in wanted.all_of), *([wanted.any_of] if wanted.any_of else [])], wanted.none_of))
+    rules += [_text_rule(c, [terms], []) for c, terms in (("country", wanted.countries), ("buyer", wanted.buyers), ("sector", wanted.sectors), ("location", wanted.locations), ("funder", wanted.funders), ("category", wanted.categories)) if terms]
     rules += [F.col(c).isin(*members) for c, members in (("zone", wanted.zones), ("status", wanted.statuses), ("procedure", wanted.procedures), ("source", wanted.sources)) if members]
     rules += [F.col("language").isNull() | F.lower("language").isin(*(x.lower() for x in wanted.languages))] if wanted.languages else []
     rules += [F.col("currency").isNull() | (F.upper("currency") == wanted.currency.upper())] if wanted.currency else []
@@ -132,6 +143,6 @@ def union_of_searches(rows: DataFrame, text: str, terms: list[str], row_id: str)
     """What one search per term finds, each row once; the same as one search for any of the terms."""
     found = None
     for term in terms:
-        part = rows.where(_holds(text, [term]))
+        part = rows.where(_holds(fold(F.col(text)), [term]))
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates([row_id])
