@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, packing, quality_classifier, quality_rules, sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, url_filter
+from . import bpe, embedding_dedup, language_id, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_sharding, op8_simhash, op9_substring_dedup, op10_quality_rules, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_url_filter, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_sharding, op8_simhash, op9_substring_dedup, op10_quality_rules, op11_spelling_variants, op12_ranked_search, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Hashes, tokenizers and fitted models have no SQL form; the tests hold those operators against brute force."""
-    return {"op3_url_filter": url_filter.SQL, "op11_spelling_variants": spelling_variants.SQL}
+    return {"op3_url_filter": url_filter.SQL, "op11_spelling_variants": spelling_variants.SQL, "op12_ranked_search": ranked_search.SQL}

@@ -9,7 +9,8 @@ knows which of its grams can be affected and which stay whole, at the same dista
 Two near words have the grams that stay whole in common. Their inverted lists are merged by hash: a word is posted, for each
 place of an edit, under all grams that stay whole there (most places have the same ones), so the words that meet are those
 in all lists of such a set. Lists of single grams are far longer (4.9 billion meetings of 375 thousand words, against 11
-million). What meets is verified. Lists of more than `block` words meet in pairs of blocks. The dictionary only steers
+million). What meets is verified. Lists are read as sorted streams; those of more than `block` words are dealt out again
+and meet in pairs of blocks. The dictionary only steers
 speed: any dictionary gives the same pairs.
 """
 
@@ -19,7 +20,7 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64, xxh64_intdigest
 
-from .common import slices, written
+from .common import Mapper, slices, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHORTEST, _LONGEST = 2, 4
@@ -142,14 +143,83 @@ def index(words: DataFrame, frequent: set[str]) -> DataFrame:
     return words.select("word", "name", "n").mapInArrow(post, "key long, role byte, name string, n long")
 
 
-def candidates(lists: DataFrame, block: int = 1000) -> DataFrame:
-    """name_a, name_b, n_a, n_b: words that meet in a list in fitting roles, once for each list."""
-    long_lists = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = lists.join(long_lists, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _meetings(key: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that meet in rows sorted by key and role: any two that replace, and each shorter word with each longer one."""
+    at, edges = np.arange(len(key)), np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(edges, len(key)))
+    end = np.repeat(edges + sizes, sizes)
+    longer = end - np.repeat(np.add.reduceat((role == _LONGER).astype(np.int64), edges), sizes)
+    first = np.where(role == _REPLACED, at + 1, np.where(role == _SHORTER, longer, end))
+    many = end - first
+    left = np.repeat(at, many)
+    return left, np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(left))
+
+
+def _met(block: int) -> Mapper:
+    """From lists sorted by key and role the pairs that meet; rows of lists longer than `block` come out as they are, without a partner."""
+
+    def given(rows: pa.Table, left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
+        mine = rows.take(left)
+        partner = rows.take(right) if right is not None else None
+        others = [partner.column(c).combine_chunks() if partner else pa.nulls(len(left), t) for c, t in (("name", pa.string()), ("n", pa.int64()))]
+        return pa.RecordBatch.from_arrays([*(mine.column(c).combine_chunks() for c in ("key", "role", "name", "n")), *others], ["key", "role", "name_a", "n_a", "name_b", "n_b"])
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = rows.column("key").to_numpy()
+        _, lists, sizes = np.unique(key, return_inverse=True, return_counts=True)
+        brief = sizes[lists] <= block
+        if not brief.all():
+            yield given(rows, np.flatnonzero(~brief), None)
+        rows = rows.filter(pa.array(brief))
+        if rows.num_rows:
+            left, right = _meetings(rows.column("key").to_numpy(), rows.column("role").to_numpy())
+            for i in range(0, len(left), 1 << 16):
+                yield given(rows, left[i : i + (1 << 16)], right[i : i + (1 << 16)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, long_key = None, None  # rows of the last list so far; the list that goes on, if it is long already
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if long_key is not None:
+                same = rows.column("key").to_numpy() == long_key
+                if same.any():
+                    yield given(rows, np.flatnonzero(same), None)
+                if same.all():
+                    continue
+                rows, long_key = rows.filter(pa.array(~same)), None
+            rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            yield from pairs(rows.slice(0, last))
+            kept = rows.slice(last)
+            if kept.num_rows > block:
+                yield given(kept, np.arange(kept.num_rows), None)
+                kept, long_key = None, key[-1]
+        if kept is not None:
+            yield from pairs(kept)
+
+    return meet
+
+
+def candidates(lists: DataFrame, block: int, near: Callable[[str, str], Column]) -> DataFrame:
+    """name_a, name_b, n_a, n_b: words that meet in a list in fitting roles and are near as far as names tell."""
+    dealt = lists.repartition("key").sortWithinPartitions("key", "role")
+    met = dealt.mapInArrow(_met(block), "key long, role byte, name_a string, n_a long, name_b string, n_b long")
+    met = written(met.where(F.col("name_b").isNull() | near("name_a", "name_b")))
+    names = ("name_a", "name_b", "n_a", "n_b")
+    long_lists = met.where("name_b is null").select("key", "role", F.col("name_a").alias("name"), F.col("n_a").alias("n"))
+    sizes = long_lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    long_lists = long_lists.join(sizes, "key")
     mine, others = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = lambda s, i, j: dealt.select("key", i.alias("i"), j.alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("role", "name", "n")))
-    met = side("a", mine, others).where(F.col("role_a") != _LONGER).join(side("b", others, mine).where(F.col("role_b") != _SHORTER), ["key", "i", "j"])
-    return met.where((F.col("role_a") == _SHORTER) | (F.col("name_a") < F.col("name_b"))).select("name_a", "name_b", "n_a", "n_b")
+    side = lambda s, i, j: long_lists.select("key", i.alias("i"), j.alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("role", "name", "n")))
+    blocks = side("a", mine, others).where(F.col("role_a") != _LONGER).join(side("b", others, mine).where(F.col("role_b") != _SHORTER), ["key", "i", "j"])
+    blocks = blocks.where((F.col("role_a") == _SHORTER) | (F.col("name_a") < F.col("name_b"))).where(near("name_a", "name_b"))
+    found = met.where("name_b is not null").select(*names).unionByName(blocks.select(*names))
+    # of a pair of equal lengths either may come first
+    swapped = F.col("name_b") < F.col("name_a")
+    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x))
+    ordered = found.select(pick("name_a", "name_b").alias("name_a"), pick("name_b", "name_a").alias("name_b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"))
+    return ordered.dropDuplicates(["name_a", "name_b"])
 
 
 def near_pairs(words: DataFrame, limit: int = _GRAMS, rare: int = _RARE, block: int = 1000, long_word: int = 64) -> DataFrame:
@@ -159,10 +229,10 @@ def near_pairs(words: DataFrame, limit: int = _GRAMS, rare: int = _RARE, block:
     """
     frequent, length = frequent_grams(words, limit, rare), F.length("word")
     apart = lambda a, b: F.levenshtein(a, b, 1) == 1
-    brief = candidates(written(index(words.where(length <= long_word + 1).withColumn("name", F.col("word")), frequent)), block)
-    brief = brief.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "n_a", "n_b").where(apart("a", "b")).dropDuplicates(["a", "b"])
+    brief = candidates(index(words.where(length <= long_word + 1).withColumn("name", F.col("word")), frequent), block, apart)
+    brief = brief.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "n_a", "n_b")
     named = words.where(length > long_word).withColumn("name", F.sha2("word", 256))
-    met = candidates(written(index(named, frequent)), block).dropDuplicates(["name_a", "name_b"])
+    met = candidates(index(named, frequent), block, lambda a, b: F.lit(True))
     for side in ("a", "b"):
         met = met.join(named.select(F.col("name").alias(f"name_{side}"), F.col("word").alias(side)), f"name_{side}")
     met = met.where((F.greatest(F.length("a"), F.length("b")) > long_word + 1) & apart("a", "b"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+import regex
 from compare import database, difference
+from pyspark.sql import functions as F
 
-from bidsieve.llm import spelling_variants
-from bidsieve.llm.queries import op11_spelling_variants
+from bidsieve.llm import language_id, ranked_search, spelling_variants
+from bidsieve.llm.queries import op11_spelling_variants, op12_ranked_search
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,3 +61,63 @@ def test_an_edit_leaves_its_gram_sets_whole():
         else:
             short, long_one = (mine, its) if len(word) < len(other) else (its, mine)
             assert {k for r, k in short if r == 1} & {k for r, k in long_one if r == 2}
+
+
+@pytest.mark.parametrize(("width", "most_terms"), [(1024, 100_000), (16, 60)])
+def test_ranked_search(spark, docs, odd, nothing, width, most_terms):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    asked = [(r.item_id, r.text) for r in items.select("item_id", "text").collect()]
+    assert rows(ranked_search.rank(docs, items, width=width, most_terms=most_terms)) == sorted(ranked_search.brute_force(texts(docs), asked), key=repr)
+    made = [(1, "The QUICK brown fox, fox!"), (2, None), (3, ""), (None, "lorem naïve 🎉 words"), (1, "The QUICK brown fox, fox!"), (4, "nowheretobefound")]
+    queries = spark.createDataFrame(made, "item_id long, text string")
+    assert rows(ranked_search.rank(odd, queries, width=width, most_terms=most_terms)) == sorted(ranked_search.brute_force(texts(odd), made), key=repr)
+    assert ranked_search.rank(nothing, queries).count() == 0
+    assert ranked_search.rank(odd, nothing.select("doc_id", "text").withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_ranked_search_twin(spark):
+    assert difference(op12_ranked_search(spark, SMALL), database(SMALL), ranked_search.SQL) == ""
+
+
+def test_bounds_spare_most_of_the_rescoring(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    block = next(ranked_search.blocks_of(spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"), 100_000))
+    n_docs, n_terms, held = ranked_search.frequencies(docs, block)
+    searcher = ranked_search.Searcher(block, n_docs, n_terms, ranked_search.weights(n_docs, held), 10, 1024)
+    table = docs.select("doc_id", "text").toArrow().combine_chunks()
+    for batch in table.to_batches(max_chunksize=256):
+        searcher.show(batch.column("doc_id").to_pylist(), batch.column("text"))
+    assert searcher.seen == len(block.ids) * docs.count()
+    print(searcher.rescored / searcher.seen)
+    assert searcher.rescored < searcher.seen / 5
+
+
+def test_language_id_code_lengths(spark, docs, odd, nothing):
+    learned = docs.where("doc_id % 4 = 0 and length(text) < 1500")
+    model = language_id.fit(learned)
+    by_hand = language_id.brute_force([(r.lang, r.text) for r in learned.select("lang", "text").collect()])
+    asked = docs.where("doc_id % 7 = 1 and length(text) < 1500").unionByName(odd.select(*docs.columns))
+    got = language_id.identify(asked, model, "doc_id", "text").collect()
+    assert len(got) == asked.count()
+    for r in got:
+        if r.text is None or not regex.search(r"\p{L}", r.text):
+            assert (r.lang_pred, r.score, r.bits) == ("und", 0.0, None)
+        elif len(r.text) < 10_000:
+            bits = {x: by_hand(r.text, x) for x in model.languages}
+            assert r.lang_pred == min(bits, key=bits.get)
+            assert r.bits == pytest.approx(bits[r.lang_pred], rel=1e-9)
+            assert r.score == pytest.approx(1 / sum(2.0 ** (bits[r.lang_pred] - b) for b in bits.values()), abs=1e-9)
+    assert language_id.predict(nothing).count() == 0
+    assert {r.lang_pred for r in language_id.predict(odd).collect()} <= {"en", "fr", "de", "und"}
+    nobody = language_id.predict(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(nobody) == odd.count() and {(r.lang_pred, r.score) for r in nobody} == {("und", 0.0)}
+
+
+def test_language_id_of_rows_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for entries in (1 << 18, 3000):
+        got = language_id.predict(docs, entries).join(docs.select("doc_id", "lang"), "doc_id")
+        assert got.where("held_out = (crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)").count() == docs.count()
+        share = got.where("held_out").select(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+        print(entries, share)
+        assert share > 0.95
