@@ -34,7 +34,7 @@ for _low, _high in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Coordinates of a sketch, documents in a batch, groups of tasks whose places are merged first.
-_WIDTH, _BATCH, _GROUPS = 1024, 512, 64
+_WIDTH, _BATCH, _GROUPS = 8192, 256, 64
 #: Bounds are sums of up to _WIDTH products in single precision.
 _SLACK = np.float32(1 + 4 * _WIDTH * 2.0**-23)
 
@@ -207,7 +207,7 @@ def _search(docs: DataFrame, block: Block, k: int, width: int) -> DataFrame:
     return best.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")
 
 
-def rank(docs: DataFrame, items: DataFrame, k: int = 10, width: int = _WIDTH, most_terms: int = 100_000) -> DataFrame:
+def rank(docs: DataFrame, items: DataFrame, k: int = 10, width: int = _WIDTH, most_terms: int = 30_000) -> DataFrame:
     """item_id, rank, doc_id, score: each item's k highest-scoring documents with a score above 0.
 
     Each row of items is a query and each row of docs a document of its own, repeated rows too. Null and empty texts have no
