@@ -56,7 +56,7 @@ def signatures(rows: DataFrame, bands: int, width: int) -> DataFrame:
     return rows.select("id", "folded").mapInArrow(run, "id long, band int, key long")
 
 
-def _vector(folded: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def text_vector(folded: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Terms (as numbers) and weights of a text's unit vector; words are numbered as they come."""
     runs, counts = np.unique(_runs(folded), return_counts=True)
     found = Counter(t for t in folded.split(" ") if len(t) > 2 and t not in _STOP)
@@ -68,7 +68,7 @@ def _vector(folded: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]
 def _cosines(texts: list[str]) -> np.ndarray:
     """Lexical cosine of each text to each, four places."""
     words: dict[str, int] = {}
-    vectors = [_vector(t, words) for t in texts]
+    vectors = [text_vector(t, words) for t in texts]
     terms = np.unique(np.concatenate([v[0] for v in vectors]), return_inverse=True)[1]
     weights, ends = np.concatenate([v[1] for v in vectors]), np.cumsum([len(v[0]) for v in vectors])
     starts = np.concatenate(([0], ends[:-1]))

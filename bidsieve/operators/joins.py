@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import durable
+
 
 def reverse_lookup(rows: DataFrame, column: str, known: DataFrame, label: str) -> DataFrame:
     """Portal codes to canonical labels by a table of code and `label`, letter case aside; unknown codes stay as they are."""
@@ -28,34 +30,89 @@ def match_by_hash(incoming: DataFrame, stored: DataFrame, incoming_id: str, stor
     return best.select(incoming_id, "m.canonical_id", F.when(F.col("m.rank") == 0, "raw_sha256").otherwise("text_sha256").alias("matched_on"))
 
 
-def candidate_window(incoming: DataFrame, stored: DataFrame, days: int = 120, slack: int = 3, most: int = 200) -> DataFrame:
+def ranked_lists(entries: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of entries and of asked spans of time in lists ordered by time.
+
+    entries: list, at, id and more; adds rank, from 0 for the oldest (of equal times the largest id is the oldest). asks: list,
+    since, until, id and more; adds low and high: the entries within the span have the ranks from low up to, but not with, high.
+    Ranks are counted day by day and the days of a list added up, so no task sorts more than a list's day. Times are microseconds.
+    """
+    day = F.floor(F.col("at") / 86_400_000_000)
+    rows = entries.select("list", "at", "id", F.lit(1).alias("kind"))
+    rows = rows.unionByName(asks.select("list", F.col("since").alias("at"), "id", F.lit(0).alias("kind"))).unionByName(asks.select("list", F.col("until").alias("at"), "id", F.lit(2).alias("kind")))
+    rows = rows.withColumn("day", day)
+    stored = F.sum((F.col("kind") == 1).cast("long"))
+    before = stored.over(Window.partitionBy("list", "day").orderBy("at", "kind", F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    days = rows.groupBy("list", "day").agg(stored.alias("_n"))
+    days = days.select("list", "day", F.coalesce(F.sum("_n").over(Window.partitionBy("list").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    placed = rows.withColumn("_before", before).join(days, ["list", "day"]).select("list", "id", "kind", (F.col("_before") + F.col("_offset")).alias("place"))
+    ranks = placed.where("kind = 1").select("list", "id", (F.col("place") - 1).alias("rank"))
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("place")))
+    spans = placed.where("kind <> 1").groupBy("list", "id").agg(pick(0).alias("low"), pick(2).alias("high"))
+    return entries.join(ranks, ["list", "id"]), asks.join(spans, ["list", "id"])
+
+
+def newest_in_lists(entries: DataFrame, asks: DataFrame, fits: Column, most: int, depth: int = 256) -> DataFrame:
+    """A top-k range join: per asking row the `most` newest entries that fit, over all lists that it asks.
+
+    entries: list, id, at and what `fits` needs; asks: list, id, since, until and what it needs, under the names ask_*. An
+    entry is in one of the lists that a row asks at most. Lists are visited from the newest entry in the span on, `depth`
+    entries at first and twice as many each time, in blocks of equal ranks. A row is done when its last place is newer than all
+    that it hasn't visited, so its work follows `most` and not the length of the lists. Returns ask_id, id, at and position.
+    """
+    block = 128
+    rows, spans = ranked_lists(entries, asks.withColumnsRenamed({"ask_id": "id", "ask_since": "since", "ask_until": "until"}))
+    rows = durable(rows.withColumn("block", F.expr(f"rank div {block}")))
+    spans = durable(spans.where("low < high").withColumnRenamed("id", "ask_id").drop("since", "until"))
+    newest = Window.partitionBy("ask_id").orderBy(F.desc("at"), "id")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most)
+
+    found = None
+    while True:
+        spans = spans.withColumn("from", F.greatest("low", F.col("high") - depth))
+        visits = spans.withColumn("block", F.explode(F.expr(f"sequence(from div {block}, (high - 1) div {block})")))
+        visited = visits.join(rows, ["list", "block"]).where("rank >= from and rank < high").select("list", "ask_id", "id", "at", "rank", "from", fits.alias("fits"))
+        more = spans.where("from > low")
+        left = not more.isEmpty()
+        if left:
+            visited = durable(visited.where("fits or rank = from"))
+        pairs = visited.where("fits").select("ask_id", "id", "at")
+        found = best(pairs if found is None else found.drop("position").unionByName(pairs))
+        if not left:
+            return found
+        found = durable(found)
+        full = found.where(F.col("position") == most).select("ask_id", F.col("at").alias("_last"))
+        reached = visited.where("rank = from").select("ask_id", "list", F.col("at").alias("_reached"))
+        more = more.join(reached, ["ask_id", "list"]).join(full, "ask_id", "left").where("_last is null or _last <= _reached")
+        spans, depth = durable(more.withColumn("high", F.col("from")).drop("from", "_last", "_reached")), depth * 2
+        if spans.isEmpty():
+            return found
+
+
+def candidate_window(incoming: DataFrame, stored: DataFrame, days: int = 120, slack: int = 3, most: int = 200, depth: int = 256) -> DataFrame:
     """Stored notices that may be the same as an incoming one: published within `days` before it, of its country (or of
     none), with a deadline within `slack` days (or none on a side); the `most` newest per incoming row.
 
-    A range join: both sides meet in buckets of `days` of publication and in buckets of deadlines; an incoming row looks into
-    its own bucket of publication and the one before, and into its own of deadlines and those beside it.
-    Where one side has no country, that test falls away and the date alone decides.
+    Where one side has no country or no deadline, that test falls away. Stored rows stand in lists by country and by spans of
+    deadlines, those without in lists of their own, and all in lists for incoming rows without; see newest_in_lists.
+    Rows without an id or a publication match nothing; ids are unique on either side.
     """
-    day, none = 86_400_000_000, F.lit("-")
-    bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
-    due = lambda c: F.floor(F.unix_date(F.to_date(c)) / (slack + 1))
-    left = incoming.select(F.col("notice_id").alias("incoming_id"), F.col("country").alias("ic"), F.col("publication").alias("ip"), F.col("deadline").alias("idl")).withColumn("b", F.explode(F.array(bucket(F.col("ip")), bucket(F.col("ip")) - 1)))
-    right = stored.select(F.col("notice_id").alias("stored_id"), F.col("country").alias("sc"), F.col("publication").alias("sp"), F.col("deadline").alias("sdl"))
-    right = right.withColumns({"sb": bucket(F.col("sp")), "place": F.coalesce(F.concat(F.lit("="), "sc"), none), "term": F.coalesce(due(F.col("sdl")).cast("string"), none)})
-    age = F.unix_micros(F.col("ip").cast("timestamp")) - F.unix_micros(F.col("sp").cast("timestamp"))
-    near = (age >= 0) & (age <= days * day) & (F.col("stored_id") != F.col("incoming_id"))
-    gap = F.abs(F.unix_micros(F.col("idl").cast("timestamp")) - F.unix_micros(F.col("sdl").cast("timestamp")))
-    close = F.col("idl").isNull() | F.col("sdl").isNull() | (gap <= slack * day)
-    # an incoming row asks for each place and each span of deadlines that may fit it, so that only likely pairs meet
-    placed = left.where("ic is not null").withColumn("place", F.explode(F.array(F.concat(F.lit("="), "ic"), none)))
-    dated = placed.where("idl is not null").withColumn("term", F.explode(F.array(*((due(F.col("idl")) + i).cast("string") for i in (-1, 0, 1)), none)))
-    met = dated.join(right.withColumnRenamed("sb", "b"), ["b", "place", "term"])
-    undated = placed.where("idl is null").join(right.withColumnRenamed("sb", "b").drop("term"), ["b", "place"])
-    anywhere = left.where("ic is null").join(right.withColumnRenamed("sb", "b").drop("term", "place"), "b")
-    columns = ["incoming_id", "stored_id", "ip", "sp", "idl", "sdl"]
-    newest = Window.partitionBy("incoming_id").orderBy(F.desc("sp"), "stored_id")
-    pairs = met.select(*columns).unionByName(undated.select(*columns)).unionByName(anywhere.select(*columns)).where(near & close)
-    return pairs.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most).select("incoming_id", "stored_id", "position")
+    day, none, every = 86_400_000_000, F.lit("-"), F.lit("*")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    due = F.floor(F.col("due") / ((slack + 1) * day))
+    columns = [F.col("notice_id").alias("id"), "country", micros("publication").alias("at"), micros("deadline").alias("due")]
+    lists = lambda places, terms: F.explode(F.flatten(F.transform(places, lambda p: F.transform(terms, lambda t: F.concat(p, F.lit("|"), t)))))
+    place, term = F.coalesce(F.concat(F.lit("="), "country"), none), F.coalesce(due.cast("string"), none)
+    entries = stored.select(*columns).where("id is not null and at is not null").select("id", "at", "due", lists(F.array(place, every), F.array(term, every)).alias("list"))
+    places = F.when(F.col("country").isNull(), F.array(every)).otherwise(F.array(place, none))
+    terms = F.when(F.col("due").isNull(), F.array(every)).otherwise(F.array(*((due + i).cast("string") for i in (-1, 0, 1)), none))
+    asks = incoming.select(*columns).where("id is not null and at is not null")
+    asks = asks.select(F.col("id").alias("ask_id"), (F.col("at") - days * day).alias("ask_since"), F.col("at").alias("ask_until"), F.col("due").alias("ask_due"), lists(places, terms).alias("list"))
+    fits = (F.col("id") != F.col("ask_id")) & (F.col("due").isNull() | F.col("ask_due").isNull() | (F.abs(F.col("due") - F.col("ask_due")) <= slack * day))
+    found = newest_in_lists(entries, asks, fits, most, depth)
+    return found.select(F.col("ask_id").alias("incoming_id"), F.col("id").alias("stored_id"), "position")
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import CHUNKS, chunks
 from ..functions import text as X
 from ..operators import similarity as V
 from ..operators import staffing as T
+from ..operators.nearest import nearest_texts
+from ..operators.shared import durable
 from ..registry import query
 from ..sources.tables import read
 from .duplicates import VECTOR
@@ -83,11 +85,10 @@ r AS (SELECT query_id, resume_id, score AS retrieval_score, round(1 / (1 + exp(2
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resume_id) AS position FROM r) WHERE position <= 10""")
 def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second scorer reads both texts of each shortlisted pair: an Arrow function, in the place of a pair model."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "resume_id")
-    shortlist = item_pairs(spark, sf_dir).withColumn("position", F.row_number().over(best)).where("position <= 30").drop("position")
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("resume_id"), F.col("text").alias("offered"))
-    pairs = shortlist.join(items, "query_id").join(docs, "resume_id")
+    items, docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    near = durable(nearest_texts(items, docs, 30))
+    shortlist = near.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("resume_id"), F.col("similarity").alias("score"))
+    pairs = shortlist.join(items.toDF("query_id", "asked"), "query_id").join(docs.toDF("resume_id", "offered"), "resume_id")
     ranked = V.rerank(pairs, T.pair_logit(X.fold(F.col("asked")), X.fold(F.col("offered"))), 10)
     return ranked.select("query_id", "resume_id", "retrieval_score", "score", F.col("position").cast("long").alias("position"))
 

@@ -45,16 +45,40 @@ def json_items_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.json_items(grouped, "body", "results", {"k": "k"}).select("user_id", "k", "rejected")
 
 
-_HINTS = ", ".join(f"('{f}', '{h}', {r})" for f, hs in E.HINTS.items() for r, h in enumerate(hs))
+_HINTS = ", ".join(f"({i}, '{f}', '{h}', {r}, {len(hs)})" for i, (f, hs) in enumerate(E.HINTS.items()) for r, h in enumerate(hs))
+_RECORD = """json_object('uuid', o_orderkey, 'ref_no', 'R-' || o_orderkey, 'name', 'Notice', 'objet', o_orderpriority, 'detail_text', 'x', 'organisation', json_object('name', c_name, 'contact', json_object('mail', 'a@b.org', 'pays', n_name)), 'dates', json_object('date_pub', o_orderdate, 'closing_at', o_orderdate),
+  'montant', json_object('total_value', o_totalprice, 'devise', 'EUR'), 'lieu_name', n_name, 'activity', c_mktsegment, 'lots', json_array(json_object('status', 'x')), 'cpv_list', json_array('72000000'), 'permalink', 'https://x.org/' || o_orderkey)"""
 
 
 @query(rf"""
-WITH k AS (SELECT path, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY 1), h(field, hint, rank) AS (VALUES {_HINTS}),
-s AS (SELECT field, path, n, CASE WHEN lower(path) = hint THEN 1.0 WHEN list_contains(regexp_split_to_array(lower(path), '[_-]'), hint) THEN 0.9 WHEN starts_with(lower(path), hint) OR ends_with(lower(path), hint) THEN 0.7 WHEN contains(lower(path), hint) THEN 0.55 END - 0.02 * rank AS score FROM k, h),
-b AS (SELECT field, max(score) AS score, arg_max(path, (score, n, path)) AS path FROM s WHERE score IS NOT NULL GROUP BY 1)
-SELECT path, arg_max(field, (score, field)) AS field, max(score)::DOUBLE AS score FROM b GROUP BY 1""")
+WITH RECURSIVE bodies AS (
+  SELECT CASE WHEN o_orderkey % 97 = 0 THEN '{{broken' WHEN o_orderkey % 5 = 0 THEN json_merge_patch({_RECORD}, json_object('etat', o_orderstatus, 'type', 'open')) ELSE {_RECORD} END::VARCHAR AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+level AS (
+  SELECT json(b) AS v, '' AS prefix, '' AS place, 1 AS depth FROM bodies WHERE json_valid(b)
+  UNION ALL SELECT json_extract(v, '$."' || k || '"'), prefix || k || '.', place || lpad(i::VARCHAR, 6, '0'), depth + 1
+  FROM (SELECT v, prefix, place, depth, unnest(json_keys(v)) AS k, unnest(range(len(json_keys(v)))) AS i FROM level WHERE depth < 4) WHERE json_type(v, '$."' || k || '"') = 'OBJECT'),
+ends AS (
+  SELECT prefix || k || CASE WHEN json_type(v, '$."' || k || '"') = 'ARRAY' AND json_type(v, '$."' || k || '"[0]') NOT IN ('OBJECT', 'ARRAY') THEN '[]' ELSE '' END AS path, place || lpad(i::VARCHAR, 6, '0') AS place
+  FROM (SELECT v, prefix, place, unnest(json_keys(v)) AS k, unnest(range(len(json_keys(v)))) AS i FROM level) WHERE json_type(v, '$."' || k || '"') <> 'OBJECT'),
+paths AS (SELECT path, string_split(replace(lower(path), '[]', ''), '.') AS s, count(*) AS seen, min(place) AS place FROM ends GROUP BY path), h(turn, field, hint, rank, hints) AS (VALUES {_HINTS}),
+scored AS (SELECT turn, field, path, seen, place, (CASE WHEN s[-1] = hint THEN 1.0 ELSE CASE WHEN list_contains(s, hint) THEN 0.9 WHEN starts_with(s[-1], hint) OR ends_with(s[-1], hint) THEN 0.7 WHEN contains(s[-1], hint) THEN 0.55 WHEN contains(lower(path), hint) THEN 0.4 END
+  - CASE WHEN len(s) > 1 THEN 0.05 ELSE 0 END END)::DOUBLE * (1 - rank / (hints + 1)::DOUBLE * 0.4) AS score FROM paths, h),
+best AS (SELECT turn, field, path, max(score) AS score, any_value(seen) AS seen, any_value(place) AS place FROM scored WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+picks AS (
+  SELECT -1 AS turn, []::VARCHAR[] AS used
+  UNION ALL SELECT p.turn + 1, p.used || coalesce((SELECT [arg_min(b.path, (-b.score, b.place, b.path))] FROM best b WHERE b.turn = p.turn + 1 AND NOT list_contains(p.used, b.path) HAVING count(*) > 0), [NULL]::VARCHAR[]) FROM picks p WHERE p.turn < {len(E.HINTS) - 1})
+SELECT b.field, b.path, b.score, b.seen FROM (SELECT turn, used[turn + 1] AS path FROM picks WHERE turn >= 0) p JOIN best b ON b.turn = p.turn AND b.path = p.path""")
 def infer_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.field_mapping(read(spark, sf_dir, "events"), "props")
+    """Orders as a portal's records: nested, some with keys that others lack, some broken."""
+    orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    record = {
+        "uuid": "o_orderkey", "ref_no": "concat('R-', o_orderkey)", "name": "'Notice'", "objet": "o_orderpriority", "detail_text": "'x'", "organisation": "named_struct('name', c_name, 'contact', named_struct('mail', 'a@b.org', 'pays', n_name))",
+        "dates": "named_struct('date_pub', o_orderdate, 'closing_at', o_orderdate)", "montant": "named_struct('total_value', o_totalprice, 'devise', 'EUR')", "lieu_name": "n_name", "activity": "c_mktsegment", "lots": "array(named_struct('status', 'x'))",
+        "cpv_list": "array('72000000')", "permalink": "concat('https://x.org/', o_orderkey)", "etat": "case when o_orderkey % 5 = 0 then o_orderstatus end", "type": "case when o_orderkey % 5 = 0 then 'open' end",
+    }
+    body = F.when(F.col("o_orderkey") % 97 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(*(F.expr(v).alias(k) for k, v in record.items()))))
+    return E.field_mapping(rows.select(body.alias("body")), "body")
 
 
 _VISIBLE = "html"
@@ -98,7 +122,7 @@ def jsonld_posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'k: ' || (props->>'k') AS line FROM events UNION ALL SELECT event_id, 'type: ' || event_type FROM events")
 def flatten_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("event_id", F.expr("concat('{\"a\": [', props, ', {\"type\": \"', event_type, '\"}, null]}')").alias("body"))
-    return rows.lateralJoin(E.FlattenJson(F.col("body").outer())).select("event_id", "line")
+    return rows.lateralJoin(E.FlattenJson(F.col("body").outer())).where("not rejected").select("event_id", "line")
 
 
 @query("SELECT user_id, event_type AS title, CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS needed, count(*) AS n FROM events GROUP BY 1, 2")

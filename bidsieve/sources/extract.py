@@ -12,7 +12,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -139,8 +139,27 @@ def json_items(rows: DataFrame, body: str, items: str, fields: dict[str, str]) -
     return mapped.where(F.col("rejected") | F.coalesce(*fields).isNotNull()).drop("_item")
 
 
-# Hints for canonical fields, in order of rank.
-HINTS = {"title": ["title", "titre", "name", "objet"], "amount": ["amount", "k", "value", "montant"], "published": ["date_publication", "published", "ts", "date"], "buyer": ["buyer", "organization", "acheteur"]}
+# Canonical fields in the order in which they choose, each with its hints, the strongest first.
+HINTS = {
+    "external_id": ["id", "uuid", "pk"],
+    "reference": ["reference", "ref", "number", "numero", "code"],
+    "title": ["title", "titre", "objet", "object", "subject", "name", "libelle"],
+    "description": ["description", "descriptif", "body", "summary", "resume", "detail"],
+    "buyer": ["buyer", "acheteur", "organisation", "organization", "entity", "client", "pouvoir"],
+    "buyer_country": ["country", "pays", "nation"],
+    "publication_date": ["publi", "published", "date_pub", "created"],
+    "deadline": ["deadline", "closing", "cloture", "limite", "end_date", "expiry", "echeance"],
+    "estimated_budget": ["amount", "value", "montant", "budget", "estimated"],
+    "currency": ["currency", "devise"],
+    "location": ["location", "lieu", "place", "region", "ville", "city"],
+    "sector": ["sector", "secteur", "activity", "activite", "domain"],
+    "procurement_type": ["procedure", "type", "nature"],
+    "status": ["status", "etat", "state"],
+    "funding_organization": ["funder", "financeur", "bailleur", "donor"],
+    "cpv_codes": ["cpv"],
+    "contact_email": ["email", "mail", "contact"],
+    "source_url": ["url", "link", "permalink", "href"],
+}
 
 
 def json_paths(rows: DataFrame, body: str, depth: int = 6) -> DataFrame:
@@ -157,25 +176,65 @@ def json_paths(rows: DataFrame, body: str, depth: int = 6) -> DataFrame:
     return found
 
 
-def field_mapping(rows: DataFrame, body: str, hints: dict[str, list[str]] = HINTS) -> DataFrame:
-    """JSON key paths profiled over all rows and mapped to canonical fields by their best hint, each path and field once.
+def record_paths(rows: DataFrame, body: str, depth: int = 4) -> DataFrame:
+    """Key paths of JSON records that end in a value, with the records that hold them (seen) and the place among the keys
+    of the record where a path comes first (place): objects are entered down to `depth` levels, lists are not; a list of plain
+    values has [] behind its path. A body that is a list is read as its items; one that is no JSON has no paths."""
+    text = F.ltrim(F.col(body))
+    level = rows.select(F.explode(F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.array(text))).alias("value"), F.lit("").alias("prefix"), F.lit("").alias("place"))
+    found = None
+    for _ in range(depth):
+        entries = level.select("prefix", F.col("place").alias("above"), F.posexplode(F.from_json("value", "map<string,string>")).alias("at", "key", "value"))
+        value = F.ltrim(F.coalesce("value", F.lit("")))
+        entries = entries.select(F.concat("prefix", "key").alias("path"), F.concat("above", F.lpad(F.col("at").cast("string"), 6, "0")).alias("place"), value.alias("value"))
+        inner = F.col("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull()
+        plain = F.col("value").rlike(r"^\[\s*[^\s\[\]{]")
+        ends = entries.where(~inner).select(F.when(plain, F.concat("path", F.lit("[]"))).otherwise(F.col("path")).alias("path"), "place")
+        found = ends if found is None else found.unionByName(ends)
+        level = entries.where(inner).select("value", F.concat("path", F.lit(".")).alias("prefix"), "place")
+    return found.groupBy("path").agg(F.count("*").alias("seen"), F.min("place").alias("place"))
+
+
+def path_score(path: Column, hint: Column, rank: Column, hints: Column) -> Column:
+    """How well a path names a field: 1 for an equal last segment, 0.9 for another equal one, 0.7 if the last one starts or ends
+    so, 0.55 if it holds the hint, 0.4 if the path does; nested paths lose 0.05 unless equal; later hints count less. Null: not at all."""
+    segments = F.transform(F.split(F.lower(path), r"\."), lambda x: F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", ""))
+    leaf = F.element_at(segments, -1)
+    rough = F.when(F.array_contains(segments, hint), 0.9).when(F.startswith(leaf, hint) | F.endswith(leaf, hint), 0.7).when(F.contains(leaf, hint), 0.55).when(F.contains(F.lower(path), hint), 0.4)
+    nested = F.when(F.size(segments) > 1, 0.05).otherwise(0.0)
+    return F.when(leaf == hint, 1.0).otherwise(rough - nested) * (1 - rank / (hints + 1) * 0.4)
 
-    Scores: 1 for an equal leaf, 0.9 for a segment of it, 0.7 for its start or end, 0.55 for a part, 0.4 for a part of the path;
-    0.05 less for each level and 0.02 for each rank of the hint. The table of paths is as small as the schema.
-    """
-    keys = json_paths(rows, body).groupBy("path").agg(F.count("*").alias("n"))
-    table = [(f, h, r) for f, hs in hints.items() for r, h in enumerate(hs)]
-    known = rows.sparkSession.createDataFrame(table, "field string, hint string, rank int")
-    leaf = F.lower(F.element_at(F.split("path", r"\."), -1))
-    score = F.when(leaf == F.col("hint"), 1.0).when(F.array_contains(F.split(leaf, "[_-]"), F.col("hint")), 0.9).when(F.startswith(leaf, F.col("hint")) | F.endswith(leaf, F.col("hint")), 0.7).when(F.contains(leaf, F.col("hint")), 0.55).when(F.contains(F.lower("path"), F.col("hint")), 0.4)
-    scored = keys.join(F.broadcast(known)).withColumn("score", score - 0.02 * F.col("rank") - 0.05 * (F.size(F.split("path", r"\.")) - 1)).where("score is not null")
-    best = scored.groupBy("field").agg(F.max(F.struct("score", F.col("n").alias("seen"), "path")).alias("b")).select("field", "b.score", "b.path")
-    return best.groupBy("path").agg(F.max_by("field", F.struct("score", "field")).alias("field"), F.max("score").alias("score"))
 
+def field_mapping(rows: DataFrame, body: str, hints: dict[str, list[str]] = HINTS) -> DataFrame:
+    """field, path, score, seen: key paths profiled over all records and mapped to canonical fields, one to one.
 
-@udtf(returnType="line string")
+    Fields choose one after the other in their order the best path that is still free (ties: the first in the records' order
+    of keys, then by name). A field can lose no more paths than there are fields before it, so as many of its best as there are
+    fields suffice to choose from; these few rows are assigned on the driver, whatever the number of paths.
+    """
+    table = [(i, f, h, r, len(hs)) for i, (f, hs) in enumerate(hints.items()) for r, h in enumerate(hs)]
+    known = rows.sparkSession.createDataFrame(table, "turn int, field string, hint string, rank int, hints int")
+    scored = record_paths(rows, body).join(F.broadcast(known)).withColumn("score", path_score(F.col("path"), F.col("hint"), F.col("rank"), F.col("hints")))
+    best = scored.where("score > 0").groupBy("turn", "field", "path").agg(F.max("score").alias("score"), F.min("place").alias("place"), F.max("seen").alias("seen"))
+    choice = Window.partitionBy("turn").orderBy(F.desc("score"), "place", "path")
+    shortlist = best.withColumn("r", F.row_number().over(choice)).where(F.col("r") <= len(hints)).orderBy("turn", "r").collect()
+    used, mapped = {}, {}
+    for r in shortlist:
+        if r.field not in mapped and r.path not in used:
+            mapped[r.field] = used[r.path] = (r.field, r.path, r.score, r.seen)
+    return rows.sparkSession.createDataFrame([*mapped.values()], "field string, path string, score double, seen long")
+
+
+def _parsed(body: str) -> tuple[object, bool]:
+    try:
+        return json.loads(body), False
+    except (ValueError, RecursionError):
+        return None, True
+
+
+@udtf(returnType="line string, rejected boolean")
 class FlattenJson:
-    """Any JSON as "field: value" lines."""
+    """Any JSON as "field: value" lines; a body that is no JSON gives one row, rejected, without a line."""
 
     def eval(self, body: str):
         def walk(value: object, name: str):
@@ -186,15 +245,17 @@ class FlattenJson:
                 for v in value:
                     yield from walk(v, name)
             elif value is not None and str(value).strip():
-                yield (f"{name}: {value}" if name else str(value),)
+                yield f"{name}: {value}" if name else str(value), False
 
         if body:
-            yield from walk(json.loads(body), "")
+            whole, rejected = _parsed(body)
+            yield from [(None, True)] if rejected else walk(whole, "")
 
 
-@udtf(returnType="position int, title string, needed int, body string")
+@udtf(returnType="position int, title string, needed int, body string, rejected boolean")
 class Profiles:
-    """The largest list of objects in a JSON as required profiles; the whole object where there is none."""
+    """The largest list of objects in a JSON as required profiles; the whole object where there is none. A body that is no
+    JSON gives one row, rejected, with nothing else."""
 
     def eval(self, body: str):
         def lists(value: object):
@@ -209,13 +270,16 @@ class Profiles:
 
         if not body:
             return
-        whole = json.loads(body)
+        whole, rejected = _parsed(body)
+        if rejected:
+            yield None, None, None, None, True
+            return
         found = max(lists(whole), key=len, default=[whole] if isinstance(whole, dict) else [])
         for i, p in enumerate(found):
             # Names of title and count keys.
             title = next((str(p[k]) for k in ("role", "title", "job_title", "position", "name", "profile") if p.get(k)), f"Profile {i + 1}")
             count = next((int(p[k]) for k in ("count", "quantity", "headcount", "num_positions", "number", "nb", "positions_needed") if isinstance(p.get(k), (int, float))), 1)
-            yield i, title, count, json.dumps(p)
+            yield i, title, count, json.dumps(p), False
 
 
 @udtf(returnType="line_no int, line string")

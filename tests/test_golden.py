@@ -146,8 +146,34 @@ def test_nested_paths_are_mapped(spark):
     rows = spark.createDataFrame([(body,), (body,), (None,), ("[1, 2]",)], "body string")
     counts = {r.path: r["count"] for r in E.json_paths(rows, "body").groupBy("path").count().collect()}
     assert counts == {"data": 2, "data.notice": 2, "data.notice.titre": 2, "data.notice.lots": 2, "data.notice.lots.montant": 4, "buyer_name": 2}
-    found = {r.field: (r.path, round(r.score, 2)) for r in E.field_mapping(rows, "body").collect()}
-    assert found == {"title": ("data.notice.titre", 0.88), "amount": ("data.notice.lots.montant", 0.79), "buyer": ("buyer_name", 0.9), "published": ("data.notice.lots", 0.56)}  # lots ends in ts
+    # lists are not entered, so there is no amount
+    found = {r.field: (r.path, round(r.score, 4), r.seen) for r in E.field_mapping(rows, "body").collect()}
+    assert found == {"title": ("data.notice.titre", 0.95, 2), "buyer": ("buyer_name", 0.7, 2)}
+
+
+def test_fields_choose_in_turn(spark):
+    """Each path goes to one field; a field whose best path is taken gets the next one."""
+
+    def mapped(*bodies):
+        return {r.field: (r.path, round(r.score, 4)) for r in E.field_mapping(spark.createDataFrame([(b,) for b in bodies], "body string"), "body").collect()}
+
+    hints = {"title": ["name"], "buyer": ["name", "organization"]}
+    got = {r.field: r.path for r in E.field_mapping(spark.createDataFrame([('{"name": "x", "organization_name": "y"}',)], "body string"), "body", hints).collect()}
+    assert got == {"title": "name", "buyer": "organization_name"}
+    assert mapped('{"buyer": {"name": "x"}, "id": 4}') == {"external_id": ("id", 1.0), "title": ("buyer.name", 0.75)}
+    assert mapped('{"titre_b": "x", "titre_a": "y"}') == {"title": ("titre_b", 0.665)}
+    assert mapped('{"cpv": ["72"], "link": "u", "state_code": 1}') == {"reference": ("state_code", 0.5133), "cpv_codes": ("cpv[]", 1.0), "source_url": ("link", 0.92)}
+    assert mapped('{"a": {"b": {"c": {"status": 1}}}}') == {"status": ("a.b.c.status", 1.0)}
+    assert mapped('{"a": {"b": {"c": {"d": {"status": 1}}}}}', "{broken", None, "", "7", '{"status": {}}') == {}
+
+
+def test_bodies_that_are_no_json(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": [1, " ", null, true]}}'), (2, "{broken"), (3, None), (4, ""), (5, "[" * 5000)], "id long, body string")
+    lines = rows.lateralJoin(E.FlattenJson(F.col("body").outer())).select("id", "line", "rejected").collect()
+    assert sorted(map(tuple, lines), key=repr) == [(1, "b: 1", False), (1, "b: True", False), (2, None, True), (5, None, True)]
+    rows = spark.createDataFrame([(1, '{"list": [{"role": "dev", "nb": 2}, {}]}'), (2, "{broken"), (3, "null")], "id long, body string")
+    got = rows.lateralJoin(E.Profiles(F.col("body").outer())).select("id", "position", "title", "needed", "rejected").collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 0, "dev", 2, False), (1, 1, "Profile 2", 1, False), (2, None, None, None, True)]
 
 
 def test_files(spark):
