@@ -38,6 +38,10 @@ HASHES = f"""{HASHED}, r AS (SELECT raw_sha256, min(doc_id) AS a FROM h GROUP BY
 v AS (SELECT doc_id AS row_id, source, CASE WHEN a < doc_id THEN a END AS a, CASE WHEN b < doc_id THEN b END AS b FROM h LEFT JOIN r USING (raw_sha256) LEFT JOIN t USING (text_sha256))"""
 
 
+#: Stages of equal keys, cheapest first.
+STAGES = [("canonical_url", ["canonical_url"]), ("external_id", ["portal", "external_id"]), ("raw_hash", ["raw_sha256"]), ("text_hash", ["text_sha256"])]
+
+
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as notices collected from portals: address, the portal's own number, hashes and title. The tables' addresses and
     numbers are all different; cut short, some meet."""
@@ -71,8 +75,7 @@ def dedup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = V.lexical_cosine(vectors, vectors, window).withColumn("similarity", F.round("similarity", 4)).where("similarity >= 0.8")
         return near.groupBy(F.col("left_id").alias("row_id")).agg(F.max_by("right_id", F.struct("similarity", "right_id")).alias("canonical_id"), F.max("similarity").alias("similarity"))
 
-    stages = [("canonical_url", ["canonical_url"]), ("external_id", ["portal", "external_id"]), ("raw_hash", ["raw_sha256"]), ("text_hash", ["text_sha256"])]
-    return D.cascade(rows, rows, stages, earlier=True, semantic=semantic)
+    return D.cascade(rows, rows, STAGES, earlier=True, semantic=semantic)
 
 
 @query(f"WITH {NOTICES} SELECT notice_id, {fold_sql('title')} || ' ' || {fold_sql('title')} || ' ' || {fold_sql('buyer')} || ' ' || {fold_sql('country')} || ' ' || {fold_sql('country')} AS key FROM notices")
