@@ -52,7 +52,7 @@ _RECORD = """json_object('uuid', o_orderkey, 'ref_no', 'R-' || o_orderkey, 'name
 
 @query(rf"""
 WITH RECURSIVE bodies AS (
-  SELECT CASE WHEN o_orderkey % 97 = 0 THEN '{{broken' WHEN o_orderkey % 5 = 0 THEN json_merge_patch({_RECORD}, json_object('etat', o_orderstatus, 'type', 'open')) ELSE {_RECORD} END::VARCHAR AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  SELECT CASE WHEN o_orderkey % 97 = 0 THEN '{{broken' WHEN o_orderkey % 5 = 0 THEN json_merge_patch({_RECORD}, json_object('etat', o_orderstatus, 'type', 'open'))::VARCHAR ELSE {_RECORD}::VARCHAR END AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 level AS (
   SELECT json(b) AS v, '' AS prefix, '' AS place, 1 AS depth FROM bodies WHERE json_valid(b)
   UNION ALL SELECT json_extract(v, '$."' || k || '"'), prefix || k || '.', place || lpad(i::VARCHAR, 6, '0'), depth + 1
