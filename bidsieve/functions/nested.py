@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parts of key names whose values must not be shown.
-SENSITIVE = r"(?i)(password|passwd|secret|token|api_?key|authorization|cookie|credential|private_?key|session)"
+SENSITIVE = r"(?i)password|passwd|secret|token|api_key|apikey|x-api-key|auth|credential|cookie|session|access_key|private_key|username|login"
+#: Fixed value: what stands in the place of what must not be shown.
+MASK = "***redacted***"
+_SENSITIVE = re.compile(SENSITIVE)
 
 
 def redact_map(m: Column) -> Column:
-    """Values of sensitive keys as ***."""
-    return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE), F.lit("***")).otherwise(v))
+    """Values of sensitive keys masked."""
+    return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE), F.lit(MASK)).otherwise(v))
+
+
+@F.pandas_udf(T.StringType())
+def redact_json(body: pd.Series) -> pd.Series:
+    """A JSON text whose values under sensitive keys are masked, at any depth: objects and lists are entered, and the items of a
+    list stand under its key. Null where the text is no JSON, so that nothing is shown that could not be read."""
+    def masked(value: object, hidden: bool) -> object:
+        if isinstance(value, dict):
+            return {k: masked(v, bool(_SENSITIVE.search(k))) for k, v in value.items()}
+        if isinstance(value, list):
+            return [masked(v, hidden) for v in value]
+        return MASK if hidden else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(masked(json.loads(text), False), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return body.map(one)
 
 
 def pick_amount(amounts: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import MASK, SENSITIVE
+
 #: Query parameters that don't change which document is addressed.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "sessionid", "jsessionid", "phpsessid", "sid", "_ga", "ref"]
-#: Parameters whose values are secret.
-SECRET = ["token", "access_token", "api_key", "apikey", "key", "password", "secret", "signature", "auth"]
 
 _PARTS = r"^\s*(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::(\d+))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -52,11 +52,11 @@ def guarded(url: Column) -> Column:
     return F.when(~F.lower(_part(url, 1)).isin("http", "https"), "scheme").when(host(url) == "", "host").when(host(url).rlike(private) | host(url).rlike(inside), "private")
 
 
-def redacted(url: Column, secret: list[str] = SECRET) -> Column:
-    """User info and the values of secret parameters replaced by ***."""
-    safe = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1***@")
+def redacted(url: Column) -> Column:
+    """User info and the values of secret parameters masked."""
+    safe = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", f"$1{MASK}@")
     query = _part(url, 5)
-    new = F.array_join(F.transform(F.split(query, "&"), lambda p: F.when(F.lower(F.substring_index(p, "=", 1)).isin(*secret), F.concat(F.substring_index(p, "=", 1), F.lit("=***"))).otherwise(p)), "&")
+    new = F.array_join(F.transform(F.split(query, "&"), lambda p: F.when(F.substring_index(p, "=", 1).rlike(SENSITIVE), F.concat(F.substring_index(p, "=", 1), F.lit(f"={MASK}"))).otherwise(p)), "&")
     return F.when(query == "", safe).otherwise(F.replace(safe, F.concat(F.lit("?"), query), F.concat(F.lit("?"), new)))
 
 

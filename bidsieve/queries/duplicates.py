@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import NOTICES, notices
@@ -12,6 +12,7 @@ from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import similarity as V
 from ..operators.blocking import near_duplicates
+from ..operators.shared import durable
 from ..registry import query
 from ..sources.tables import read
 from .lookups import HASHED, hashed
@@ -65,12 +66,14 @@ SELECT row_id, CASE WHEN a IS NOT NULL THEN 'canonical_url' WHEN b IS NOT NULL T
   coalesce(a, b, c, d, s) AS canonical_id, CASE WHEN coalesce(a, b, c, d) IS NOT NULL THEN 1.0 ELSE sim END::DOUBLE AS similarity FROM g LEFT JOIN k ON l = row_id""")
 def dedup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five stages, every page against those before it; the last compares titles with the 200 newest of the portal."""
-    rows = collected(spark, sf_dir)
+    rows = durable(collected(spark, sf_dir))
 
     def semantic(left: DataFrame) -> DataFrame:
-        other = rows.select(F.col("row_id").alias("right_id"), "portal")
-        pairs = left.select(F.col("row_id").alias("left_id"), "portal").join(other, "portal").where("right_id < left_id")
-        window = pairs.withColumn("n", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("right_id")))).where("n <= 200")
+        # ids tell the order of arrival; a thousand of them count as a day
+        at, known = F.col("row_id") * 86_400_000, F.col("portal").isNotNull()
+        asks = left.where(known).select(F.col("portal").alias("list"), F.col("row_id").alias("ask_id"), F.lit(-1 << 62).alias("ask_since"), (at - 1).alias("ask_until"))
+        entries = rows.where(known).select(F.col("portal").alias("list"), F.col("row_id").alias("id"), at.alias("at"))
+        window = J.newest_in_lists(entries, asks, F.lit(True), 200).select(F.col("ask_id").alias("left_id"), F.col("id").alias("right_id"))
         vectors = V.lexical_vectors(rows, "row_id", "title")
         near = V.lexical_cosine(vectors, vectors, window).withColumn("similarity", F.round("similarity", 4)).where("similarity >= 0.8")
         return near.groupBy(F.col("left_id").alias("row_id")).agg(F.max_by("right_id", F.struct("similarity", "right_id")).alias("canonical_id"), F.max("similarity").alias("similarity"))

@@ -145,13 +145,13 @@ def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", U.guarded(moved).alias("reason"))
 
 
-@query(r"SELECT page_id, 'https://***@' || regexp_extract(url, '//([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || '?token=***&page=2' AS safe FROM pages")
+@query(r"SELECT page_id, 'https://***redacted***@' || regexp_extract(url, '//([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || '?token=***redacted***&page=2' AS safe FROM pages")
 def redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_url = F.concat(F.lit("https://me:pw@"), U.host(F.col("url")), F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.lit("?token=abc&page=2"))
     return read(spark, sf_dir, "pages").select("page_id", U.redacted(open_url).alias("safe"))
 
 
-@query("""SELECT event_id, '***' AS token, props->>'k' AS k FROM events""")
+@query("""SELECT event_id, '***redacted***' AS token, props->>'k' AS k FROM events""")
 def redact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.nested import redact_map as redact
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from ..adapters import CODES, NOTICES, codes, notices, now, submissions
 from ..functions import text as X
 from ..operators import joins as J
 from ..operators import scoring as S
+from ..operators.shared import shared_folder
 from ..registry import query
+from ..sources.sinks import append_once, appended
 from ..sources.tables import read
 from .listing import KEYWORDS
 from .duplicates import VECTOR
@@ -134,9 +138,13 @@ def criterion_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {NOTICES}, {SCORED}, h AS (SELECT notice_id, '2026.3' AS version, score, 1 AS run FROM scored UNION ALL SELECT notice_id, '2026.4', round(v_deadline, 6), 2 FROM scored WHERE notice_id % 2 = 0)
 SELECT notice_id, arg_max(version, run) AS version, arg_max(score, run) AS score, count(*) AS runs FROM h GROUP BY 1""")
 def score_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two scoring runs in one history; the newest is current."""
+    """Two scoring runs appended to one history, the second of them twice; the newest is current."""
     second = S.Profile(version="2026.4", weights={"deadline_proximity": 1.0})
-    runs = scored(spark, sf_dir).withColumn("run", F.lit(1)).unionByName(scored(spark, sf_dir, second).where("notice_id % 2 = 0").withColumn("run", F.lit(2)))
+    folder, columns = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", ["notice_id", "profile_version", "score", "run"]
+    first, again = scored(spark, sf_dir).withColumn("run", F.lit(1)).select(columns), scored(spark, sf_dir, second).where("notice_id % 2 = 0").withColumn("run", F.lit(2)).select(columns)
+    for rows, batch in ((first, "run-1"), (again, "run-2"), (again, "run-2")):
+        append_once(rows, folder, batch)
+    runs = appended(spark, folder, first.schema)
     current = F.max_by(F.struct("profile_version", "score"), "run").alias("c")
     return runs.groupBy("notice_id").agg(current, F.count("*").alias("runs")).select("notice_id", F.col("c.profile_version").alias("version"), F.col("c.score").alias("score"), "runs")
 

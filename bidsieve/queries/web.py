@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..adapters import NOTICES, notices
-from ..functions import nested
+from ..operators.shared import shared_folder
 from ..registry import query
 from ..sources import extract as E
+from ..sources import sinks as K
 from ..sources.tables import SCHEMAS, read
 
 
@@ -168,9 +175,41 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = f"f AS (SELECT page_id, page_id % 9 AS k, {_content(", 'g'")} AS c FROM pages WHERE html IS NOT NULL AND url IS NOT NULL)"
 
 
-@query(f"WITH {FILES} SELECT page_id, CASE WHEN starts_with(c, '%PDF-') THEN 'application/pdf' WHEN starts_with(c, 'MZ') THEN 'application/x-msdownload' WHEN regexp_matches(lower(c[1:200]), '^\\s*<(!doctype html|html|head|body|\\?xml)') THEN 'text/html' ELSE 'text/plain' END AS kind FROM f")
+@query(f"WITH {FILES} SELECT page_id, CASE WHEN starts_with(c, '%PDF-') THEN 'application/pdf' WHEN starts_with(c, 'MZ') THEN 'application/x-msdownload' WHEN regexp_matches(lower(c[1:1024]), '<(!doctype html|html|head|body|\\?xml)') THEN 'text/html' ELSE 'text/plain' END AS kind FROM f")
 def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("page_id", E.media_type(F.col("content")).alias("kind"))
+    return files(spark, sf_dir).select("page_id", E.triaged(F.col("content")).alias("kind"))
+
+
+_MEMBERS = ["word/document.xml", "xl/workbook.xml", "ppt/presentation.xml", "content.xml", "notes.txt", "word/document.xml"]
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(kind: pd.Series, html: pd.Series) -> pd.Series:
+    """Containers of six kinds around a page; those of the last are cut off."""
+    def one(k: int, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/manifest.xml" if k == 3 else "other.xml", "x")
+            z.writestr(_MEMBERS[k], text)
+        return out.getvalue()[: -40 if k == 5 else None]
+
+    return pd.Series([one(k, t) for k, t in zip(kind, html, strict=True)])
+
+
+@query("SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(E.CONTAINERS)) + " ELSE 'application/zip' END AS kind FROM pages WHERE html IS NOT NULL")
+def triage_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a member of an office file, a plain ZIP or a damaged one."""
+    rows = read(spark, sf_dir, "pages").where("html is not null").select("page_id", packed((F.col("page_id") % 6).cast("int"), "html").alias("content"))
+    return rows.select("page_id", E.triaged(F.col("content")).alias("kind"))
+
+
+@query("SELECT doc_id, sha256(text) AS text, lang, source, n_chars FROM documents")
+def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as CSV and read again by the declared schema."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    K.write_csv(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), folder)
+    rows, _ = K.read_csv(spark, folder, SCHEMAS["documents"])
+    return rows.select("doc_id", F.sha2("text", 256).alias("text"), "lang", "source", "n_chars")
 
 
 @query(rf"""
@@ -185,11 +224,25 @@ def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NOTICES} SELECT strftime(publication, '%Y/%m/%d') || '/' || notice_id AS key, notice_id FROM notices")
 def write_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layout's keys; `sources.tables.write_partitioned` writes them, and the tests read them back."""
-    return notices(spark, sf_dir).select(F.concat_ws("/", F.date_format("publication", "yyyy/MM/dd"), "notice_id").alias("key"), "notice_id")
+    """Notices written by day and read back; a second run replaces the days with the same rows."""
+    folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    rows = notices(spark, sf_dir).select("notice_id", "publication")
+    for _ in range(2):
+        K.write_days(rows, folder, "publication")
+    return K.read_days(spark, folder, rows.schema).select(F.concat_ws("/", "y", "m", "d", "notice_id").alias("key"), "notice_id")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN TRUE ELSE FALSE END AS truncated FROM events")
+@query("""
+SELECT event_id, 'batch-' || event_id % 2 AS batch, event_id % 3 = 0 AS truncated, '***redacted***' AS inner_token, CASE WHEN event_id % 3 <> 0 THEN props->>'k' END AS k FROM events""")
 def append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").select("event_id", F.to_json(nested.redact_map(F.create_map(F.lit("k"), F.col("props"), F.lit("password"), F.lit("x"), F.lit("note"), F.expr("case when event_id % 3 = 0 then repeat('n', 3000) else 'n' end")))).alias("context"))
-    return E.audit_rows(rows, "context").select("event_id", F.coalesce(F.get_json_object("context", "$.truncated") == "true", F.lit(False)).alias("truncated"))
+    """Two batches of audit rows, the first of them written twice, read back from the table."""
+    folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    note = F.expr("case when event_id % 3 = 0 then repeat('n', 9000) else 'n' end")
+    context = F.concat(F.lit('{"user": {"api_token": "s3cr3t", "tags": [{"password": 1}]}, "props": '), F.col("props"), F.lit(', "note": "'), note, F.lit('"}'))
+    rows = E.audit_rows(read(spark, sf_dir, "events").select("event_id", context.alias("context")), "context")
+    for i in (0, 1, 0):
+        K.append_once(rows.where(F.col("event_id") % 2 == i), folder, f"batch-{i}")
+    table = K.appended(spark, folder, rows.schema)
+    shown = F.when(F.get_json_object("context", "$.truncated") == "true", F.get_json_object("context", "$.preview")).otherwise(F.col("context"))
+    token = F.regexp_extract(shown, r'"api_token": "([^"]*)"', 1)
+    return table.select("event_id", "batch", F.coalesce(F.get_json_object("context", "$.truncated") == "true", F.lit(False)).alias("truncated"), token.alias("inner_token"), F.get_json_object("context", "$.props.k").alias("k"))

@@ -12,11 +12,13 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from ..functions.nested import redact_json
+
 
 class _Fields(HTMLParser):
     """Text and attributes of elements by tag, class and id, in document order."""
@@ -300,25 +302,49 @@ def media_type(content: Column) -> Column:
         "255044462D": "application/pdf", "504B0304": "application/zip", "504B0506": "application/zip", "504B0708": "application/zip", "D0CF11E0A1B11AE1": "application/x-ole-storage", "7B5C727466": "application/rtf",
         "1F8B": "application/gzip", "526172211A07": "application/x-rar-compressed", "377ABCAF": "application/x-7z-compressed", "7F454C46": "application/x-executable", "4D5A": "application/x-msdownload", "2321": "text/x-script",
     }
-    kind = F.when(F.lower(F.decode(F.substring(content, 1, 200), "ISO-8859-1")).rlike(r"^\s*<(!doctype html|html|head|body|\?xml)"), "text/html").otherwise("text/plain")
+    start_of = F.lower(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
+    kind = F.when(start_of.rlike(r"<(!doctype html|html|head|body|\?xml)"), "text/html").when(F.is_valid_utf8(content.cast("string")), "text/plain").otherwise("application/octet-stream")
     for start, name in signatures.items():
         kind = F.when(F.startswith(head, F.lit(start)), name).otherwise(kind)
     return kind
 
 
+# What a ZIP container with these members is.
+CONTAINERS = [
+    ({"word/document.xml"}, "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ({"xl/workbook.xml"}, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ({"ppt/presentation.xml"}, "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    ({"content.xml", "META-INF/manifest.xml"}, "application/vnd.oasis.opendocument.text"),
+]
+
+
 @F.pandas_udf(T.StringType())
 def zip_kind(content: pd.Series) -> pd.Series:
-    """Office type of a ZIP container by its members."""
+    """Type of a ZIP container by its directory alone, no member is unpacked; a damaged one is a plain ZIP."""
     def one(data: bytes | None) -> str:
         try:
-            names = zipfile.ZipFile(io.BytesIO(data or b"")).namelist()
-        except zipfile.BadZipFile:
-            return "damaged"
-        return next((kind for start, kind in (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx")) if any(n.startswith(start) for n in names)), "zip")
+            names = set(zipfile.ZipFile(io.BytesIO(data or b"")).namelist())
+        except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+            return "application/zip"
+        return next((kind for members, kind in CONTAINERS if members <= names), "application/zip")
 
     return content.map(one)
 
 
+def triaged(content: Column) -> Column:
+    """Media type by content; only ZIP containers leave the JVM."""
+    kind = media_type(content)
+    return F.when(kind == "application/zip", zip_kind(F.when(kind == "application/zip", content))).otherwise(kind)
+
+
+def scan_files(spark: SparkSession, folder: str, glob: str = "*", limit: int = 25_000_000) -> DataFrame:
+    """path, length, content of the files below a folder whose names fit; the content of those over `limit` bytes is not
+    read (null). Spark's file sources pass over files without a byte."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    small = files.where(F.col("length") <= limit).select("path", "length", "content")
+    return small.unionByName(files.where(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content")))
+
+
 @F.pandas_udf(T.StringType())
 def docx_problem(content: pd.Series) -> pd.Series:
     """First failing check of a DOCX: corrupted, incomplete, macros, bomb; null if it passes, or where there is no content."""
@@ -390,7 +416,8 @@ def posting(html: Column) -> Column:
     return F.struct(title.alias("title"), F.substring(F.coalesce(F.when(is_job, html_text(F.get_json_object(body, "$.description"))), html_text(html)), 1, 50_000).alias("description"))
 
 
-def audit_rows(rows: DataFrame, context: str, limit: int = 2000) -> DataFrame:
-    """Audit rows with a context over `limit` replaced by a preview of it."""
-    big = F.length(context) > limit
-    return rows.withColumn(context, F.when(big, F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(context, 1, limit).alias("preview")))).otherwise(F.col(context)))
+def audit_rows(rows: DataFrame, context: str, limit: int = 8000, shown: int = 1000) -> DataFrame:
+    """Audit rows with a masked JSON context; one over `limit` characters is replaced by a preview and its size."""
+    safe = redact_json(F.col(context))
+    preview = F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(F.col("_safe"), 1, shown).alias("preview"), F.length("_safe").alias("original_size")))
+    return rows.withColumn("_safe", safe).withColumn(context, F.when(F.length("_safe") > limit, preview).otherwise(F.col("_safe"))).drop("_safe")

@@ -42,16 +42,3 @@ def spread(rows: DataFrame) -> DataFrame:
     so as many splits as cores are not enough either."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
-
-
-def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A CSV corpus of known schema whose quoted texts hold line breaks and doubled quotes."""
-    return spark.read.schema(ddl).csv(path, header=True, multiLine=True, escape='"', quote='"')
-
-
-def write_partitioned(df: DataFrame, path: str, day: str) -> None:
-    """Write rows under path/y=YYYY/m=MM/d=DD by a date or timestamp column; rows without a day go to Hive's default folder."""
-    from pyspark.sql import functions as F
-
-    parts = {"y": "yyyy", "m": "MM", "d": "dd"}
-    df.withColumns({k: F.date_format(day, f) for k, f in parts.items()}).repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(path)

@@ -12,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from bidsieve.functions import nested
 from bidsieve.functions import text as X
 from bidsieve.functions import url as U
 from bidsieve.operators import cv as C
@@ -21,7 +22,7 @@ from bidsieve.operators import similarity as V
 from bidsieve.operators import staffing as T
 from bidsieve.operators import windows as W
 from bidsieve.sources import extract as E
-from bidsieve.sources import tables
+from bidsieve.sources import sinks, tables
 
 
 def one(spark, make, *values):
@@ -114,9 +115,66 @@ def test_half_open_breaker_stays_stuck():
 
 def test_write_partitioned(spark, tmp_path):
     rows = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (2, dt.date(2024, 2, 1))], "id long, day date")
-    tables.write_partitioned(rows, str(tmp_path / "out"), "day")
+    sinks.write_days(rows, str(tmp_path / "out"), "day")
     assert (tmp_path / "out/y=2024/m=01/d=05").is_dir()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    sinks.write_days(spark.createDataFrame([(3, dt.date(2024, 2, 1)), (4, None)], "id long, day date"), str(tmp_path / "out"), "day")
+    back = sinks.read_days(spark, str(tmp_path / "out"), rows.schema)
+    assert sorted((r.id, r.y, r.m, r.d) for r in back.collect()) == [(1, "2024", "01", "05"), (3, "2024", "02", "01"), (4, None, None, None)]
+    plan = back.where("y = '2024' and m = '02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(y" in plan and "PushedFilters: []" in plan
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    rows, path = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), str(tmp_path / "t")
+    for batch, part in (("x", rows), ("y", rows.where("id = 1")), ("x", rows), ("y", rows.where("id = 9"))):
+        sinks.append_once(part, path, batch)
+    table = sinks.appended(spark, path, rows.schema)
+    assert sorted(map(tuple, table.collect())) == [(1, "a", "x"), (1, "a", "y"), (2, "b", "x")]
+    assert "PartitionFilters: [isnotnull(batch" in table.where("batch = 'x'")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        sinks.append_once(rows, path, "../x")
+
+
+def test_csv_with_rejects(spark, tmp_path):
+    made = [(1, 'line\nbreak, "quoted"\r\n', "en"), (2, None, ""), (3, "", None), (4, "\\ back\\N", "x")]
+    sinks.write_csv(spark.createDataFrame(made, "id long, text string, lang string"), str(tmp_path / "a"))
+    rows, rejects = sinks.read_csv(spark, str(tmp_path / "a"), "id long, text string, lang string")
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(made, key=repr) and rejects.count() == 0
+    (tmp_path / "b.csv").write_text('id,text,lang\n1,"a",en\nx,"b",en\n3,"c"\n4,"d",en,more\n\\N,"e",fr\n')
+    rows, rejects = sinks.read_csv(spark, str(tmp_path / "b.csv"), "id long, text string, lang string")
+    assert sorted(map(tuple, rows.collect()), key=repr) == [(1, "a", "en"), (None, "e", "fr")]
+    assert sorted(r.line for r in rejects.collect()) == ['3,"c"', '4,"d",en,more', 'x,"b",en']
+
+
+def test_json_is_masked_at_any_depth(spark):
+    body = '{"a": [{"Password": "x", "b": {"api_key": [1, {"c": 2}]}}], "token": {"n": 1}, "é": null}'
+    rows = spark.createDataFrame([(body,), ("{broken",), (None,)], "body string").select(nested.redact_json("body").alias("b"))
+    assert [r.b for r in rows.collect()] == ['{"a": [{"Password": "***redacted***", "b": {"api_key": ["***redacted***", {"c": 2}]}}], "token": {"n": 1}, "é": null}', None, None]
+
+
+def test_files_are_scanned_and_told_apart(spark, tmp_path):
+    def container(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, "x" * 100)
+        return out.getvalue()
+
+    office = "application/vnd.openxmlformats-officedocument."
+    cases = {
+        "a.docx": (container("word/document.xml"), office + "wordprocessingml.document"), "b.xlsx": (container("xl/workbook.xml"), office + "spreadsheetml.sheet"), "c.pptx": (container("ppt/presentation.xml"), office + "presentationml.presentation"),
+        "d.odt": (container("content.xml", "META-INF/manifest.xml"), "application/vnd.oasis.opendocument.text"), "e.zip": (container("content.xml"), "application/zip"), "f.zip": (container("word/document.xml")[:-30], "application/zip"),
+        "g.txt": ("é".encode(), "text/plain"), "h.bin": (b"\xff\xfe\x00", "application/octet-stream"), "i.htm": (b"  \n<!-- x --><HTML>", "text/html"), "k.pdf": (b"%PDF-1.7", "application/pdf"),
+    }
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for i, (name, (data, _)) in enumerate(cases.items()):
+        (tmp_path / "in" / ("deep" if i % 2 else "") / name).write_bytes(data)
+    (tmp_path / "in/large.txt").write_bytes(b"x" * 2000)
+    found = E.scan_files(spark, str(tmp_path / "in"), limit=1000).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", E.triaged(F.col("content")).alias("kind"))
+    got = {r.name: r for r in found.collect()}
+    assert {n: got[n].kind for n in cases} == {n: kind for n, (_, kind) in cases.items()}
+    assert got["large.txt"].content is None and len(got) == len(cases) + 1
+    assert E.scan_files(spark, str(tmp_path / "in"), "*.docx").count() == 1
 
 
 def test_fold_everything_agrees(spark, small):
