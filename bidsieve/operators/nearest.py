@@ -37,6 +37,26 @@ class QueryIndex:
         self.norm = np.sqrt((self.often**2).sum(axis=0))
 
 
+    def met(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: the dot products over rare terms, whether one is shared, and the weights of the frequent terms."""
+        words = dict(self.words)
+        vectors = [text_vector(t, words) for t in folded]
+        terms, weight = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+        text = np.repeat(np.arange(len(folded)), [len(v[0]) for v in vectors])
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        at, weight, text = at[known], weight[known], text[known]
+        n, rare = len(self.ids), self.row[at] < 0
+        many = self.first[at[rare] + 1] - self.first[at[rare]]
+        posting = np.repeat(self.first[at[rare]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pair = np.repeat(text[rare], many) * n + self.query[posting]
+        dot = np.bincount(pair, np.repeat(weight[rare], many) * self.weight[posting], len(folded) * n).reshape(len(folded), n)
+        shared = np.bincount(pair, minlength=len(folded) * n).reshape(len(folded), n) > 0
+        often = np.zeros((len(folded), len(self.often)))
+        often[text[~rare], self.row[at[~rare]]] = weight[~rare]
+        return dot, shared, often
+
+
 class Nearest:
     """The k nearest texts of each query so far. Similarities are counted in ten thousandths; equal ones go by ascending id."""
 
@@ -50,21 +70,8 @@ class Nearest:
         return np.array([(-p[-1][0] - 0.5) / 1e4 - 1e-9 if len(p) == self.k else -1.0 for p in self.places])
 
     def show(self, ids: list[int], folded: list[str]) -> None:
-        index, words = self.index, dict(self.index.words)
-        vectors = [text_vector(t, words) for t in folded]
-        terms, weight = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
-        text = np.repeat(np.arange(len(ids)), [len(v[0]) for v in vectors])
-        at = np.minimum(np.searchsorted(index.terms, terms), len(index.terms) - 1)
-        known = index.terms[at] == terms
-        at, weight, text = at[known], weight[known], text[known]
-        n, rare = len(index.ids), index.row[at] < 0
-        many = index.first[at[rare] + 1] - index.first[at[rare]]
-        posting = np.repeat(index.first[at[rare]] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        pair = np.repeat(text[rare], many) * n + index.query[posting]
-        dot = np.bincount(pair, np.repeat(weight[rare], many) * index.weight[posting], len(ids) * n).reshape(len(ids), n)
-        shared = np.bincount(pair, minlength=len(ids) * n).reshape(len(ids), n) > 0
-        often = np.zeros((len(ids), len(index.often)))
-        often[text[~rare], index.row[at[~rare]]] = weight[~rare]
+        index = self.index
+        dot, shared, often = index.met(folded)
         # what frequent terms can add is no more than the product of the lengths of both their parts
         bound = dot + np.outer(np.sqrt((often**2).sum(axis=1)), index.norm)
         self.seen += bound.size
@@ -72,7 +79,7 @@ class Nearest:
             order = np.argsort(-bound[:, q], kind="stable")
             for start in range(0, len(order), self.k):
                 some = order[start : start + self.k]
-                some = some[bound[some, q] >= (self.needed_of(q))]
+                some = some[bound[some, q] >= self.needed_of(q)]
                 if not len(some):
                     break
                 self.compared += len(some)
@@ -129,3 +136,31 @@ def nearest_texts(queries: DataFrame, rows: DataFrame, k: int, most: int = 200_0
     for by in (("left_id", "part"), ("left_id",)):
         best = best.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("tenths"), "right_id"))).where(F.col("position") <= k)
     return best.select("left_id", "right_id", (F.col("tenths") / 1e4).alias("similarity"), "position")
+
+
+def all_cosines(queries: DataFrame, rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """left_id, right_id, similarity of every query and row that share a term, or whose texts are equal and not empty.
+
+    As nearest_texts, but all pairs come out, as a backend's callers ask for: a row meets a block of queries in its task, in
+    one product, and no term is joined.
+    """
+    texts = rows.select(F.col("id").cast("long").alias("id"), fold(F.col("text")).alias("folded")).where("id is not null and folded <> ''")
+
+    def cosines(index: QueryIndex) -> DataFrame:
+        left, there = pa.array(index.ids, pa.int64()), (index.often != 0).astype(np.float32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, _BATCH):
+                    part = batch.slice(i, _BATCH)
+                    dot, shared, often = index.met(part.column("folded").to_pylist())
+                    row, query = np.nonzero(shared | ((often != 0).astype(np.float32) @ there > 0))
+                    exact = np.clip(dot + often @ index.often, 0, 1)[row, query]
+                    yield pa.RecordBatch.from_arrays([left.take(pa.array(query)), part.column("id").take(pa.array(row)), pa.array(exact)], ["left_id", "right_id", "similarity"])
+
+        return texts.mapInArrow(run, "left_id long, right_id long, similarity double")
+
+    # texts without any term that are equal all the same
+    bare = [x.where((F.col("text") != "") & (fold(F.col("text")) == "")).select("text", F.col("id").cast("long").alias(f"{side}_id")) for x, side in ((queries, "left"), (rows, "right"))]
+    equal = bare[0].join(bare[1], "text").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
+    return reduce(DataFrame.unionAll, [*(cosines(index) for index in _blocks(queries, most)), equal])

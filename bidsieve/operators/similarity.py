@@ -123,5 +123,11 @@ def backend(name: str) -> Backend:
     return _BACKENDS.get(name, _BACKENDS["lexical"])
 
 
-register_backend("lexical", lambda a, b: lexical_cosine(lexical_vectors(a, "id", "text"), lexical_vectors(b, "id", "text")))
+def _lexical(a: DataFrame, b: DataFrame) -> DataFrame:
+    from .nearest import all_cosines  # which builds on this module
+
+    return all_cosines(a, b)
+
+
+register_backend("lexical", _lexical)
 register_backend("dense", lambda a, b: blocked_pairs(a.select(F.col("id").alias("left_id"), F.col("vector").alias("va")), b.select(F.col("id").alias("right_id"), F.col("vector").alias("vb")), 1000).select("left_id", "right_id", dense_cosine(F.col("va"), F.col("vb")).alias("similarity")))

@@ -28,8 +28,8 @@ WITH folded AS (SELECT item_id AS id, {fold_sql('text')} AS f FROM benchmark), {
 SELECT a.id AS left_id, b.id AS right_id, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS similarity FROM vectors a JOIN vectors b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2""")
 def lexical_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against each other: a fixed set of queries."""
-    vectors = V.lexical_vectors(read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return V.lexical_cosine(vectors, vectors).where("left_id < right_id").withColumn("similarity", F.round("similarity", 4))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return V.backend("lexical")(items, items).where("left_id < right_id").withColumn("similarity", F.round("similarity", 4))
 
 
 DOT = "greatest(0, least(1, list_dot_product(({0})::DOUBLE[], ({1})::DOUBLE[])))"

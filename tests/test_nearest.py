@@ -33,6 +33,16 @@ def test_nearest_texts(tables, k, most):
     assert nearest_texts(items, docs.limit(0), k).count() == 0
 
 
+def test_all_cosines(tables):
+    items, docs = tables
+    known = [x.where("id is not null") for x in tables]
+    want = {(r[0], r[1]): r[2] for r in V.lexical_cosine(*(V.lexical_vectors(x, "id", "text") for x in known)).collect()}
+    got = {(r[0], r[1]): r[2] for r in V.backend("lexical")(items, docs).collect()}
+    assert got.pop((10003, 9003)) == 1.0  # "!!" on both sides
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_bounds_spare_dot_products(spark):
     folded = [r.f for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(V.fold(F.col("text")).alias("f")).where("f <> ''").collect()]
     items = [r.f for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(V.fold(F.col("text")).alias("f")).collect()]
