@@ -255,9 +255,9 @@ def code_matches(codes: Column, prefix: str) -> Column:
     return F.exists(codes, lambda c: F.startswith(c, F.lit(stem)))
 
 
-def masked(text: Column) -> Column:
-    """Personal data replaced by typed markers."""
-    rules = [
+def pii_rules() -> list[tuple[str, str]]:
+    """Patterns of personal data with their markers, in the order in which they apply."""
+    return [
         (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"),
         (r"(?i)https?://(?:www\.)?(?:linkedin\.com|github\.com)/\S+", "[PROFILE]"),
         (r"(?i)\b(?:né|née|born|birth date|date de naissance)[^\d\n]{0,20}\d{1,2}[/.-]\d{1,2}[/.-]\d{4}", "[BIRTH_DATE]"),
@@ -265,6 +265,19 @@ def masked(text: Column) -> Column:
         (r"\+?\d[\d ().-]{7,}\d", "[PHONE]"),
         (r"(?i)\b\d{1,4},? (?:rue|avenue|boulevard|street|road)\b[^\n,]*", "[ADDRESS]"),
     ]
-    for pattern, marker in rules:
+
+
+def masked(text: Column) -> Column:
+    """Personal data replaced by typed markers."""
+    for pattern, marker in pii_rules():
         text = F.regexp_replace(text, pattern, F.lit(marker))
     return text
+
+
+def masked_with_counts(text: Column) -> Column:
+    """A struct of the masked text and a map from marker to what it stands for: markers that a rule sets, not those the text had."""
+    counts = []
+    for pattern, marker in pii_rules():
+        counts += [F.lit(marker), F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))]
+        text = F.regexp_replace(text, pattern, F.lit(marker))
+    return F.struct(text.alias("text"), F.create_map(*counts).alias("counts"))

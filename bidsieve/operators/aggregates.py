@@ -64,6 +64,16 @@ def audit_verdict(runs: DataFrame, cap: int) -> DataFrame:
     return counts.select("source_key", alerts.alias("alerts"))
 
 
+def sketched(rows: DataFrame, keys: list[str], column: str, k: int = 400) -> DataFrame:
+    """A quantile sketch of a column per key, some kB whatever the rows: what is kept of a day, to be merged for any span of days."""
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantile(sketches: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """The quantile of the united rows, from their sketches: keys and estimate."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch")).select(*keys, F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("estimate"))
+
+
 def histogram(rows: DataFrame, column: str, bounds: list[float]) -> DataFrame:
     """Counts per bucket (by its lower bound), running totals, and the 95th percentile of all."""
     bucket = F.lit(None).cast("double")

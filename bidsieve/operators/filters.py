@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_matches, fold, let, plain_fold
+from .shared import durable
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,24 @@ def sorted_by(rows: DataFrame, by: str, ties: list[str], allowed: set[str] | Non
     return rows.orderBy(*(F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in (by, *ties)))
 
 
+def listed(rows: DataFrame, now: Column, text: str = "", only_open: bool = True, least: float | None = None, among: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of a list with their number as `total`: in scope, with `text` in title, buyer or reference whatever the case (% and
+    _ stand for anything), of the given values where there are any, not below a score. Open here means a deadline that is not
+    over, or none, and neither cancelled nor awarded. The rows are kept once for list and total."""
+    chosen = rows.where(F.col("band") != "out_of_scope")
+    if text.strip():
+        pattern = f"%{text.strip()}%"
+        chosen = chosen.where(F.col("title").ilike(pattern) | F.col("buyer").ilike(pattern) | F.col("reference").ilike(pattern))
+    for column, values in (among or {}).items():
+        chosen = chosen.where(F.col(column).isin(*values)) if values else chosen
+    if least is not None:
+        chosen = chosen.where(F.col("score") >= least)
+    if only_open:
+        chosen = chosen.where((F.col("deadline").isNull() | (F.col("deadline") >= now)) & ~F.col("status").isin("cancelled", "awarded"))
+    chosen = durable(chosen)
+    return chosen.join(F.broadcast(chosen.agg(F.count("*").alias("total"))))
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """A page of ordered rows; numbers start at 1, sizes end at 200."""
     size = min(max(size, 1), 200)

@@ -32,11 +32,25 @@ def streaks(runs: DataFrame) -> DataFrame:
     return out.drop(*(f"_{n}" for n in flags))
 
 
-def health(streaked: DataFrame) -> DataFrame:
-    """State of each source after its last run: failing from 3 failures, degraded from 1 or from 3 empty runs, else healthy."""
-    last = streaked.groupBy("source_key").agg(F.max_by(F.struct("failures", "successes", "empties", "ts"), F.struct("ts", "run_id")).alias("s")).select("source_key", "s.*")
+def health(streaked: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """State and reason of each source after its last run: failing from 3 failures, degraded from 1 or from 3 empty runs, else healthy.
+
+    streaked may have error_type, which the reason names. sources: source_key, enabled, credentials_missing; a source that is
+    not enabled is disabled, one without its credentials stays so whatever its runs say, and sources that never ran are told of too.
+    """
+    error = F.col("error_type") if "error_type" in streaked.columns else F.lit(None).cast("string")
+    last = streaked.withColumn("_error", F.coalesce(error, F.lit("unknown error"))).groupBy("source_key").agg(F.max_by(F.struct("failures", "successes", "empties", "ts", "_error"), F.struct("ts", "run_id")).alias("s")).select("source_key", "s.*")
     state = F.when(F.col("failures") >= 3, "failing").when((F.col("failures") >= 1) | (F.col("empties") >= 3), "degraded").otherwise("healthy")
-    reason = F.when(F.col("failures") >= 1, F.concat(F.col("failures").cast("string"), F.lit(" consecutive failures"))).when(F.col("empties") >= 3, F.concat(F.col("empties").cast("string"), F.lit(" empty runs")))
+    number = lambda c: F.col(c).cast("string")
+    # The reasons' texts.
+    reason = (
+        F.when(F.col("failures") >= 3, F.concat(number("failures"), F.lit(" consecutive failures ("), "_error", F.lit(")"))).when(F.col("failures") >= 1, F.concat(F.lit("Last run failed: "), "_error"))
+        .when(F.col("empties") >= 3, F.concat(number("empties"), F.lit(" consecutive runs returned no items — the portal markup may have changed.")))
+    )
+    if sources is not None:
+        last = sources.select("source_key", "enabled", "credentials_missing").join(last, "source_key", "left").fillna(0, ["failures", "successes", "empties"])
+        fixed = F.when(~F.col("enabled"), "disabled").when(F.col("credentials_missing"), "credentials_missing")
+        state, reason = F.coalesce(fixed, state), F.when(fixed.isNull(), reason)
     return last.select("source_key", "failures", "successes", "empties", F.col("ts").alias("last_run"), state.alias("state"), reason.alias("reason"))
 
 
@@ -124,7 +138,9 @@ def top_documents(attachments: DataFrame, most: int = 40) -> DataFrame:
 
 
 def merged_text(rows: DataFrame, key: str, order: list[str], limit: int = 500_000) -> DataFrame:
-    """Texts of a key in order with a marker line each, cut at `limit`; and digital, ocr, mixed or none as method.
+    """Texts of a key in order with a marker line each, cut at `limit`; digital, ocr, mixed or none as method; and where rows
+    have an error, what went wrong by name, joined in order up to 2,000 characters, and whether the key is extracted, failed
+    or empty.
 
     Only texts that start before the limit are gathered; the rest are counted.
     """
@@ -135,4 +151,13 @@ def merged_text(rows: DataFrame, key: str, order: list[str], limit: int = 500_00
     text = F.substring(F.array_join(F.transform("items", lambda x: x["piece"]), "\n\n"), 1, limit)
     method = F.when(F.col("methods") > 1, "mixed").otherwise(F.col("one"))
     named = lists.select(key, text.alias("text"), "documents", method.alias("method"))
-    return rows.select(key).distinct().join(named, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("documents", F.lit(0).cast("long")).alias("documents"), F.when(F.col("documents").isNull(), "none").otherwise(F.col("method")).alias("method"))
+    columns = [F.coalesce("text", F.lit("")).alias("text"), F.coalesce("documents", F.lit(0).cast("long")).alias("documents"), F.when(F.col("documents").isNull(), "none").otherwise(F.col("method")).alias("method")]
+    if "error" not in rows.columns:
+        return rows.select(key).distinct().join(named, key, "left").select(key, *columns)
+    # an error's place in the joined text is known before any is gathered, as with the texts
+    wrong = rows.where("error is not null and coalesce(text, '') = ''").withColumn("_told", F.concat("name", F.lit(": "), "error"))
+    at = F.coalesce(F.sum(F.length("_told") + 2).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = wrong.withColumn("_at", at).where("_at < 2000").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_told"))).alias("_items"))
+    errors = told.select(key, F.substring(F.array_join(F.transform("_items", lambda x: x["_told"]), "; "), 1, 2000).alias("errors"))
+    status = F.when(F.col("documents").isNotNull(), "extracted").when(F.col("errors").isNotNull(), "failed").otherwise("empty")
+    return rows.select(key).distinct().join(named, key, "left").join(errors, key, "left").select(key, *columns, "errors", status.alias("status"))

@@ -92,6 +92,20 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.histogram(read(spark, sf_dir, "events").where("value >= 0"), "value", [0.0, 5.0, 10.0, 25.0, 50.0, 100.0])
 
 
+@query("""
+WITH s AS (SELECT event_type AS stage, abs(value) AS seconds FROM events UNION ALL SELECT 'size', o_totalprice FROM orders)
+SELECT stage, count(*) AS n, round(quantile_cont(seconds, 0.95), 6) AS p95, TRUE AS sketch_holds FROM s WHERE seconds IS NOT NULL GROUP BY 1""")
+def stage_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds by stage and sizes: the exact 95th percentile, and whether the merged sketches are within a hundredth of its rank."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.abs("value").alias("seconds"), F.to_date("ts").alias("day"))
+    rows = rows.unionByName(read(spark, sf_dir, "orders").select(F.lit("size").alias("stage"), F.col("o_totalprice").alias("seconds"), F.to_date("o_orderdate").alias("day")))
+    daily = A.sketched(rows, ["stage", "day"], "seconds")
+    estimate = A.merged_quantile(daily, ["stage"], 0.95)
+    exact = rows.where("seconds is not null").join(F.broadcast(estimate), "stage").groupBy("stage", "estimate").agg(F.count("*").alias("n"), F.round(F.percentile("seconds", F.lit(0.95)), 6).alias("p95"), F.count_if(F.col("seconds") < F.col("estimate")).alias("below"), F.count_if(F.col("seconds") <= F.col("estimate")).alias("upto"))
+    holds = (F.col("below") <= 0.96 * F.col("n") + 1) & (F.col("upto") >= 0.94 * F.col("n") - 1)
+    return exact.select("stage", "n", "p95", holds.alias("sketch_holds"))
+
+
 @query("SELECT r_name AS zone, count(*) AS countries, string_agg(n_name, '|' ORDER BY n_name) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def reference_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = read(spark, sf_dir, "region").join(read(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -119,9 +133,18 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.streaks(runs(spark, sf_dir)).select("run_id", "failures", "successes", "empties")
 
 
-@query(f"WITH {STREAKS} SELECT * FROM health")
+@query(f"""
+WITH {STREAKS}, last AS (SELECT user_id AS source_key, arg_max(CASE WHEN event_id % 2 = 0 THEN 'Timeout' ELSE 'unknown error' END, (ts, event_id)) AS error FROM events GROUP BY 1),
+known AS (SELECT source_key, source_key % 17 <> 0 AS enabled, source_key % 13 = 0 AS missing FROM health UNION ALL SELECT -1, TRUE, TRUE UNION ALL SELECT -2, TRUE, FALSE)
+SELECT k.source_key, coalesce(failures, 0) AS failures, coalesce(successes, 0) AS successes, coalesce(empties, 0) AS empties, last_run, CASE WHEN NOT enabled THEN 'disabled' WHEN missing THEN 'credentials_missing' ELSE coalesce(state, 'healthy') END AS state,
+  CASE WHEN NOT enabled OR missing THEN NULL WHEN failures >= 3 THEN failures || ' consecutive failures (' || error || ')' WHEN failures >= 1 THEN 'Last run failed: ' || error WHEN empties >= 3 THEN empties || ' consecutive runs returned no items — the portal markup may have changed.' END AS reason
+FROM known k LEFT JOIN health USING (source_key) LEFT JOIN last USING (source_key)""")
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.health(W.streaks(runs(spark, sf_dir))).drop("reason")
+    """Some sources are disabled, some lack their credentials, two never ran."""
+    made = runs(spark, sf_dir)
+    sources = made.select("source_key").distinct().select("source_key", (F.col("source_key") % 17 != 0).alias("enabled"), (F.col("source_key") % 13 == 0).alias("credentials_missing"))
+    sources = sources.unionAll(spark.createDataFrame([(-1, True, True), (-2, True, False)], "source_key long, enabled boolean, credentials_missing boolean"))
+    return W.health(W.streaks(made.withColumn("error_type", F.when(F.col("run_id") % 2 == 0, "Timeout"))), sources)
 
 
 @query(f"WITH {STREAKS} SELECT source_key, 'silent' AS alert FROM health WHERE last_run < {ENOW} - INTERVAL 26 HOUR UNION ALL SELECT source_key, state FROM health WHERE state <> 'healthy'")
@@ -162,8 +185,11 @@ def top_documents_per_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT source || '/' || lang || '/' || (doc_id % 100) AS k, doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'digital' END AS method FROM documents)
-SELECT k, sha256(substr(string_agg('=== doc ' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id), 1, 500000)) AS text, count(*) AS documents, CASE WHEN count(DISTINCT method) > 1 THEN 'mixed' ELSE max(method) END AS method FROM t WHERE length(text) > 0 GROUP BY 1""")
+WITH t AS (SELECT source || '/' || lang || '/' || (doc_id % 100) AS k, doc_id, CASE WHEN doc_id % 4 > 0 THEN text END AS text, CASE WHEN doc_id % 8 = 0 THEN 'encrypted' END AS error, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'digital' END AS method FROM documents)
+SELECT k, sha256(coalesce(substr(string_agg('=== doc ' || doc_id || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) FILTER (length(text) > 0), 1, 500000), '')) AS text, count(*) FILTER (length(text) > 0) AS documents,
+  CASE WHEN count(*) FILTER (length(text) > 0) = 0 THEN 'none' WHEN count(DISTINCT method) FILTER (length(text) > 0) > 1 THEN 'mixed' ELSE max(method) FILTER (length(text) > 0) END AS method,
+  substr(string_agg('doc ' || doc_id || ': ' || error, '; ' ORDER BY doc_id) FILTER (error IS NOT NULL AND coalesce(text, '') = ''), 1, 2000) AS errors,
+  CASE WHEN count(*) FILTER (length(text) > 0) > 0 THEN 'extracted' WHEN count(*) FILTER (error IS NOT NULL AND coalesce(text, '') = '') > 0 THEN 'failed' ELSE 'empty' END AS status FROM t GROUP BY 1""")
 def merge_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 100).cast("string")).alias("k"), "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "text", F.expr("case when doc_id % 3 = 0 then 'ocr' else 'digital' end").alias("method"))
+    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 100).cast("string")).alias("k"), "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), F.expr("case when doc_id % 4 > 0 then text end").alias("text"), F.expr("case when doc_id % 8 = 0 then 'encrypted' end").alias("error"), F.expr("case when doc_id % 3 = 0 then 'ocr' else 'digital' end").alias("method"))
     return W.merged_text(rows, "k", ["doc_id"]).withColumn("text", F.sha2("text", 256))

@@ -25,6 +25,17 @@ def list_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page(L.sorted_by(chosen, "-score", ["notice_id"]), 1, 200).select("notice_id", "buyer", "country", "status", "deadline", "score", "band")
 
 
+@query(f"""
+WITH {NOTICES}, {SCORED}, r AS (SELECT *, 'REF-' || notice_id AS reference FROM scored), c AS (
+  SELECT *, count(*) OVER () AS total FROM r WHERE band <> 'out_of_scope' AND (title ILIKE '%5%1%' OR buyer ILIKE '%5%1%' OR reference ILIKE '%5%1%') AND zone IN ('EUROPE', 'ASIA') AND score >= 0.1 AND (deadline IS NULL OR deadline >= {NOW}) AND status NOT IN ('cancelled', 'awarded'))
+SELECT notice_id, score, total FROM c ORDER BY deadline DESC NULLS LAST, publication DESC, notice_id LIMIT 50 OFFSET 50""")
+def search_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of open notices of two zones with a text in title, buyer or reference, latest deadline first."""
+    scored = S.score_notices(notices(spark, sf_dir, costly=True), S.Profile(), now()).withColumn("reference", F.concat(F.lit("REF-"), F.col("notice_id").cast("string")))
+    chosen = L.listed(scored, now(), "5%1", least=0.1, among={"zone": ["EUROPE", "ASIA"], "country": []})
+    return L.page(L.sorted_by(chosen, "-deadline", ["-publication", "notice_id"]), 2, 50).select("notice_id", "score", "total")
+
+
 @query(f"""
 WITH {NOTICES}, {CODES}, more AS (SELECT *, 'Région ' || right(buyer, 1) AS location, CASE WHEN notice_id % 5 > 0 THEN 'Fund ' || notice_id % 4 END AS funder, CASE WHEN notice_id % 6 > 0 THEN ['FR', 'en', 'ar'][notice_id % 3 + 1] END AS language FROM notices)
 SELECT n.notice_id FROM more n LEFT JOIN codes c USING (notice_id)

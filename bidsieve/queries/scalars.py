@@ -218,9 +218,11 @@ def normalize_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '[EMAIL]', 'g'), '\+?\d[\d ().-]{7,}\d', '[PHONE]', 'g')) AS masked, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+')) AS emails FROM documents""")
+SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '[EMAIL]', 'g'), '\+?\d[\d ().-]{7,}\d', '[PHONE]', 'g')) AS masked, coalesce(len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+')), 0) AS emails,
+  coalesce(len(regexp_extract_all(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '[EMAIL]', 'g'), '\+?\d[\d ().-]{7,}\d')), 0) AS phones FROM documents""")
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.sha2(X.masked(F.col("text")), 256).alias("masked"), F.size(F.regexp_extract_all("text", F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]+)"))).cast("long").alias("emails"))
+    found = docs(spark, sf_dir).select("doc_id", X.masked_with_counts(F.col("text")).alias("m"))
+    return found.select("doc_id", F.sha2("m.text", 256).alias("masked"), F.col("m.counts")["[EMAIL]"].cast("long").alias("emails"), F.col("m.counts")["[PHONE]"].cast("long").alias("phones"))
 
 
 @query(f"SELECT doc_id, sha256(text) AS raw_sha256, sha256({fold_sql('text')}) AS text_sha256 FROM documents")

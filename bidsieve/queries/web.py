@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..adapters import NOTICES, notices
 from ..operators.shared import shared_folder
 from ..registry import query
 from ..sources import extract as E
@@ -222,14 +221,14 @@ def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("page_id", E.file_problem(F.col("content"), F.col("name")).alias("reason"), told.alias("as_declared"))
 
 
-@query(f"WITH {NOTICES} SELECT strftime(publication, '%Y/%m/%d') || '/' || notice_id AS key, notice_id FROM notices")
+@query("SELECT strftime(ts, '%Y/%m/%d') || '/' || event_id AS key, event_id FROM events")
 def write_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices written by day and read back; a second run replaces the days with the same rows."""
+    """Events written by day and read back; a second run of the first days replaces them with the same rows."""
     folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
-    rows = notices(spark, sf_dir).select("notice_id", "publication")
-    for _ in range(2):
-        K.write_days(rows, folder, "publication")
-    return K.read_days(spark, folder, rows.schema).select(F.concat_ws("/", "y", "m", "d", "notice_id").alias("key"), "notice_id")
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    K.write_days(rows, folder, "ts")
+    K.write_days(rows.where("ts < timestamp_ntz'2024-01-10'"), folder, "ts")
+    return K.read_days(spark, folder, rows.schema).select(F.concat_ws("/", "y", "m", "d", "event_id").alias("key"), "event_id")
 
 
 @query("""
