@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from bidsieve.functions import nested
 from bidsieve.functions import text as X
 from bidsieve.functions import url as U
+from bidsieve.operators import aggregates as A
 from bidsieve.operators import cv as C
+from bidsieve.operators import filters as L
 from bidsieve.operators import joins as J
 from bidsieve.operators import scoring as S
 from bidsieve.operators import similarity as V
@@ -278,3 +280,53 @@ def test_a_whole_pool_is_ranked(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("cv_id"), F.element_at(F.array(*map(F.lit, ["pass", "unknown", "fail"])), (F.col("id") % 3 + 1).cast("int")).alias("status"), (F.col("id") % 7 / 7).alias("confirmed_ratio"), (F.col("id") % 5).alias("score"))
     whole = [(r.cv_id, r.position) for r in C.rank(rows).orderBy("position").collect()]
     assert [p for _, p in whole] == list(range(1, 501)) and whole[:40] == [(r.cv_id, r.position) for r in C.rank(rows, 40).orderBy("position").collect()]
+
+
+def test_source_states_and_reasons(spark):
+    at = dt.datetime(2024, 1, 1)
+    runs = spark.createDataFrame([(i, s, at + dt.timedelta(hours=i), f, n, e) for i, (s, f, n, e) in enumerate([(1, True, 0, "X")] * 3 + [(2, True, 0, None)] + [(3, False, 0, None)] * 3 + [(4, True, 0, "X"), (5, True, 0, "X"), (6, False, 2, None)])], "run_id long, source_key long, ts timestamp_ntz, failed boolean, items long, error_type string")
+    sources = spark.createDataFrame([(i, i != 4, i == 5) for i in range(1, 8)], "source_key long, enabled boolean, credentials_missing boolean")
+    got = {r.source_key: (r.state, r.reason) for r in W.health(W.streaks(runs), sources).collect()}
+    assert got == {
+        1: ("failing", "3 consecutive failures (X)"), 2: ("degraded", "Last run failed: unknown error"), 3: ("degraded", "3 consecutive runs returned no items — the portal markup may have changed."),
+        4: ("disabled", None), 5: ("credentials_missing", None), 6: ("healthy", None), 7: ("healthy", None),
+    }
+
+
+def test_lists_with_text_and_total(spark):
+    now, day = dt.datetime(2024, 1, 1), dt.timedelta(days=1)
+    made = [
+        (1, "Road works", "City", "R-1", "relevant", 0.6, now + day, "open"), (2, "x", "ROADS Ltd", None, "relevant", 0.7, None, "open"), (3, "x", "y", "ab-road", "low_relevance", None, now, "open"), (4, "Road", "y", "z", "out_of_scope", 0.9, None, "open"),
+        (5, "Road", "y", "z", "relevant", 0.9, now - day, "open"), (6, "Road", "y", "z", "relevant", 0.9, None, "awarded"), (7, None, None, None, "relevant", 0.9, None, "open"),
+    ]
+    rows = spark.createDataFrame(made, "id long, title string, buyer string, reference string, band string, score double, deadline timestamp_ntz, status string")
+    listed = lambda **more: sorted((r.id, r.total) for r in L.listed(rows, F.lit(now).cast("timestamp_ntz"), **more).collect())
+    assert listed(text=" road ") == [(1, 3), (2, 3), (3, 3)]
+    assert listed(text="road", only_open=False) == [(i, 5) for i in (1, 2, 3, 5, 6)]
+    assert listed(least=0.65) == [(2, 2), (7, 2)]
+    assert listed(among={"buyer": ["City"], "title": []}) == [(1, 1)]
+    assert listed(text="nothing") == []
+
+
+def test_errors_are_told_beside_the_merged_text(spark):
+    made = [("a", 2, "two", None, "digital", "bad"), ("a", 1, "one", "text", "ocr", None), ("a", 3, "three", "", "ocr", "worse"), ("b", 1, "one", None, None, "bad"), ("c", 1, "one", None, None, None)]
+    rows = spark.createDataFrame(made, "k string, i long, name string, text string, method string, error string")
+    got = {r.k: (r.text, r.documents, r.method, r.errors, r.status) for r in W.merged_text(rows, "k", ["i"]).collect()}
+    assert got == {"a": ("=== one ===\ntext", 1, "ocr", "two: bad; three: worse", "extracted"), "b": ("", 0, "none", "one: bad", "failed"), "c": ("", 0, "none", None, "empty")}
+    many = spark.createDataFrame([("a", i, "n" * 50, None, None, "e" * 50) for i in range(100)], rows.schema)
+    assert W.merged_text(many, "k", ["i"]).first().errors == "; ".join(["n" * 50 + ": " + "e" * 50] * 100)[:2000]
+
+
+def test_masked_data_is_counted(spark):
+    text = "Mail a.b@c.org or d@e.fr, +216 71 123 456, born 01/02/1990, 12 rue de Paris, [EMAIL]"
+    m = spark.createDataFrame([(text,), (None,)], "t string").select(X.masked_with_counts(F.col("t")).alias("m")).collect()
+    assert m[0].m.text == "Mail [EMAIL] or [EMAIL], [PHONE], [BIRTH_DATE], [ADDRESS], [EMAIL]"
+    assert m[0].m.counts == {"[EMAIL]": 2, "[PROFILE]": 0, "[BIRTH_DATE]": 1, "[ID_NUMBER]": 0, "[PHONE]": 1, "[ADDRESS]": 1}
+    assert m[1].m.text is None and set(m[1].m.counts.values()) == {0}
+
+
+def test_sketches_merge_to_the_quantile(spark):
+    rows = spark.range(40_000).selectExpr("id % 3 as part", "cast(hash(id) as double) as v")
+    for share in (0.05, 0.5, 0.95):
+        estimate = A.merged_quantile(A.sketched(rows, ["part"], "v"), [], share).first().estimate
+        assert abs(rows.where(F.col("v") <= estimate).count() / 40_000 - share) < 0.01
