@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..adapters import NOTICES
 from ..operators import cv as C
 from ..operators import notify as N
+from ..operators.shared import durable
 from ..registry import query
 from ..sources.tables import read
 from .scoring import scored
@@ -72,11 +73,24 @@ def cv_filter_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select("cv_id", "status", F.col("confirmed").cast("long").alias("confirmed"), "years")
 
 
+@query("""
+SELECT doc_id AS cv_id, criterion, requested, status, observed, evidence, reason FROM (
+  SELECT doc_id, 'experience' AS criterion, '5 years at least' AS requested, CASE WHEN doc_id % 3 = 2 THEN 'unknown' WHEN doc_id % 3 = 1 OR doc_id % 20 >= 5 THEN 'pass' ELSE 'unknown' END AS status, CASE doc_id % 3 WHEN 0 THEN (doc_id % 20) || '.0' WHEN 1 THEN '8.0' END AS observed,
+    CASE doc_id % 3 WHEN 0 THEN 'Over ' || doc_id % 20 || ' years of experience' WHEN 1 THEN '01/' || 2000 + doc_id % 10 || ' - 01/' || 2003 + doc_id % 10 || '|06/' || 2001 + doc_id % 10 || ' - 01/' || 2008 + doc_id % 10 ELSE '' END AS evidence,
+    ['stated_lower_bound', 'dates_lower_bound', 'unavailable'][doc_id % 3 + 1] AS reason FROM documents
+  UNION ALL SELECT doc_id, 'languages', 'Français', 'unknown', NULL, CASE WHEN doc_id % 5 = 0 THEN 'French (in progress)' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'doubtful' ELSE 'not_found' END FROM documents
+  UNION ALL SELECT doc_id, 'certifications', 'PMP', CASE WHEN doc_id % 4 = 0 THEN 'pass' ELSE 'unknown' END, NULL, CASE WHEN doc_id % 4 = 0 THEN 'PMP' ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN 'found' ELSE 'not_found' END FROM documents)""")
+def cv_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each check of a CV has found, with the lines that say so."""
+    rows = C.evaluated(cvs(spark, sf_dir), TODAY, min_years=5, languages=["Français"], certifications=["PMP"])
+    return rows.select("cv_id", F.explode("checks").alias("c")).select("cv_id", "c.criterion", "c.requested", "c.status", "c.observed", F.array_join("c.evidence", "|").alias("evidence"), "c.reason")
+
+
 @query(f"""
 WITH {VERDICT}, r AS (SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'pass' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, confirmed DESC, cv_id % 10 DESC, cv_id) AS position FROM s)
 SELECT cv_id, status, position, (SELECT count(*) FROM s WHERE status = 'pass') AS total_pass, (SELECT count(*) FROM s WHERE status = 'unknown') AS total_unknown, (SELECT count(*) FROM s WHERE status = 'fail') AS total_fail FROM r WHERE position <= 50""")
 def cv_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(spark, sf_dir).withColumn("confirmed_ratio", F.col("confirmed") / F.col("asked")).withColumn("score", F.col("cv_id") % 10)
+    rows = durable(judged(spark, sf_dir)).withColumn("confirmed_ratio", F.col("confirmed") / F.col("asked")).withColumn("score", F.col("cv_id") % 10)
     return C.rank(rows, 50).select("cv_id", "status", F.col("position").cast("long").alias("position"), "total_pass", "total_unknown", "total_fail")
 
 

@@ -330,3 +330,36 @@ def test_sketches_merge_to_the_quantile(spark):
     for share in (0.05, 0.5, 0.95):
         estimate = A.merged_quantile(A.sketched(rows, ["part"], "v"), [], share).first().estimate
         assert abs(rows.where(F.col("v") <= estimate).count() / 40_000 - share) < 0.01
+
+
+def test_cv_checks_carry_evidence_and_a_profile(spark):
+    made = {
+        1: "Experience\nSenior dev, 6 years of experience\nLanguages\nEnglish\nFrench: fluent\nCertifications\nITIL\nIn progress\nEducation\nBachelor of science\nAge: 30",
+        2: "Over 4 years of experience\n7 years of experience\nAge: 30\n31 years old",
+        3: "Work experience\nJan 2019 - 03/2021\n2020 to 2022\nEducation\nMaster en cours\nBorn 02/01/1990",
+        4: "3 years of experience\nAge: 50",
+        5: "",
+        6: None,
+    }
+    cvs = spark.createDataFrame([*made.items()], "cv_id long, text string")
+    got = {r.cv_id: r for r in C.evaluated(cvs, "2026-01-01", min_years=5, age=(25, 45), languages=["Anglais"], certifications=["ITIL"], education=["Licence", "Master"]).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "unknown", 2: "unknown", 3: "unknown", 4: "fail", 5: "unknown", 6: "unknown"}
+    checks = {k: {c.criterion: (c.status, c.observed, c.evidence, c.reason) for c in r.checks} for k, r in got.items()}
+    assert checks[1] == {
+        "age": ("pass", "30", ["Age: 30"], "stated"), "experience": ("pass", "6.0", ["Senior dev, 6 years of experience"], "stated"), "languages": ("pass", None, ["English"], "found"),
+        "certifications": ("unknown", None, ["ITIL"], "doubtful"), "education": ("pass", None, ["Bachelor of science"], "found"),
+    }
+    assert checks[2]["experience"] == ("unknown", None, ["Over 4 years of experience", "7 years of experience"], "conflicting") and checks[2]["age"] == ("unknown", None, ["Age: 30", "31 years old"], "conflicting")
+    assert checks[3]["experience"] == ("unknown", "3.0", ["Jan 2019 - 03/2021", "2020 to 2022"], "dates_lower_bound")
+    assert checks[3]["education"] == ("unknown", None, ["Master en cours"], "doubtful") and checks[3]["age"][:2] == ("pass", "35")
+    assert checks[4]["experience"] == ("fail", "3.0", ["3 years of experience"], "stated") and checks[4]["age"][0] == "fail"
+    assert all(c == ("unknown", None, [], "unavailable" if k in ("age", "experience") else "not_found") for i in (5, 6) for k, c in checks[i].items())
+    assert got[1].profile.asDict() == {"age": 30, "years": 6.0, "languages": ["Français", "Anglais"], "certifications": [], "education": ["Licence"]}
+    plain = C.verdicts(cvs, "2026-01-01").collect()
+    assert {(r.status, r.confirmed, r.asked) for r in plain} == {("pass", 0, 0)} and len(plain) == 6
+
+
+def test_a_cv_is_read_once(spark, small):
+    cvs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as cv_id", "text")
+    plan = C.sections(cvs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
