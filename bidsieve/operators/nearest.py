@@ -18,6 +18,9 @@ from .blocking import text_vector
 _BATCH, _GROUPS = 128, 64
 
 
+_NOTHING = (np.zeros(0, np.uint64), np.zeros(0))
+
+
 class QueryIndex:
     """Unit vectors of some queries, by term: postings of the rare terms, and a matrix of those that many queries have."""
 
@@ -40,7 +43,7 @@ class QueryIndex:
     def met(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some texts: the dot products over rare terms, whether one is shared, and the weights of the frequent terms."""
         words = dict(self.words)
-        vectors = [text_vector(t, words) for t in folded]
+        vectors = [text_vector(t, words) if t else _NOTHING for t in folded]
         terms, weight = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
         text = np.repeat(np.arange(len(folded)), [len(v[0]) for v in vectors])
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
@@ -56,6 +59,12 @@ class QueryIndex:
         often[text[~rare], self.row[at[~rare]]] = weight[~rare]
         return dot, shared, often
 
+    def cosines(self, folded: list[str]) -> np.ndarray:
+        """Cosine of each text to each query; nan where they have no term in common."""
+        dot, shared, often = self.met(folded)
+        shared |= (often != 0).astype(np.float32) @ (self.often != 0).astype(np.float32) > 0
+        return np.where(shared, np.clip(dot + often @ self.often, 0, 1), np.nan)
+
 
 class Nearest:
     """The k nearest texts of each query so far. Similarities are counted in ten thousandths; equal ones go by ascending id."""
@@ -92,7 +101,7 @@ class Nearest:
         return (-place[-1][0] - 0.5) / 1e4 - 1e-9 if len(place) == self.k else -1.0
 
 
-def _blocks(queries: DataFrame, most: int) -> Iterator[QueryIndex]:
+def query_blocks(queries: DataFrame, most: int) -> Iterator[QueryIndex]:
     """Indexes of about `most` characters of queries each, fetched one partition after the other."""
     ids, texts, size = [], [], 0
     for r in queries.select("id", fold(F.col("text")).alias("folded")).where("id is not null and folded <> ''").toLocalIterator():
@@ -129,7 +138,7 @@ def nearest_texts(queries: DataFrame, rows: DataFrame, k: int, most: int = 200_0
 
         return texts.mapInArrow(search, "left_id long, part long, right_id long, tenths long")
 
-    parts = [places(index) for index in _blocks(queries, most)]
+    parts = [places(index) for index in query_blocks(queries, most)]
     if not parts:
         return rows.sparkSession.createDataFrame([], "left_id long, right_id long, similarity double, position int")
     best = reduce(DataFrame.unionAll, parts)
@@ -147,20 +156,19 @@ def all_cosines(queries: DataFrame, rows: DataFrame, most: int = 200_000) -> Dat
     texts = rows.select(F.col("id").cast("long").alias("id"), fold(F.col("text")).alias("folded")).where("id is not null and folded <> ''")
 
     def cosines(index: QueryIndex) -> DataFrame:
-        left, there = pa.array(index.ids, pa.int64()), (index.often != 0).astype(np.float32)
+        left = pa.array(index.ids, pa.int64())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, batch.num_rows, _BATCH):
                     part = batch.slice(i, _BATCH)
-                    dot, shared, often = index.met(part.column("folded").to_pylist())
-                    row, query = np.nonzero(shared | ((often != 0).astype(np.float32) @ there > 0))
-                    exact = np.clip(dot + often @ index.often, 0, 1)[row, query]
-                    yield pa.RecordBatch.from_arrays([left.take(pa.array(query)), part.column("id").take(pa.array(row)), pa.array(exact)], ["left_id", "right_id", "similarity"])
+                    exact = index.cosines(part.column("folded").to_pylist())
+                    row, query = np.nonzero(~np.isnan(exact))
+                    yield pa.RecordBatch.from_arrays([left.take(pa.array(query)), part.column("id").take(pa.array(row)), pa.array(exact[row, query])], ["left_id", "right_id", "similarity"])
 
         return texts.mapInArrow(run, "left_id long, right_id long, similarity double")
 
     # texts without any term that are equal all the same
     bare = [x.where((F.col("text") != "") & (fold(F.col("text")) == "")).select("text", F.col("id").cast("long").alias(f"{side}_id")) for x, side in ((queries, "left"), (rows, "right"))]
     equal = bare[0].join(bare[1], "text").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
-    return reduce(DataFrame.unionAll, [*(cosines(index) for index in _blocks(queries, most)), equal])
+    return reduce(DataFrame.unionAll, [*(cosines(index) for index in query_blocks(queries, most)), equal])

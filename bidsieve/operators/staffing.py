@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import chunks_fixed, plain_fold
-from .similarity import lexical_cosine, lexical_vectors
+from ..functions.text import chunks_fixed, fold, plain_fold
+from .nearest import QueryIndex, query_blocks
 
 # Grades with the least z-score of each, and caps by relevance.
 GRADES = [("A", 2.5), ("B", 1.5), ("C", 0.75), ("D", 0.0), ("F", float("-inf"))]
@@ -58,14 +61,42 @@ def mixed_score(text_score: Column, cover: Column) -> Column:
     return F.when(n > 0, 0.75 * text_score + 0.25 * F.size(cover["matched"]) / n).otherwise(text_score)
 
 
-def evidence(ranked: DataFrame, row_id: str, text: str, posting: DataFrame, most: int = 3) -> DataFrame:
-    """Per ranked row its `most` passages of 70 words nearest to the posting."""
-    passages = ranked.select(row_id, F.posexplode(chunks_fixed(F.col(text))).alias("passage", "text")).withColumn("id", F.concat_ws("/", row_id, "passage"))
-    asked = posting.select(F.col("id").cast("string").alias("id"), "text")
-    near = lexical_cosine(lexical_vectors(asked, "id", "text"), lexical_vectors(passages, "id", "text")).withColumn("score", F.round("similarity", 4))
-    best = Window.partitionBy(row_id).orderBy(F.desc("score"), "passage")
-    joined = near.join(passages.select(F.col("id").alias("right_id"), row_id, "passage", "text"), "right_id")
-    return joined.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select(row_id, "passage", "text", "score")
+def evidence(ranked: DataFrame, row_id: str, text: str, postings: DataFrame, most: int = 3) -> DataFrame:
+    """posting_id, row id, passage (its number), score: per posting and row the `most` passages of 70 words nearest to it, among
+    those that share a term with it; ties by number.
+
+    A row's passages stay in its task, where they meet the postings, a stated set in blocks; the best of each leave it and
+    nothing is shuffled. Both ids are long. A passage's text is chunks_fixed(text)[passage].
+    """
+    rows = ranked.select(F.col(row_id).cast("long").alias("id"), F.transform(chunks_fixed(F.col(text)), lambda x: fold(x)).alias("passages")).where("id is not null and size(passages) > 0")
+    best = None
+    for index in query_blocks(postings, 200_000):
+        part = rows.mapInArrow(_best_passages(index, most), "posting_id long, id long, passage long, score double")
+        best = part if best is None else best.unionAll(part)
+    if best is None:
+        best = ranked.sparkSession.createDataFrame([], "posting_id long, id long, passage long, score double")
+    return best.withColumnRenamed("id", row_id)
+
+
+def _best_passages(index: QueryIndex, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, passages in zip(batch.column("id").to_pylist(), batch.column("passages"), strict=True):
+                scores = np.concatenate([index.cosines(part) for part in _parts(passages.as_py(), 256)])
+                scores = np.where(np.isnan(scores), -1, np.floor(scores * 1e4 + 0.5))  # passages without a common term come last
+                top = np.argsort(-scores, axis=0, kind="stable")[:most]
+                passage, query = top.ravel(), np.tile(np.arange(len(index.ids)), len(top))
+                score = scores[passage, query]
+                met = score >= 0
+                ids = np.array(index.ids)[query[met]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), row), pa.int64()), pa.array(passage[met], pa.int64()), pa.array(score[met] / 1e4)], ["posting_id", "id", "passage", "score"])
+
+    return run
+
+
+def _parts(values: list, size: int) -> Iterator[list]:
+    for i in range(0, len(values), size):
+        yield values[i : i + size]
 
 
 def located(rows: DataFrame, row_id: str, text: str, phrase: str, pages: int = 30, most: int = 3, hits: int = 100) -> DataFrame:

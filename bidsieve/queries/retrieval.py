@@ -95,12 +95,12 @@ def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), p AS (SELECT doc_id * 1000 + i AS pid, doc_id, i AS n, array_to_string(w[i * 70 + 1 : i * 70 + 70], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 69) // 70)) AS i FROM w)),
-folded AS (SELECT pid AS id, {fold_sql('passage')} AS f FROM p UNION ALL SELECT -1 - item_id, {fold_sql('text')} FROM benchmark WHERE item_id = 0), {VECTOR},
-c AS (SELECT b.id AS pid, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS score FROM vectors a JOIN vectors b ON a.term = b.term AND a.id = -1 AND b.id >= 0 GROUP BY 1)
-SELECT doc_id, n AS passage, score FROM (SELECT doc_id, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS r FROM c JOIN p USING (pid)) WHERE r <= 3""")
+folded AS (SELECT pid AS id, {fold_sql('passage')} AS f FROM p UNION ALL SELECT -1 - item_id, {fold_sql('text')} FROM benchmark), {VECTOR},
+c AS (SELECT -1 - a.id AS posting_id, b.id AS pid, round(greatest(0, least(1, sum(a.weight * b.weight))), 4) AS score FROM vectors a JOIN vectors b ON a.term = b.term AND a.id < 0 AND b.id >= 0 GROUP BY 1, 2)
+SELECT posting_id, doc_id, n AS passage, score FROM (SELECT posting_id, doc_id, n, score, row_number() OVER (PARTITION BY posting_id, doc_id ORDER BY score DESC, n) AS r FROM c JOIN p USING (pid)) WHERE r <= 3""")
 def evidence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three passages of every document nearest to a posting."""
-    return T.evidence(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("id"), "text")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score")
+    """The three passages of every document nearest to each posting."""
+    return T.evidence(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")).select("posting_id", "doc_id", "passage", "score")
 
 
 WANTED = ["the", "und", "que", "Apache"]

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bidsieve.functions.text import chunks_fixed
 from bidsieve.operators import similarity as V
+from bidsieve.operators import staffing as T
 from bidsieve.operators.nearest import Nearest, QueryIndex, nearest_texts
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,3 +53,15 @@ def test_bounds_spare_dot_products(spark):
         found.show(list(range(i, min(i + 128, len(folded)))), folded[i : i + 128])
     assert found.seen == len(items) * len(folded)
     assert found.compared < found.seen / 2
+
+
+def test_passages_nearest_to_each_posting(spark, tables):
+    items, docs = tables
+    items, docs = items.where("id < 4 or id > 10000"), docs.where("id < 60 or id > 9000")
+    texts = {r.id: r.p for r in docs.select("id", chunks_fixed(F.col("text")).alias("p")).collect() if r.id is not None and r.p}
+    passages = spark.createDataFrame([(i * 1000 + n, p) for i, ps in texts.items() for n, p in enumerate(ps)], "id long, text string")
+    exact = V.lexical_cosine(V.lexical_vectors(items.where("id is not null"), "id", "text"), V.lexical_vectors(passages, "id", "text")).selectExpr("left_id", "right_id div 1000 as id", "right_id % 1000 as n", "round(similarity, 4) as s")
+    best = exact.withColumn("r", F.row_number().over(Window.partitionBy("left_id", "id").orderBy(F.desc("s"), "n"))).where("r <= 2")
+    got = {tuple(r) for r in T.evidence(docs, "id", "text", items, 2).collect()}
+    assert got == {tuple(r) for r in best.select("left_id", "id", "n", "s").collect()} and got
+    assert T.evidence(docs, "id", "text", items.limit(0)).count() == 0
