@@ -128,25 +128,25 @@ def jsonld_posting_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'k: ' || (props->>'k') AS line FROM events UNION ALL SELECT event_id, 'type: ' || event_type FROM events")
 def flatten_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("event_id", F.expr("concat('{\"a\": [', props, ', {\"type\": \"', event_type, '\"}, null]}')").alias("body"))
-    return rows.lateralJoin(E.FlattenJson(F.col("body").outer())).where("not rejected").select("event_id", "line")
+    return E.json_lines(rows, "body").where("not rejected").select("event_id", "line")
 
 
 @query("SELECT user_id, event_type AS title, CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS needed, count(*) AS n FROM events GROUP BY 1, 2")
 def explode_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.expr("concat('{\"role\": \"', event_type, '\"', case when event_type = 'error' then ', \"count\": 3' else '' end, '}')")
     bodies = read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit('{"project": "p", "profiles": ['), F.array_join(F.collect_list(item), ","), F.lit("]}")).alias("body"))
-    return bodies.lateralJoin(E.Profiles(F.col("body").outer())).groupBy("user_id", "title", "needed").agg(F.count("*").alias("n"))
+    return E.json_profiles(bodies, "body").groupBy("user_id", "title", "needed").agg(F.count("*").alias("n"))
 
 
 @query("""
 WITH b AS (SELECT user_id, list({'id': event_id, 't': event_type} ORDER BY event_id) AS l FROM events GROUP BY 1)
 SELECT user_id, i AS position, l[i + 1].t AS title, CASE WHEN l[i + 1].t = 'error' THEN 3 ELSE 1 END AS needed FROM (SELECT user_id, l, unnest(range(len(l))) AS i FROM b)""")
 def profiles_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row-generating function by itself: a row per profile of each body, in order."""
+    """The row generator by itself: a row per profile of each body, in order."""
     item = F.expr("concat('{\"role\": \"', event_type, '\"', case when event_type = 'error' then ', \"count\": 3' else '' end, '}')")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))), lambda x: x["item"])
     bodies = read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit('{"project": "p", "profiles": ['), F.array_join(listed, ","), F.lit("]}")).alias("body"))
-    return bodies.lateralJoin(E.Profiles(F.col("body").outer())).select("user_id", F.col("position").cast("long").alias("position"), "title", "needed")
+    return E.json_profiles(bodies, "body").select("user_id", F.col("position").cast("long").alias("position"), "title", "needed")
 
 
 @query("""

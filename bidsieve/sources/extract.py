@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -227,61 +226,90 @@ def field_mapping(rows: DataFrame, body: str, hints: dict[str, list[str]] = HINT
     return rows.sparkSession.createDataFrame([*mapped.values()], "field string, path string, score double, seen long")
 
 
-def _parsed(body: str) -> tuple[object, bool]:
-    try:
-        return json.loads(body), False
-    except (ValueError, RecursionError):
-        return None, True
-
-
-@udtf(returnType="line string, rejected boolean")
-class FlattenJson:
-    """Any JSON as "field: value" lines; a body that is no JSON gives one row, rejected, without a line."""
-
-    def eval(self, body: str):
-        def walk(value: object, name: str):
-            if isinstance(value, dict):
-                for k, v in value.items():
-                    yield from walk(v, k)
-            elif isinstance(value, list):
-                for v in value:
-                    yield from walk(v, name)
-            elif value is not None and str(value).strip():
-                yield f"{name}: {value}" if name else str(value), False
-
-        if body:
-            whole, rejected = _parsed(body)
-            yield from [(None, True)] if rejected else walk(whole, "")
-
-
-@udtf(returnType="position int, title string, needed int, body string, rejected boolean")
-class Profiles:
-    """The largest list of objects in a JSON as required profiles; the whole object where there is none. A body that is no
-    JSON gives one row, rejected, with nothing else."""
-
-    def eval(self, body: str):
-        def lists(value: object):
-            if isinstance(value, dict):
-                for v in value.values():
-                    yield from lists(v)
-            elif isinstance(value, list):
-                if value and all(isinstance(v, dict) for v in value):
-                    yield value
-                for v in value:
-                    yield from lists(v)
-
-        if not body:
-            return
-        whole, rejected = _parsed(body)
-        if rejected:
-            yield None, None, None, None, True
-            return
-        found = max(lists(whole), key=len, default=[whole] if isinstance(whole, dict) else [])
-        for i, p in enumerate(found):
-            # Names of title and count keys.
-            title = next((str(p[k]) for k in ("role", "title", "job_title", "position", "name", "profile") if p.get(k)), f"Profile {i + 1}")
-            count = next((int(p[k]) for k in ("count", "quantity", "headcount", "num_positions", "number", "nb", "positions_needed") if isinstance(p.get(k), (int, float))), 1)
-            yield i, title, count, json.dumps(p), False
+def _depth(body: Column) -> Column:
+    """How deep the brackets of a JSON text are nested."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\\\(?s:.)", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda x: F.when(x.isin("{", "["), 1).otherwise(-1)
+    walk = lambda acc, x: F.struct((acc["now"] + step(x)).alias("now"), F.greatest(acc["most"], acc["now"] + step(x)).alias("most"))
+    return F.aggregate(F.filter(F.split(bare, ""), lambda x: x != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), walk)["most"]
+
+
+def json_nodes(body: Column) -> Column:
+    """All values of a JSON text, outer ones first: array of (name, value variant, kind); null for a text that is no JSON.
+
+    Each round puts the members of the objects and lists that are still closed behind them, as often as the text is deep, so
+    a text is read once, where it lies. `name` is the key that a value stands under, for items of a list that of the list; keys of
+    an object come in alphabetical order, as a variant keeps them. A key that an object has twice makes the text no JSON.
+    """
+    node = "array<struct<name:string,value:variant,kind:string,closed:boolean>>"
+    root = F.try_parse_json(body)
+
+    def told(name: Column, value: Column) -> Column:
+        kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+        return F.struct(name.alias("name"), value.alias("value"), kind.alias("kind"), kind.isin("OBJECT", "ARRAY").alias("closed"))
+
+    def opened(n: Column) -> Column:
+        members = F.transform(F.map_entries(F.try_variant_get(n["value"], "$", "map<string,variant>")), lambda e: told(e["key"], e["value"]))
+        items = F.transform(F.try_variant_get(n["value"], "$", "array<variant>"), lambda x: told(n["name"], x))
+        itself = F.array(F.struct(n["name"].alias("name"), n["value"].alias("value"), n["kind"].alias("kind"), F.lit(False).alias("closed")))
+        return F.when(n["closed"], F.concat(itself, F.when(n["kind"] == "OBJECT", members).otherwise(items))).otherwise(F.array(n))
+
+    level = F.aggregate(F.sequence(F.lit(0), _depth(body)), F.array(told(F.lit(None).cast("string"), root)).cast(node), lambda acc, _: F.flatten(F.transform(acc, opened)).cast(node))
+    return F.when(root.isNotNull(), level)
+
+
+def _plain(n: Column) -> Column:
+    """A JSON value as text: true and false with a capital, numbers with a fraction that keep it, objects and lists as JSON."""
+    text = F.when(n["kind"].isin("OBJECT", "ARRAY"), F.to_json(n["value"])).otherwise(F.try_variant_get(n["value"], "$", "string"))
+    return F.when(n["kind"] == "BOOLEAN", F.initcap(text)).when((n["kind"] == "DECIMAL") & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0"))).otherwise(text)
+
+
+def _jsons(rows: DataFrame, body: str) -> DataFrame:
+    """The rows that have a body, with its values."""
+    return rows.where(F.col(body) != "").withColumn("_nodes", json_nodes(F.col(body)))
+
+
+def json_lines(rows: DataFrame, body: str) -> DataFrame:
+    """Any JSON as "field: value" lines: the rows of a body that isn't null or empty, with position, line and rejected; a body
+    that is no JSON gives one row, rejected, without a line; nulls and blank values give none."""
+    lines = F.transform(F.filter("_nodes", lambda n: ~n["kind"].isin("OBJECT", "ARRAY", "VOID")), lambda n: F.struct(n["name"].alias("name"), _plain(n).alias("text")))
+    said = F.transform(F.filter(lines, lambda x: x["text"].rlike(r"(?U)\S")), lambda x: F.concat(F.when(F.length(x["name"]) > 0, F.concat(x["name"], F.lit(": "))).otherwise(""), x["text"]))
+    kept = _jsons(rows, body).select(*rows.columns, F.col("_nodes").isNull().alias("rejected"), F.posexplode_outer(said).alias("position", "line"))
+    return kept.where("rejected or line is not null")
+
+
+def json_profiles(rows: DataFrame, body: str) -> DataFrame:
+    """The largest list of objects in a JSON as required profiles (of equal ones the first), the whole object where there is
+    none: position, title, needed, profile (JSON). A body that is no JSON gives one row, rejected, with nothing else."""
+    # Names of title and count keys.
+    titles = ["role", "title", "job_title", "position", "name", "profile"]
+    counts = ["count", "quantity", "headcount", "num_positions", "number", "nb", "positions_needed"]
+    items = lambda n: F.try_variant_get(n["value"], "$", "array<variant>")
+    objects = lambda n: (n["kind"] == "ARRAY") & (F.size(items(n)) > 0) & F.forall(items(n), lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+    lists = F.transform(F.filter("_nodes", objects), items)
+    longest = F.filter(lists, lambda x: F.size(x) == F.array_max(F.transform(lists, F.size)))
+    root = F.get("_nodes", F.lit(0))
+    found = F.when(F.size(lists) > 0, F.get(longest, F.lit(0))).when(root["kind"] == "OBJECT", F.array(root["value"]))
+
+    def named(key: str) -> Column:
+        value = F.try_variant_get("p", f"$.{key}", "variant")
+        return F.struct(value.alias("value"), F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).alias("kind"))
+
+    def title(key: str) -> Column:
+        n = named(key)
+        number = n["kind"].isin("BIGINT", "DECIMAL", "DOUBLE")
+        none = (n["kind"] == "VOID") | F.when(number, F.try_variant_get(n["value"], "$", "double") == 0).otherwise(_plain(n).isin("", "False", "[]", "{}"))
+        return F.when(~none, _plain(n))
+
+    def count(key: str) -> Column:
+        n = named(key)
+        number = F.when(n["kind"] == "BOOLEAN", F.try_variant_get(n["value"], "$", "boolean").cast("int"))
+        return number.when(n["kind"].isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(n["value"], "$", "double").try_cast("int"))
+
+    each = _jsons(rows, body).select(*rows.columns, F.col("_nodes").isNull().alias("rejected"), F.posexplode_outer(found).alias("position", "p")).where("rejected or p is not null")
+    numbered = F.concat(F.lit("Profile "), F.col("position") + 1)
+    sound = lambda c: F.when(~F.col("rejected"), c)
+    return each.select(*rows.columns, "rejected", "position", sound(F.coalesce(*map(title, titles), numbered)).alias("title"), sound(F.coalesce(*map(count, counts), F.lit(1))).alias("needed"), F.to_json("p").alias("profile"))
 
 
 @udtf(returnType="line_no int, line string")

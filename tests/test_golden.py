@@ -228,14 +228,36 @@ def test_fields_choose_in_turn(spark):
 
 
 def test_bodies_that_are_no_json(spark):
-    rows = spark.createDataFrame([(1, '{"a": {"b": [1, " ", null, true]}}'), (2, "{broken"), (3, None), (4, ""), (5, "[" * 5000)], "id long, body string")
-    lines = rows.lateralJoin(E.FlattenJson(F.col("body").outer())).select("id", "line", "rejected").collect()
-    assert sorted(map(tuple, lines), key=repr) == [(1, "b: 1", False), (1, "b: True", False), (2, None, True), (5, None, True)]
-    rows = spark.createDataFrame([(1, '{"list": [{"role": "dev", "nb": 2}, {}]}'), (2, "{broken"), (3, "null")], "id long, body string")
-    got = rows.lateralJoin(E.Profiles(F.col("body").outer())).select("id", "position", "title", "needed", "rejected").collect()
+    rows = spark.createDataFrame([(1, '{"a": {"b": [1, " ", null, true]}}'), (2, "{broken"), (3, None), (4, ""), (5, "[" * 5000), (6, '{"k": 1, "k": 2}')], "id long, body string")
+    lines = E.json_lines(rows, "body").select("id", "line", "rejected").collect()
+    assert sorted(map(tuple, lines), key=repr) == [(1, "b: 1", False), (1, "b: True", False), (2, None, True), (5, None, True), (6, None, True)]
+    rows = spark.createDataFrame([(1, '{"list": [{"role": "dev", "nb": 2}, {}]}'), (2, "{broken"), (3, "null"), (4, None)], "id long, body string")
+    got = E.json_profiles(rows, "body").select("id", "position", "title", "needed", "rejected").collect()
     assert sorted(map(tuple, got), key=repr) == [(1, 0, "dev", 2, False), (1, 1, "Profile 2", 1, False), (2, None, None, None, True)]
 
 
+def test_json_values_of_all_kinds_and_depths(spark):
+    deep = '{"x": ' * 40 + '"end"' + "}" * 40
+    bodies = [
+        (1, '{"b": [1, 2.0, 2.50, 1e5, {"c": "quote \\" { [ ", "a": false}], "": "bare"}'), (2, deep), (3, '["top", [["in"]], {}]'), (4, '"alone"'), (5, "[]"), (6, '{"long": "' + "\\n[{" * 20000 + '"}'),
+    ]
+    got: dict[int, list[str]] = {}
+    for r in E.json_lines(spark.createDataFrame(bodies, "id long, body string"), "body").orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.line)
+    assert got.pop(6) == ["long: " + "\n[{" * 20000]
+    assert got == {1: ["bare", "b: 1", "b: 2.0", "b: 2.5", "b: 100000.0", "a: False", 'c: quote " { [ '], 2: ["x: end"], 3: ["top", "in"], 4: ["alone"]}
+
+
+def test_profiles_by_the_longest_list(spark):
+    bodies = [
+        (1, '{"a": [{"t": 1}], "z": {"roles": [{"title": "", "name": "two", "count": "7", "nb": 3.9}, {"role": 0, "profile": ["x"], "count": true}]}}'),
+        (2, '{"project": "p", "name": "whole", "quantity": 4}'), (3, "[1, 2]"), (4, '[[{"role": "in"}], 5]'), (5, '{"l": [{"role": "a"}, 3]}'), (6, "{}"),
+    ]
+    got = E.json_profiles(spark.createDataFrame(bodies, "id long, body string"), "body").orderBy("id", "position")
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Arrow"))
+    assert [(r.id, r.position, r.title, r.needed) for r in got.collect()] == [(1, 0, "two", 3), (1, 1, '["x"]', 1), (2, 0, "whole", 4), (4, 0, "in", 1), (5, 0, "Profile 1", 1), (6, 0, "Profile 1", 1)]
+
+
 def test_files(spark):
     def docx(**members):
         out = io.BytesIO()
