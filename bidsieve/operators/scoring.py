@@ -153,13 +153,25 @@ def band(score: Column, bands: dict[str, float] | None = None, veto: Column | No
     return found if veto is None else F.when(veto, "out_of_scope").otherwise(found)
 
 
-def breakdown(values: dict[str, Column], weights: dict[str, float]) -> Column:
-    """Map of criterion to value (4 places), weight, weighted contribution and whether it applied."""
+def said(text: Column, **details: Column) -> Column:
+    """An explanation with the facts behind it, as text; facts that are unknown are left out."""
+    facts = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in details.items()))
+    return F.struct(text.alias("explanation"), F.map_from_entries(F.filter(facts, lambda e: e["value"].isNotNull())).alias("details"))
+
+
+def breakdown(values: dict[str, Column], weights: dict[str, float], notes: dict[str, Column] | None = None) -> Column:
+    """Map of criterion to value (4 places), weight, weighted contribution and whether it applied; with `notes` (made by `said`)
+    also to explanation and details, which are null for a criterion that did not apply or has no note."""
     entries = []
+    none = F.lit(None).cast("struct<explanation:string,details:map<string,string>>")
     for k, w in weights.items():
         if w > 0 and k in values:
             v = values[k]
-            entries += [F.lit(k), F.struct(F.bround(v, 4).alias("value"), F.lit(w).alias("weight"), F.bround(v * w, 4).alias("weighted"), v.isNotNull().alias("applicable"))]
+            known = [F.bround(v, 4).alias("value"), F.lit(w).alias("weight"), F.bround(v * w, 4).alias("weighted"), v.isNotNull().alias("applicable")]
+            if notes is not None:
+                note = F.when(v.isNotNull(), notes[k]) if k in notes else none
+                known += [note["explanation"].alias("explanation"), note["details"].alias("details")]
+            entries += [F.lit(k), F.struct(*known)]
     return F.create_map(*entries)
 
 
@@ -260,8 +272,106 @@ def _procedure(notices: DataFrame, profile: Profile, now: Column) -> Column:
     return procedure_score(F.col("procedure"), profile.procedures)
 
 
-def score_notices(notices: DataFrame, profile: Profile, now: Column) -> DataFrame:
-    """Notices with their score, band and breakdown; weights of unregistered criteria are skipped.
+#: Notes on criteria, by their name: an explanation and its facts from the notices, the profile and the clock.
+NOTES: dict[str, Criterion] = {}
+
+
+def note(name: str) -> Callable[[Criterion], Criterion]:
+    """Register what explains a criterion: a column made by `said`; it is computed only where explanations are asked for."""
+
+    def register(f: Criterion) -> Criterion:
+        NOTES[name] = f
+        return f
+
+    return register
+
+
+@note("field_of_work")
+def _field_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    def text(x: Column) -> Column:
+        found = F.when(F.size(x["hits"]) > 0, F.concat(F.lit("Field "), x["profile"], F.lit(": "), F.array_join(x["hits"], ", "))).when(x["value"] > 0, F.concat(F.lit("Worded like field "), x["profile"]))
+        return said(F.coalesce(found, F.lit("No field of work")), field=F.when(x["value"] > 0, x["profile"]), terms=F.when(F.size(x["hits"]) > 0, F.array_join(x["hits"], ", ")))
+
+    return let(field_score(F.col("_blob"), [(n, w, list(t)) for n, w, t in profile.fields]), text)
+
+
+@note("deadline_proximity")
+def _deadline_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    def text(days: Column) -> Column:
+        # the spans of deadline_score
+        span = F.when(days < 5, "too short").when(days < 12, "tight").when(days <= 45, "ideal").when(days <= 180, "distant").otherwise("beyond the horizon")
+        left = F.when(days < 0, "Deadline has passed").otherwise(F.concat(F.floor(days).cast("string"), F.lit(" days left: "), span))
+        return said(F.coalesce(F.when(days.isNotNull(), left), F.lit("No deadline published")), days=F.floor(days))
+
+    return let(days_until("deadline", now), text)
+
+
+@note("keywords")
+def _keyword_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    barred = F.array_compact(F.array(*(F.when(whole_word(F.col("_blob"), t), F.lit(t)) for t in profile.excluded))) if profile.excluded else F.array().cast("array<string>")
+    best = top_keywords(keyword_hits(F.col("_blob"), profile.keywords)) if profile.keywords else F.array().cast("array<string>")
+
+    def text(x: Column) -> Column:
+        found = F.when(F.size(x["barred"]) > 0, F.concat(F.lit("Excluded: "), F.array_join(x["barred"], ", "))).when(F.size(x["best"]) > 0, F.concat(F.lit("Keywords: "), F.array_join(x["best"], ", ")))
+        return said(F.coalesce(found, F.lit("No keyword found")), keywords=F.when(F.size(x["best"]) > 0, F.array_join(x["best"], ", ")), excluded=F.when(F.size(x["barred"]) > 0, F.array_join(x["barred"], ", ")))
+
+    return let(F.struct(barred.alias("barred"), best.alias("best")), text)
+
+
+@note("budget")
+def _budget_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    rates = F.create_map(*(x for k, v in profile.currency_rates.items() for x in (F.lit(k), F.lit(v))))
+
+    def text(amount: Column) -> Column:
+        # the spans of budget_score
+        span = F.when(amount < 50_000, "too small").when(amount < 250_000, "modest").when(amount <= 5_000_000, "in range").when(amount <= 25_000_000, "large").otherwise("too large to bid alone")
+        whole = F.floor(amount).cast("string")
+        return said(F.coalesce(F.when(amount.isNotNull(), F.concat(whole, F.lit(": "), span)), F.lit("No budget published")), amount=whole, currency=F.when(amount.isNotNull(), F.upper("currency")))
+
+    return let(F.col("budget") * F.coalesce(F.try_element_at(rates, F.upper("currency")), F.lit(1.0)), text)
+
+
+def _preferred(value: Column, preferred: dict[str, float]) -> Column:
+    names = [(k, n) for k in preferred if (n := plain_fold(k))]
+    held = lambda folded: F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.contains(folded, F.lit(n)) | F.contains(F.lit(n), folded), F.lit(k)) for k, n in names)))
+    text = lambda hits: said(F.when(F.coalesce(F.trim(value), F.lit("")) == "", "Not stated").when(F.size(hits) > 0, F.concat(F.lit("Preferred: "), F.array_join(hits, ", "))).otherwise("Not among those preferred"), stated=F.when(F.trim(value) != "", F.trim(value)))
+    return let(let(fold(value), held), text)
+
+
+@note("location")
+def _location_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    return _preferred(F.concat_ws(" ", "country", _given(notices, "location", "string")), profile.locations)
+
+
+@note("organization")
+def _organization_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    return _preferred(F.concat_ws(" ", "buyer", _given(notices, "funder", "string")), profile.organizations)
+
+
+@note("cpv_similarity")
+def _cpv_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    codes = _given(notices, "cpv_codes", "array<string>")
+    # what a shared prefix adds to the score, turned round
+    digits = lambda v: F.when(v > 0, F.round((v - 0.4) / 0.6 * 6 + 2).cast("int"))
+    text = lambda v: said(F.when(F.coalesce(F.size(codes), F.lit(0)) <= 0, "No codes").when(v > 0, F.concat(F.lit("Digits shared with a preferred code: "), digits(v).cast("string"))).otherwise("No code near a preferred one"), codes=F.when(F.size(codes) > 0, F.array_join(codes, ", ")))
+    return let(cpv_score(codes, list(profile.cpv)), text) if profile.cpv else said(F.lit("No preferred codes"))
+
+
+@note("historical_success")
+def _history_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    wins, decided = (_given(notices, x, "double").cast("long").cast("string") for x in ("wins", "decided"))
+    return said(F.coalesce(F.concat(wins, F.lit(" won of "), decided), F.lit("Nothing decided yet")), wins=wins, decided=decided)
+
+
+@note("procurement_type")
+def _procedure_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
+    known = F.coalesce(F.col("procedure").isin(*profile.procedures), F.lit(False)) if profile.procedures else F.lit(False)
+    return said(F.when(known, F.concat(F.lit("Procedure "), F.col("procedure"))).otherwise("No preference for the procedure"), procedure=F.col("procedure"))
+
+
+def score_notices(notices: DataFrame, profile: Profile, now: Column, explain: bool = False) -> DataFrame:
+    """Notices with their score, band and breakdown; weights of unregistered criteria are skipped. With `explain` each entry
+    of the breakdown has an explanation and its details, and the weights that were used stand in `weights`.
 
     Text is folded once and each criterion computed once, whatever filters and sorts by the score come after (`bound`).
     """
@@ -274,6 +384,9 @@ def score_notices(notices: DataFrame, profile: Profile, now: Column) -> DataFram
     for k in live:
         if k in _VETOING:
             veto = veto | F.coalesce(F.col(f"_{k}")["veto"], F.lit(False))
-    scored = named.withColumns({"_veto": veto, "breakdown": breakdown(held, profile.weights), "profile_version": F.lit(profile.version)})
+    notes = {k: NOTES[k](named, profile, now) for k in live if k in NOTES} if explain else None
+    scored = named.withColumns({"_veto": veto, "breakdown": breakdown(held, profile.weights, notes), "profile_version": F.lit(profile.version)})
+    if explain:
+        scored = scored.withColumn("weights", F.create_map(*(x for k, w in profile.weights.items() for x in (F.lit(k), F.lit(float(w))))))
     scored = scored.withColumn("score", let(combined(held, profile.weights, F.col("_veto")), lambda v: F.round(v, 6)))
     return scored.withColumn("band", band(F.col("score"), veto=F.col("_veto"))).drop("_blob", "_veto", *(f"_{k}" for k in live))

@@ -108,12 +108,22 @@ def profile_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", C.clean_profile(body).alias("p")).select("event_id", "p.age", "p.years", F.array_join("p.skills", "|").alias("skills"))
 
 
-@query("""
-SELECT 'lang' AS field, max(lang) FILTER (doc_id = 1) AS "1", max(lang) FILTER (doc_id = 5) AS "5", max(lang) FILTER (doc_id = 9) AS "9" FROM documents
-UNION ALL SELECT 'source', max(source) FILTER (doc_id = 1), max(source) FILTER (doc_id = 5), max(source) FILTER (doc_id = 9) FROM documents""")
+#: The candidates that are compared.
+COMPARED = (4, 5, 8, 9)
+_COMPARED = ", ".join(f"max(value) FILTER (doc_id = {i}) AS \"{i}\"" for i in COMPARED)
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, (doc_id % 4 = 0)::INT AS sure, CASE doc_id % 3 WHEN 0 THEN (doc_id % 20 >= 5)::INT WHEN 1 THEN 1 ELSE 0 END AS long, lang = 'en' AS en FROM documents WHERE doc_id IN {COMPARED}),
+f AS (SELECT doc_id, 'confirmed' AS field, floor((sure + long) / 2 * 100 + 0.5)::BIGINT::VARCHAR AS value FROM c UNION ALL SELECT doc_id, 'checks', (sure + long) || '/' || (2 - sure - long) || '/0' FROM c
+  UNION ALL SELECT doc_id, 'score', (doc_id % 10 * 10)::VARCHAR FROM c UNION ALL SELECT doc_id, 'skills', CASE WHEN en THEN 'english' END FROM c
+  UNION ALL SELECT doc_id, 'certifications', CASE WHEN sure = 1 THEN 'PMP' END FROM c)
+SELECT field, {_COMPARED} FROM f GROUP BY 1""")
 def cv_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("cv_id"), "lang", "source")
-    return C.compare(rows, ["1", "5", "9"], ["lang", "source"])
+    """Four candidates side by side; the twin has the fields that follow from the lines added by id."""
+    rows = C.evaluated(cvs(spark, sf_dir), TODAY, min_years=5, certifications=["PMP"])
+    skills = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("cv_id"), (F.col("doc_id") % 10 / 10).alias("score"), *(F.when(known, F.array(F.lit("english"))).otherwise(F.array().cast("array<string>")).alias(n) for n, known in (("matched", F.col("lang") == "en"), ("missing", F.col("lang") != "en"))))
+    return C.compare(rows.join(skills, "cv_id"), [str(i) for i in COMPARED]).where(F.col("field").isin("confirmed", "checks", "score", "skills", "certifications"))
 
 
 def preferences(spark: SparkSession) -> DataFrame:

@@ -19,7 +19,7 @@ from .listing import KEYWORDS
 from .duplicates import VECTOR
 from .lookups import HISTORY
 from .scalars import fold_sql
-from .sqltext import BUDGET, DEADLINE, LOCATION, ORGANIZATION, PROCEDURE, SCORED, VALUES
+from .sqltext import AMOUNT, BUDGET, DAYS, DEADLINE, LOCATION, ORGANIZATION, PROCEDURE, SCORED, VALUES
 
 
 def scored(spark: SparkSession, sf_dir: str, profile: S.Profile | None = None) -> DataFrame:
@@ -113,9 +113,29 @@ def score_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = f"""{NOTICES}, {SCORED}, e AS (SELECT notice_id, unnest([{', '.join(f"{{'criterion': '{k}', 'value': {v}, 'weight': {w}::DOUBLE}}" for k, v, w in VALUES)}], recursive := true) FROM scored)"""
 
 
-@query(f"WITH {ENTRIES} SELECT notice_id, criterion, round_even(value, 4) AS value, weight, TRUE AS applicable FROM e")
+_DAYS = f"floor({DAYS})::BIGINT"
+_NAMED = " ".join(f"WHEN '{k.lower()}' THEN 'Preferred: {k}'" for k in S.Profile().locations)
+_ORGANIZED = " ".join(f"WHEN '{k}' THEN 'Preferred: {k}'" for k in S.Profile().organizations)
+_WORDS = "[x.k FOR x IN [" + ", ".join(f"{{'k': '{k}', 'h': contains(' ' || f || ' ', ' {k} ')}}" for k in sorted(S.Profile().keywords, key=lambda k: -S.Profile().keywords[k])) + "] IF x.h][1:5]"
+_BARRED = "'Excluded: ' || " + " || ".join(f"'{k}'" for k in S.Profile().excluded)
+#: Explanation and one fact of each criterion but the field of work, whose terms only the operator names.
+_SAID = f"""CASE criterion WHEN 'deadline_proximity' THEN CASE WHEN deadline IS NULL THEN 'No deadline published' WHEN {DAYS} < 0 THEN 'Deadline has passed'
+  ELSE {_DAYS} || ' days left: ' || CASE WHEN {DAYS} < 5 THEN 'too short' WHEN {DAYS} < 12 THEN 'tight' WHEN {DAYS} <= 45 THEN 'ideal' WHEN {DAYS} <= 180 THEN 'distant' ELSE 'beyond the horizon' END END
+ WHEN 'budget' THEN CASE WHEN budget IS NULL THEN 'No budget published' ELSE floor({AMOUNT})::BIGINT || ': ' || CASE WHEN {AMOUNT} < 50000 THEN 'too small' WHEN {AMOUNT} < 250000 THEN 'modest' WHEN {AMOUNT} <= 5000000 THEN 'in range' WHEN {AMOUNT} <= 25000000 THEN 'large' ELSE 'too large to bid alone' END END
+ WHEN 'keywords' THEN CASE WHEN veto THEN {_BARRED} WHEN len(words) > 0 THEN 'Keywords: ' || array_to_string(words, ', ') ELSE 'No keyword found' END
+ WHEN 'location' THEN CASE lower(country) {_NAMED} ELSE 'Not among those preferred' END
+ WHEN 'organization' THEN CASE buyer {_ORGANIZED} ELSE 'Not among those preferred' END END"""
+_FACT = f"CASE criterion WHEN 'deadline_proximity' THEN {_DAYS}::VARCHAR WHEN 'budget' THEN floor({AMOUNT})::BIGINT::VARCHAR WHEN 'keywords' THEN nullif(array_to_string(words, ', '), '') WHEN 'location' THEN country WHEN 'organization' THEN buyer END"
+
+
+@query(f"""
+WITH {ENTRIES}, w AS (SELECT s.*, {_WORDS} AS words FROM scored s JOIN blobs_ USING (notice_id))
+SELECT notice_id, criterion, round_even(e.value, 4) AS value, weight, TRUE AS applicable, {_SAID} AS explanation, {_FACT} AS fact FROM e JOIN w USING (notice_id)""")
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("notice_id", F.explode("breakdown").alias("criterion", "b")).select("notice_id", "criterion", "b.value", "b.weight", "b.applicable")
+    """A row per criterion of each notice: what it adds, why, and the fact behind it (for the field of work in `explain` alone)."""
+    rows = S.score_notices(notices(spark, sf_dir, costly=True), S.Profile(), now(), explain=True).select("notice_id", F.explode("breakdown").alias("criterion", "b"))
+    fact = F.coalesce(*(F.col("b.details")[k] for k in ("days", "amount", "keywords", "stated")))
+    return rows.select("notice_id", "criterion", "b.value", "b.weight", "b.applicable", F.when(F.col("criterion") != "field_of_work", F.col("b.explanation")).alias("explanation"), fact.alias("fact"))
 
 
 @query(f"WITH {ENTRIES} SELECT notice_id, string_agg(criterion, ' > ' ORDER BY round_even(value * weight, 4) DESC, criterion) AS explanation FROM e GROUP BY 1")

@@ -385,3 +385,32 @@ def test_a_cv_is_read_once(spark, small):
     cvs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as cv_id", "text")
     plan = C.sections(cvs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_breakdown_explains_each_criterion(spark):
+    notices = spark.createDataFrame([(1, "Urgent building works", "Buyer", "France", None, 300000.0, "EUR", "open", ["72000000"]), (2, "not specified", "", "", dt.datetime(2026, 1, 1), None, None, "other", [])], "notice_id long, title string, buyer string, country string, deadline timestamp, budget double, currency string, procedure string, cpv_codes array<string>")
+    profile = S.Profile(weights={**dict.fromkeys(S.CRITERIA, 0.1), "historical_success": 0.1, "unregistered": 0.2})
+    now = F.lit(dt.datetime(2026, 1, 10))
+    rows = S.score_notices(notices, profile, now, explain=True).orderBy("notice_id").collect()
+    first, second = ({k: (v.explanation, v.details) for k, v in r.breakdown.asDict().items()} if not isinstance(r.breakdown, dict) else {k: (v.explanation, v.details) for k, v in r.breakdown.items()} for r in rows)
+    assert first["field_of_work"] == ("Field construction: building", {"field": "construction", "terms": "building"})
+    assert first["deadline_proximity"] == ("No deadline published", {}) and second["deadline_proximity"] == ("Deadline has passed", {"days": "-9"})
+    assert first["keywords"] == ("Keywords: building, urgent", {"keywords": "building, urgent"}) and second["keywords"] == ("Excluded: not specified", {"excluded": "not specified"})
+    assert first["budget"] == ("1005000: in range", {"amount": "1005000", "currency": "EUR"}) and second["budget"] == ("No budget published", {})
+    assert first["location"] == ("Preferred: France", {"stated": "France"}) and second["location"] == ("Not stated", {})
+    assert first["cpv_similarity"] == ("Digits shared with a preferred code: 8", {"codes": "72000000"}) and second["cpv_similarity"] == ("No codes", {})
+    assert first["historical_success"] == (None, None)  # without any, it does not apply
+    assert first["procurement_type"] == ("Procedure open", {"procedure": "open"}) and second["procurement_type"] == ("No preference for the procedure", {"procedure": "other"})
+    assert rows[0].weights["unregistered"] == 0.2 and "unregistered" not in first
+    assert "explanation" not in S.score_notices(notices, profile, now).schema["breakdown"].dataType.valueType.fieldNames()
+
+
+def test_candidates_side_by_side(spark):
+    cvs = spark.createDataFrame([(1, "Experience\nOver 7 years of experience\nLanguages\nEnglish"), (2, ""), (3, "Age: 30")], "cv_id long, text string")
+    rows = C.evaluated(cvs, "2026-01-01", min_years=5, languages=["Anglais"])
+    held = rows.withColumns({"score": F.lit(0.125), "matched": F.expr("if(cv_id = 1, array('python', 'sql'), array())").cast("array<string>"), "missing": F.expr("if(cv_id = 2, array('sql'), array())").cast("array<string>")})
+    got = {r.field: tuple(r)[1:] for r in C.compare(held, ["1", "2", "9"]).collect()}
+    assert list(got) == ["confirmed", "checks", "score", "skills", "years", "education", "languages", "certifications", "open", "evidence"]
+    assert got["confirmed"] == ("100", "0", None) and got["checks"] == ("2/0/0", "0/2/0", None) and got["score"] == ("13", "13", None)
+    assert got["skills"] == ("python, sql", None, None) and got["languages"] == ("Anglais", None, None) and got["evidence"][1] is None
+    assert got["open"][0] is None and got["open"][1].startswith("sql, 5 years at least (unknown, unavailable), Anglais (unknown, not_found)")
