@@ -195,20 +195,24 @@ class Profile:
 
 Criterion = Callable[[DataFrame, Profile, Column], Column]
 CRITERIA: dict[str, Criterion] = {}
+#: Notes on criteria, by their name: an explanation and its facts from the notices, the profile and the clock.
+NOTES: dict[str, Criterion] = {}
 _VETOING: set[str] = set()
+_DETAILED: set[str] = set()
 
 
-def criterion(name: str, veto: bool = False) -> Callable[[Criterion], Criterion]:
+def criterion(name: str, veto: bool = False, detailed: bool = False) -> Callable[[Criterion], Criterion]:
     """Register a criterion: a column from the notices, the profile and the clock; null where it does not apply.
 
-    Beside the columns of the notices there is `_blob`, their folded text. With `veto` the column is a struct of value and veto.
+    Beside the columns of the notices there is `_blob`, their folded text. With `veto` the column is a struct of value and veto, with
+    `detailed` one of value and whatever its note wants to read from `_<name>`.
     """
 
     def register(f: Criterion) -> Criterion:
         CRITERIA[name] = f
-        _VETOING.discard(name)
-        if veto:
-            _VETOING.add(name)
+        NOTES.pop(name, None)  # it was written for the criterion that this one takes the place of
+        for chosen, names in ((veto, _VETOING), (detailed, _DETAILED)):
+            (names.add if chosen else names.discard)(name)
         return f
 
     return register
@@ -224,9 +228,9 @@ def _given(notices: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in notices.columns else F.lit(None).cast(kind)
 
 
-@criterion("field_of_work")
+@criterion("field_of_work", detailed=True)
 def _field_of_work(notices: DataFrame, profile: Profile, now: Column) -> Column:
-    return let(field_score(F.col("_blob"), [(n, w, list(t)) for n, w, t in profile.fields]), lambda x: x["value"])
+    return field_score(F.col("_blob"), [(n, w, list(t)) for n, w, t in profile.fields])
 
 
 @criterion("deadline_proximity")
@@ -272,10 +276,6 @@ def _procedure(notices: DataFrame, profile: Profile, now: Column) -> Column:
     return procedure_score(F.col("procedure"), profile.procedures)
 
 
-#: Notes on criteria, by their name: an explanation and its facts from the notices, the profile and the clock.
-NOTES: dict[str, Criterion] = {}
-
-
 def note(name: str) -> Callable[[Criterion], Criterion]:
     """Register what explains a criterion: a column made by `said`; it is computed only where explanations are asked for."""
 
@@ -292,7 +292,7 @@ def _field_note(notices: DataFrame, profile: Profile, now: Column) -> Column:
         found = F.when(F.size(x["hits"]) > 0, F.concat(F.lit("Field "), x["profile"], F.lit(": "), F.array_join(x["hits"], ", "))).when(x["value"] > 0, F.concat(F.lit("Worded like field "), x["profile"]))
         return said(F.coalesce(found, F.lit("No field of work")), field=F.when(x["value"] > 0, x["profile"]), terms=F.when(F.size(x["hits"]) > 0, F.array_join(x["hits"], ", ")))
 
-    return let(field_score(F.col("_blob"), [(n, w, list(t)) for n, w, t in profile.fields]), text)
+    return text(F.col("_field_of_work"))
 
 
 @note("deadline_proximity")
@@ -378,15 +378,20 @@ def score_notices(notices: DataFrame, profile: Profile, now: Column, explain: bo
     texts = [c for c in ("title", "description", "sector", "category", "buyer") if c in notices.columns]
     rows = bound(notices, {"_blob": text_blob(*texts, full_text="full_text" if "full_text" in notices.columns else None)})
     live = [k for k, w in profile.weights.items() if w > 0 and k in CRITERIA]
-    named = bound(rows, {f"_{k}": CRITERIA[k](rows, profile, now) if k in _VETOING else isolated(CRITERIA[k](rows, profile, now)) for k in live}) if live else rows
-    held = {k: F.col(f"_{k}")["value"] if k in _VETOING else F.col(f"_{k}") for k in live}
+    named = bound(rows, {f"_{k}": CRITERIA[k](rows, profile, now) if k in _VETOING | _DETAILED else isolated(CRITERIA[k](rows, profile, now)) for k in live}) if live else rows
+    held = {k: F.col(f"_{k}")["value"] if k in _VETOING | _DETAILED else F.col(f"_{k}") for k in live}
     veto = F.lit(False)
     for k in live:
         if k in _VETOING:
             veto = veto | F.coalesce(F.col(f"_{k}")["veto"], F.lit(False))
-    notes = {k: NOTES[k](named, profile, now) for k in live if k in NOTES} if explain else None
+    noted = [k for k in live if k in NOTES] if explain else []
+    for k in noted:
+        # one after the other, which keeps the generated code of each small
+        named = bound(named, {f"_note_{k}": NOTES[k](named, profile, now)})
+    notes = {k: F.col(f"_note_{k}") for k in noted} if explain else None
+    held |= {k: isolated(held[k]) for k in live if k in _DETAILED}
     scored = named.withColumns({"_veto": veto, "breakdown": breakdown(held, profile.weights, notes), "profile_version": F.lit(profile.version)})
     if explain:
         scored = scored.withColumn("weights", F.create_map(*(x for k, w in profile.weights.items() for x in (F.lit(k), F.lit(float(w))))))
     scored = scored.withColumn("score", let(combined(held, profile.weights, F.col("_veto")), lambda v: F.round(v, 6)))
-    return scored.withColumn("band", band(F.col("score"), veto=F.col("_veto"))).drop("_blob", "_veto", *(f"_{k}" for k in live))
+    return scored.withColumn("band", band(F.col("score"), veto=F.col("_veto"))).drop("_blob", "_veto", *(f"_{k}" for k in live), *(f"_note_{k}" for k in noted))
