@@ -3,8 +3,10 @@
 Each vector is described by its nearest reference points (pivots), nearest first, and stands in the inverted list of each of
 them. A list is kept in shards, one for each further pivot of its vectors, so that a shard holds only vectors that share two
 pivots; a vector of `nearest` pivots is thus shipped once for each pair of them and a shard stays short however many vectors
-there are. Inside a shard the shared pivots of each candidate pair are counted; pairs with `shared` of them at least that
-also have the cosine (in double precision) are links. The shard of a pair's two smallest shared pivots counts it.
+there are. Inside a shard the lists are merged: each shared pivot adds to a pair's count what it weighs in the worse of its two
+places in the permutations, which is the footrule distance of the permutations turned round. Pairs that reach the count are
+candidates, and for those alone the cosine (in double precision) is taken. The shard of a pair's two smallest shared pivots
+reports it.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _listed(points: Broadcast, nearest: int):
                 x = _matrix(some.column("vector"), dim)
                 order = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :near] + base
                 found = np.sort(order, axis=1).astype(np.int64)
-                signature = [r.tobytes() for r in found.astype(np.int32)]
+                signature = [r.tobytes() for r in order.astype(np.int32)]
                 blob = [r.tobytes() for r in x]
                 # where all pivots are near, all vectors meet in one shard
                 for i, j in combinations(range(near), 2) if near < len(pivots) else [(0, min(1, near - 1))]:
@@ -61,32 +63,53 @@ def _listed(points: Broadcast, nearest: int):
     return run
 
 
-def _counted(p: np.ndarray, q: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per pair the number of shared pivots, and the shard that counts it: of the two smallest (of the only one, where there is one)."""
-    both = (p[:, :, None] == q[:, None, :]).any(2)
-    least = np.sort(np.where(both, p, total), axis=1)
-    return both.sum(axis=1), least[:, 0] * total + least[:, min(1, least.shape[1] - 1)]
+def candidates(s: np.ndarray, first: int, last: int, shared: int, drift: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row from `first` to `last` and a later row that the merged inverted lists bring together.
 
-
-def _here(s: np.ndarray, left: np.ndarray, right: np.ndarray, total: int, pair: int, shared: int) -> np.ndarray:
-    """Which pairs share pivots enough and are counted in this shard; where vectors are many and pivot sets few, found once for each pair of sets."""
-    enough = min(shared, s.shape[1])
-
-    def good(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        n, at = _counted(p, q, total)
-        return (n >= enough) & (at == pair)
-
-    if len(left) > 65536:
-        sets, of = np.unique(s, axis=0, return_inverse=True)
-        of, u = of.ravel(), len(sets)
-        if u * u < len(left):
-            a, b = (x.ravel() for x in np.indices((u, u)))
-            known = np.concatenate([good(sets[a[i : i + 65536]], sets[b[i : i + 65536]]) for i in range(0, u * u, 65536)])
-            return known[of[left] * u + of[right]]
-    return np.concatenate([good(s[left[i : i + 65536]], s[right[i : i + 65536]]) for i in range(0, len(left), 65536)] or [np.zeros(0, bool)])
-
-
-def _verified(total: int, least: float, kind: type, shared: int):
+    s: pivots of each row, nearest first. A pivot in places i and j of two rows adds `near` - max(i, j); over all shared pivots
+    that is half of what the footrule distance (absent pivots in place `near`) lacks to its most, near * (near + 1).
+    """
+    n, near = s.shape
+    weight, count = np.zeros((last - first, n), np.int16), np.zeros((last - first, n), np.int8)
+    names, local = np.unique(s, return_inverse=True)
+    local = local.reshape(s.shape)
+    order = np.argsort(local, axis=None, kind="stable")
+    ends = np.searchsorted(local.ravel()[order], np.arange(len(names) + 1))
+    for i in range(len(names)):
+        at = order[ends[i] : ends[i + 1]]
+        row, place = at // near, (at % near).astype(np.int16)
+        mine = (row >= first) & (row < last)
+        if len(row) < 2 or not mine.any():
+            continue
+        spot = np.ix_(row[mine] - first, row)
+        weight[spot] += near - np.maximum.outer(place[mine], place)
+        count[spot] += 1
+    a, b = np.nonzero((count >= min(shared, near)) & (2 * weight >= near * (near + 1) * (1 - drift)))
+    ahead = a + first < b
+    return a[ahead] + first, b[ahead]
+
+
+def _cosines(v: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosine of each pair; pairs of a few rows with most others come out of one product."""
+    if not len(left):
+        return np.zeros(0)
+    low, high = left.min(), left.max() + 1
+    if 16 * len(left) > (high - low) * len(v):
+        return (v[low:high] @ v.T)[left - low, right]
+    return np.concatenate([np.einsum("ij,ij->i", v[left[i : i + 16384]], v[right[i : i + 16384]]) for i in range(0, len(left), 16384)])
+
+
+def _reports(s: np.ndarray, left: np.ndarray, right: np.ndarray, total: int, pair: int) -> np.ndarray:
+    """Which pairs this shard reports: those whose two smallest shared pivots (the only one, where there is one) it is kept under."""
+    out = np.zeros(len(left), bool)
+    for i in range(0, len(left), 65536):
+        p, q = s[left[i : i + 65536]], s[right[i : i + 65536]]
+        least = np.sort(np.where((p[:, :, None] == q[:, None, :]).any(2), p, total), axis=1)
+        out[i : i + 65536] = least[:, 0] * total + least[:, min(1, least.shape[1] - 1)] == pair
+    return out
+
+
+def _verified(total: int, least: float, kind: type, shared: int, drift: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["pair", "b1", "b2"], 4096):
             pair, b1, b2, block, rep, n = (table.column(x).to_numpy() for x in ("pair", "b1", "b2", "block", "rep", "n"))
@@ -98,17 +121,16 @@ def _verified(total: int, least: float, kind: type, shared: int):
                 v = _unit(np.frombuffer(b"".join(vectors[start:end]), kind).reshape(end - start, -1))
                 s = np.frombuffer(b"".join(pivots[start:end]), np.int32).reshape(end - start, -1).astype(np.int64)
                 mine = block[start:end]
-                left, right = [], []
+                found = []
                 for i in range(0, len(v), 512):
-                    a, b = np.nonzero(v[i : i + 512] @ v.T >= least)
-                    ahead = a + i < b
-                    left.append((a[ahead] + i).astype(np.int32))
-                    right.append(b[ahead].astype(np.int32))
-                left, right = np.concatenate(left), np.concatenate(right)
-                ok = (mine[left] != mine[right]) | (b1[start] == b2[start])
-                left, right = left[ok], right[ok]
-                good = _here(s, left, right, total, pair[start], shared)
-                left, right = left[good], right[good]
+                    left, right = candidates(s, i, min(i + 512, len(v)), shared, drift)
+                    ok = (mine[left] != mine[right]) | (b1[start] == b2[start])  # pairs inside a block are another task's
+                    left, right = left[ok], right[ok]
+                    near = _cosines(v, left, right) >= least
+                    left, right = left[near], right[near]
+                    good = _reports(s, left, right, total, pair[start])
+                    found.append((left[good].astype(np.int32), right[good].astype(np.int32)))
+                left, right = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(left):
                     continue
                 links = np.zeros(end - start, np.int64)
@@ -126,36 +148,33 @@ def pivot_count(vectors: int, pivots: int = 128, per: int = 65_536, most: int =
     return min(pivots * max(1, math.ceil(math.sqrt(vectors / per))), max(pivots, most))
 
 
-def apart(x: np.ndarray, count: int, least: float) -> np.ndarray:
-    """The first `count` unit vectors that lie more than twice the angle of a link from each other.
+def apart(x: np.ndarray, count: int, least: float, enough: int = 128) -> np.ndarray:
+    """Up to `count` of the unit vectors, each the one farthest from those before it.
 
-    Vectors around a common centre, each within a link of it, thus give one pivot, whatever their share of the rows.
+    They lie more than twice the angle of a link apart, so that vectors around a common centre, each within a link of it, give one
+    pivot, whatever their share of the rows. Where fewer than `enough` lie so (all vectors point much the same way), more are
+    taken as long as they are no link of those before.
     """
-    most = 2 * least * least - 1 if least > 0 else -1.0
-    kept = np.empty((min(count, len(x)), x.shape[1]))
-    n = 0
-    for v in x:
-        if n == len(kept):
+    wide = 2 * least * least - 1 if least > 0 else -1.0
+    near = np.full(len(x), -np.inf)
+    chosen = [0]
+    while len(chosen) < min(count, len(x)):
+        np.maximum(near, x @ x[chosen[-1]], out=near)
+        far = int(near.argmin())
+        if near[far] >= (wide if len(chosen) >= enough else least):
             break
-        if not n or (kept[:n] @ v).max() < most:
-            kept[n] = v
-            n += 1
-    return kept[:n]
+        chosen.append(far)
+    return x[chosen]
 
 
-def _pivots(reps: DataFrame, count: int, least: float, draws: int = 32) -> np.ndarray:
-    """Up to `count` pivots from the first vectors in the order of their id's hash; more are drawn while too few lie apart."""
-    draw = 2 * count
-    while True:
-        drawn = reps.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(draw).toArrow()
-        column = drawn.column("vector").combine_chunks()
-        points = apart(_unit(_matrix(column, len(column.flatten()) // len(column))), count, least)
-        if len(points) == count or len(column) < draw or draw >= draws * count:
-            return points
-        draw *= 4
+def _pivots(reps: DataFrame, dim: int, count: int, least: float, draw: int = 8, held: int = 128 << 20) -> np.ndarray:
+    """Up to `count` pivots of the first `draw` times as many vectors in the order of their id's hash; `held` bytes at most are drawn."""
+    some = max(1, min(draw * count, held // (8 * dim)))
+    column = reps.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(some).toArrow().column("vector").combine_chunks()
+    return apart(_unit(_matrix(column, dim)), count, least)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128, nearest: int = 6, shared: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128, nearest: int = 7, shared: int = 2, drift: float = 0.8, block: int = 2048, sent: int = 128 << 20) -> DataFrame:
     """Links between vectors of cosine `least` and above, and the components that they form.
 
     vectors: vec_id long, embedding array<float or double>; other columns are ignored, whatever their names. Returns one
@@ -166,11 +185,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128,
     often as they occur, rows of one vec_id included. An empty table gives an empty result.
 
     The index is fitted on `pivots` vectors (more beyond 65,536 different vectors, with the root of their number, 16,384 at
-    most), chosen by the hash of their id among those that lie apart (`apart`), and holds all vectors. Where fewer lie apart
-    there are fewer pivots and longer shards, up to all pairs of the table, but no fewer links. Shards over `block` vectors
-    are cut into blocks that meet pairwise, so no task holds more than two blocks. Retrieval is approximate: links whose
-    vectors share fewer than `shared` (2 at least) of `nearest` pivots are missed; the tests hold recall to 0.9 at least, and
-    measured values are in the README.
+    most; together `sent` bytes at most go to the executors, 8 a length if need be), taken far from each other (`apart`) among eight
+    times as many that the hash of their id chooses, and holds all vectors. Shards over `block` vectors are cut into blocks that meet
+    pairwise, so no task holds more than two blocks. Retrieval is approximate: links whose vectors share fewer than `shared` (2 at
+    least) of `nearest` pivots, or whose permutations lie more than `drift` of the greatest footrule distance apart, are missed;
+    the tests hold recall to 0.9 at least, and measured values are in the README.
     """
     kind = np.float32 if "float" in vectors.schema["embedding"].dataType.simpleString() else np.float64
     e = F.col("embedding")
@@ -181,8 +200,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128,
     reps = durable(keyed.where("vector is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vector").alias("vector")))
     points: Points = {}
     total = 0
-    for r in reps.groupBy(F.size("vector").alias("dim")).count().orderBy("dim").collect():
-        found = _pivots(reps.where(F.size("vector") == r.dim), pivot_count(r["count"], pivots), least)
+    lengths = reps.groupBy(F.size("vector").alias("dim")).count().orderBy("dim").collect()
+    for r in lengths:
+        most = max(8, sent // (8 * r.dim * len(lengths)))
+        found = _pivots(reps.where(F.size("vector") == r.dim), r.dim, min(most, pivot_count(r["count"], pivots)), least)
         points[r.dim] = total, found
         total += len(found)
     lists = reps.select("rep", "n", "vector").mapInArrow(_listed(vectors.sparkSession.sparkContext.broadcast(points), nearest), _KEYED)
@@ -190,7 +211,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = 128,
     blocks = F.coalesce("blocks", F.lit(1))
     spread = lists.join(long_lists, "pair", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = spread.select("pair", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "n", "pivots", "vector")
-    joined = durable(tasks.repartition(parts(vectors), "pair", "b1", "b2").sortWithinPartitions("pair", "b1", "b2").mapInArrow(_verified(total, least, kind, shared), _JOINED))
+    joined = durable(tasks.repartition(parts(vectors), "pair", "b1", "b2").sortWithinPartitions("pair", "b1", "b2").mapInArrow(_verified(total, least, kind, shared, drift), _JOINED))
     links = joined.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     found = components(joined.select("a", "b")).select(F.col("node").alias("rep"), "component")
     named = reps.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(found, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

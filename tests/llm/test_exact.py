@@ -225,6 +225,42 @@ def test_pivots_of_a_near_copy_group_are_one():
     assert np.triu(points @ points.T, 1).max() < 2 * 0.95**2 - 1
 
 
+@pytest.mark.parametrize("mean", [0.5, 0.8, 0.9])
+def test_vectors_that_point_much_the_same_way(spark, mean):
+    """Many pivots and fewer candidates than pairs even where all cosines are high, and the links found."""
+    random = np.random.default_rng(5)
+    unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
+    own = random.normal(size=(1500, 128))
+    own[:, 0] = 0
+    base = np.sqrt(1 - mean) * unit(own)
+    base[:, 0] = np.sqrt(mean)
+    off = random.normal(size=base.shape)
+    share = random.uniform(0.951, 0.99, size=(1500, 1))
+    x = random.permutation(np.concatenate((base, share * base + np.sqrt(1 - share**2) * unit(off - (off * base).sum(1, keepdims=True) * base))))
+    points = embedding_dedup.apart(x[:1024], 128, 0.95)
+    assert len(points) >= 100
+    near = np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :7]
+    left, right = embedding_dedup.candidates(near, 0, len(x), 2, 0.8)
+    pairs = len(x) * (len(x) - 1) / 2
+    assert len(left) < {0.5: 0.08, 0.8: 0.12, 0.9: 0.45}[mean] * pairs
+    given = list(enumerate(x.tolist()))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()}
+    want = embedding_dedup.brute_force(given)
+    assert all(got[v] <= n for v, n, _, _ in want)
+    assert sum(got.values()) >= 0.9 * sum(r[1] for r in want) > 0
+
+
+def test_candidates_by_ordered_pivots():
+    random = np.random.default_rng(3)
+    s = np.array([random.permutation(9)[:4] for _ in range(60)])
+    got = set(zip(*(x.tolist() for x in embedding_dedup.candidates(s, 0, 60, 2, 0.6)), strict=True))
+    far = lambda p, q: sum(abs((p.index(z) if z in p else 4) - (q.index(z) if z in q else 4)) for z in {*p, *q})
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len({*s[i]} & {*s[j]}) >= 2 and far(s[i].tolist(), s[j].tolist()) <= 0.6 * 20}
+    assert got == want and 0 < len(want) < 1770
+    parts = [set(zip(*(x.tolist() for x in embedding_dedup.candidates(s, a, a + 20, 2, 0.6)), strict=True)) for a in (0, 20, 40)]
+    assert set().union(*parts) == want
+
+
 @pytest.mark.parametrize("crowd", [0, 5, 16_384])
 def test_crowds_are_counted_window_by_window(spark, docs, odd, crowd):
     random.seed(3)
