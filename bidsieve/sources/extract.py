@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..functions.nested import redact_json
+from ..functions.text import bound
 
 
 class _Fields(HTMLParser):
@@ -265,8 +266,8 @@ def _plain(n: Column) -> Column:
 
 
 def _jsons(rows: DataFrame, body: str) -> DataFrame:
-    """The rows that have a body, with its values."""
-    return rows.where(F.col(body) != "").withColumn("_nodes", json_nodes(F.col(body)))
+    """The rows that have a body, with its values, read once whatever asks for them."""
+    return bound(rows.where(F.col(body) != ""), {"_nodes": json_nodes(F.col(body))})
 
 
 def json_lines(rows: DataFrame, body: str) -> DataFrame:
@@ -309,7 +310,8 @@ def json_profiles(rows: DataFrame, body: str) -> DataFrame:
     each = _jsons(rows, body).select(*rows.columns, F.col("_nodes").isNull().alias("rejected"), F.posexplode_outer(found).alias("position", "p")).where("rejected or p is not null")
     numbered = F.concat(F.lit("Profile "), F.col("position") + 1)
     sound = lambda c: F.when(~F.col("rejected"), c)
-    return each.select(*rows.columns, "rejected", "position", sound(F.coalesce(*map(title, titles), numbered)).alias("title"), sound(F.coalesce(*map(count, counts), F.lit(1))).alias("needed"), F.to_json("p").alias("profile"))
+    named_each = bound(each, {"title": sound(F.coalesce(*map(title, titles), numbered)), "needed": sound(F.coalesce(*map(count, counts), F.lit(1))), "profile": F.to_json("p")})
+    return named_each.select(*rows.columns, "rejected", "position", "title", "needed", "profile")
 
 
 @udtf(returnType="line_no int, line string")
