@@ -119,3 +119,30 @@ def test_language_id_of_rows_held_out(spark):
         assert got.where("held_out = (crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)").count() == docs.count()
         share = got.where("held_out").select(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
         assert share > 0.95
+
+
+def test_language_id_of_contexts_that_tasks_do_not_hold(spark, docs, odd):
+    learned = docs.where("doc_id % 4 = 0 and length(text) < 1500")
+    by_hand = language_id.brute_force([(r.lang, r.text) for r in learned.select("lang", "text").collect()])
+    asked = docs.where("doc_id % 7 = 1 and length(text) < 1500").unionByName(odd.select(*docs.columns))
+    whole = language_id.fit(learned)
+    want = sorted((tuple(r) for r in language_id.identify(asked, whole, "doc_id", "text").collect()), key=repr)
+    for entries in (1500, 0):
+        model = language_id.fit(learned, entries)
+        assert whole.rest is None and len(model.held) < len(whole.held) / 2
+        assert sorted((tuple(r) for r in language_id.identify(asked, model, "doc_id", "text").collect()), key=repr) == want
+    scored = [(text, lang, bits) for _, text, lang, _, bits in want if bits is not None and len(text) < 10_000]
+    assert len(scored) > 10
+    for text, lang, bits in scored:
+        assert bits == pytest.approx(by_hand(text, lang), rel=1e-9)
+
+
+def test_language_id_of_thousands_of_languages(spark):
+    """More languages than a fixed number, each with a word of its own."""
+    rows = [(i, f"alpha w{i:05d}x omega", f"l{i:05d}") for i in range(4200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(table, 40)
+    asked = table.where("doc_id % 100 = 7")
+    assert model.rest is not None and len(model.languages) == 4200
+    got = language_id.identify(asked, model, "doc_id", "lang").collect()
+    assert len(got) == 42 and all(r.lang_pred == r.lang for r in got)
