@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidsieve.llm import bpe, embedding_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup
+from bidsieve.llm import bpe, embedding_dedup, packing, rolling, sharding, simhash, substring_dedup, suffix_dedup
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -311,3 +311,30 @@ def test_factors_hold_what_their_sources_have(spark, docs):
             seen += 1
         assert covered == {i for s in r.spans for i in range(s.start, s.end)}
     assert seen > 20
+
+
+@pytest.mark.parametrize("p", [suffix_dedup.parsing(400), suffix_dedup.parsing(40), substring_dedup.parsing(50)])
+def test_phrase_ends_are_found_among_few_places(p):
+    """Smallest hashes by definition; of many places, most are never compared."""
+    draw = np.random.default_rng(5)
+    span = p.reach - p.grain + 1
+    for made in (draw.integers(0, 256, 20_000), draw.integers(0, 2, 20_000), np.full(20_000, 65), np.tile(draw.integers(0, 256, 7), 3000)[:20_000], np.concatenate((draw.integers(0, 256, 9000), np.full(11_000, 32)))):
+        docs = np.array([0, 0, 1500, 1510, 9800, 9800, 20_000])
+        hashes = rolling.Hashes(rolling.byte_values(made.astype(np.uint8)))
+        upper, want = hashes.each(p.grain, 3), {}
+        for d in range(len(docs) - 1):
+            for start in range(docs[d], docs[d + 1] - p.window + 1):
+                end = start + int(upper[start : start + span].argmin()) + p.grain
+                want.setdefault(end, [end, d, start, start])[3] = start
+        assert [list(x) for x in zip(*(x.tolist() for x in rolling.phrase_ends(hashes, docs, p)), strict=True)] == [want[end] for end in sorted(want)]
+        if span > 300 and len(np.unique(made)) > 100:
+            assert len(rolling._tried(upper[:8000], span)) < 8000 / 8
+
+
+def test_runs_end_with_their_document(spark):
+    """Copies side by side in one batch: each document has a run of its own, empty texts none."""
+    text = " ".join(f"s{i}" for i in range(200))
+    table = spark.createDataFrame([(1, text), (2, ""), (3, text), (4, None), (5, text + text), (6, "alone")], "doc_id long, text string").coalesce(1)
+    got = suffix_dedup.remove_repeated_bytes(table)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got.collect()} == {1: [(0, len(text))], 2: [], 3: [(0, len(text))], 4: [], 5: [(0, 2 * len(text))], 6: []}
+    assert rows(suffix_dedup.digest(got)) == sorted(suffix_dedup.brute_force(texts(table)), key=repr)
