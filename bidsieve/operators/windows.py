@@ -142,11 +142,12 @@ def merged_text(rows: DataFrame, key: str, order: list[str], limit: int = 500_00
     have an error, what went wrong by name, joined in order up to 2,000 characters, and whether the key is extracted, failed
     or empty.
 
-    Only texts that start before the limit are gathered; the rest are counted.
+    Only texts that start before the limit, or right behind it, as the break before them may lie on it, are gathered; the rest
+    are counted.
     """
     full = rows.where(F.length("text") > 0).withColumn("_piece", F.concat(F.lit("=== "), "name", F.lit(" ===\n"), "text"))
     before = F.sum(F.length("_piece") + 2).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    item = F.when(F.col("_before") < limit, F.struct(*order, F.substring("_piece", 1, limit).alias("piece")))
+    item = F.when(F.col("_before") < limit + 2, F.struct(*order, F.substring("_piece", 1, limit).alias("piece")))
     lists = full.withColumn("_before", F.coalesce(before, F.lit(0))).groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"), F.count("*").alias("documents"), F.count_distinct("method").alias("methods"), F.max("method").alias("one"))
     text = F.substring(F.array_join(F.transform("items", lambda x: x["piece"]), "\n\n"), 1, limit)
     method = F.when(F.col("methods") > 1, "mixed").otherwise(F.col("one"))
@@ -157,7 +158,7 @@ def merged_text(rows: DataFrame, key: str, order: list[str], limit: int = 500_00
     # an error's place in the joined text is known before any is gathered, as with the texts
     wrong = rows.where("error is not null and coalesce(text, '') = ''").withColumn("_told", F.concat("name", F.lit(": "), "error"))
     at = F.coalesce(F.sum(F.length("_told") + 2).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    told = wrong.withColumn("_at", at).where("_at < 2000").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_told"))).alias("_items"))
+    told = wrong.withColumn("_at", at).where("_at < 2000 + 2").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_told"))).alias("_items"))
     errors = told.select(key, F.substring(F.array_join(F.transform("_items", lambda x: x["_told"]), "; "), 1, 2000).alias("errors"))
     status = F.when(F.col("documents").isNotNull(), "extracted").when(F.col("errors").isNotNull(), "failed").otherwise("empty")
     return rows.select(key).distinct().join(named, key, "left").join(errors, key, "left").select(key, *columns, "errors", status.alias("status"))

@@ -356,6 +356,17 @@ def test_errors_are_told_beside_the_merged_text(spark):
     assert W.merged_text(many, "k", ["i"]).first().errors == "; ".join(["n" * 50 + ": " + "e" * 50] * 100)[:2000]
 
 
+@pytest.mark.parametrize("length", [94])
+def test_merged_text_is_cut_as_if_joined_whole(spark, length):
+    pieces = [f"=== n{i} ===\n" + "t" * length for i in range(6)]
+    texts = spark.createDataFrame([("k", i, f"n{i}", "t" * length, "digital", None) for i in range(6)], "k string, i int, name string, text string, method string, error string")
+    for limit in range(2 * len(pieces[0]), 2 * len(pieces[0]) + 6):
+        assert W.merged_text(texts, "k", ["i"], limit).first().text == "\n\n".join(pieces)[:limit]
+    told = [f"n{i}: " + "e" * (400 + length) for i in range(6)]
+    errors = spark.createDataFrame([("k", i, f"n{i}", None, "digital", "e" * (400 + length)) for i in range(6)], texts.schema)
+    assert W.merged_text(errors, "k", ["i"]).first().errors == "; ".join(told)[:2000]
+
+
 def test_masked_data_is_counted(spark):
     text = "Mail a.b@c.org or d@e.fr, +216 71 123 456, born 01/02/1990, 12 rue de Paris, [EMAIL]"
     m = spark.createDataFrame([(text,), (None,)], "t string").select(X.masked_with_counts(F.col("t")).alias("m")).collect()
