@@ -347,6 +347,13 @@ def test_lists_with_text_and_total(spark):
     assert listed(text="nothing") == []
 
 
+def test_an_address_is_no_age(spark):
+    lines = {1: "Kundage age 70.214.118.188 the", 2: "Age: 30\nKeit age 46.1.2.3", 3: "age 12/03/1990", 4: "Age: 31, 12 years of work", 5: "aged 32.", 6: "Age 33-35"}
+    cvs = spark.createDataFrame([(i, f"Summary\n{x}") for i, x in lines.items()], "cv_id long, text string")
+    assert {r.cv_id: r.age for r in C.ages(C.sections(cvs), "2026-01-01").collect()} == {2: 30, 4: 31, 5: 32, 6: 33}
+    assert {r.cv_id: r.status for r in C.verdicts(cvs, "2026-01-01", age=(25, 45)).collect()} == {1: "unknown", 3: "unknown"} | dict.fromkeys((2, 4, 5, 6), "pass")
+
+
 def test_errors_are_told_beside_the_merged_text(spark):
     made = [("a", 2, "two", None, "digital", "bad"), ("a", 1, "one", "text", "ocr", None), ("a", 3, "three", "", "ocr", "worse"), ("b", 1, "one", None, None, "bad"), ("c", 1, "one", None, None, None)]
     rows = spark.createDataFrame(made, "k string, i long, name string, text string, method string, error string")
