@@ -65,6 +65,24 @@ def text_vector(folded: str, words: dict[str, int]) -> tuple[np.ndarray, np.ndar
     return np.concatenate((runs | np.uint64(1 << 63), named)), raw / (np.sqrt(raw @ raw) or 1.0)
 
 
+def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of many folded texts at once: where each begins (and the last ends), terms as numbers from 0 on, weights.
+    Empty texts have no terms."""
+    joined = [t.replace(" ", "_") + "\0" * (4 - len(t)) if t else "" for t in texts]
+    many = np.maximum(np.array([len(t) for t in joined], np.int64) - 3, 0)
+    start = np.cumsum([0] + [len(t) for t in joined])[:-1]
+    runs = _runs("".join(joined))[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    words: dict[str, int] = {}
+    named = [[words.setdefault(t, len(words)) for t in text.split(" ") if len(t) > 2 and t not in _STOP] for text in texts]
+    owner = np.concatenate((np.repeat(np.arange(len(texts)), many), np.repeat(np.arange(len(texts)), [len(x) for x in named])))
+    known, term = np.unique(np.concatenate((runs | np.uint64(1 << 63), np.array([x for row in named for x in row], np.uint64))), return_inverse=True)
+    key, count = np.unique(owner * max(1, len(known)) + term, return_counts=True)
+    owner, term = np.divmod(key, max(1, len(known)))
+    raw = 1 + np.log(count * np.where(known[term] >> np.uint64(63), GRAM_WEIGHT, TOKEN_WEIGHT))
+    norm = np.sqrt(np.bincount(owner, raw * raw, len(texts)))
+    return np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))), term, raw / np.where(norm > 0, norm, 1.0)[owner]
+
+
 def _cosines(texts: list[str]) -> np.ndarray:
     """Lexical cosine of each text to each, four places."""
     words: dict[str, int] = {}

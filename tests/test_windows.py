@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from bidsieve.operators import candidates
+from bidsieve.operators import similarity as V
 from bidsieve.operators.joins import candidate_window
 
 DAY = dt.timedelta(days=1)
@@ -46,3 +51,35 @@ def test_candidate_window(spark, most, depth, spread):
     nothing = spark.createDataFrame([], schema)
     assert candidate_window(nothing, spark.createDataFrame(stored, schema)).count() == 0
     assert candidate_window(spark.createDataFrame(incoming, schema), nothing).count() == 0
+
+
+def noted(spark, n, seed):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "é tude", "of", "x"]
+    made = [(i, rng.choice(["a", "b"]), dt.datetime(2024, 1, 1) + rng.randrange(60) * DAY, None if i % 9 == 0 else dt.datetime(2024, 3, 1) + rng.randrange(20) * DAY, None if i % 50 == 0 else "" if i % 31 == 0 else " ".join(rng.choices(words, k=6))) for i in range(n)]
+    return spark.createDataFrame(made, "notice_id long, country string, publication timestamp_ntz, deadline timestamp_ntz, title string")
+
+
+def test_closest_candidates_equal_a_join_on_terms(spark):
+    rows = noted(spark, 400, 3)
+    for most in (200, 7):
+        pairs = candidate_window(rows, rows, most=most)
+        vectors = V.lexical_vectors(rows, "notice_id", "title")
+        scored = V.lexical_cosine(vectors, vectors, pairs.select(F.col("incoming_id").alias("left_id"), F.col("stored_id").alias("right_id"))).withColumn("similarity", F.round("similarity", 4)).where("similarity >= 0.8")
+        best = scored.join(rows.select(F.col("notice_id").alias("right_id"), "publication"), "right_id").groupBy("left_id").agg(F.max_by("right_id", F.struct("similarity", "publication", -F.col("right_id"))), F.max("similarity"))
+        want = sorted(tuple(r) for r in best.collect())
+        assert len(want) > 100 and sorted(tuple(r) for r in candidates.closest_candidates(rows, rows, "title", 0.8, most=most).collect()) == want
+
+
+def test_no_pair_of_candidates_is_shuffled(spark):
+    rows = noted(spark, 2000, 5).select("notice_id", "country", "publication", F.lit(None).cast("timestamp_ntz").alias("deadline"), "title")
+    found = candidates.closest_candidates(rows, rows, "title", 0.8)
+    before = {s.id for s in _stages(spark)}
+    assert candidate_window(rows, rows).count() > 150 * 2000 and found.count() > 1000
+    assert max(s.shuffled for s in _stages(spark) if s.id not in before) <= 3 * 2000
+
+
+def _stages(spark):
+    """Stages that have run, with the rows that each has written for a shuffle."""
+    done = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [SimpleNamespace(id=(s := done.apply(i)).stageId(), shuffled=s.shuffleWriteRecords()) for i in range(done.size())]
