@@ -152,8 +152,7 @@ def relevance_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {QUERIED} SELECT query_id, category, round(avg(score), 6) AS score, count(*) AS n FROM s GROUP BY 1, 2")
 def category_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.scored_chunks(postings(spark, sf_dir), chunks(spark, sf_dir))
-    return rows.groupBy("query_id", "category").agg(F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("n"))
+    return dense.category_means(postings(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "category", F.round("score", 6).alias("score"), "n")
 
 
 @query(f"WITH {METRICS} SELECT arg_min(query_id, ({GRADE}, query_id)) AS weakest, ['F', 'D', 'C', 'B', 'A'][min({GRADE}) + 1] AS grade FROM m")
