@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, char_grams, fold, let, plain_fold, tokens
+from . import dense
 from .joins import blocked_pairs
 
 # Weight of an occurrence of a word and of a character run.
@@ -79,20 +80,9 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot))).otherwise(0.0)
 
 
-def scored_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every chunk's cosine to every query, whose number is counted: up to 1000 are broadcast, more meet the chunks in blocks.
-
-    queries: query_id, query_vector.
-    """
-    return blocked_pairs(chunks, queries, 1000).withColumn("score", dense_cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector")
-
-
 def search(queries: DataFrame, chunks: DataFrame, limit: int = 10, category: Column | None = None) -> DataFrame:
     """Best chunk per résumé and query, ranked, `limit` of them: exact scan, combined before the shuffle."""
-    pool = chunks if category is None else chunks.where(category)
-    best = scored_chunks(queries, pool).groupBy("query_id", "resume_id").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("chunk_id")).alias("c"))).alias("b"))
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "resume_id")
-    return best.select("query_id", "resume_id", F.col("b.score").alias("score"), (-F.col("b.c")).alias("chunk_id")).withColumn("position", F.row_number().over(ranked)).where(F.col("position") <= limit)
+    return dense.search(queries, chunks if category is None else chunks.where(category), limit)
 
 
 def rerank(shortlist: DataFrame, logit: Column, limit: int) -> DataFrame:
@@ -104,9 +94,7 @@ def rerank(shortlist: DataFrame, logit: Column, limit: int) -> DataFrame:
 
 def search_metrics(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """Per query: pool size, mean of the k best résumés, and mean and population deviation over the pool."""
-    best = scored_chunks(queries, chunks).groupBy("query_id", "resume_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "resume_id")))
-    return ranked.groupBy("query_id").agg(F.count("*").alias("pool"), F.avg(F.when(F.col("r") <= k, F.col("score"))).alias("top_mean"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
+    return dense.search_metrics(queries, chunks, k)
 
 
 Backend = Callable[[DataFrame, DataFrame], DataFrame]
